@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import token_orc
+from folioflow.llm import bitslice_topk, language_kernel, line_spread, sentencepiece_unigram, source_mix, token_orc
 from folioflow.llm.common import fresh_path
 
 
@@ -21,9 +21,38 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digest(spark, path)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_unigram.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.line_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_kernel.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return bitslice_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_orc": op3_token_orc,
+    "op4_source_mix": op4_source_mix,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_line_spread": op7_line_spread,
+    "op9_language_kernel": op9_language_kernel,
+    "op10_bitslice_topk": op10_bitslice_topk,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_spread": line_spread.SQL,
+    "op10_bitslice_topk": bitslice_topk.SQL,
+}
