@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task handles at once; longer single texts are handled alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,12 +35,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts hold about SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows whose texts hold at most size bytes, or are one row."""
     sizes = [x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()]
     start = held = 0
     for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > size:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import bitslice_topk, language_kernel, line_spread, sentencepiece_unigram, source_mix, token_orc
+from folioflow.llm import bitslice_topk, embedding_dedup, language_kernel, line_spread, ngram_join, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
 from folioflow.llm.common import fresh_path
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -25,6 +29,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_unigram.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -33,6 +41,10 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_kernel.language_digest(table(spark, sf_dir, "documents"))
 
@@ -43,16 +55,20 @@ def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_token_orc": op3_token_orc,
     "op4_source_mix": op4_source_mix,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_line_spread": op7_line_spread,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_kernel": op9_language_kernel,
     "op10_bitslice_topk": op10_bitslice_topk,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op5_embedding_dedup": embedding_dedup.SQL,
     "op7_line_spread": line_spread.SQL,
     "op10_bitslice_topk": bitslice_topk.SQL,
 }

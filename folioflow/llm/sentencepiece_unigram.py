@@ -5,7 +5,7 @@ character that no piece covers costs a fixed penalty and becomes one byte piece
 pieces, turns markers into blanks, puts byte pieces back together and drops the first blank.
 
 No piece has a marker after another character, so no piece spans the start of a run of markers, and the best path of a
-text is the best paths of its marker-led chunks in turn. Each task finds a chunk's path once; Viterbi runs over many new
+text is the best paths of its marker-led chunks in turn. Each worker finds a frequent chunk's path once; Viterbi runs over many new
 chunks at a time, column by column. A vocabulary without that property is encoded whole.
 
 Cases: null and empty texts have no ids and decode to the empty text; a text of U+2581 decodes with blanks in its place,
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ from folioflow.llm.common import lists, slices
 MARK = "▁"
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks that a task remembers with their ids; beyond that it forgets them and begins anew.
-MEMO_CHUNKS = 500_000
+#: Chunks that a Python worker remembers with their ids; later ones are encoded anew for each slice of texts.
+MEMO_CHUNKS = 600_000
 #: Cells of a Viterbi table.
 CELLS = 2_000_000
 #: Chunks of more bytes than this are not remembered.
@@ -190,35 +191,43 @@ class Encoder:
         flat, ends = ids[ids >= 0], np.cumsum((ids >= 0).sum(axis=1))
         return np.split(flat, ends[:-1])
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {}
-        new = sorted((x for x in chunks if x not in self.memo), key=len)
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks; they are remembered while there is room."""
+        out, new = {}, sorted(chunks, key=len)
         while new:
             take = max(1, min(len(new), CELLS // (3 * len(new[min(len(new), 8192) - 1]) + 3), 8192))
             some, new = new[:take], new[take:]
-            self.memo.update(zip(some, (x.astype("<i4").tobytes() for x in self.viterbi(some)), strict=True))
+            out.update(zip(some, (x.astype("<i4").tobytes() for x in self.viterbi(some)), strict=True))
+        if len(self.memo) < MEMO_CHUNKS:
+            self.memo.update((x, ids) for x, ids in out.items() if len(x) <= LONG_CHUNK)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.chunks(t) for t in texts]
-        of = self.memo
-        if new := {x for chunks in split for x in chunks if x not in of}:
-            self.learn(set().union(*split) if len(of) > MEMO_CHUNKS else new)
-        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, x)), "<i4") for x in split]
-        for x in {x for x in self.memo if len(x) > LONG_CHUNK} if any(len(t or "") > LONG_CHUNK for t in texts) else ():
-            del self.memo[x]
-        return out
+        split, of = [self.chunks(t) for t in texts], self.memo.get
+        found = [list(map(of, chunks)) for chunks in split]
+        new = self.learn({x for chunks, ids in zip(split, found, strict=True) for x, i in zip(chunks, ids, strict=True) if i is None})
+        return [np.frombuffer(b"".join([new[x] if i is None else i for x, i in zip(chunks, ids, strict=True)]), "<i4") for chunks, ids in zip(split, found, strict=True)]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def worker_encoder(model_path: str, vocab: Broadcast) -> Encoder:
+    """One encoder a Python worker, which serves many tasks."""
+    if model_path not in _encoders:
+        _encoders[model_path] = Encoder(vocab.value)
+    return _encoders[model_path]
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """The columns of keep, and the ids of every whole text."""
     vocab = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value)
+        encoder = worker_encoder(model_path, vocab)
         for whole in batches:
             for batch in slices(whole, "__text"):
                 ids = encoder.encode(batch.column("__text").to_pylist())
@@ -234,7 +243,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", keep: tuple[s
     vocab = rows.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value)
+        encoder = worker_encoder(model_path, vocab)
         for batch in batches:
             texts = [encoder.decode(np.array(x if x is not None else [], np.int32)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, text_col])
@@ -250,7 +259,7 @@ def encode_digest(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
     names = ["doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocab.value)
+        encoder = worker_encoder(model_path, vocab)
         is_byte = np.zeros(len(encoder.table), np.int64)
         is_byte[encoder.vocab.byte_ids] = 1
         for whole in batches:
