@@ -11,8 +11,10 @@ their copies, ordered by text; an empty table gives an empty file set; other col
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import lists, slices, stage
 
-#: Words that a task remembers with their ids; beyond that it forgets them and begins anew.
+#: Words that a Python worker remembers with their ids; later ones are encoded anew for each slice of texts.
 MEMO_WORDS = 600_000
+#: ASCII punctuation but for the apostrophe.
+AFTER_LETTERS = string.punctuation.replace("'", "")
 ORC = {
     "compression": "zstd",
     "orc.stripe.size": str(64 << 20),
@@ -37,8 +41,10 @@ ORC = {
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space.
 
-    Such a tokenizer's pieces never span a blank, so a text's ids are those of its blank-separated words in turn; each
-    word is encoded by the tokenizers library once per task. Other white space stays inside a word and is left to it.
+    Such a tokenizer's pieces never span a blank, so a text's ids are those of its blank-separated words in turn, and each
+    worker has the tokenizers library encode a frequent word once. Other white space stays inside a word and is left to the library.
+    ASCII punctuation after letters is a word of its own to the tokenizer, apostrophes apart, and is split off, which leaves
+    fewer words; words of letters go to the library many at a time, and the ends-of-word marks part their ids again.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -46,28 +52,65 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.memo: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        new = [w for w in words if w not in self.memo]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(found.ids, dtype="<i4").tobytes()
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4")
+
+    def learn_letters(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(words), 400):
+            some = words[at : at + 400]
+            ids = self.ids(" ".join(some))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            found = np.split(ids, cuts[:-1]) if len(cuts) == len(some) and cuts[-1] == len(ids) else map(self.ids, some)
+            out.update(zip(some, (x.tobytes() for x in found), strict=True))
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new words; they are remembered while there is room."""
+        out, split, letters, known = {}, [], set(), self.parts
+        for word in words:
+            core = word.rstrip(AFTER_LETTERS)
+            if core.isalpha():
+                split.append((word, core, word[len(core) :]))
+                if core not in known:
+                    letters.add(core)
+            else:
+                out[word] = self.ids(word).tobytes()
+        fresh = self.learn_letters(list(letters))
+        fresh.update((x, self.ids(x).tobytes()) for x in {tail for _, _, tail in split} if x not in known)
+        for word, core, tail in split:
+            head, rest = fresh.get(core), fresh.get(tail)
+            out[word] = (known[core] if head is None else head) + (known[tail] if rest is None else rest)
+        if len(known) < MEMO_WORDS:
+            known.update(fresh)
+        if len(self.memo) < MEMO_WORDS:
+            self.memo.update(out)
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
-        end, of = np.array([end_id], dtype="<i4").tobytes(), self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(of, words)) + end, dtype="<i4") for words in split]
+        of, end = self.memo.get, np.array([end_id], dtype="<i4").tobytes()
+        found = [list(map(of, words)) for words in split]
+        new = self.learn({w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None})
+        return [np.frombuffer(b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)]) + end, dtype="<i4") for words, ids in zip(split, found, strict=True)]
+
+
+@cache
+def word_encoder(tokenizer_path: str) -> WordEncoder:
+    """One encoder a Python worker, which serves many tasks."""
+    return WordEncoder(tokenizer_path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append end_id, and write a token file set in ascending order of document id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids = encoder.encode(batch.column("text").to_pylist(), end_id)
