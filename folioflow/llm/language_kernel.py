@@ -17,7 +17,7 @@ table gives an empty one; language and source are never inputs of a prediction.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ CELLS = 1 << 14
 PER_LANGUAGE = 400
 LANDMARKS = 96
 RIDGE = 1e-2
+#: Below this score, where no language fits better than chance, a document counts as unidentified.
+LEAST_SCORE = 0.3
 #: Texts whose spectra are held at once.
 BATCH = 64
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -136,22 +138,29 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return fit(np.unpackbits(np.frombuffer(b"".join(x[3] for x in kept), np.uint8).reshape(len(kept), -1), axis=1), [x[2] for x in kept])
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of keep, and lang_pred and score of every whole text."""
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns of keep, and __lang and __score of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
+    at, n = rows.columns.index(text_col), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                names, scores = predict(shared.value, batch.column("__text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            for batch in slices(whole, text_col):
+                names, scores = predict(shared.value, batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "__lang", "__score"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
+    return rows.mapInArrow(run, f"{kinds}, __lang string, __score double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
     """Per document: held_out, lang_pred, score."""
     held = F.coalesce(in_thirds() == 1, F.lit(False))
-    return identify(docs, train(docs)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return identify(docs, train(docs)).select("doc_id", held.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """docs without those whose language can't be told: no letters, or no language's score reaches least_score."""
+    found = identify(docs, train(docs), docs.columns)
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least_score)).drop("__lang", "__score")

@@ -258,3 +258,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one document of each component."""
     kept = jaccard_groups(docs, id_col, text_col).where("kept").select(F.col("row").alias("__row")).distinct()
     return docs.withColumn("__row", row_key(id_col, text_col)).join(kept, "__row").dropDuplicates(["__row"]).drop("__row")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)),
+reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT node, min(other) AS other FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(d.doc_id, coalesce(other, d.doc_id)) AS class_id, d.doc_id = least(d.doc_id, coalesce(other, d.doc_id)) AS kept
+FROM documents d LEFT JOIN counts ON d.doc_id = counts.a LEFT JOIN least ON d.doc_id = least.node
+"""

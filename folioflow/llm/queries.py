@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.llm import bitslice_topk, embedding_dedup, language_kernel, line_spread, ngram_join, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
+from folioflow.llm import bitslice_topk, embedding_dedup, language_kernel, line_spread, ngram_join, quality_bayes, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
 from folioflow.llm.common import fresh_path
 
 
@@ -19,6 +20,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -26,7 +31,7 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents"))
+    return source_mix.mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,7 @@ def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_quality_bayes": op2_quality_bayes,
     "op3_token_orc": op3_token_orc,
     "op4_source_mix": op4_source_mix,
     "op5_embedding_dedup": op5_embedding_dedup,
@@ -68,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op1_ngram_join": ngram_join.SQL,
+    "op4_source_mix": source_mix.SQL,
     "op5_embedding_dedup": embedding_dedup.SQL,
     "op7_line_spread": line_spread.SQL,
     "op10_bitslice_topk": bitslice_topk.SQL,

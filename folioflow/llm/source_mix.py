@@ -5,8 +5,8 @@ pattern's first pass over its documents costs nothing, each further pass one mor
 last. The network holds one node for each pattern and source, whatever the number of documents. Then each pattern's
 documents are taken in a seeded order, whole, until its flow is met.
 
-Cases: a null or empty text has size 0 and nothing is taken of it; null sources form one source, last in order; rows that
-are alike share a place in the order and each counts; documents without any source are not taken (target null); an empty
+Cases: a null or empty text has size 0 and nothing is taken of it; null sources form one source, last in order; rows with
+one id share a place in the order and are taken alike, each of them counts; documents without any source are not taken (target null); an empty
 table gives an empty one; other columns are not read.
 """
 
@@ -104,14 +104,27 @@ def augmenting(patterns: Sequence[tuple[int, Sequence[int]]], flow: list[dict[in
     return None
 
 
-def select(sized: DataFrame, wanted: dict[str, tuple[int, int]], most: int) -> DataFrame:
-    """Take whole documents of each pattern in seeded order until its flow is met: adds __taken.
+def patterned(docs: DataFrame, members: str, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """docs with __size, __members, __pattern, __place (the seeded order's key, hexadecimal) and __bucket (its first digits)."""
+    names = F.array_sort(F.array_distinct(F.coalesce(F.expr(members), F.array().cast("array<string>"))))
+    return (
+        docs.withColumn("__size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
+        .withColumn("__members", names)
+        .withColumn("__pattern", F.concat_ws("\x01", F.transform("__members", lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-")))))
+        .withColumn("__place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
+        .withColumn("__bucket", F.conv(F.substring("__place", 1, 3), 16, 10).cast("int"))
+    )
+
+
+def cuts(sized: DataFrame, wanted: dict[str, tuple[int, int]]) -> list[tuple[str, int, str]]:
+    """For each pattern the passes that all its documents make, and the last place in the order that makes one more.
 
-    sized has __pattern, __size, __place (the order's key, hexadecimal) and __bucket; wanted gives each pattern's size and
-    flow. Every document is taken flow // size times, and once more while the running total stays nearest the rest.
+    wanted gives each pattern's size and flow. Documents make flow // size passes, and one more as long as the running total
+    stays nearest the rest. A histogram of the order finds the bucket where the rest ends; only its rows are summed one by
+    one. A row a pattern comes to the driver.
     """
     spark = sized.sparkSession
-    rows = [(p, f // n if n else 0, f - f // n * n if n else 0) for p, (n, f) in wanted.items()]
+    rows = [(p, f // n, f % n) for p, (n, f) in wanted.items() if n]
     plan = spark.createDataFrame(rows, "__pattern string, __passes long, __rest long")
     upto = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
@@ -120,44 +133,35 @@ def select(sized: DataFrame, wanted: dict[str, tuple[int, int]], most: int) -> D
         .withColumn("__before", F.coalesce(F.sum("__words").over(upto), F.lit(0)))
         .join(F.broadcast(plan), "__pattern")
         .where("__before <= __rest AND __rest < __before + __words")
-        .select("__pattern", F.col("__bucket").alias("__end"), "__before")
+        .select("__pattern", F.col("__bucket").alias("__end"), "__before", "__rest")
         .collect()
     )
-    of = {p: (passes, rest) for p, passes, rest in rows}
-    plan = spark.createDataFrame([(r[0], *of[r[0]], r[1], r[2]) for r in ends], "__pattern string, __passes long, __rest long, __end int, __before long")
-    planned = sized.join(F.broadcast(plan), "__pattern", "left")
-    clear = planned.where("__end IS NULL OR __bucket <> __end").withColumn("__more", F.when(F.col("__bucket") < F.col("__end"), 1).otherwise(0))
-    inside = Window.partitionBy("__pattern").orderBy("__place", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        planned.where("__bucket = __end")
-        .withColumn("__run", F.col("__before") + F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-        .withColumn("__more", F.when(2 * F.col("__run") + F.col("__size") <= 2 * F.col("__rest"), 1).otherwise(0))
-        .drop("__run")
+    edge = spark.createDataFrame([tuple(r) for r in ends], "__pattern string, __end int, __before long, __rest long")
+    inside = Window.partitionBy("__pattern").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    last = (
+        sized.join(F.broadcast(edge), "__pattern")
+        .where("__bucket = __end")
+        .groupBy("__pattern", "__place", "__before", "__rest")
+        .agg(F.sum("__size").alias("__words"))
+        .withColumn("__run", F.col("__before") + F.coalesce(F.sum("__words").over(inside), F.lit(0)))
+        .where("2 * __run + __words <= 2 * __rest")
+        .groupBy("__pattern")
+        .agg(F.max("__place"))
+        .collect()
     )
-    copies = F.least(F.coalesce(F.col("__passes"), F.lit(0)) + F.col("__more"), F.lit(most))
-    return clear.unionByName(edge).withColumn("__taken", F.col("__size") * copies)
+    found = {r[0]: r[1] for r in last}
+    # where no row of the last bucket fits, the order's last place is the end of the bucket before
+    before = {r["__pattern"]: f"{r['__end']:03x}" for r in ends}
+    return [(p, passes, found.get(p, before[p])) for p, passes, _ in rows]
 
 
-def mix(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0) -> DataFrame:
-    """Mix documents to weighted targets; members is an SQL expression for the array of sources a document belongs to.
-
-    Returns doc_id, size, source_size and target (of its first source), taken.
-    """
-    row = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.expr(members).alias("__members"))
-    sized = stage(
-        row.select(
-            "doc_id",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
-            F.array_sort(F.array_distinct(F.coalesce("__members", F.array().cast("array<string>")))).alias("__members"),
-            F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("__place"),
-        )
-        .withColumn("__pattern", F.concat_ws("\x01", F.transform("__members", lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-")))))
-        .withColumn("__bucket", F.conv(F.substring("__place", 1, 3), 16, 10).cast("int")),
-        "mix-sizes",
-    )
+def plan_mix(docs: DataFrame, members: str, id_col: str, text_col: str, weights: Sequence[int], share: Fraction, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The patterns' plan (a row a pattern), and the documents' sizes as staged."""
+    sized = stage(patterned(docs.select(F.col(id_col), F.col(text_col), F.expr(members).alias("__given")), "__given", id_col, text_col, seed).select(F.col(id_col).alias("doc_id"), "__size", "__members", "__pattern", "__place", "__bucket"), "mix-sizes")
     found = sized.groupBy("__pattern").agg(F.first("__members").alias("members"), F.sum("__size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found.sort(key=lambda r: r["__pattern"])
     names = sorted({s for r in found for s in r.members}, key=lambda s: (s is None, s or ""))
     at = {s: i for i, s in enumerate(names)}
     sizes = [0] * len(names)
@@ -165,9 +169,49 @@ def mix(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id",
         for s in r.members:
             sizes[at[s]] += r["size"]
     targets = weighted_targets(sizes, weights, share, most)
-    found.sort(key=lambda r: r["__pattern"])
     flows = route([(r["size"], [at[s] for s in r.members]) for r in found], [round(t) for t in targets], most)
-    mixed = select(sized, {r["__pattern"]: (r["size"], sum(f.values())) for r, f in zip(found, flows, strict=True)}, most)
-    firsts = [(r["__pattern"], sizes[at[r.members[0]]], float(targets[at[r.members[0]]])) for r in found if r.members]
-    told = docs.sparkSession.createDataFrame(firsts, "__pattern string, source_size long, target double")
-    return mixed.join(F.broadcast(told), "__pattern", "left").select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken"))
+    cut = {p: (passes, last) for p, passes, last in cuts(sized, {r["__pattern"]: (r["size"], sum(f.values())) for r, f in zip(found, flows, strict=True)})}
+    rows = [(r["__pattern"], *cut.get(r["__pattern"], (0, "")), sizes[at[r.members[0]]] if r.members else None, float(targets[at[r.members[0]]]) if r.members else None) for r in found]
+    return docs.sparkSession.createDataFrame(rows, "__pattern string, __passes long, __last string, source_size long, target double"), sized
+
+
+#: How often a document is taken, from its pattern's plan.
+COPIES = "CASE WHEN __size = 0 THEN 0 ELSE __passes + CAST(__place <= __last AS INT) END"
+
+
+def mix(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0) -> DataFrame:
+    """Mix documents to weighted targets; members is an SQL expression for the array of sources a document belongs to.
+
+    Returns doc_id, size, source_size and target (of its first source), taken.
+    """
+    plan, sized = plan_mix(docs, members, id_col, text_col, weights, share, most, seed)
+    return sized.join(F.broadcast(plan), "__pattern").select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.expr(COPIES)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0) -> DataFrame:
+    """The mix itself: docs with each document as often as it is taken."""
+    plan, _ = plan_mix(docs, members, id_col, text_col, weights, share, most, seed)
+    told = patterned(docs, members, id_col, text_col, seed).join(F.broadcast(plan.drop("source_size", "target")), "__pattern")
+    return told.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.expr(COPIES).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The mix of `documents` by source. Targets fill like water: sources are capped in the order of twice their size by weight.
+SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR))) AS place,
+    CAST(coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, size, [5, 2, 1][i % 3 + 1] AS w FROM (
+    SELECT source, CAST(sum(size) AS BIGINT) AS size, CAST(row_number() OVER (ORDER BY source NULLS LAST) - 1 AS BIGINT) AS i FROM sized GROUP BY source)),
+filling AS (
+  SELECT *, 2.0e0 * size / w AS r, (1.5e0 * sum(size) OVER () - coalesce(sum(2 * size) OVER before, 0)) / sum(w) OVER onwards AS level FROM sources
+  WINDOW before AS (ORDER BY 2.0e0 * size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), onwards AS (ORDER BY 2.0e0 * size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+water AS (SELECT min(r) AS r, arg_min(level, r) AS level FROM filling WHERE level <= r),
+targets AS (SELECT source, f.size AS source_size, least(coalesce(water.level * w, 2 * f.size), 2.0e0 * f.size) AS target FROM filling f, water),
+flows AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(round(target) AS BIGINT) // source_size END AS passes, CASE WHEN source_size = 0 THEN 0 ELSE CAST(round(target) AS BIGINT) % source_size END AS rest FROM targets),
+places AS (SELECT source, place, sum(size) AS words FROM sized GROUP BY source, place),
+runs AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM places)
+SELECT d.doc_id, d.size, f.source_size, round(f.target, 6) AS target, CAST(d.size * (f.passes + CASE WHEN 2 * r.run + r.words <= 2 * f.rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sized d JOIN flows f ON d.source IS NOT DISTINCT FROM f.source JOIN runs r ON r.source IS NOT DISTINCT FROM d.source AND r.place = d.place
+"""

@@ -42,9 +42,11 @@ def brute(data):
     for s in names:
         run, (copies, rest) = 0, divmod(round(targets[s]), sizes[s]) if sizes[s] else (0, 0)
         mine = sorted((hashlib.md5(("0" if d is None else f"0:{d}").encode()).hexdigest(), words(t), d) for d, t, x, *_ in data if x == s)
-        for _, n, d in mine:
-            out.append((d, n, sizes[s], float(targets[s]), n * (copies + (2 * run + n <= 2 * rest))))
-            run += n
+        for place in sorted({m for m, *_ in mine}):
+            same = [(n, d) for m, n, d in mine if m == place]
+            words_ = sum(n for n, _ in same)
+            out += [(d, n, sizes[s], float(targets[s]), n * (copies + (2 * run + words_ <= 2 * rest))) for n, d in same]
+            run += words_
     return sorted(out, key=str)
 
 
@@ -60,8 +62,17 @@ def test_matches_brute_force(spark):
     assert all(abs(n - t) <= 45 for (_, t), n in taken.items())
 
 
+def test_mixed_documents_repeat_rows(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    out = source_mix.mixed_documents(docs)
+    assert out.columns == docs.columns
+    taken = sum(words(r.text) for r in out.collect())
+    assert taken == sum(r.taken for r in source_mix.mix(docs).collect())
+
+
 def test_empty(spark):
     assert source_mix.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert source_mix.mixed_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_overlapping_sources(spark):
