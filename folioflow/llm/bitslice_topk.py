@@ -8,8 +8,7 @@ complement slices, so nothing is subtracted. The low parts can change a score by
 sum is found from the sum's most significant slice downward, every row within the width of it is a boundary row, and
 boundary rows are scored exactly from the whole values.
 
-Queries travel to blocks in chunks, never as single pairs, and each block returns k rows a query; a window keeps the best
-k. Nothing is sampled and nothing is left out.
+Every query travels to every block; each block returns k rows a query, and a window keeps the best k. Nothing is sampled and nothing is left out.
 
 Cases: vectors that are null, or hold null or non-finite components, or whose length differs from the query's, take no
 part; an empty vector has score 0 with every other empty one; ties go to the smaller id; a null id takes no part; rows
@@ -26,22 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import map_groups
+from folioflow.llm.common import boundaries
 
 SCALE = 256
 #: Low bits that slices leave to the exact step.
 SHIFT = 3
 #: Rows of a block of the index, on average.
 BLOCK_ROWS = 8192
-#: Queries that travel together.
-CHUNK = 128
 #: Values and queries up to this size are summed in 64 bits; larger ones by Python's integers.
 SAFE = 1 << 24
 LIMITS = (-(1 << 63), (1 << 63) - 1)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype=np.float64) for x in column.to_pylist()]) if len(column) else np.zeros((0, 0))
+def matrix(column: pa.Array, wide: int) -> np.ndarray:
+    ends = column.offsets
+    return column.values.to_numpy()[ends[0].as_py() : ends[-1].as_py()].reshape(len(column), wide)
 
 
 def whole_numbers(x: np.ndarray) -> np.ndarray:
@@ -166,36 +164,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     sizes = {r["wide"]: r["n"] for r in rows.groupBy("wide").agg(F.count("*").alias("n")).collect()}
     shape = [(w, max(1, -(-n // BLOCK_ROWS))) for w, n in sizes.items()]
     shapes = F.broadcast(spark.createDataFrame(shape, "wide int, blocks int"))  # a row for each length of vectors
-    index = rows.join(shapes, "wide").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    chunks = asked.join(shapes, "wide").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.lit(max(sizes.values(), default=1)) / CHUNK)).cast("int"))
-
-    def pack(group: pa.Table) -> pa.Table:
-        values = matrix(group.column("v").combine_chunks())
-        return pa.table({"wide": group.column("wide")[:1], "part": group.column("part")[:1], "ids": pa.array([group.column("id").to_numpy().astype("<i8").tobytes()]), "data": pa.array([values.astype("<f8").tobytes()]), "blocks": group.column("blocks")[:1]})
-
-    packed = "wide int, part int, ids binary, data binary, blocks int"
-    blocks = map_groups(index.select("wide", F.col("block").alias("part"), "id", "v", "blocks"), ["wide", "part"], pack, packed).select("wide", F.col("part").alias("block"), F.col("ids").alias("row_ids"), F.col("data").alias("row_data"))
-    asks = (
-        map_groups(chunks.select("wide", F.col("chunk").alias("part"), "id", "v", "blocks"), ["wide", "part"], pack, packed)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("wide", "block", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
-    )
+    # a block's rows come first, then the queries, one by one: a task holds one block and no more queries than a batch
+    index = rows.join(shapes, "wide").select("wide", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    asks = asked.join(shapes, "wide").select("wide", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[bytes, Block] | None = None
+        key, parts, block = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                if known is None or known[0] != r["row_ids"]:
-                    known = (r["row_ids"], Block(np.frombuffer(r["row_ids"], "<i8"), whole_numbers(np.frombuffer(r["row_data"], "<f8").reshape(-1, r["wide"]) if r["wide"] else np.zeros((len(r["row_ids"]) // 8, 0)))))
-                ids = np.frombuffer(r["query_ids"], "<i8")
-                queries_ = whole_numbers(np.frombuffer(r["query_data"], "<f8").reshape(len(ids), r["wide"]))
-                found = [known[1].top(q, x, k) for q, x in zip(ids.tolist(), queries_, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, [len(x) for x, _ in found])), pa.array(np.concatenate([x for x, _ in found]), pa.int64()), pa.array([s for _, x in found for s in x], pa.int64())],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    per_block = blocks.hint("merge").join(asks, ["wide", "block"]).mapInArrow(search, "query_id long, vec_id long, score long")
+            cuts = boundaries(pa.Table.from_batches([batch]), ["wide", "block", "kind"]) if batch.num_rows else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = batch.slice(a, b - a)
+                wide, number, kind = (piece.column(c)[0].as_py() for c in ("wide", "block", "kind"))
+                if (wide, number) != key:
+                    key, parts, block = (wide, number), [], None
+                ids, values = piece.column("id").to_numpy(), matrix(piece.column("v"), wide)
+                if kind == 0:
+                    parts.append((ids, values))
+                    continue
+                if block is None and parts:
+                    block = Block(np.concatenate([x for x, _ in parts]), whole_numbers(np.concatenate([x for _, x in parts])))
+                if block is not None:
+                    found = [block.top(q, x, k) for q, x in zip(ids.tolist(), whole_numbers(values), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids, [len(x) for x, _ in found])), pa.array(np.concatenate([x for x, _ in found]), pa.int64()), pa.array([s for _, x in found for s in x], pa.int64())],
+                        names=["query_id", "vec_id", "score"],
+                    )
+
+    per_block = index.unionByName(asks).repartition("wide", "block").sortWithinPartitions("wide", "block", "kind").mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return per_block.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -31,7 +31,6 @@ def data(n=700, wide=12, scale=0.4):
 
 def test_matches_brute_force_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(bt, "BLOCK_ROWS", 100)
-    monkeypatch.setattr(bt, "CHUNK", 4)
     rows = data()
     rows += [(1000 + i, rows[0][1], 0, "x") for i in range(60)] + [(2000 + i, [0.0] * 12, 0, "x") for i in range(60)]
     assert run(spark, rows) == brute(rows)
