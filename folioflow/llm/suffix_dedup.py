@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import lists, map_groups, slices, stage
-from folioflow.llm.suffix_order import PrefixHash, equal_groups, mixed
+from folioflow.llm.shingles import mixed
+from folioflow.llm.suffix_order import PrefixHash, equal_groups
 
 LENGTH = 400
 KGRAM = 32
@@ -257,18 +258,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     name, n = f"folioflow_units_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(pack(length), "unit long, doc_ids array<long>, ends array<long>, data binary, items binary")
-    packed.repartition(n, "unit").write.option("compression", "zstd").bucketBy(n, "unit").format("parquet").saveAsTable(name)
-    size = spark.table(name).agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0]
-    units = spark.table(name).withColumn("buckets", F.lit(max(8, 3 * size // BUCKET_BYTES)))
-    answers = None
-    for level in range(3):
-        asked = with_answers(units, answers).mapInArrow(asking(level, length), "unit long, kind int, bucket long, data binary")
-        told = map_groups(asked, ["kind", "bucket"], resolve, "unit long, kind int, bucket long, codes binary", order=["unit"]).withColumn("level", F.lit(level))
-        told = stage(told, "suffix-answers")
-        answers = told if answers is None else answers.unionByName(told)
-    out = stage(with_answers(units, answers).mapInArrow(answering(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "suffix-dedup")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    try:
+        packed.repartition(n, "unit").write.option("compression", "zstd").bucketBy(n, "unit").format("parquet").saveAsTable(name)
+        size = spark.table(name).agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0]
+        units = spark.table(name).withColumn("buckets", F.lit(max(8, 3 * size // BUCKET_BYTES)))
+        answers = None
+        for level in range(3):
+            asked = with_answers(units, answers).mapInArrow(asking(level, length), "unit long, kind int, bucket long, data binary")
+            told = map_groups(asked, ["kind", "bucket"], resolve, "unit long, kind int, bucket long, codes binary", order=["unit"]).withColumn("level", F.lit(level))
+            told = stage(told, "suffix-answers")
+            answers = told if answers is None else answers.unionByName(told)
+        return stage(with_answers(units, answers).mapInArrow(answering(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "suffix-dedup")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def with_answers(units: DataFrame, answers: DataFrame | None) -> DataFrame:

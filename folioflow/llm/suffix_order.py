@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from folioflow.llm.shingles import mixed, powers
+from folioflow.llm.shingles import powers
 
 #: A random value for each byte, so that the polynomial does not see the bytes' own arithmetic.
 BYTES = np.random.default_rng(2718).integers(1, 1 << 63, 256).astype(np.uint64)
