@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
-from folioflow.operators import assemble, code, fragments, markdown, pages, ranges, recents, tables
+from folioflow.operators import assemble, code, fragments, markdown, pages, ranges, recents, tables, word
 from folioflow.plans import inputs
 from folioflow.plans.inputs import table
 from folioflow.sources import files
@@ -358,3 +358,8 @@ SELECT doc, string_agg(CASE WHEN row = 0 THEN line || chr(10) || rule ELSE line
 """)
 def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.text_tables(tables.table_cells(inputs.part_tables(table(spark, sf_dir, "part"))))
+
+
+@query()
+def markdown_to_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word.to_word(inputs.markdown_documents(table(spark, sf_dir, "documents")))
