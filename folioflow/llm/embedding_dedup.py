@@ -9,8 +9,8 @@ product of matrices in double precision. A product returns link counts a vector
 the pairs, and components follow from the forests.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors link only
-with those of their own length; a null id gives a null component and is kept; rows that repeat an id count as vectors of
-their own and share a component; an empty table gives an empty one; other columns are not read.
+with those of their own length; a null id gives a null component, is kept, and joins no components of others; rows that
+repeat an id count as vectors of their own; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ THRESHOLD = 0.9
 #: Vectors that the centroids are fitted on, at most about.
 SAMPLE = 8192
 #: Vectors of a cell, on average; the number of cells is bounded, so that centroids stay small.
-CELL_ROWS = 4096
+CELL_ROWS = 8192
 MAX_CELLS = 4096
 MAX_CENTROID_VALUES = 4_000_000
 #: Rows of a block at most about; a product covers two blocks.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 ROUNDS = 8
 
 
@@ -95,7 +95,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     keyed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("usable", F.coalesce(finite, F.lit(False)))
     same = keyed.withColumn("h1", F.when(F.col("usable"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("usable"), F.xxhash64(F.lit(7), F.col("v"))))
-    # a null id never links by id, so that its class takes part under the least non-null id, or none
     classes = stage(
         same.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("wide", F.size("v")),
         "vector-classes",
@@ -166,7 +165,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     links = found.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("links").alias("outer_links"))
     groups = connected_components(found.where("p IS NOT NULL AND q IS NOT NULL").select(F.col("p").alias("a"), F.col("q").alias("b")))
     told = classes.select("h1", "h2", "rep", "copies").join(links, ["h1", "h2"], "left").join(groups, F.col("rep") == F.col("node"), "left")
-    result = told.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("outer_links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("of"))
+    # staged, so that the last join is one of two plain shuffles, which Spark can split where many rows are one vector
+    result = stage(told.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("outer_links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("of")), "told-vectors")
     joined = same.select("vec_id", "h1", "h2").join(result, ["h1", "h2"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("of", "vec_id"))
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
