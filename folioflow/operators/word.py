@@ -57,7 +57,7 @@ def block_word() -> Column:
     number = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level, F.lit('"/><w:numId w:val="'), F.when(numbered, "2").otherwise("1"), F.lit('"/></w:numPr>'))
     box = F.when(F.col("checked").isNull(), "").when(F.col("checked"), "☑ ").otherwise("☐ ")
     code = F.array_join(F.transform(F.split(text, "\n"), lambda x: paragraph("SourceCode", F.concat(F.lit(open_run("plain")), xml_escape(x), F.lit(CLOSE)))), "")
-    split = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    split = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
     lines = F.split(text, "\n")
     columns = F.size(split(F.get(lines, F.lit(0))))
     width = column_twips(columns).cast("string")
