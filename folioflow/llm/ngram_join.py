@@ -208,7 +208,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     least = least_matches(threshold)
     buckets = classes.select("h1", "h2", "sig").mapInArrow(band_keys, "bucket long, h1 long, h2 long")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("blocks"))
+    # what many rows share a key with is staged first: a join of two plain shuffles is one that Spark can split where it is skewed
+    shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("blocks")), "shared-buckets")
     meeting = buckets.join(shared, "bucket").groupBy("h1", "h2").agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
     candidates = (
         meeting.join(classes.select("h1", "h2", F.substring("sig", 1, 2 * BUCKET_HASHES).alias("sig")), ["h1", "h2"])
@@ -242,10 +243,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = inside.select("h1", "h2", "least_id", "row", "copies").join(groups, "h1").join(links, ["h1", "h2"], "left")
     heads = placed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "row")).alias("best"))
     linked = placed.join(heads, "component").select("h1", "h2", "outer_links", "class_id", F.col("best.row").alias("head"))
-    told = (
+    told = stage(
         classes.select("h1", "h2", "least_id", "row", "copies")
         .join(linked, ["h1", "h2"], "left")
-        .select("h1", "h2", (F.col("copies") - 1 + F.coalesce("outer_links", F.lit(0))).alias("links"), F.when(F.col("head").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("of"), F.coalesce("head", "row").alias("head"))
+        .select("h1", "h2", (F.col("copies") - 1 + F.coalesce("outer_links", F.lit(0))).alias("links"), F.when(F.col("head").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("of"), F.coalesce("head", "row").alias("head")),
+        "told-classes",
     )
     return (
         signed.select("doc_id", "row", "h1", "h2")
