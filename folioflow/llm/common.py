@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task handles at once; longer single texts are handled alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -33,7 +33,7 @@ MARK = "▁"
 #: What an unknown character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks that a Python worker remembers with their ids; later ones are encoded anew for each slice of texts.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 300_000
 #: Cells of a Viterbi table.
 CELLS = 2_000_000
 #: Chunks of more bytes than this are not remembered.
