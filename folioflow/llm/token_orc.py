@@ -12,6 +12,7 @@ their copies, ordered by text; an empty table gives an empty file set; other col
 from __future__ import annotations
 
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -38,13 +39,18 @@ ORC = {
 }
 
 
+def normal_letters(core: str) -> bool:
+    """Whether a word is all letters, and stays so when the tokenizer composes and lowers it: some letters end in a mark then."""
+    return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space.
 
     Such a tokenizer's pieces never span a blank, so a text's ids are those of its blank-separated words in turn, and each
     worker has the tokenizers library encode a frequent word once. Other white space stays inside a word and is left to the library.
     ASCII punctuation after letters is a word of its own to the tokenizer, apostrophes apart, and is split off, which leaves
-    fewer words; words of letters go to the library many at a time, and the ends-of-word marks part their ids again.
+    fewer words, unless the letters become others and marks, which punctuation joins; words of letters go to the library many at a time, and the ends-of-word marks part their ids again.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -75,7 +81,7 @@ class WordEncoder:
         out, split, letters, known = {}, [], set(), self.parts
         for word in words:
             core = word.rstrip(AFTER_LETTERS)
-            if core.isalpha():
+            if normal_letters(core):
                 split.append((word, core, word[len(core) :]))
                 if core not in known:
                     letters.add(core)

@@ -40,3 +40,13 @@ def test_lookup_is_pushed_down(spark):
     found = token_orc.find_documents(spark, path, [4])
     assert found.count() == 2
     assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() or "EqualTo(doc_id,4)" in found._jdf.queryExecution().toString()
+
+
+def test_letters_that_become_marks_keep_their_punctuation():
+    """Every letter before punctuation, and some words, have the ids of the whole text."""
+    encoder = token_orc.WordEncoder(PATH)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    words = ["HEPS\u0130.", "\u0130STANBUL,", "\u0958.", "\ufb2a,", "ok.", "caf\u00e9!"] + [f"x{c}." for c in letters]
+    want = Tokenizer.from_file(PATH).encode_batch(words, add_special_tokens=False)
+    bad = [w for w, got, e in zip(words, encoder.encode(words, 2), want, strict=True) if got.tolist() != [*e.ids, 2]]
+    assert not bad, bad[:10]
