@@ -1,41 +1,55 @@
 """Interval joins within documents: what a selection touches, what is concealed, painted or visible.
 
-Ranges are (doc, loc, len). Every join carries the document's equality, so it is a sort-merge join on documents with the
-interval test as its residue, and never a nested loop over all ranges.
+Ranges are (doc, loc, len) in whole units. Whether a range meets any other is told by a sweep: both sides of a document
+are sorted together, and the furthest end so far is kept, so the work grows with the ranges and not with their pairs.
+Pairs are joined by document and stretch of units. Null documents, places and lengths meet nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlaps(a: str, b: str) -> Column:
-    """Strict: the ranges share at least one unit."""
-    return (F.col(f"{a}.loc") < F.col(f"{b}.loc") + F.col(f"{b}.len")) & (F.col(f"{b}.loc") < F.col(f"{a}.loc") + F.col(f"{a}.len"))
+#: Units of a stretch, by which points and ranges are joined.
+STRETCH = 256
 
 
-def touches(a: str, b: str) -> Column:
-    """Inclusive: the ranges share a unit or meet at an end."""
-    return (F.col(f"{a}.loc") <= F.col(f"{b}.loc") + F.col(f"{b}.len")) & (F.col(f"{b}.loc") <= F.col(f"{a}.loc") + F.col(f"{a}.len"))
+def _met(ranges: DataFrame, others: DataFrame, until: Column, inclusive: bool = False) -> DataFrame:
+    """ranges with __met: whether another one of the document starts before `until` (or at it) and ends after loc (or at it)."""
+    spots = others.where("doc IS NOT NULL AND loc IS NOT NULL AND len IS NOT NULL").select(
+        "doc", F.col("loc").alias("__at"), F.lit(0 if inclusive else 2).alias("__turn"), (F.col("loc") + F.col("len")).alias("__end")
+    )
+    both = ranges.withColumns({"__at": until, "__turn": F.lit(1)}).unionByName(spots, allowMissingColumns=True)
+    before = Window.partitionBy("doc").orderBy("__at", "__turn").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = F.max("__end").over(before)
+    met = furthest >= F.col("loc") if inclusive else furthest > F.col("loc")
+    known = F.col("doc").isNotNull() & F.col("__at").isNotNull()
+    return both.withColumn("__met", F.coalesce(known & met, F.lit(False))).where("__turn = 1").select(*ranges.columns, "__met")
+
+
+def _end() -> Column:
+    return F.col("loc") + F.col("len")
 
 
 def active_blocks(blocks: DataFrame, selections: DataFrame) -> DataFrame:
-    return blocks.alias("b").join(selections.alias("s"), (F.col("b.doc") == F.col("s.doc")) & touches("b", "s"), "left_semi")
+    """Inclusive: blocks that share a unit with a selection or meet one at an end."""
+    return _met(blocks, selections, _end(), inclusive=True).where("__met").drop("__met")
 
 
 def overlapping(ranges: DataFrame, others: DataFrame) -> DataFrame:
-    return ranges.alias("r").join(others.alias("o"), (F.col("r.doc") == F.col("o.doc")) & overlaps("r", "o"), "left_semi")
+    """Strict: ranges that start before another's end and end after its start."""
+    return _met(ranges, others, _end()).where("__met").drop("__met")
 
 
 def not_overlapping(ranges: DataFrame, others: DataFrame) -> DataFrame:
-    return ranges.alias("r").join(others.alias("o"), (F.col("r.doc") == F.col("o.doc")) & overlaps("r", "o"), "left_anti")
+    return _met(ranges, others, _end()).where("NOT __met").drop("__met")
 
 
 def concealed_markers(markers: DataFrame, active: DataFrame) -> DataFrame:
-    """Hidden markers that no active block overlaps and whose start lies in none."""
-    inside = (F.col("r.loc") >= F.col("o.loc")) & (F.col("r.loc") < F.col("o.loc") + F.col("o.len"))
-    return markers.where("presentation = 'hidden'").alias("r").join(active.alias("o"), (F.col("r.doc") == F.col("o.doc")) & (overlaps("r", "o") | inside), "left_anti")
+    """Hidden markers that no active block overlaps and whose start lies in none; an empty marker counts as one unit for that."""
+    until = F.col("loc") + F.when(F.col("len") > 1, F.col("len")).otherwise(1)
+    return _met(markers.where("presentation = 'hidden'"), active, until).where("NOT __met").drop("__met")
 
 
 def painted_markers(markers: DataFrame, active: DataFrame) -> DataFrame:
@@ -44,5 +58,8 @@ def painted_markers(markers: DataFrame, active: DataFrame) -> DataFrame:
 
 def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each point (doc, at) with the range (range_loc, range_len) that holds it."""
+    stretch = lambda x: F.floor(x / STRETCH)
+    held = ranges.where("len > 0").withColumn("stretch", F.explode(F.sequence(stretch(F.col("loc")), stretch(_end() - 1))))
     inside = (F.col("p.at") >= F.col("r.loc")) & (F.col("p.at") < F.col("r.loc") + F.col("r.len"))
-    return points.alias("p").join(ranges.alias("r"), (F.col("p.doc") == F.col("r.doc")) & inside).select("p.*", F.col("r.loc").alias("range_loc"), F.col("r.len").alias("range_len"))
+    same = (F.col("p.doc") == F.col("r.doc")) & (stretch(F.col("p.at")) == F.col("r.stretch"))
+    return points.alias("p").join(held.alias("r"), same & inside).select("p.*", F.col("r.loc").alias("range_loc"), F.col("r.len").alias("range_len"))

@@ -82,10 +82,13 @@ PARTS = """tables AS (
 table_lines AS (SELECT doc, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM tables)"""
 
 
-def ranges(docs: DataFrame, width: int, step: int, shift: int) -> DataFrame:
-    """doc, loc, len: ranges over a document by arithmetic, touching, overlapping and empty ones among them."""
+def ranges(docs: DataFrame, width: int, step: int, shift: int, whole: bool = False) -> DataFrame:
+    """doc, loc, len: ranges over a document by arithmetic, touching, overlapping and empty ones among them.
+
+    Not whole, they are the first 41 of a document, as in ranges_sql; whole, they go to its end.
+    """
     n = F.greatest(F.lit(0), F.floor(F.coalesce("n_chars", F.lit(0)) / step) - 1)
-    return docs.select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(40)).cast("long"))).alias("k")).select("doc", (F.col("k") * step + shift + (F.col("doc") + F.col("k")) % 7).alias("loc"), ((F.col("doc") + F.col("k")) % (width + 1)).alias("len"), "k")
+    return docs.select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0).cast("long"), (n if whole else F.least(n, F.lit(40))).cast("long"))).alias("k")).select("doc", (F.col("k") * step + shift + (F.col("doc") + F.col("k")) % 7).alias("loc"), ((F.col("doc") + F.col("k")) % (width + 1)).alias("len"), "k")
 
 
 def ranges_sql(name: str, width: int, step: int, shift: int) -> str:

@@ -198,11 +198,11 @@ active AS (SELECT doc, loc, len FROM blocks b WHERE EXISTS (SELECT 1 FROM select
 OVERLAP = "r.loc < o.loc + o.len AND o.loc < r.loc + r.len"
 
 
-def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _marks(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    active = ranges.active_blocks(inputs.ranges(docs, 30, 40, 0).select("doc", "loc", "len"), inputs.ranges(docs, 12, 170, 20))
+    active = ranges.active_blocks(inputs.ranges(docs, 30, 40, 0, whole).select("doc", "loc", "len"), inputs.ranges(docs, 12, 170, 20, whole))
     shown = inputs.by_turn("k", "'hidden'", "'bullet'", "'hidden'", "'checkbox'")
-    return inputs.ranges(docs, 4, 23, 3).select("doc", "loc", "len", shown.alias("presentation")), active
+    return inputs.ranges(docs, 4, 23, 3, whole).select("doc", "loc", "len", shown.alias("presentation")), active
 
 
 @query(f"WITH {RANGES}, {MARKS} SELECT doc, loc, len FROM active")
@@ -234,6 +234,36 @@ def points_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.containing(inputs.ranges(docs, 4, 23, 3).select("doc", F.col("loc").alias("at")), inputs.ranges(docs, 30, 40, 0))
 
 
+# The five queries above see a document's first 41 ranges of a kind, as their SQL does; these see all of them.
+
+
+@query()
+def active_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marks(spark, sf_dir, whole=True)[1]
+
+
+@query()
+def concealed_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.concealed_markers(*_marks(spark, sf_dir, whole=True))
+
+
+@query()
+def painted_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.painted_markers(*_marks(spark, sf_dir, whole=True))
+
+
+@query()
+def visible_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ranges.overlapping(inputs.ranges(docs, 30, 40, 0, whole=True), inputs.ranges(docs, 12, 170, 20, whole=True)).select("doc", "loc", "len")
+
+
+@query()
+def points_in_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ranges.containing(inputs.ranges(docs, 4, 23, 3, whole=True).select("doc", F.col("loc").alias("at")), inputs.ranges(docs, 30, 40, 0, whole=True))
+
+
 SEEN = f"""last_seen AS (SELECT user_id, max(ts) AS mtime, min(event_id) AS arrival_ord FROM events GROUP BY user_id),
 newest AS (SELECT max(ts) AS now FROM events),
 seen AS (SELECT CASE user_id % 5 WHEN 0 THEN '/tmp/' ELSE '/home/me/' END || 'u' || user_id || '.md' AS path, user_id, mtime, arrival_ord, user_id % 7 <> 0 AS file_exists FROM last_seen),
