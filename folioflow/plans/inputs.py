@@ -36,6 +36,14 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     return lines_of(docs).select("doc", "pos", by_turn("pos", *MARKED_CASES).alias("text"), by_turn("pos", *SIZE_CASES).cast("double").alias("size"))
 
 
+def whole_marked_lines(docs: DataFrame) -> DataFrame:
+    """marked_lines with each blank line before its document's line, not in its place."""
+    blank, line = MARKED_CASES.index("''"), F.array(by_turn("pos", *MARKED_CASES))
+    texts = F.when(F.col("pos") % len(MARKED_CASES) == blank, F.array(F.lit(""), F.col("line"))).otherwise(line)
+    rows = lines_of(docs).select("doc", F.col("pos").alias("at"), by_turn("pos", *SIZE_CASES).cast("double").alias("size"), F.posexplode(texts).alias("k", "text"))
+    return rows.select("doc", (F.col("at") * 2 + F.col("k")).alias("pos"), "text", "size")
+
+
 def turns_sql(column: str, cases: tuple[str, ...]) -> str:
     return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END"
 
@@ -49,9 +57,17 @@ MARKDOWN_CASES = (
 )
 
 
-def markdown_documents(docs: DataFrame) -> DataFrame:
-    """doc, source: documents with every kind of block."""
-    rows = lines_of(docs).select("doc", "pos", by_turn("pos", *MARKDOWN_CASES).alias("out"))
+#: Every line in full; blank lines, fences and separators stand between the lines.
+WHOLE_CASES = (
+    "concat('# ', line)", r"concat('\n', line)", "line", "concat('- ', line)", "concat('- [x] ', line)", "concat('2. ', line)", "concat('> ', line)", r"concat('```python\n', line)",
+    "concat('x = 1 # ', line)", r"concat(line, '\n```')", r"concat('| a | ', line, ' |\n|---|:-:|')", "concat('| b | ', line, ' |')", "concat('| **', line, '** | `c` |')", r"concat('\n', line)",
+    "concat('### ', line, ' #')", "concat('see [', line, '](http://x.y/z) *now*')",
+)
+
+
+def markdown_documents(docs: DataFrame, cases: tuple[str, ...] = WHOLE_CASES) -> DataFrame:
+    """doc, source: documents with every kind of block; by MARKDOWN_CASES, which SQL follows, some lines are replaced or cut."""
+    rows = lines_of(docs).select("doc", "pos", by_turn("pos", *cases).alias("out"))
     return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "\n").alias("source"))
 
 

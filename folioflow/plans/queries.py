@@ -136,6 +136,24 @@ def assembled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assembled(inputs.marked_lines(table(spark, sf_dir, "documents"))).select("doc", F.md5("markdown").alias("markdown"))
 
 
+# The three queries above blank every ninth line, as their SQL does; these keep all lines.
+
+
+@query()
+def heading_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.heading_ladder(inputs.whole_marked_lines(table(spark, sf_dir, "documents")))
+
+
+@query()
+def line_classes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.classified(inputs.whole_marked_lines(table(spark, sf_dir, "documents"))).select("doc", "pos", "kind", "level", "number", "content")
+
+
+@query()
+def assembled_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.assembled(inputs.whole_marked_lines(table(spark, sf_dir, "documents"))).select("doc", F.md5("markdown").alias("markdown"))
+
+
 FRAGMENTS = """fragments AS (
   SELECT l_orderkey AS doc, l_linenumber AS frag, 'p' || l_partkey AS text, l_quantity AS x, CAST(l_suppkey % 10 * 12 + l_linenumber AS DOUBLE) AS y, l_extendedprice / 1000 AS w, 8.0 + l_linenumber % 4 AS h FROM lineitem),
 ordered AS (SELECT *, y + h / 2 AS middle FROM fragments),
@@ -351,6 +369,12 @@ HEADINGS = f"""{inputs.LINES}, heads AS (
 
 @query(f"WITH {HEADINGS} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS ord, level, title FROM heads WHERE title <> ''")
 def markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = markdown.outline(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents"), inputs.MARKDOWN_CASES)))
+    return found.select("doc", F.col("ord").cast("long").alias("ord"), "level", "title")
+
+
+@query()
+def markdown_outline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = markdown.outline(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents"))))
     return found.select("doc", F.col("ord").cast("long").alias("ord"), "level", "title")
 
