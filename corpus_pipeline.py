@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on many sites are cut from the texts; n_chars follows."""
-    cut = line_spread.remove_spread_lines(docs)
+    """Lines found on many sites are cut from the texts; n_chars follows. Copies of a text are left to the next stage."""
+    cut = line_spread.remove_spread_lines(docs, copies_count=False)
     changed = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 

@@ -66,11 +66,26 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.unionByName(counted)
 
 
-def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with spread lines cut out of the text, and __n_lines (non-empty lines before) and __n_removed beside."""
+def sites_of_texts(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
+    """docs with the least site among a text's copies in place of their own, so that copies of a text add one site to a line."""
+    site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
+    rows = docs.select(F.md5(text_col).alias("__text_key"), site.alias("__own"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("__salt"), *docs.columns)
+    copied = rows.groupBy("__text_key").agg(F.min("__own").alias("__first"), F.max("__own").alias("__last")).where("__first < __last").select("__text_key", "__first")
+    dealt = copied.select("__text_key", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+    found = rows.join(dealt, ["__text_key", "__salt"], "left").withColumn(site_col, F.coalesce("__first", "__own"))
+    return found.select(*docs.columns)
+
+
+def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, copies_count: bool = True) -> DataFrame:
+    """docs with spread lines cut out of the text, and __n_lines (non-empty lines before) and __n_removed beside.
+
+    Without copies_count, a text's copies count as one document on the least of their sites, so a text that is only copied
+    as a whole, over however many sites, keeps its lines.
+    """
     row_key = F.xxhash64(id_col, text_col)
     lines = line_rows(docs, site_col, text_col, row_key)
-    found = lines.join(salted(spread_lines(lines, min_sites)), ["__line", "__salt"]).groupBy("__row").agg(F.collect_set("__line").alias("__spread"))
+    counted = lines if copies_count else line_rows(sites_of_texts(docs.select(id_col, site_col, text_col), id_col, site_col, text_col), site_col, text_col, row_key)
+    found = lines.join(salted(spread_lines(counted, min_sites)), ["__line", "__salt"]).groupBy("__row").agg(F.collect_set("__line").alias("__spread"))
     split = F.split(text_col, "\n")
     kept = F.filter(split, lambda x: ~F.array_contains("__spread", F.xxhash64(trimmed(x))) | (trimmed(x) == ""))
     lines_in = lambda x: F.coalesce(F.size(F.filter(x, lambda y: trimmed(y) != "")), F.lit(0))

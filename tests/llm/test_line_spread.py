@@ -49,3 +49,16 @@ def test_sql_agrees(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [r[:3] for r in ROWS])
     assert sorted(con.execute(line_spread.SQL).fetchall(), key=str) == brute(ROWS, 10)
+
+
+def test_copies_of_a_text_need_not_count(spark):
+    """In the pipeline a text copied over many sites stays; a line shared by other texts still goes, and so it does from copies."""
+    import corpus_pipeline
+
+    copies = [(i, f"copied line\nand another\n{BOILER}", "en", f"s{i}", 50) for i in range(25)]
+    others = [(100 + i, f"{BOILER}\nown line {i}", "en", f"s{i}", 30) for i in range(10)] + [(200, None, "en", "s1", 0), (201, "", "en", None, 0)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert len(got) == 37 and {got[i].text for i in range(25)} == {"copied line\nand another"}
+    assert [got[100 + i].text for i in range(10)] == [f"own line {i}" for i in range(10)]
+    assert got[200].text is None and got[201].text == "" and all(got[i].source == f"s{i}" for i in range(25))
