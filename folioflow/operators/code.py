@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import utf16_length
+from folioflow.operators import markdown
 
 
 @dataclass(frozen=True)
@@ -18,27 +19,37 @@ class Language:
     types: bool = True
 
 
-#: Words and marks of the languages.
+LINE, BLOCK = r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)"
+#: Words and marks of the languages, those of the reference and the words that were here before.
 LANGUAGES = {
-    "python": Language("and as assert async await break class continue def del elif else except False finally for from global if import in is lambda None nonlocal not or pass raise return True try while with yield", "#[^\n]*", "\"'"),
-    "javascript": Language("async await break case catch class const continue default delete do else export extends false finally for function if import in instanceof let new null of return static super switch this throw true try typeof undefined var void while yield", r"//[^\n]*|/\*(?s:.*?)\*/", "\"'`"),
-    "bash": Language("case do done elif else esac fi for function if in local return then until while", "#[^\n]*", "\"'", False),
+    "swift": Language("associatedtype actor async await break case catch class continue default defer deinit do else enum extension fallthrough false final for func guard if import in init inout internal is let lazy mutating nil open operator private protocol public repeat return self some static struct subscript super switch throw throws true try typealias var where while nonisolated any", f"{LINE}|{BLOCK}", '"'),
+    "python": Language("and as assert async await break case class continue def del elif else except False finally for from global if import in is lambda match None nonlocal not or pass raise return self True try while with yield", "#[^\n]*", "\"'"),
+    "javascript": Language("as async await break case catch class const continue debugger declare default delete do else enum export extends false finally for from function if implements import in instanceof interface let new null of readonly return static super switch this throw true try type typeof undefined var void while yield", f"{LINE}|{BLOCK}", "\"'`"),
+    "bash": Language("case cd do done echo elif else esac export fi for function if in local return set source then until while", "#[^\n]*", "\"'", False),
     "json": Language("true false null", r"(?!)", '"', False),
+    "css": Language("important media import supports keyframes from to and not", BLOCK, "\"'", False),
 }
+#: Names of languages as people write them; the C family has comments, quotes and numbers of JavaScript.
+ALIASES = {x: x for x in LANGUAGES} | {x: k for k, names in {
+    "javascript": "js jsx ts typescript tsx json5 c cpp c++ objc objective-c java kotlin go rust php",
+    "python": "py", "bash": "sh zsh shell console terminal", "css": "scss less",
+}.items() for x in names.split()}
 
 
 def code_tokens(code: DataFrame, language: str) -> DataFrame:
-    """doc, ord, loc, len, token, lexeme for code (doc, text) of one language; blanks and punctuation are left out.
+    """doc, ord, loc, len, token, lexeme for code (doc, text) of one language or alias; other columns are kept before them.
 
     Alternatives in order: comment, string, number, word. A number goes on over hexadecimal digits, x, points and
-    underscores. Every character is in one lexeme, so a running sum of lengths gives the places.
+    underscores. Every character is in one lexeme, so a running sum of lengths gives the places. Blanks and punctuation are
+    left out. doc must tell texts apart.
     """
-    lang = LANGUAGES[language]
-    strings = "|".join(rf"{q}(?:\\.|[^{q}\\\n])*{q}?" for q in lang.strings)
-    pattern = rf"(?:{lang.comment})|{strings}|\d[0-9a-fA-FxX._]*|[A-Za-z_]\w*|[^\w]|\w"
+    lang = LANGUAGES[ALIASES[language.lower()]]
+    strings = "|".join(rf"{q}(?:\\(?s:.)|[^{q}\\\n])*(?:{q}|\\\z)?" for q in lang.strings)
+    pattern = rf"(?:{lang.comment})|{strings}|\d[0-9a-fA-FxX._]*|[\p{{L}}_][\p{{L}}\p{{N}}_]*|(?s:.)"
     words = F.array(*map(F.lit, lang.keywords.split()))
-    lexed = code.select("doc", "text").withColumn("lexemes", F.regexp_extract_all("text", F.lit(f"({pattern})"), 1))
-    rows = lexed.select("doc", F.posexplode("lexemes").alias("ord", "lexeme"))
+    others = [x for x in code.columns if x not in ("doc", "text")]
+    lexed = code.withColumn("lexemes", F.regexp_extract_all("text", F.lit(f"({pattern})"), 1))
+    rows = lexed.select("doc", *others, F.posexplode("lexemes").alias("ord", "lexeme"))
     before = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     first = F.substring("lexeme", 1, 1)
     token = (
@@ -46,6 +57,28 @@ def code_tokens(code: DataFrame, language: str) -> DataFrame:
         .when(first.isin(*lang.strings), "string")
         .when(first.rlike(r"^\d$"), "number")
         .when(F.array_contains(words, F.col("lexeme")), "keyword")
-        .when(F.lit(lang.types) & first.rlike("^[A-Z]$"), "type")
+        .when(F.lit(lang.types) & first.rlike(r"^\p{Lu}$"), "type")
     )
-    return rows.withColumn("loc", F.coalesce(F.sum(utf16_length(F.col("lexeme"))).over(before), F.lit(0))).withColumn("token", token).where("token IS NOT NULL").select("doc", "ord", "loc", utf16_length(F.col("lexeme")).alias("len"), "token", "lexeme")
+    return rows.withColumn("loc", F.coalesce(F.sum(utf16_length(F.col("lexeme"))).over(before), F.lit(0))).withColumn("token", token).where("token IS NOT NULL").select("doc", *others, "ord", "loc", utf16_length(F.col("lexeme")).alias("len"), "token", "lexeme")
+
+
+def tokens_by_language(code: DataFrame) -> DataFrame:
+    """code_tokens of code (doc, text, language, ...), each row by its own language; rows of unknown languages give none."""
+    found = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))[F.lower("language")]
+    out = None
+    for name in LANGUAGES:
+        some = code_tokens(code.where(found == name), name)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def fenced_tokens(docs: DataFrame) -> DataFrame:
+    """doc, block, language, ord, loc, len, token, lexeme of the fenced code in docs (doc, source); loc counts from the document's start."""
+    lines = markdown.line_kinds(markdown.source_lines(docs)).where("kind = 'code'")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_fence"), F.struct("pos", "raw_text")))), lambda x: x["raw_text"]), "\n")
+    # a line that ended in CRLF keeps a blank in place of CR, so that places hold
+    gap = F.lead("loc").over(Window.partitionBy("doc", "block").orderBy("pos")) - F.col("loc") - F.col("len") - 1
+    rows = lines.withColumn("raw_text", F.concat("text", F.repeat(F.lit(" "), F.coalesce(gap, F.lit(0)).cast("int"))))
+    code = rows.groupBy("doc", "block").agg(F.max("language").alias("language"), F.min(F.when(~F.col("is_fence"), F.col("loc"))).alias("start"), body.alias("text"))
+    tokens = tokens_by_language(code.select(F.struct("doc", "block").alias("doc"), "language", "start", "text"))
+    return tokens.select("doc.doc", "doc.block", "language", "ord", (F.col("start") + F.col("loc")).alias("loc"), "len", "token", "lexeme")

@@ -400,6 +400,11 @@ def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code_tokens(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), source.alias("text")), "python")
 
 
+@query()
+def fenced_code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.fenced_tokens(inputs.markdown_documents(table(spark, sf_dir, "documents")))
+
+
 @query("SELECT page_id, CAST(strlen(html) AS BIGINT) AS n_bytes, CAST(length_grapheme(html) AS BIGINT) AS graphemes FROM pages")
 def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("n_bytes"), text.grapheme_length(F.col("html")).alias("graphemes"))
