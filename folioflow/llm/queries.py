@@ -47,7 +47,7 @@ def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), others=(suffix_dedup.PASSAGE,))
 
 
 def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:

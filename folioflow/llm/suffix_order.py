@@ -2,7 +2,8 @@
 
 Two suffixes are compared by the length of their common extension, which a binary search over prefix polynomial hashes
 finds in a number of steps that is logarithmic in the limit; the next byte decides. Positions are sorted by a bottom-up
-mergesort whose merges place all elements of all runs at once. Equal hashes are verified byte by byte.
+mergesort whose merges place all elements of all runs at once. Strings that stand together and have equal hashes are
+verified byte by byte.
 """
 
 from __future__ import annotations
@@ -45,9 +46,10 @@ def before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.n
     n, data = len(hashes.data), hashes.data
     length = hashes.common(a, b, limit)
     end_a, end_b = a + length, b + length
-    tie = (length == limit) | (a == b)
     left = np.where(end_a < n, data[np.minimum(end_a, n - 1)].astype(np.int16), -1)
     right = np.where(end_b < n, data[np.minimum(end_b, n - 1)].astype(np.int16), -1)
+    # equal next bytes would mean that two hashes collide
+    tie = (length == limit) | (a == b) | (left == right)
     return np.where(tie, a < b, left < right)
 
 
@@ -66,28 +68,41 @@ def suffix_order(hashes: PrefixHash, starts: np.ndarray, limit: int) -> np.ndarr
             middle = (low[open_] + high[open_]) >> 1
             less = before(hashes, order[middle], order[open_], limit)
             low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
-        merged = np.empty_like(order)
-        merged[(run & ~1) * size + (at - run * size) + (low - first)] = order
-        order, size = merged, 2 * size
+        place = (run & ~1) * size + (at - run * size) + (low - first)
+        order, size = order[np.argsort(place, kind="stable")], 2 * size
     return order
 
 
 def equal_groups(hashes: PrefixHash, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each string data[start:start + length] the index of the first equal one.
+    """For each string data[start:start + length] the index of an equal one that stands for all of them.
 
     Equal strings of one length stand together in the suffix order of the strings of that length, so each is compared with
-    its neighbour there, byte by byte.
+    its neighbour there: first by the length of their common extension, then byte by byte. Where bytes differ although
+    hashes say that they don't, the order can't be trusted, and all strings are told apart by their bytes.
     """
+    out = np.arange(len(starts))
+    if len(starts) < 2:
+        return out
     order = suffix_order(hashes, np.unique(starts), int(lengths.max()))
     rank = np.empty(len(hashes.data) + 1, np.int64)
     rank[order] = np.arange(len(order))
-    by = np.lexsort((np.arange(len(starts)), rank[starts], lengths))
-    out, raw = np.arange(len(starts)), hashes.data.tobytes()
+    by = np.lexsort((out, rank[starts], lengths))
+    a, b = by[:-1], by[1:]
+    joined = (lengths[a] == lengths[b]) & (hashes.of(starts[a], starts[a] + lengths[a]) == hashes.of(starts[b], starts[b] + lengths[b]))
+    raw = hashes.data.tobytes()
     leader = int(by[0])
-    for b in by[1:].tolist():
-        n, s, t = int(lengths[b]), int(starts[leader]), int(starts[b])
-        if n == lengths[leader] and raw[s : s + n] == raw[t : t + n]:
-            out[b] = leader
-        else:
-            leader = b
+    for i, same in zip(b.tolist(), joined.tolist(), strict=True):
+        if not same:
+            leader = i
+            continue
+        s, t, n = int(starts[leader]), int(starts[i]), int(lengths[i])
+        if raw[s : s + n] != raw[t : t + n]:
+            return equal_bytes(raw, starts, lengths)
+        out[i] = leader
     return out
+
+
+def equal_bytes(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What equal_groups says, from the strings themselves."""
+    first: dict[bytes, int] = {}
+    return np.array([first.setdefault(raw[s : s + n], i) for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True))], np.int64)

@@ -58,9 +58,44 @@ def test_matches_brute_force(spark, monkeypatch, unit_bytes, bucket_bytes):
     monkeypatch.setattr(sd, "UNIT_BYTES", unit_bytes)
     monkeypatch.setattr(sd, "BUCKET_BYTES", bucket_bytes)
     rows = data()
-    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA))
-    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    got = sd.remove_repeats(spark.createDataFrame(rows, SCHEMA), others=(280,))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_in_280"]
+    found = sorted(map(tuple, got.collect()), key=str)
+    assert [x[:5] for x in found] == brute(rows)
+    assert sorted(((x[0], x[5]) for x in found), key=str) == sorted(((x[0], x[2]) for x in brute(rows, 280)), key=str)
+
+
+def test_suffix_order_decides(monkeypatch):
+    """Within a unit, repeats are found by the suffix order and by nothing else."""
+    rows = data()
+    assert unit_results(rows) == [x[1:5] for x in brute_in_order(rows)]
+    monkeypatch.setattr("folioflow.llm.suffix_order.suffix_order", lambda hashes, starts, limit: starts[np.argsort(starts * 7919 % 1000003)])
+    assert unit_results(rows) != [x[1:5] for x in brute_in_order(rows)]
+
+
+def brute_in_order(rows):
+    found = {str(x[0]): [] for x in brute(rows)}
+    for x in brute(rows):
+        found[str(x[0])].append(x)
+    return [found[str(r[0])].pop(0) for r in rows]
+
+
+def unit_results(rows):
+    """What one unit that is told nothing by others says, level by level."""
+    raw = [(t or "").encode() for _, t, *_ in rows]
+    unit = sd.Unit(b"".join(raw), np.cumsum([len(x) for x in raw]).tolist(), (400,))
+    windows = unit.windows[0]
+    for level in range(3):
+        keys, values = windows.records(level)
+        windows.answer(level, ((keys["least"] != keys["most"]).astype(np.uint8), values["local"] + np.uint8(2)))
+    return [x[:4] for x in unit.results()]
+
+
+def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
+    hashes = PrefixHash(np.frombuffer(b"abcdabcxabcdabcy" * 4, np.uint8))
+    monkeypatch.setattr(PrefixHash, "of", lambda self, start, end: np.zeros(np.broadcast(start, end).shape, np.uint64))
+    starts, lengths = np.array([0, 4, 8, 12, 16, 20, 24, 28]), np.full(8, 4)
+    assert equal_groups(hashes, starts, lengths).tolist() == [0, 1, 0, 3, 0, 1, 0, 3]
 
 
 def test_empty(spark):
