@@ -1,12 +1,13 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative a group.
 
-Equal vectors are first folded into one with a count. Centroids are fitted on a sample of at most SAMPLE vectors; every
-vector is assigned to its nearest. So that no link between two cells is lost, a vector is also a guest of each cell of
-lower number that could hold a partner: with y at home in B and x in A, x.(B - A) <= 0 and |x - y| <= d, so y can be
-linked with x only if y.(B - A) <= d |B - A|, where d is the chord of the threshold. Results are thus exact whatever the
-centroids; good ones only mean fewer guests. Cells are cut into blocks of bounded size, and every pair of blocks is one
-product of matrices in double precision. A product returns link counts a vector and a spanning forest of its links, never
-the pairs, and components follow from the forests.
+Equal vectors are first folded into one with a count. Centroids are fitted on a sample of at most SAMPLE vectors; their
+number follows the square root of the number of vectors at every size, and every vector is at home in the cell of its nearest
+centroid. So that no link between two cells is lost, a vector is also a guest of each cell of lower number that could hold a
+partner. Two bounds say which: a vector x of cell A with centroid A is no nearer to another centroid B, so a partner y at home
+in B has y.(B - A) / |B - A| <= sqrt(1 - t^2) at the threshold t; and x is within the cell's radius of A, so the angle of y
+and A is at most that radius and acos(t). Results are thus exact whatever the centroids; good ones only mean fewer guests.
+Cells are cut into blocks of bounded size, and every pair of blocks is one product of matrices in double precision. A product
+returns link counts a vector and a spanning forest of its links, never the pairs, and components follow from the forests.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors link only
 with those of their own length; a null id gives a null component, is kept, and joins no components of others; rows that
@@ -15,6 +16,7 @@ repeat an id count as vectors of their own; an empty table gives an empty one; o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,13 @@ from folioflow.llm.components import connected_components
 THRESHOLD = 0.9
 #: Vectors that the centroids are fitted on, at most about.
 SAMPLE = 8192
-#: Vectors of a cell, on average; the number of cells is bounded, so that centroids stay small.
-CELL_ROWS = 8192
+#: Cells by the square root of the number of vectors; bounded, so that centroids stay small.
+CELLS_BY_ROOT = 1 / 8
 MAX_CELLS = 4096
 MAX_CENTROID_VALUES = 4_000_000
-#: Rows of a block at most about; a product covers two blocks.
-BLOCK_ROWS = 8192
+#: Rows of a block at most about, while cells are small; they grow with the square root of the number of vectors too.
+BLOCK_ROWS = 2048
+MAX_BLOCK_VALUES = 4_000_000
 ROUNDS = 8
 
 
@@ -58,9 +61,20 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5)
     return centres
 
 
-def fit_cells(classes: DataFrame) -> dict[int, np.ndarray]:
+def sizes_by_length(classes: DataFrame) -> dict[int, int]:
+    return {r["wide"]: r["n"] for r in classes.groupBy("wide").agg(F.count("*").alias("n")).collect()}
+
+
+def cell_number(n: int, wide: int, sampled: int) -> int:
+    return max(1, min(MAX_CELLS, MAX_CENTROID_VALUES // wide, math.ceil(CELLS_BY_ROOT * math.sqrt(n)), sampled // 2))
+
+
+def block_rows(n: int, wide: int) -> int:
+    return max(1, min(max(BLOCK_ROWS, 2 * math.isqrt(n)), MAX_BLOCK_VALUES // wide))
+
+
+def fit_cells(classes: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
     """Centroids by length of vectors."""
-    sizes = {r["wide"]: r["n"] for r in classes.groupBy("wide").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     cut = min(1 << 30, int((1 << 30) * SAMPLE / max(1, total)))
     sample: dict[int, list[tuple[int, list[float]]]] = {w: [] for w in sizes}
@@ -68,8 +82,9 @@ def fit_cells(classes: DataFrame) -> dict[int, np.ndarray]:
         sample[r["wide"]].append((r["h1"], r["v"]))
     out = {}
     for wide, rows in sample.items():
-        k = max(1, min(MAX_CELLS, MAX_CENTROID_VALUES // wide, -(-sizes[wide] // CELL_ROWS), len(rows) // 4))
-        out[wide] = spherical_kmeans(units(np.array([v for _, v in sorted(rows)])), k) if k > 1 else np.zeros((1, wide))
+        # too few sampled vectors for any cell happen where lengths are rare
+        k = cell_number(sizes[wide], wide, len(rows))
+        out[wide] = spherical_kmeans(units(np.array([v for _, v in sorted(rows)], float)), k) if rows else np.eye(1, wide)
     return out
 
 
@@ -89,38 +104,62 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = after
 
 
+def near_cells(batch: pa.RecordBatch, cells: dict[int, np.ndarray]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Length, rows, cosines with the centroids and nearest cell of a batch's vectors, for each length."""
+    wides = batch.column("wide").to_numpy()
+    for wide in np.unique(wides).tolist():
+        some = batch.take(pa.array(np.flatnonzero(wides == wide)))
+        fit = units(np.array(some.column("v").to_pylist(), float)) @ cells[wide].T
+        yield wide, some, fit, fit.argmax(axis=1)
+
+
+def could_link(centres: np.ndarray, reach: np.ndarray, fit: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each vector (row) is at home in a cell or could have a partner in one of lower number; reach is the least cosine with its centroid in a cell."""
+    rows = np.arange(len(home))
+    slack, side = 1e-9, math.sqrt(max(0.0, 1 - threshold * threshold))
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[home]
+    beyond = fit[rows, home][:, None] - fit <= side * apart + slack
+    angle = np.arccos(np.clip(fit, -1, 1)) <= np.arccos(np.clip(reach, -1, 1))[None, :] + math.acos(max(-1.0, min(1.0, threshold))) + 1e-7
+    goes = beyond & angle & (reach <= 1.5)[None, :] & (np.arange(len(centres))[None, :] <= home[:, None])
+    goes[rows, home] = True
+    return goes
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     spark = vectors.sparkSession
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    keyed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("usable", F.coalesce(finite, F.lit(False)))
+    keyed = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).withColumn("usable", F.coalesce(finite, F.lit(False)))
     same = keyed.withColumn("h1", F.when(F.col("usable"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("usable"), F.xxhash64(F.lit(7), F.col("v"))))
     classes = stage(
         same.where("usable").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("wide", F.size("v")),
         "vector-classes",
     )
-    cells = spark.sparkContext.broadcast(fit_cells(classes))
-    chord = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    sizes = sizes_by_length(classes)
+    cells = spark.sparkContext.broadcast(fit_cells(classes, sizes))
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wide, _, fit, home in near_cells(batch, cells.value):
+                yield pa.RecordBatch.from_arrays([pa.array([wide] * len(home), pa.int32()), pa.array(home.astype(np.int32)), pa.array(fit[np.arange(len(home)), home])], names=["wide", "cell", "fit"])
+
+    # a row a cell comes to the driver: how far its vectors stand from its centroid
+    reach = {w: np.full(len(c), 2.0) for w, c in cells.value.items()}
+    for r in classes.select("wide", "v").mapInArrow(homes, "wide int, cell int, fit double").groupBy("wide", "cell").agg(F.min("fit").alias("fit")).collect():
+        reach[r["wide"]][r["cell"]] = r["fit"]
+    reaches = spark.sparkContext.broadcast(reach)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wides = batch.column("wide").to_numpy()
-            for wide in np.unique(wides).tolist():
-                some = batch.take(pa.array(np.flatnonzero(wides == wide)))
-                x = units(np.array(some.column("v").to_pylist()))
-                centres = cells.value[wide]
-                fit = x @ centres.T
-                home = fit.argmax(axis=1)
-                gap = fit[np.arange(len(x)), home][:, None] - fit
-                apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))[home]
-                goes = (gap <= chord * apart + 1e-9) & (np.arange(len(centres))[None, :] <= home[:, None])
-                goes[np.arange(len(x)), home] = True
+            for wide, some, fit, home in near_cells(batch, cells.value):
+                goes = could_link(cells.value[wide], reaches.value[wide], fit, home, threshold)
                 row, cell = np.nonzero(goes)
                 yield from pa.Table.from_batches([some]).take(pa.array(row)).append_column("cell", pa.array(cell.astype(np.int32))).append_column("guest", pa.array(cell != home[row])).to_batches()
 
-    dealt = classes.mapInArrow(assign, "h1 long, h2 long, rep long, copies long, v array<double>, wide int, cell int, guest boolean")
+    kind = classes.schema["v"].dataType.simpleString()
+    dealt = classes.mapInArrow(assign, f"h1 long, h2 long, rep long, copies long, v {kind}, wide int, cell int, guest boolean")
     counts = dealt.groupBy("wide", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests")).collect()  # a row a cell
-    blocks = spark.createDataFrame([(r["wide"], r["cell"], -(-r["homes"] // BLOCK_ROWS), -(-r["guests"] // BLOCK_ROWS)) for r in counts], "wide int, cell int, hb int, gb int")
+    blocks = spark.createDataFrame([(r["wide"], r["cell"], *(-(-r[x] // block_rows(sizes[r["wide"]], r["wide"])) for x in ("homes", "guests"))) for r in counts], "wide int, cell int, hb int, gb int")
     place = F.pmod(F.xxhash64("h1", F.lit(11)), F.when(F.col("guest"), F.col("gb")).otherwise(F.col("hb"))).cast("int")
     # a product's key: a home block and another block, of homes (up to hb - 1) or of guests (from hb on)
     home_pairs = F.transform(F.sequence(F.lit(0), F.col("hb") + F.col("gb") - 1), lambda o: F.struct(F.least("place", F.when(o < F.col("hb"), o).otherwise(F.col("place"))).alias("a"), F.when(o < F.col("hb"), F.greatest("place", o)).otherwise(o).alias("b")))

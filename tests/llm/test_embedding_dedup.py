@@ -46,7 +46,7 @@ def data(n=500, wide=8):
 def test_matches_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(ed, "BLOCK_ROWS", 20)
-        monkeypatch.setattr(ed, "CELL_ROWS", 40)
+        monkeypatch.setattr(ed, "CELLS_BY_ROOT", 1)
     rows = data()
     rows += [(1000 + i, rows[3][1], 0, "x", 1) for i in range(80)]
     got = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA))
@@ -54,6 +54,29 @@ def test_matches_brute_force(spark, monkeypatch, small):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_cells_follow_the_size():
+    assert [ed.cell_number(n, 64, ed.SAMPLE) for n in (0, 1, 200, 500, 2000, 10_256, 51_282, 10**6, 10**9)] == [1, 1, 2, 3, 6, 13, 29, 125, 3953]
+    assert ed.cell_number(10**9, 10_000, ed.SAMPLE) == 400 and ed.cell_number(500, 64, 2) == 1
+    assert [ed.block_rows(n, 64) for n in (1, 10**6, 10**9)] == [2048, 2048, 62_500] and ed.block_rows(5, 10**7) == 1
+
+
+@pytest.mark.parametrize(("wide", "spread", "threshold"), [(2, 1.0, 0.9), (3, 0.3, 0.9), (8, 0.2, 0.9), (8, 1.0, 0.5)])
+def test_bounds_lose_no_link(wide, spread, threshold):
+    """Partners meet in the lower of their cells; vectors around few centres are guests of few cells."""
+    rng = np.random.default_rng(wide)
+    x = ed.units(rng.normal(size=(12, wide))[rng.integers(12, size=600)] + spread * rng.normal(size=(600, wide)))
+    centres = ed.spherical_kmeans(x, 12)
+    fit = x @ centres.T
+    home = fit.argmax(axis=1)
+    reach = np.array([fit[home == c, c].min(initial=2.0) for c in range(12)])
+    goes = ed.could_link(centres, reach, fit, home, threshold)
+    i, j = np.nonzero(x @ x.T >= threshold)
+    lower = np.minimum(home[i], home[j])
+    assert goes[i, lower].all() and goes[j, lower].all()
+    if wide == 8 and spread < 0.5:
+        assert goes.sum() < 2.5 * len(x)
+
+
 def test_cases(spark):
     rows = data(40) + [(100, None, 0, "x", 1), (101, [], 0, "x", 1), (102, [0.0] * 8, 0, "x", 1), (103, [None] * 8, 0, "x", 1), (104, [float("nan")] * 8, 0, "x", 1), (105, [float("inf")] * 8, 0, "x", 1), (106, [1.0, 1.0], 0, "x", 1), (107, [2.0, 2.1], 0, "x", 1), (None, [0.5, 0.5], 0, "x", 1)]
     rows.append(rows[0])
