@@ -1,12 +1,17 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A document's evidence is the log likelihood ratio of its text features, binned and counted over all labelled rows, then
-calibrated by the labels that each interval of it holds. Each host and each path of a host has a posterior rate of good
-documents: its own labels, and for other documents the classifier's probability, shrunk towards the level above - a path
-towards its host, a host towards all - by prior weights that the spread between hosts and between paths sets (method of
-moments). The quality of a document is its path's odds times its evidence.
+A document's evidence is a sum of log likelihood ratios, counted by grouped sums over all labelled rows: of its surface
+features, in bins, and of the words and pairs of words that it holds, hashed to GRAM_CELLS cells, whose sum is divided by the
+root of their number. It is then calibrated by the labels that each interval of it holds. A labelled row is scored by ratios
+that its own fold of FOLDS took no part in, so calibration and figures over labelled rows are held out.
 
-All statistics are grouped sums over all rows; what comes to the driver is a row for each bin.
+Each host and each path of a host has a posterior rate of good documents: its labels, and for other documents the
+classifier's probability, shrunk towards the level above - a path towards its host, a host towards all - by prior weights
+that the spread between hosts and between paths sets (method of moments). The quality of a document is its path's odds times
+its evidence. A document's own label or probability is taken out of the sums of its path and host first, so its evidence
+counts once.
+
+All statistics are grouped sums over all rows; what comes to the driver is a row for each fold and bin or cell.
 
 Cases: null and empty texts have features of their own (no words); a null host or path counts as the empty one; labels
 that are null teach nothing, several labels of a document count by their mean; without any label all evidence is neutral;
@@ -24,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import slices, stage
+from folioflow.llm.shingles import mixed, word_hashes
 
 #: Bins of a feature at most.
 BINS = 24
@@ -33,6 +39,11 @@ REACH = 20
 #: Pseudo-counts of each bin and interval.
 SMOOTHING = 1.0
 SALTS = 16
+#: Cells that words and pairs of words are hashed to, and folds of labelled rows.
+GRAM_CELLS = 1 << 14
+FOLDS = 5
+#: Labels, of some 16 bytes each, that are sent to every executor at most; more of them are joined by a shuffle.
+BROADCAST_LABELS = 500_000
 _kind = np.zeros(256, np.int64)
 _kind[[ord(c) for c in "!\"#$%&()*+/:;<=>?@[\\]^_`{|}~"]] = 1
 _kind[ord("A") : ord("Z") + 1] = 2
@@ -62,15 +73,75 @@ def features(text: str | None) -> list[int]:
     ]
 
 
-def featured(docs: DataFrame, host: Column, path: Column) -> DataFrame:
+def gram_cells(texts: list[str | None]) -> list[np.ndarray]:
+    """The cells of each text's words and pairs of neighbouring words, each once."""
+    hashes, counts = word_hashes(texts)
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), counts)
+    pairs = mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
+    whole = row[1:] == row[:-1]
+    cell = np.concatenate([hashes, pairs[whole]]) >> np.uint64(64 - (GRAM_CELLS - 1).bit_length())
+    keys = np.unique(np.concatenate([row, row[:-1][whole]]) * GRAM_CELLS + cell.astype(np.int64))
+    return np.split(keys % GRAM_CELLS, np.searchsorted(keys, np.arange(1, len(texts)) * GRAM_CELLS))
+
+
+def places(texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Indexes into a row of ratios: of each text's surface bins, and of its cells."""
+    surface = np.array([features(t) for t in texts], np.int64).reshape(-1, len(FEATURES)) + np.arange(len(FEATURES)) * BINS
+    return surface, [c + len(FEATURES) * BINS for c in gram_cells(texts)]
+
+
+def counted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Good and bad labelled rows by fold and place; the last place counts the rows themselves. docs has doc_id, fold and text."""
+    width = len(FEATURES) * BINS + GRAM_CELLS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, FOLDS, width))
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                surface, grams = places(batch.column("text").to_pylist())
+                for fold, label, a, b in zip(batch.column("fold").to_pylist(), batch.column("label").to_pylist(), surface, grams, strict=True):
+                    at = np.concatenate([a, b, [width - 1]])
+                    sums[0, fold, at] += label
+                    sums[1, fold, at] += 1 - label
+        fold, place = np.nonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(fold.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sums[0, fold, place]), pa.array(sums[1, fold, place])], names=["fold", "place", "good", "bad"])
+
+    rows = docs.join(labels, "doc_id").select("fold", "label", "text").mapInArrow(run, "fold int, place int, good double, bad double")
+    good, bad = np.zeros((FOLDS, width)), np.zeros((FOLDS, width))
+    for r in rows.groupBy("fold", "place").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect():
+        good[r["fold"], r["place"]], bad[r["fold"], r["place"]] = r["good"], r["bad"]
+    return good, bad
+
+
+def place_ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Log likelihood ratios by place: a row for each fold, of all other folds, and one of all."""
+    rows = []
+    for k in range(FOLDS + 1):
+        others = [f for f in range(FOLDS) if f != k]
+        g, b = good[others].sum(axis=0), bad[others].sum(axis=0)
+        rows.append(np.log(g[:-1] + SMOOTHING) - np.log(b[:-1] + SMOOTHING))
+        # a surface feature has one of BINS bins, a cell is there or not
+        for part, kinds in ((slice(0, len(FEATURES) * BINS), BINS), (slice(len(FEATURES) * BINS, None), 2)):
+            rows[-1][part] -= math.log(g[-1] + SMOOTHING * kinds) - math.log(b[-1] + SMOOTHING * kinds)
+    return np.array(rows)
+
+
+def featured(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
+    """doc_id, host, path, and the log ratio of every whole text: by the rows outside its fold, and by all."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
-                bins = [features(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), pa.array(bins, pa.list_(pa.int32()))], names=["doc_id", "host", "path", "bins"])
+                surface, grams = places(batch.column("text").to_pylist())
+                told = []
+                for fold, a, b in zip(batch.column("fold").to_pylist(), surface, grams, strict=True):
+                    told.append([float(table[k][a].sum() + table[k][b].sum() / math.sqrt(max(1, len(b)))) for k in (fold, FOLDS)])
+                x = np.array(told).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "host", "path")), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "host", "path", "held", "whole"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text"))
-    return rows.mapInArrow(run, "doc_id long, host string, path string, bins array<int>")
+    return docs.mapInArrow(run, "doc_id long, host string, path string, held double, whole double")
 
 
 def log_ratios(counts: dict[tuple[int, int], tuple[float, float]], groups: int, width: int) -> list[list[float]]:
@@ -109,15 +180,17 @@ def sigmoid(x: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, evidence (log ratio), host_rate, path_rate, quality (posterior probability) and keep of every row of docs."""
+    """doc_id, evidence (log ratio), host_rate and path_rate without the row's own share, quality (posterior probability) and keep of every row of docs."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
-    rows = stage(featured(docs, host, path).join(told, "doc_id", "left"), "quality-features")
-    labelled = rows.where("label IS NOT NULL")
-    binned = labelled.select("label", F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()
-    ratios = log_ratios({(r["feature"], r["bin"]): (r["good"], r["bad"]) for r in binned}, len(FEATURES), BINS)
-    scored = rows.withColumn("raw", looked_up(ratios, F.col("bins"))).withColumn("interval", (F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH - 1), F.col("raw")))) + REACH).cast("int"))
+    told = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("label"))
+    if told.count() <= BROADCAST_LABELS:
+        told = F.broadcast(told)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(FOLDS)).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text")).withColumn("fold", fold)
+    ratios = place_ratios(*counted(texts.select("doc_id", "fold", "text"), told))
+    rows = stage(featured(texts, ratios).join(told, "doc_id", "left").withColumn("raw", F.when(F.col("label").isNotNull(), F.col("held")).otherwise(F.col("whole"))), "quality-features")
+    scored = rows.withColumn("interval", (F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH - 1), F.col("raw")))) + REACH).cast("int"))
     held = scored.where("label IS NOT NULL").groupBy("interval").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad")).collect()
     calibrated = log_ratios({(0, r["interval"]): (r["good"], r["bad"]) for r in held}, 1, 2 * REACH)
     good, bad = sum(r["good"] for r in held), sum(r["bad"] for r in held)
@@ -128,13 +201,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     whole = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n")).first()
     centre = whole["s"] / whole["n"] if whole["n"] else base
     weight = spread_weight(F.col("hs") / F.col("hn"), F.col("hn"), F.lit(centre), hosts)
-    shrunk = hosts.select("host", ((F.col("hs") + weight * centre) / (F.col("hn") + weight)).alias("host_rate"))
+    shrunk = hosts.select("host", "hs", "hn", ((F.col("hs") + weight * centre) / (F.col("hn") + weight)).alias("host_rate"))
     sites = paths.join(shrunk, "host")
     deeper = spread_weight(F.col("s") / F.col("n"), F.col("n"), F.col("host_rate"), sites)
-    rates = sites.select("host", "path", "host_rate", ((F.col("s") + deeper * F.col("host_rate")) / (F.col("n") + deeper)).alias("path_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    sums = sites.select("host", "path", "hs", "hn", "s", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own_host = (F.col("hs") - F.col("rate") + weight * centre) / (F.col("hn") - 1 + weight)
+    own_path = (F.col("s") - F.col("rate") + deeper * F.col("host_rate")) / (F.col("n") - 1 + deeper)
     return (
         judged.withColumn("salt", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(SALTS)).cast("int"))
-        .join(rates, ["host", "path", "salt"])
+        .join(sums, ["host", "path", "salt"])
+        .withColumn("host_rate", own_host)
+        .withColumn("path_rate", own_path)
         .withColumn("quality", sigmoid(F.col("evidence") + logit(F.col("path_rate"))))
         .select("doc_id", "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= threshold).alias("keep"))
     )
