@@ -1,7 +1,7 @@
 """Language identification by string kernels: blended-spectrum presence kernels, Nystroem landmarks, kernel ridge regression.
 
-A text's spectrum is the set of its character n-grams of one to three characters, lower-cased, every run of other
-characters than letters a blank, hashed to 2^14 cells. The kernel of two texts is the cosine of their spectra. Landmarks
+A text's spectrum is the set of its character n-grams of one to three characters, lower-cased, every run of characters other
+than letters (Unicode L) and their marks (M) a blank, hashed to 2^14 cells. The kernel of two texts is the cosine of their spectra. Landmarks
 are training texts; the kernel with them gives each text its Nystroem coordinates, in which one ridge regression a
 language against the rest is solved. A batch of texts is scored by two matrix products: with the landmarks' spectra, then
 with the folded weights.
@@ -9,16 +9,18 @@ with the folded weights.
 Training takes at most PER_LANGUAGE rows a language, by the order of a hash; that bound is the parameter per_language.
 Every text is scored whole.
 
-Cases: a text that is null or has no letter is `und` with score 0, and so is every text if nothing could be learned; rows
+Cases: a text that is null or has no letter (digits, numerals such as a half or a Roman twelve, and marks alone are none) is `und` with score 0, and so is every text if nothing could be learned; rows
 without a language, id or letters teach nothing; repeated rows are predicted alike; a null id is not held out; an empty
 table gives an empty one; language and source are never inputs of a prediction.
 """
 
 from __future__ import annotations
 
-import re
+import sys
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,6 @@ RIDGE = 1e-2
 LEAST_SCORE = 0.3
 #: Texts whose spectra are held at once.
 BATCH = 64
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Odd multipliers of the n-gram hash, by n and place: fixed values, so that models can be kept.
 MULTIPLIERS = ((2654435761,), (2246822519, 3266489917), (668265263, 374761393, 2869860233))
 
@@ -50,15 +51,30 @@ class Model:
     weights: np.ndarray
 
 
-def letters(text: str | None) -> str:
-    return f" {NOT_LETTERS.sub(' ', text.lower()).strip()} " if text else "  "
+@cache
+def kinds() -> np.ndarray:
+    """2 for letters, 1 for marks, 0 for other code points."""
+    return np.frombuffer(bytes({"L": 2, "M": 1}.get(unicodedata.category(chr(c))[0], 0) for c in range(sys.maxunicode + 1)), np.uint8)
 
 
-def spectra(texts: list[str]) -> np.ndarray:
-    """A row of presence flags for each text, as prepared by letters()."""
-    out = np.zeros(len(texts) * CELLS, np.uint8)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64) * CELLS, [len(t) for t in texts])
+def letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, each run of others than letters and marks one blank and blanks at both ends; the text of each; whether a text has a letter."""
+    ready = [f" {t.lower()} " if t else "  " for t in texts]
+    points = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in ready])
+    kind = kinds()[points]
+    known = np.bincount(row[kind == 2], minlength=len(texts)) > 0
+    blank = kind == 0
+    kept = ~blank
+    kept[1:] |= ~blank[:-1] | (row[1:] != row[:-1])
+    kept[:1] = True
+    return np.where(blank, np.uint32(32), points)[kept], row[kept], known
+
+
+def spectra(points: np.ndarray, row: np.ndarray, n_texts: int) -> np.ndarray:
+    """A row of presence flags for each text, of what letters() says."""
+    out = np.zeros(n_texts * CELLS, np.uint8)
+    row = row * CELLS
     for n, factors in enumerate(MULTIPLIERS, 1):
         if len(points) < n:
             break
@@ -70,7 +86,7 @@ def spectra(texts: list[str]) -> np.ndarray:
         mixed *= np.uint32(2246822519)
         place = row[:last] + (mixed >> np.uint32(18))
         out[place[row[:last] == row[n - 1 :]] if n > 1 else place] = 1
-    return out.reshape(len(texts), CELLS)
+    return out.reshape(n_texts, CELLS)
 
 
 def unit(flags: np.ndarray) -> np.ndarray:
@@ -99,12 +115,13 @@ def fit(flags: np.ndarray, languages: list[str], landmarks: int = LANDMARKS) ->
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    ready = [letters(t) for t in texts]
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(ready) if t != "  "] if model.languages else []
-    for at in range(0, len(known), BATCH):
-        some = known[at : at + BATCH]
-        kernel = unit(spectra([ready[i] for i in some])) @ model.landmarks
+    for at in range(0, len(texts) if model.languages else 0, BATCH):
+        points, row, known = letters(texts[at : at + BATCH])
+        some = (np.flatnonzero(known) + at).tolist()
+        if not some:
+            continue
+        kernel = unit(spectra(points, row, len(known))[known]) @ model.landmarks
         answers = kernel @ model.weights
         best = answers.argmax(axis=1)
         for i, b, a in zip(some, best.tolist(), answers.max(axis=1).tolist(), strict=True):
@@ -128,8 +145,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                flags = spectra([letters(t) for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), batch.column("lang"), pa.array([x.tobytes() for x in np.packbits(flags, axis=1)])], names=["place", "doc_id", "lang", "flags"])
+                points, row, known = letters(batch.column("text").to_pylist())
+                flags = np.packbits(spectra(points, row, len(known)), axis=1)
+                packed = pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), batch.column("lang"), pa.array([x.tobytes() for x in flags])], names=["place", "doc_id", "lang", "flags"])
+                yield packed.filter(pa.array(known))
 
     taught = rows.withColumn("place", place).where(F.col("place") < rate).select("place", "doc_id", "lang", "text")
     found = sorted(map(tuple, taught.mapInArrow(pack, "place long, doc_id long, lang string, flags binary").collect()))

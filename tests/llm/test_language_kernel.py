@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import regex
 
 from folioflow.llm import language_kernel as lk
 
@@ -37,17 +38,63 @@ def test_nothing_to_learn_and_empty(spark):
     assert lk.language_digest(none.limit(0)).count() == 0
 
 
+CASES = ["Hello, World!", "ab", "ÀB 9 c", "x", "½ ² Ⅷ", "①②③", "", None, "a½b", "e\u0301 x", "\u0301", "हिन्दी भाषा।", "ไทยที่นี่", "12_3", "İz", "ａ\U0001d400\U0001f600"]
+
+
+def plain_letters(text):
+    """The definition, by the regex module."""
+    return f" {regex.sub(r'[^\p{L}\p{M}]+', ' ', text.lower()).strip()} " if text else "  "
+
+
+def plain_cells(text):
+    out = set()
+    for n, factors in enumerate(lk.MULTIPLIERS, 1):
+        for i in range(len(text) - n + 1):
+            h = sum(ord(c) * f for c, f in zip(text[i : i + n], factors, strict=True)) % 2**32
+            h ^= h >> 15
+            out.add((h * 2246822519 % 2**32) >> 18)
+    return out
+
+
 def test_spectra_against_sets():
-    texts = [lk.letters(t) for t in ("Hello, World!", "ab", "ÀB 9 c", "x")]
-    flags = lk.spectra(texts)
-    for text, row in zip(texts, flags, strict=True):
-        want = set()
-        for n, factors in enumerate(lk.MULTIPLIERS, 1):
-            for i in range(len(text) - n + 1):
-                h = sum(ord(c) * f for c, f in zip(text[i : i + n], factors, strict=True)) % 2**32
-                h ^= h >> 15
-                want.add((h * 2246822519 % 2**32) >> 18)
-        assert set(np.flatnonzero(row)) == want
+    points, row, known = lk.letters(CASES)
+    flags = lk.spectra(points, row, len(CASES))
+    assert known.tolist() == [bool(t and regex.search(r"\p{L}", t)) for t in CASES]
+    for k, text in enumerate(CASES):
+        if known[k]:
+            assert "".join(map(chr, points[row == k])) == plain_letters(text)
+            assert set(np.flatnonzero(flags[k])) == plain_cells(plain_letters(text))
+    assert lk.letters([])[2].tolist() == []
+
+
+def test_numerals_and_marks_are_no_letters(spark):
+    data = [(i, t, lang, "s", "x", 1) for i, (t, lang) in enumerate([("der die das und", "de"), ("the and of to", "en")] * 30)]
+    odd = [(1000 + i, t, None, "s", "x", 1) for i, t in enumerate(["½ ² Ⅷ", "①②③", "\u0301\u0302", "৪৫", "。、!"])]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lk.language_digest(spark.createDataFrame(data + odd, SCHEMA)).collect()}
+    assert [got[1000 + i] for i in range(len(odd))] == [("und", 0.0)] * len(odd)
+    assert "und" not in {got[i][0] for i in range(60)}
+
+
+def test_scores_against_plain_kernel_ridge():
+    """The definition on sets: weights w of the landmarks that minimise the weighted squares of Kw - y plus ridge w'K_mm w."""
+    data = [(t, lang) for _, t, lang, *_ in rows(90) if t and lang][:90]
+    texts, langs = [t for t, _ in data], [x for _, x in data]
+    points, row, known = lk.letters(texts)
+    assert known.all()
+    model = lk.fit(lk.spectra(points, row, len(texts)), langs, landmarks=12)
+    sets = [plain_cells(plain_letters(t)) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    names = sorted(set(langs))
+    chosen = [i for name in names for i in [k for k, x in enumerate(langs) if x == name][: 12 // len(names)]]
+    mm = np.array([[kernel(sets[i], sets[j]) for j in chosen] for i in chosen])
+    nm = np.array([[kernel(s, sets[j]) for j in chosen] for s in sets])
+    share = np.array([len(langs) / (len(names) * langs.count(x)) for x in langs])
+    wanted = np.array([[1.0 if x == name else -1.0 for name in names] for x in langs])
+    weights = np.linalg.solve(nm.T @ (nm * share[:, None]) + lk.RIDGE * len(langs) / 100 * mm, nm.T @ (wanted * share[:, None]))
+    scores = np.clip(((nm @ weights).max(axis=1) + 1) / 2, 0, 1)
+    got_names, got_scores = lk.predict(model, texts)
+    assert got_names == [names[k] for k in (nm @ weights).argmax(axis=1)]
+    assert np.allclose(got_scores, scores, atol=1e-3)
 
 
 def test_spark_and_python_agree_on_thirds(spark):
