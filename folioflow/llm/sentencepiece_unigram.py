@@ -4,9 +4,14 @@ Blanks become the marker U+2581 and one marker goes before the text; the best pa
 character that no piece covers costs a fixed penalty and becomes one byte piece for each of its bytes. Decoding joins the
 pieces, turns markers into blanks, puts byte pieces back together and drops the first blank.
 
+Unigram models bring log scores. A model of merges has ranks in their place, whole numbers from 0 down; a rank r becomes the
+log probability of Zipf's law, -log(r + 1) less the log of the sum over all pieces, so that scores along a path are those of
+a unigram model over the same pieces. Nothing is trained: the ranks alone set the scores.
+
 No piece has a marker after another character, so no piece spans the start of a run of markers, and the best path of a
 text is the best paths of its marker-led chunks in turn. Each worker finds a frequent chunk's path once; Viterbi runs over many new
-chunks at a time, column by column. A vocabulary without that property is encoded whole.
+chunks at a time, column by column. In a long chunk the trie is walked from all its places at once instead, and one loop over
+the matches finds the path. A vocabulary without that property is encoded whole.
 
 Cases: null and empty texts have no ids and decode to the empty text; a text of U+2581 decodes with blanks in its place,
 as SentencePiece has it; invalid byte sequences decode to U+FFFD; repeated rows are encoded alike; an empty table gives
@@ -36,7 +41,7 @@ UNKNOWN_PENALTY = 10.0
 MEMO_CHUNKS = 300_000
 #: Cells of a Viterbi table.
 CELLS = 2_000_000
-#: Chunks of more bytes than this are not remembered.
+#: Chunks of more characters than this are not remembered and have their matches found from all places at once.
 LONG_CHUNK = 200
 
 
@@ -55,8 +60,8 @@ class Vocabulary:
     chunked: bool
 
     @property
-    def unknown_score(self) -> np.float32:
-        return np.float32(self.scores[[i for i in np.unique(self.piece) if i >= 0]].min()) - np.float32(UNKNOWN_PENALTY)
+    def unknown_score(self) -> float:
+        return float(self.scores[[i for i in np.unique(self.piece) if i >= 0]].min()) - UNKNOWN_PENALTY
 
 
 def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,11 +85,14 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
         if not tree[node]:
             continue
         steps = np.array(sorted(tree[node]), dtype=np.int64) + 1
-        while not free[lowest]:
+        while lowest < len(free) - 1 and not free[lowest]:
             lowest += 1
         at = max(lowest, int(steps[0]))
         while True:
-            starts = np.flatnonzero(free[at : min(at + 2048, size - 257)]) + at - steps[0]
+            if at + 2048 + 257 > len(free):
+                more = len(free)
+                base, check, piece, free = (np.concatenate([x, np.full(more, y, x.dtype)]) for x, y in ((base, 0), (check, -1), (piece, -1), (free, True)))
+            starts = np.flatnonzero(free[at : at + 2048]) + at - steps[0]
             fits = free[starts[:, None] + steps].all(axis=1) if len(starts) else np.zeros(0, bool)
             if fits.any():
                 b = int(starts[fits.argmax()])
@@ -97,15 +105,28 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
     return base[:used], check[:used], piece[:used]
 
 
-def load_vocabulary(model_path: str) -> Vocabulary:
-    """The pieces and scores of a SentencePiece model file; any model type gives a vocabulary."""
+def rank_scores(scores: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law if the plain pieces' scores are whole numbers, as ranks of merges are, else the scores as they are."""
+    given = scores[plain]
+    if len(given) < 2 or (given != np.round(given)).any():
+        return scores
+    out, ranks = scores.copy(), np.empty(len(plain))
+    ranks[np.argsort(-given, kind="stable")] = np.arange(len(plain))
+    out[plain] = -np.log(ranks + 1) - np.log((1 / (ranks + 1)).sum())
+    return out
+
+
+def load_vocabulary(model_path: str, from_ranks: bool = True) -> Vocabulary:
+    """The pieces and log scores of a SentencePiece model file; any model type gives a vocabulary. Ranks stay as they are without from_ranks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    scores = np.array([model.get_score(i) for i in range(len(names))], dtype=np.float32)
+    scores = np.array([model.get_score(i) for i in range(len(names))], dtype=np.float64)
     special = {i for i in range(len(names)) if model.is_control(i) or model.is_unknown(i)}
     bytes_of = {int(x[3:5], 16): i for i, x in enumerate(names) if model.is_byte(i)}
+    if from_ranks:
+        scores = rank_scores(scores, np.array([i for i in range(len(names)) if i not in special and i not in bytes_of.values()]))
     return vocabulary(names, scores, special, bytes_of, model.unk_id())
 
 
@@ -116,7 +137,7 @@ def vocabulary(names: list[str], scores: np.ndarray, special: set[int], bytes_of
         pieces[i] = bytes([b])
     pieces[unknown_id] = " ⁇ ".encode()
     return Vocabulary(
-        pieces, scores.astype(np.float32), *double_array(plain), np.array([bytes_of.get(b, unknown_id) for b in range(256)], np.int32), unknown_id,
+        pieces, scores.astype(np.float64), *double_array(plain), np.array([bytes_of.get(b, unknown_id) for b in range(256)], np.int32), unknown_id,
         frozenset(special - {unknown_id}), not any(MARK in x.decode().lstrip(MARK) for x in plain),
     )
 
@@ -148,7 +169,7 @@ class Encoder:
         wide = int(lengths.max())
         cells = np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in raw), np.uint8).reshape(n, wide)
         starts = (cells & 0xC0) != 0x80
-        best = np.full((n, wide + 1), -np.inf, np.float32)
+        best = np.full((n, wide + 1), -np.inf)
         came, by = np.zeros((n, wide + 1), np.int32), np.full((n, wide + 1), -1, np.int32)
         best[:, 0] = 0
         width = np.select([cells < 0x80, cells < 0xE0, cells < 0xF0], [1, 2, 3], 4)
@@ -191,9 +212,48 @@ class Encoder:
         flat, ends = ids[ids >= 0], np.cumsum((ids >= 0).sum(axis=1))
         return np.split(flat, ends[:-1])
 
+    def viterbi_long(self, chunk: str) -> np.ndarray:
+        """The ids of a chunk's best path, as viterbi() finds it."""
+        v = self.vocab
+        raw = f" {chunk}".replace(" ", MARK).encode()
+        cells = np.frombuffer(raw, np.uint8)
+        n = len(cells)
+        chars = np.flatnonzero((cells & 0xC0) != 0x80)
+        width = np.diff(np.append(chars, n))
+        live, node, found = chars, np.zeros(len(chars), np.int64), []
+        covered = np.zeros(n, bool)
+        depth = 0
+        while len(live):
+            to = v.base[node].astype(np.int64) + cells[live + depth] + 1
+            ok = v.check[to] == node
+            live, node, depth = live[ok], to[ok], depth + 1
+            hit = v.piece[node] >= 0
+            found.append((live[hit], live[hit] + depth, v.piece[node[hit]]))
+            going = live + depth < n
+            live, node = live[going], node[going]
+        char_end = np.zeros(n + 1, np.int64)
+        char_end[chars] = chars + width
+        for start, end, _ in found:
+            covered[start[char_end[start] == end]] = True
+        bare = chars[~covered[chars]]
+        start, end, piece = (np.concatenate(x) for x in zip(*found, (bare, char_end[bare], np.full(len(bare), -1)), strict=True))
+        gain = np.where(piece >= 0, v.scores[piece], self.low)
+        by = np.lexsort((start, end))
+        best, came = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+        for a, b, i, g in zip(start[by].tolist(), end[by].tolist(), piece[by].tolist(), gain[by].tolist(), strict=True):
+            if (score := best[a] + g) > best[b]:
+                best[b], came[b] = score, (a, i)
+        parts, at = [], n
+        while at:
+            a, i = came[at]
+            parts.append([i] if i >= 0 else v.byte_ids[cells[a:at]].tolist())
+            at = a
+        return np.array([i for x in reversed(parts) for i in x], np.int32)
+
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The ids of new chunks; they are remembered while there is room."""
-        out, new = {}, sorted(chunks, key=len)
+        out = {x: self.viterbi_long(x).astype("<i4").tobytes() for x in chunks if len(x) > LONG_CHUNK}
+        new = sorted((x for x in chunks if len(x) <= LONG_CHUNK), key=len)
         while new:
             take = max(1, min(len(new), CELLS // (3 * len(new[min(len(new), 8192) - 1]) + 3), 8192))
             some, new = new[:take], new[take:]

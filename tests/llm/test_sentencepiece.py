@@ -43,7 +43,8 @@ def test_double_array_holds_every_piece(vocab):
     assert all(walk(x) == i for x, i in plain[:: 7]) and walk(b"<s>") == -1 and walk(b"zzzzqq") == -1
 
 
-def test_same_ids_as_the_library(vocab, library):
+def test_same_ids_as_the_library(library):
+    vocab = sp.load_vocabulary(PATH, from_ranks=False)
     rng = random.Random(3)
     alphabet = "abcdethe in\n  éß日😀'.,A1"
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(400)]
@@ -97,3 +98,32 @@ def test_tables(spark, vocab):
     back = sp.decode(sp.encode(docs, PATH, keep=("doc_id", "n_pieces")), PATH).collect()
     assert {(r.doc_id, r.text) for r in back} == {(r[0], (r[1] or "").replace(sp.MARK, " ")) for r in rows}
     assert sp.encode_digest(docs.limit(0), PATH).count() == 0
+
+
+def test_scores_are_log_probabilities_by_rank(vocab):
+    plain = np.arange(259, len(vocab.pieces))
+    assert np.isclose(np.exp(vocab.scores[plain]).sum(), 1) 
+    given = sp.load_vocabulary(PATH, from_ranks=False).scores[plain]
+    order = np.argsort(-given, kind="stable")
+    assert (np.diff(vocab.scores[plain][order]) < 0).all() and np.isclose(np.ptp(vocab.scores[plain]), np.log(len(plain)))
+    logs = np.array([0.0, -1.5, -2.5, -2.25])
+    assert sp.rank_scores(logs, np.arange(1, 4)) is logs
+
+
+def test_long_chunks(vocab):
+    rng = random.Random(5)
+    encoder = sp.Encoder(vocab)
+    for n in (1, 2, 3, 50, 400):
+        chunk = "".join(rng.choice("abcdethe inlon  éß日😀'.,A1\u0378") for _ in range(n))
+        assert encoder.viterbi_long(chunk).tolist() == encoder.viterbi([chunk])[0].tolist()
+    text = "".join(rng.choice("abcdefgéß日") for _ in range(600_000))
+    ids = encoder.encode([text])[0]
+    assert encoder.decode(ids) == text
+
+
+def test_double_array_grows():
+    words = {bytes([a, b]): a * 256 + b for a in range(256) for b in range(0, 256, 1 + a % 3)}
+    base, check, piece = sp.double_array(words)
+    for (a, b), i in words.items():
+        first = base[0] + a + 1
+        assert check[first] == 0 and check[base[first] + b + 1] == first and piece[base[first] + b + 1] == i
