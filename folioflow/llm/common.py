@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +17,50 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1_000_000
 
 
+#: A folder for sessions of one machine that name none, by application.
+_local: dict[str, str] = {}
+#: Paths made within each open scratch(), the innermost last.
+_scratch: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="folioflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share, spark.checkpoint.dir; a fresh one if it is unset and all run in one process."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="folioflow-")
+    return _local[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged within, at the end. What is returned from within must not read it any more."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: it cuts the lineage, and lost executors lose nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
+def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, at path if it is given, and read it back: it cuts the lineage, and lost executors lose nothing."""
+    spark, path = df.sparkSession, path or fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,13 +29,18 @@ def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
+def line_key(line: Column) -> Column:
+    """Two hashes of a trimmed line, so that different lines don't meet in any collection."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def line_rows(docs: DataFrame, site_col: str, text_col: str, row_key: Column) -> DataFrame:
-    """A row for each non-empty line of each document: __row, __site, __line (a hash), __salt."""
+    """A row for each non-empty line of each document: __row, __site, __line (its line_key), __salt."""
     return (
         docs.select(row_key.alias("__row"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("__site"), F.explode(F.split(text_col, "\n")).alias("__text"))
         .select("__row", "__site", trimmed(F.col("__text")).alias("__text"))
         .where("__text <> ''")
-        .select("__row", "__site", F.xxhash64("__text").alias("__line"), F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("__salt"))
+        .select("__row", "__site", line_key(F.col("__text")).alias("__line"), F.pmod(F.xxhash64("__row"), F.lit(SALTS)).alias("__salt"))
     )
 
 
@@ -87,7 +92,7 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     counted = lines if copies_count else line_rows(sites_of_texts(docs.select(id_col, site_col, text_col), id_col, site_col, text_col), site_col, text_col, row_key)
     found = lines.join(salted(spread_lines(counted, min_sites)), ["__line", "__salt"]).groupBy("__row").agg(F.collect_set("__line").alias("__spread"))
     split = F.split(text_col, "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains("__spread", F.xxhash64(trimmed(x))) | (trimmed(x) == ""))
+    kept = F.filter(split, lambda x: ~F.array_contains("__spread", line_key(trimmed(x))) | (trimmed(x) == ""))
     lines_in = lambda x: F.coalesce(F.size(F.filter(x, lambda y: trimmed(y) != "")), F.lit(0))
     return (
         docs.withColumn("__row", row_key)

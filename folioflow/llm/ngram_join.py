@@ -257,9 +257,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component."""
+    """docs with one document of each component.
+
+    Rows of one id and one text, told by two hashes, are one document; of these the row of the least hash stays. Rows are never
+    lost to a hash that they share with others: one too many may stay then.
+    """
     kept = jaccard_groups(docs, id_col, text_col).where("kept").select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", row_key(id_col, text_col)).join(kept, "__row").dropDuplicates(["__row"]).drop("__row")
+    rest = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(row_key(id_col, text_col).alias("__row"), F.xxhash64(F.lit(1), id_col, text_col).alias("__again"), F.struct("*").alias("__all"), F.xxhash64(F.lit(2), *(F.col(f"`{c}`") for c in rest)).alias("__rest"))
+    one = keyed.join(kept, "__row").groupBy("__row", "__again").agg(F.min_by("__all", "__rest").alias("__all"))
+    return one.select("__all.*")
 
 
 SQL = r"""
