@@ -6,12 +6,14 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import language_kernel, line_spread, ngram_join, sentencepiece_unigram, source_mix
-from folioflow.llm.common import stage
+from folioflow.llm.common import remove, scratch, shared_folder, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Each stage's result is written and takes the place of the one before, with all that it staged on its way."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        before, path = path, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = stage(function(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
