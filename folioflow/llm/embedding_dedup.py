@@ -34,8 +34,9 @@ SAMPLE = 8192
 CELLS_BY_ROOT = 1 / 8
 MAX_CELLS = 4096
 MAX_CENTROID_VALUES = 4_000_000
-#: Rows of a block at most about, while cells are small; they grow with the square root of the number of vectors too.
-BLOCK_ROWS = 2048
+#: Rows of a block at home at most about, while cells are small; they grow with the square root of the number of vectors too.
+#: Blocks of guests have twice as many.
+BLOCK_ROWS = 4096
 MAX_BLOCK_VALUES = 4_000_000
 ROUNDS = 8
 
@@ -159,7 +160,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     kind = classes.schema["v"].dataType.simpleString()
     dealt = classes.mapInArrow(assign, f"h1 long, h2 long, rep long, copies long, v {kind}, wide int, cell int, guest boolean")
     counts = dealt.groupBy("wide", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests")).collect()  # a row a cell
-    blocks = spark.createDataFrame([(r["wide"], r["cell"], *(-(-r[x] // block_rows(sizes[r["wide"]], r["wide"])) for x in ("homes", "guests"))) for r in counts], "wide int, cell int, hb int, gb int")
+    blocks = spark.createDataFrame([(r["wide"], r["cell"], *(-(-r[x] // (by * block_rows(sizes[r["wide"]], r["wide"]))) for x, by in (("homes", 1), ("guests", 2)))) for r in counts], "wide int, cell int, hb int, gb int")
     place = F.pmod(F.xxhash64("h1", F.lit(11)), F.when(F.col("guest"), F.col("gb")).otherwise(F.col("hb"))).cast("int")
     # a product's key: a home block and another block, of homes (up to hb - 1) or of guests (from hb on)
     home_pairs = F.transform(F.sequence(F.lit(0), F.col("hb") + F.col("gb") - 1), lambda o: F.struct(F.least("place", F.when(o < F.col("hb"), o).otherwise(F.col("place"))).alias("a"), F.when(o < F.col("hb"), F.greatest("place", o)).otherwise(o).alias("b")))

@@ -57,7 +57,7 @@ def test_matches_brute_force(spark, monkeypatch, small):
 def test_cells_follow_the_size():
     assert [ed.cell_number(n, 64, ed.SAMPLE) for n in (0, 1, 200, 500, 2000, 10_256, 51_282, 10**6, 10**9)] == [1, 1, 2, 3, 6, 13, 29, 125, 3953]
     assert ed.cell_number(10**9, 10_000, ed.SAMPLE) == 400 and ed.cell_number(500, 64, 2) == 1
-    assert [ed.block_rows(n, 64) for n in (1, 10**6, 10**9)] == [2048, 2048, 62_500] and ed.block_rows(5, 10**7) == 1
+    assert [ed.block_rows(n, 64) for n in (1, 10**6, 10**9)] == [4096, 4096, 62_500] and ed.block_rows(5, 10**7) == 1
 
 
 @pytest.mark.parametrize(("wide", "spread", "threshold"), [(2, 1.0, 0.9), (3, 0.3, 0.9), (8, 0.2, 0.9), (8, 1.0, 0.5)])
