@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import utf16_length
+from folioflow.functions.text import html_escape, utf16_length
 from folioflow.operators import markdown
 
 
@@ -23,7 +23,7 @@ LINE, BLOCK = r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)"
 #: Words and marks of the languages, those of the reference and the words that were here before.
 LANGUAGES = {
     "swift": Language("associatedtype actor async await break case catch class continue default defer deinit do else enum extension fallthrough false final for func guard if import in init inout internal is let lazy mutating nil open operator private protocol public repeat return self some static struct subscript super switch throw throws true try typealias var where while nonisolated any", f"{LINE}|{BLOCK}", '"'),
-    "python": Language("and as assert async await break case class continue def del elif else except False finally for from global if import in is lambda match None nonlocal not or pass raise return self True try while with yield", "#[^\n]*", "\"'"),
+    "python": Language("and as assert async await break case class continue def del elif else except False finally for from global if import in is lambda match None nonlocal not or pass raise return self True try while with yield", "#[^\n]*", "\"'", False),
     "javascript": Language("as async await break case catch class const continue debugger declare default delete do else enum export extends false finally for from function if implements import in instanceof interface let new null of readonly return static super switch this throw true try type typeof undefined var void while yield", f"{LINE}|{BLOCK}", "\"'`"),
     "bash": Language("case cd do done echo elif else esac export fi for function if in local return set source then until while", "#[^\n]*", "\"'", False),
     "json": Language("true false null", r"(?!)", '"', False),
@@ -36,29 +36,54 @@ ALIASES = {x: x for x in LANGUAGES} | {x: k for k, names in {
 }.items() for x in names.split()}
 
 
+def lexeme_pattern(lang: Language) -> str:
+    """What cuts a text into lexemes: comments, strings, numbers, words, and single characters."""
+    strings = "|".join(rf"{q}(?:\\(?s:.)|[^{q}\\\n])*(?:{q}|\\\z)?" for q in lang.strings)
+    return rf"(?:{lang.comment})|{strings}|\p{{N}}[\p{{N}}a-fA-Fx._]*|[\p{{L}}_][\p{{L}}\p{{N}}_]*|(?s:.)"
+
+
+def token_of(lexeme: Column, lang: Language) -> Column:
+    """comment, string, number, keyword or type; null for other lexemes."""
+    first = F.substring(lexeme, 1, 1)
+    return (
+        F.when(lexeme.rlike(f"^(?:{lang.comment})$"), "comment")
+        .when(first.isin(*lang.strings), "string")
+        .when(first.rlike(r"^\p{N}$"), "number")
+        .when(lexeme.isin(*lang.keywords.split()), "keyword")
+        .when(F.lit(lang.types) & first.rlike(r"^\p{Lu}$"), "type")
+    )
+
+
+def highlighted(text: Column, language: Column) -> Column:
+    """Code as HTML with a span around each token; code of other languages, diagrams among them, is only escaped."""
+
+    def shown(lang: Language) -> Column:
+        span = lambda x: F.concat(F.lit('<span class="tok-'), token_of(x, lang), F.lit('">'), html_escape(x), F.lit("</span>"))
+        return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"({lexeme_pattern(lang)})"), F.lit(1)), lambda x: F.coalesce(span(x), html_escape(x))), "")
+
+    out = html_escape(text)
+    for name, lang in LANGUAGES.items():
+        out = F.when(language.isin(*(alias for alias, of in ALIASES.items() if of == name)), shown(lang)).otherwise(out)
+    return out
+
+
 def code_tokens(code: DataFrame, language: str) -> DataFrame:
     """doc, ord, loc, len, token, lexeme for code (doc, text) of one language or alias; other columns are kept before them.
 
+    An unknown language gives no rows.
+
     Alternatives in order: comment, string, number, word. A number goes on over hexadecimal digits, x, points and
     underscores. Every character is in one lexeme, so a running sum of lengths gives the places. Blanks and punctuation are
     left out. doc must tell texts apart.
     """
-    lang = LANGUAGES[ALIASES[language.lower()]]
-    strings = "|".join(rf"{q}(?:\\(?s:.)|[^{q}\\\n])*(?:{q}|\\\z)?" for q in lang.strings)
-    pattern = rf"(?:{lang.comment})|{strings}|\d[0-9a-fA-FxX._]*|[\p{{L}}_][\p{{L}}\p{{N}}_]*|(?s:.)"
-    words = F.array(*map(F.lit, lang.keywords.split()))
+    known = ALIASES.get(language.lower())
+    code, lang = (code, LANGUAGES[known]) if known else (code.limit(0), LANGUAGES["json"])
+    pattern = lexeme_pattern(lang)
     others = [x for x in code.columns if x not in ("doc", "text")]
     lexed = code.withColumn("lexemes", F.regexp_extract_all("text", F.lit(f"({pattern})"), 1))
     rows = lexed.select("doc", *others, F.posexplode("lexemes").alias("ord", "lexeme"))
     before = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.substring("lexeme", 1, 1)
-    token = (
-        F.when(F.col("lexeme").rlike(f"^(?:{lang.comment})$"), "comment")
-        .when(first.isin(*lang.strings), "string")
-        .when(first.rlike(r"^\d$"), "number")
-        .when(F.array_contains(words, F.col("lexeme")), "keyword")
-        .when(F.lit(lang.types) & first.rlike(r"^\p{Lu}$"), "type")
-    )
+    token = token_of(F.col("lexeme"), lang)
     return rows.withColumn("loc", F.coalesce(F.sum(utf16_length(F.col("lexeme"))).over(before), F.lit(0))).withColumn("token", token).where("token IS NOT NULL").select("doc", *others, "ord", "loc", utf16_length(F.col("lexeme")).alias("len"), "token", "lexeme")
 
 
@@ -75,10 +100,10 @@ def tokens_by_language(code: DataFrame) -> DataFrame:
 def fenced_tokens(docs: DataFrame) -> DataFrame:
     """doc, block, language, ord, loc, len, token, lexeme of the fenced code in docs (doc, source); loc counts from the document's start."""
     lines = markdown.line_kinds(markdown.source_lines(docs)).where("kind = 'code'")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_fence"), F.struct("pos", "raw_text")))), lambda x: x["raw_text"]), "\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role").isNull(), F.struct("pos", "raw_text")))), lambda x: x["raw_text"]), "\n")
     # a line that ended in CRLF keeps a blank in place of CR, so that places hold
     gap = F.lead("loc").over(Window.partitionBy("doc", "block").orderBy("pos")) - F.col("loc") - F.col("len") - 1
     rows = lines.withColumn("raw_text", F.concat("text", F.repeat(F.lit(" "), F.coalesce(gap, F.lit(0)).cast("int"))))
-    code = rows.groupBy("doc", "block").agg(F.max("language").alias("language"), F.min(F.when(~F.col("is_fence"), F.col("loc"))).alias("start"), body.alias("text"))
+    code = rows.groupBy("doc", "block").agg(F.max("language").alias("language"), F.min(F.when(F.col("role").isNull(), F.col("loc"))).alias("start"), body.alias("text"))
     tokens = tokens_by_language(code.select(F.struct("doc", "block").alias("doc"), "language", "start", "text"))
     return tokens.select("doc.doc", "doc.block", "language", "ord", (F.col("start") + F.col("loc")).alias("loc"), "len", "token", "lexeme")

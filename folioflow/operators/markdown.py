@@ -1,10 +1,10 @@
-"""Markdown as relations: lines, blocks, outline, markers, HTML and plain text, by line rules and windows.
+"""Markdown as relations: lines, blocks, outline and markers, by line rules, windows and one fold of fences.
 
-Blocks are found line by line: fences, headings, rules, quotes, list items, tables and paragraphs. Inline marks are rendered
-with regular expressions on escaped text, code spans apart. Nesting deeper than a line shows (lists in quotes, lazy
-continuation, reference links, setext headings) is not followed.
+Blocks are found line by line: fences, headings (also underlined ones), rules, quotes, list items, tables, raw HTML and
+paragraphs. A line of text goes on with the item, quote, table or HTML before it until a blank line. Blocks within items and
+quotes, and reference links, are not followed. `rendering` makes HTML and plain text of blocks.
 
-A window by document holds one document's lines; no step gathers more.
+A window by document holds one document's lines; no step gathers more than a document's fence lines in a row.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import attribute_escape, html_escape, slug, unique_anchors, utf16_length
+from folioflow.functions.text import slug, unique_anchors, utf16_length
 
-FENCE = r"^ {0,3}(```|~~~)"
-ITEM = r"^(\s*)([-*+]|\d{1,9}[.)])\s+(?:\[([ xX])\]\s+)?(.*)$"
-SEPARATOR = r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$"
+FENCE = r"^ {0,3}(`{3,}|~{3,})[ \t]*([^` \t]*)[^`]*$"
+ITEM = r"^([ \t]*)([-*+]|\d{1,9}[.)])(?:[ \t]+(?:\[([ xX])\][ \t]+)?(.*))?$"
+SEPARATOR = r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
+HEADING = r"^ {0,3}(#{1,6})(?:[ \t]|$)"
+RULE = r"^ {0,3}(?:-[ \t]*-[ \t]*-[- \t]*|\*[ \t]*\*[ \t]*\*[* \t]*|_[ \t]*_[ \t]*_[_ \t]*)$"
+UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*$"
+QUOTE = r"^((?: {0,3}> ?)+)"
+HTML = r"^ {0,3}</?[A-Za-z!]"
 
 
 def source_lines(docs: DataFrame) -> DataFrame:
@@ -27,150 +32,146 @@ def source_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "pos", F.coalesce(F.sum(utf16_length(F.col("raw")) + 1).over(before), F.lit(0)).alias("loc"), utf16_length(text).alias("len"), text.alias("text"))
 
 
+def fence_roles(lines: DataFrame) -> DataFrame:
+    """lines with role: open or close where a fence begins or ends, else null.
+
+    A fence ends with the next line of its own mark, as long at least, that names no language. A document's fence lines are
+    folded in order; the state is the open mark and a letter for each line so far.
+    """
+    order = Window.partitionBy("doc").orderBy("pos")
+    mark = F.regexp_extract("text", FENCE, 1)
+    shown = lines.withColumn("mark", mark).withColumn("nth", F.sum((mark != "").cast("int")).over(order))
+    found = shown.where("mark <> ''").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "mark", (F.regexp_extract("text", FENCE, 2) == "").alias("bare")))).alias("fences"))
+
+    def step(state: Column, x: Column) -> Column:
+        is_open = state["mark"] != ""
+        closes = is_open & x["bare"] & F.startswith(x["mark"], state["mark"])
+        return F.struct(
+            F.when(~is_open, x["mark"]).when(closes, "").otherwise(state["mark"]).alias("mark"),
+            F.concat(state["roles"], F.when(~is_open, "o").when(closes, "c").otherwise("-")).alias("roles"),
+        )
+
+    roles = found.select("doc", F.aggregate("fences", F.struct(F.lit("").alias("mark"), F.lit("").alias("roles")), step)["roles"].alias("roles"))
+    letter = F.when(F.col("mark") != "", F.substring(F.col("roles"), F.col("nth").cast("int"), F.lit(1)))
+    return shown.join(roles, "doc", "left").withColumn("role", F.when(letter == "o", "open").when(letter == "c", "close")).drop("mark", "nth", "roles")
+
+
 def line_kinds(lines: DataFrame) -> DataFrame:
-    """lines with kind, level, language, quote_depth, item parts and the number of the block they belong to."""
+    """lines with kind, level, language, quote_depth, item parts, the number of the block they belong to, and whether a quote goes on from the line before."""
     order = Window.partitionBy("doc").orderBy("pos")
-    fence = F.col("text").rlike(FENCE)
-    upto = F.sum(fence.cast("int")).over(order)
-    rows = lines.withColumn("fences", upto).withColumn("is_fence", fence)
-    inside = F.col("is_fence") | (F.col("fences") % 2 == 1)
-    table = F.col("text").contains("|") & (F.col("text").rlike(SEPARATOR) | F.coalesce(F.lead("text").over(order).rlike(SEPARATOR) & F.lead("text").over(order).contains("|"), F.lit(False)))
-    rows = rows.withColumn("inside", inside).withColumn("starts_table", table & ~inside)
-    kind = (
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    text = F.col("text")
+    inside = F.sum((F.col("role") == "open").cast("int")).over(order) > F.coalesce(F.sum((F.col("role") == "close").cast("int")).over(before), F.lit(0))
+    rows = fence_roles(lines).withColumn("inside", F.coalesce(inside, F.lit(False)))
+    following = F.lead("text").over(order)
+    heads_table = text.contains("|") & ~text.rlike(SEPARATOR) & F.coalesce(following.rlike(SEPARATOR) & following.contains("|"), F.lit(False))
+    first = (
         F.when(F.col("inside"), "code")
-        .when(F.trim("text") == "", "blank")
-        .when(F.col("text").rlike(r"^ {0,3}#{1,6}(\s|$)"), "heading")
-        .when(F.col("text").rlike(r"^ {0,3}([-*_])(\s*\1){2,}\s*$"), "rule")
-        .when(F.col("text").rlike(r"^ {0,3}>"), "quote")
-        .when(F.col("text").rlike(ITEM), "item")
-        .when(F.col("starts_table"), "table")
-        .when(F.col("text").rlike(r"^ {0,3}</?[A-Za-z!]"), "html")
+        .when(text.rlike(r"^[ \t]*$"), "blank")
+        .when(text.rlike(HEADING), "heading")
+        .when(text.rlike(RULE), "rule")
+        .when(text.rlike(QUOTE), "quote")
+        .when(text.rlike(ITEM), "item")
+        .when(heads_table, "table")
+        .when(text.rlike(HTML), "html")
         .otherwise("paragraph")
     )
-    rows = rows.withColumn("kind", kind)
-    # rows of a table follow its separator until a line without a pipe
-    last_other = F.max(F.when(~F.col("text").contains("|") | F.col("inside") | (F.col("kind") == "blank"), F.col("pos"))).over(order)
-    last_separator = F.max(F.when(F.col("starts_table"), F.col("pos"))).over(order)
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "paragraph") & F.col("text").contains("|") & (last_separator > F.coalesce(last_other, F.lit(-1))), "table").otherwise(F.col("kind")))
-    opens = F.col("is_fence") & (F.col("fences") % 2 == 1)
-    closed = F.lag("is_fence").over(order) & (F.lag("fences").over(order) % 2 == 0)
-    same = (F.col("kind") == F.lag("kind").over(order)) & F.col("kind").isin("code", "quote", "table", "html", "paragraph") & ~opens & ~F.coalesce(closed, F.lit(False))
-    item = lambda k: F.when(F.col("kind") == "item", F.regexp_extract("text", ITEM, k))
+    rows = rows.withColumn("first_kind", first)
+    # a line of text goes on with what began before it
+    last = F.last(F.when(F.col("first_kind") != "paragraph", F.col("first_kind")), ignorenulls=True).over(before)
+    rows = rows.withColumn("lazy", (F.col("first_kind") == "paragraph") & F.coalesce(last.isin("item", "quote", "table", "html"), F.lit(False)))
+    rows = rows.withColumn("resolved", F.when(F.col("lazy"), last).otherwise(F.col("first_kind")))
+    under = text.rlike(UNDERLINE) & (F.lag("resolved").over(order) == "paragraph") & ~F.col("inside")
+    rows = rows.withColumn("kind", F.when(F.coalesce(under, F.lit(False)), "underline").otherwise(F.col("resolved")))
+    depth = F.when((F.col("kind") == "quote") & ~F.col("lazy"), F.length(F.regexp_replace(F.regexp_extract("text", QUOTE, 1), "[^>]", ""))).otherwise(0)
+    quoted = F.regexp_replace("text", QUOTE, "")
+    unindented = F.regexp_replace("text", r"^[ \t]+", "")
+    item = lambda k: F.when((F.col("kind") == "item") & ~F.col("lazy"), F.regexp_extract("text", ITEM, k))
+    content = (
+        F.when((F.col("kind") == "item") & ~F.col("lazy"), item(4))
+        .when((F.col("kind") == "quote") & ~F.col("lazy"), quoted)
+        .when(F.col("kind") == "heading", F.regexp_replace("text", r"^ {0,3}#+[ \t]*|[ \t]+#*[ \t]*$", ""))
+        .when(F.col("lazy") & (F.col("kind") != "html") | (F.col("kind") == "paragraph"), unindented)
+        .otherwise(text)
+    )
+    rows = rows.withColumn("quote_depth", depth).withColumn("content", content)
+    prior = lambda c: F.lag(c).over(order)
+    goes_on = (
+        F.when(F.col("kind") == "underline", True)
+        .when(F.col("kind") != prior("kind"), False)
+        .when(F.col("kind") == "code", (F.coalesce("role", F.lit("")) != "open") & (F.coalesce(prior("role"), F.lit("")) != "close"))
+        .when(F.col("kind") == "quote", F.col("lazy") | (F.col("quote_depth") == prior("quote_depth")) & (F.trim("content") != "") & (F.trim(prior("content")) != ""))
+        .when(F.col("kind") == "item", F.col("lazy"))
+        .otherwise(F.col("kind").isin("table", "html", "paragraph"))
+    )
     return (
-        rows.withColumn("block", F.sum((~F.coalesce(same, F.lit(False))).cast("int")).over(order))
-        .withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^ {0,3}(#+)", 1))))
-        .withColumn("language", F.when(opens, F.lower(F.regexp_extract("text", FENCE + r"\s*(\S*)", 2))))
-        .withColumn("quote_depth", F.length(F.regexp_replace(F.regexp_extract("text", r"^((?: {0,3}> ?)*)", 1), "[^>]", "")))
-        .withColumn("list_depth", F.when(F.col("kind") == "item", F.floor(F.length(item(1)) / 2) + 1).otherwise(0))
+        rows.withColumn("block", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(order))
+        .withColumn("quote_goes_on", F.coalesce((F.col("kind") == "quote") & (prior("kind") == "quote"), F.lit(False)))
+        .withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", HEADING, 1))).when(F.col("kind") == "underline", F.when(text.contains("="), 1).otherwise(2)))
+        .withColumn("language", F.when(F.col("role") == "open", F.lower(F.regexp_extract("text", FENCE, 2))))
+        .withColumn("indent", F.length(item(1)))
         .withColumn("marker", item(2))
         .withColumn("checked", F.when(item(3) != "", item(3) != " "))
-        .withColumn("content", F.when(F.col("kind") == "item", item(4)).when(F.col("kind") == "heading", F.regexp_replace("text", r"^ {0,3}#+\s*|\s+#*\s*$", "")).when(F.col("kind") == "quote", F.regexp_replace("text", r"^(?: {0,3}> ?)+", "")).otherwise(F.col("text")))
-        .drop("fences", "inside", "starts_table")
+        .drop("inside", "first_kind", "resolved")
     )
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """doc, block, kind, level, language, loc, len, quote_depth, list_depth, is_item_start, n_lines, text."""
+    """doc, block, kind, level, language, loc, len, quote_depth, quote_goes_on, indent, is_item_start, marker, checked, n_lines, text."""
     rows = line_kinds(source_lines(docs)).where("kind <> 'blank'")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("is_fence"), F.struct("pos", "content")))), lambda x: x["content"]), "\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role").isNull() & (F.col("kind") != "underline"), F.struct("pos", "content")))), lambda x: x["content"]), "\n")
+    kind = F.when(F.max(F.col("kind") == "underline"), "heading").otherwise(F.min("kind"))
     return (
-        rows.groupBy("doc", "block", "kind")
+        rows.groupBy("doc", "block")
         .agg(
-            F.max("level").alias("level"), F.max("language").alias("language"), F.min("loc").alias("loc"), (F.max(F.col("loc") + F.col("len")) - F.min("loc")).alias("len"),
-            F.max("quote_depth").alias("quote_depth"), F.max("list_depth").cast("int").alias("list_depth"), (F.first("kind") == "item").alias("is_item_start"),
-            F.max("marker").alias("marker"), F.max("checked").alias("checked"), F.count("*").alias("n_lines"), body.alias("text"),
+            kind.alias("kind"), F.max("level").alias("level"), F.max("language").alias("language"), F.min("loc").alias("loc"), (F.max(F.col("loc") + F.col("len")) - F.min("loc")).alias("len"),
+            F.max("quote_depth").alias("quote_depth"), F.min_by("quote_goes_on", "pos").alias("quote_goes_on"), F.max("indent").alias("indent"), (F.min("kind") == "item").alias("is_item_start"),
+            F.max("marker").alias("marker"), F.max("checked").alias("checked"), F.count("*").alias("n_lines"), F.when(F.min("kind") == "code", body).otherwise(F.regexp_replace(body, r"[ \t]+\z", "")).alias("text"),
         )
     )
 
 
-def outline(found: DataFrame) -> DataFrame:
-    """doc, ord, level, title, anchor, loc of the headings of blocks; anchors are unique within a document."""
-    heads = found.where("kind = 'heading' AND text <> ''")
-    gathered = heads.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("loc", "level", F.col("text").alias("title")))).alias("heads"))
-    anchors = gathered.withColumn("anchors", unique_anchors(F.transform("heads", lambda h: slug(h["title"]))))
-    return anchors.select("doc", "anchors", F.posexplode("heads").alias("ord", "head")).select("doc", "ord", "head.level", "head.title", F.get("anchors", "ord").alias("anchor"), "head.loc")
-
-
-def inline_html(s: Column) -> Column:
-    """Inline marks of a text as HTML; what stands between single backticks is code."""
-
-    def marks(x: Column) -> Column:
-        for pattern, to in (
-            (r"!\[([^\]]*)\]\(([^)\s]*)\)", '<img src="$2" alt="$1">'),
-            (r"\[([^\]]*)\]\(([^)\s]*)\)", '<a href="$2">$1</a>'),
-            (r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "<strong>$1</strong>"),
-            (r"~~(?=\S)(.+?)(?<=\S)~~", "<del>$1</del>"),
-            (r"\*(?=\S)([^*]+?)(?<=\S)\*", "<em>$1</em>"),
-        ):
-            x = F.regexp_replace(x, pattern, to)
-        return x
-
-    parts = F.split(html_escape(s), "`")
-    shown = F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("<code>"), x, F.lit("</code>"))).otherwise(marks(x)))
-    return F.when(F.size(parts) % 2 == 1, F.array_join(shown, "")).otherwise(marks(html_escape(s)))
-
-
-def inline_text(s: Column) -> Column:
-    """Inline marks dropped; links show their target behind the text, images their description."""
-    for pattern, to in ((r"!\[([^\]]*)\]\(([^)\s]*)\)", "[image: $1]"), (r"\[([^\]]*)\]\(([^)\s]*)\)", "$1 ($2)"), (r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "$1"), (r"~~(?=\S)(.+?)(?<=\S)~~", "$1"), (r"\*(?=\S)([^*]+?)(?<=\S)\*", "$1"), ("`([^`]*)`", "$1")):
-        s = F.regexp_replace(s, pattern, to)
-    return s
-
-
-def block_html() -> Column:
-    text, inline = F.col("text"), inline_html(F.col("text"))
-    wrap = lambda tag, x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))
-    box = F.when(F.col("checked").isNull(), "").when(F.col("checked"), '<input type="checkbox" disabled checked> ').otherwise('<input type="checkbox" disabled> ')
-    cells = lambda line, tag: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: wrap(tag, inline_html(F.trim(c)))), "")
-    lines = F.split(text, "\n")
-    rows = F.transform(F.filter(lines, lambda x, i: i != 1), lambda x, i: wrap("tr", F.when(i == 0, cells(x, "th")).otherwise(cells(x, "td"))))
-    return (
-        F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), F.col("level").cast("string"), F.lit(' id="'), attribute_escape(F.coalesce("anchor", F.lit(""))), F.lit('">'), inline, F.lit("</h"), F.col("level").cast("string"), F.lit(">")))
-        .when(F.col("kind") == "code", F.concat(F.when(F.coalesce("language", F.lit("")) == "", "<pre><code>").otherwise(F.concat(F.lit('<pre><code class="language-'), attribute_escape(F.col("language")), F.lit('">'))), html_escape(text), F.lit("\n</code></pre>")))
-        .when(F.col("kind") == "rule", "<hr>")
-        .when(F.col("kind") == "quote", wrap("blockquote", wrap("p", inline)))
-        .when(F.col("kind") == "item", F.concat(F.when(F.col("marker").rlike("^[0-9]"), F.concat(F.lit('<li value="'), F.regexp_extract("marker", r"^(\d+)", 1), F.lit('">'))).otherwise("<li>"), box, inline, F.lit("</li>")))
-        .when(F.col("kind") == "table", F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")))
-        .when(F.col("kind") == "html", text)
-        .otherwise(wrap("p", inline))
-    )
+def with_anchors(heads: DataFrame) -> DataFrame:
+    """heads (doc, loc, title, ...) with ord and anchor, unique within a document.
 
-
-def block_text() -> Column:
-    text, inline = F.col("text"), inline_text(F.col("text"))
-    rule = lambda c: F.expr(f"repeat('{c}', greatest(3, length(text)))")
-    return (
-        F.when((F.col("kind") == "heading") & (F.col("level") == 1), F.concat(inline, F.lit("\n"), rule("=")))
-        .when((F.col("kind") == "heading") & (F.col("level") == 2), F.concat(inline, F.lit("\n"), rule("-")))
-        .when(F.col("kind") == "code", F.regexp_replace(text, "(?m)^", "    "))
-        .when(F.col("kind") == "rule", F.expr("repeat('─', 40)"))
-        .when(F.col("kind") == "quote", F.regexp_replace(inline, "(?m)^", "> "))
-        .when(F.col("kind") == "item", F.concat(F.when(F.col("checked").isNull(), F.when(F.col("marker").rlike("^[0-9]"), F.concat(F.col("marker"), F.lit(" "))).otherwise("•  ")).when(F.col("checked"), "[x] ").otherwise("[ ] "), inline))
-        .when(F.col("kind") == "html", "")
-        .otherwise(inline)
-    )
+    The n-th heading of a slug is numbered by a window. Only where two of a document's anchors would be the same, as `a-2` may
+    be a title too, are they given out one by one.
+    """
+    rows = heads.withColumn("slug", slug(F.col("title")))
+    nth = F.row_number().over(Window.partitionBy("doc", "slug").orderBy("loc"))
+    numbered = rows.withColumn("nth", nth).withColumn("anchor", F.when(F.col("nth") > 1, F.concat("slug", F.lit("-"), F.col("nth").cast("string"))).when(F.col("slug") == "", "section").otherwise(F.col("slug")))
+    gathered = numbered.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("loc", "slug", "anchor", F.struct(*(c for c in heads.columns if c not in ("doc", "loc"))).alias("head")))).alias("heads"))
+    named = F.transform("heads", lambda h: h["anchor"])
+    told = gathered.withColumn("anchors", F.when(F.size(F.array_distinct(named)) < F.size("heads"), unique_anchors(F.transform("heads", lambda h: h["slug"]))).otherwise(named))
+    return told.select("doc", "anchors", F.posexplode("heads").alias("ord", "h")).select("doc", "h.loc", "ord", F.get("anchors", "ord").alias("anchor"), "h.head.*")
 
 
-def rendered(docs: DataFrame, to: str) -> DataFrame:
-    """doc, data: docs (doc, source) as markdown, html or plain text."""
-    if to == "markdown":
-        return docs.select("doc", F.col("source").alias("data"))
-    found = blocks(docs)
-    if to == "html":
-        anchors = outline(found).select("doc", "loc", "anchor")
-        parts = found.join(anchors, ["doc", "loc"], "left").withColumn("out", block_html())
-    elif to == "text":
-        parts = found.withColumn("out", block_text())
-    else:
-        raise ValueError(f"unknown format {to!r}")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "out"))), lambda x: x["out"]), "\n" if to == "html" else "\n\n")
-    made = parts.where("out <> ''").groupBy("doc").agg(F.concat(joined, F.lit("\n")).alias("data"))
-    return docs.select("doc").join(made, "doc", "left").select("doc", F.coalesce("data", F.lit("")).alias("data"))
+def outline(found: DataFrame) -> DataFrame:
+    """doc, ord, level, title, anchor, loc of the headings of blocks that have a title."""
+    heads = found.where("kind = 'heading' AND text <> ''").select("doc", "loc", "level", F.col("text").alias("title"))
+    return with_anchors(heads).select("doc", "ord", "level", "title", "anchor", "loc")
 
 
 def markers(docs: DataFrame) -> DataFrame:
-    """doc, loc, len, presentation of the marks at the beginning of lines: hidden (#, >), bullet, checkbox, dimmed (numbers)."""
-    rows = line_kinds(source_lines(docs)).where("kind IN ('heading', 'quote', 'item')")
-    lead = F.when(F.col("kind") == "heading", F.regexp_extract("text", r"^( {0,3}#+\s*)", 1)).when(F.col("kind") == "quote", F.regexp_extract("text", r"^((?: {0,3}> ?)+)", 1)).otherwise(F.regexp_extract("text", r"^(\s*(?:[-*+]|\d{1,9}[.)])\s)", 1))
-    shown = F.when(F.col("kind") != "item", "hidden").when(F.col("checked").isNotNull(), "checkbox").when(F.col("marker").rlike("^[0-9]"), "dimmed").otherwise("bullet")
-    return rows.select("doc", "loc", F.length(lead).cast("long").alias("len"), shown.alias("presentation"))
+    """doc, loc, len, presentation of the marks at lines: hidden (#, >, fence lines, underlines), bullet, checkbox, dimmed (numbers).
+
+    A task's bullet is hidden up to its box; none is empty.
+    """
+    rows = line_kinds(source_lines(docs)).where("kind IN ('heading', 'underline', 'quote', 'item') AND NOT lazy OR role IS NOT NULL")
+    lead = (
+        F.when(F.col("role").isNotNull() | (F.col("kind") == "underline"), F.col("text"))
+        .when(F.col("kind") == "heading", F.regexp_extract("text", r"^( {0,3}#+[ \t]*)", 1))
+        .when(F.col("kind") == "quote", F.regexp_extract("text", QUOTE, 1))
+        .otherwise(F.regexp_extract("text", r"^([ \t]*(?:[-*+]|\d{1,9}[.)])(?:[ \t]|$))", 1))
+    )
+    box = F.regexp_extract("text", r"^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(\[[ xX]\])", 1)
+    prefix = F.regexp_extract("text", r"^([ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+)\[[ xX]\]", 1)
+    is_item, part = F.col("kind") == "item", lambda loc, n, shown: F.struct(loc.cast("long").alias("loc"), n.cast("long").alias("len"), F.lit(shown).alias("presentation"))
+    size = utf16_length(lead)
+    found = (
+        F.when(is_item & F.col("checked").isNotNull(), F.array(part(F.col("loc"), F.length(prefix), "hidden"), part(F.col("loc") + F.length(prefix), F.length(box), "checkbox")))
+        .when(is_item & F.col("marker").rlike("^[0-9]"), F.array(part(F.col("loc"), size, "dimmed")))
+        .when(is_item, F.array(part(F.col("loc"), size, "bullet")))
+        .otherwise(F.array(part(F.col("loc"), size, "hidden")))
+    )
+    return rows.select("doc", F.explode(found).alias("m")).select("doc", "m.loc", "m.len", "m.presentation").where("len > 0")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.geometry import column_twips
 from folioflow.functions.text import xml_escape
 from folioflow.operators.markdown import blocks
+from folioflow.operators.rendering import with_lists
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -52,7 +53,7 @@ def paragraph(style: Column | str, content: Column, numbering: Column | None = N
 
 def block_word() -> Column:
     text = F.col("text")
-    level = F.least(F.greatest(F.col("list_depth") - 1, F.lit(0)), F.lit(8)).cast("string")
+    level = F.least(F.greatest(F.col("depth") - 1, F.lit(0)), F.lit(8)).cast("string")
     numbered = F.col("marker").rlike("^[0-9]")
     number = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level, F.lit('"/><w:numId w:val="'), F.when(numbered, "2").otherwise("1"), F.lit('"/></w:numPr>'))
     box = F.when(F.col("checked").isNull(), "").when(F.col("checked"), "☑ ").otherwise("☐ ")
@@ -108,6 +109,6 @@ def package(body: Column) -> Column:
 
 def to_word(docs: DataFrame) -> DataFrame:
     """doc, data: docs (doc, source) as flat Word packages."""
-    parts = blocks(docs).withColumn("out", block_word())
+    parts = with_lists(blocks(docs)).withColumn("out", block_word())
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "out"))), lambda x: x["out"]), "")
     return docs.select("doc").join(parts.groupBy("doc").agg(body.alias("body")), "doc", "left").select("doc", package(F.coalesce("body", F.lit(""))).alias("data"))

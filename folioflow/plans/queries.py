@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
-from folioflow.operators import assemble, code, fragments, markdown, pages, ranges, recents, tables, word
-from folioflow.plans import inputs
+from folioflow.operators import assemble, code, fragments, markdown, pages, ranges, recents, rendering, tables, word
+from folioflow.plans import inputs, markdown_sql
 from folioflow.plans.inputs import table
 from folioflow.sources import files
 
@@ -358,7 +358,7 @@ def list_editing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", text.is_list_item(x).alias("is_item"), text.continued_list(x).alias("continued"), text.indented(x, 2).alias("indented"), text.indented(x, -2).alias("outdented"))
 
 
-@query()
+@query(markdown_sql.BLOCKS_QUERY)
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents")))
 
@@ -379,19 +379,19 @@ def markdown_outline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc", F.col("ord").cast("long").alias("ord"), "level", "title")
 
 
-@query()
+@query(markdown_sql.MARKERS)
 def markdown_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.markers(inputs.markdown_documents(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(markdown_sql.HTML)
 def markdown_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.rendered(inputs.markdown_documents(table(spark, sf_dir, "documents")), "html")
+    return rendering.rendered(inputs.markdown_documents(table(spark, sf_dir, "documents")), "html")
 
 
-@query()
+@query(markdown_sql.TEXT)
 def markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.rendered(inputs.markdown_documents(table(spark, sf_dir, "documents")), "text")
+    return rendering.rendered(inputs.markdown_documents(table(spark, sf_dir, "documents")), "text")
 
 
 @query()

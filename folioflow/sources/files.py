@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import extension, suggested_name
-from folioflow.operators.markdown import rendered
+from folioflow.operators.rendering import rendered
 
 #: Extensions by kind of input, MIME types by extension, extensions of the outputs.
 KINDS = {"markdown": "md markdown mdown mkd mdtext text txt", "pdf": "pdf", "image": "png jpg jpeg heic heif tiff tif gif bmp webp"}

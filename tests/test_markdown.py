@@ -2,7 +2,7 @@
 
 import pytest
 
-from folioflow.operators import code, markdown
+from folioflow.operators import code, markdown, rendering
 from folioflow.sources import files
 
 SOURCE = """# Title *one* #
@@ -42,22 +42,23 @@ def test_blocks(spark):
 
 
 def test_html(spark):
-    html = markdown.rendered(docs(spark, SOURCE, "", "a\r\nb"), "html").orderBy("doc").collect()
+    html = rendering.rendered(docs(spark, SOURCE, "", "a\r\nb"), "html").orderBy("doc").collect()
     assert html[0].data == (
-        '<h1 id="title-one">Title <em>one</em></h1>\n<p>Plain <strong>bold</strong> and <code>a*b*c</code> &lt;x&gt;\nsecond line</p>\n<li>item</li>\n'
-        '<li><input type="checkbox" disabled checked> done</li>\n<li value="2">two</li>\n<blockquote><p>quoted\nmore</p></blockquote>\n'
-        '<pre><code class="language-python">x = &quot;&lt;1&gt;&quot;\n# not a heading\n</code></pre>\n'
-        "<table><tr><th>a</th><th>b\\|c</th></tr><tr><td>1</td><td><del>2</del></td></tr></table>\n<hr>\n"
+        '<h1 id="title-one">Title <em>one</em></h1>\n<p>Plain <strong>bold</strong> and <code>a*b*c</code> <x>\nsecond line</p>\n<ul class="task-list">\n<li>item</li>\n'
+        '<li class="task-item"><input type="checkbox" disabled checked> done</li>\n</ul>\n<ol start="2">\n<li>two</li>\n</ol>\n<blockquote>\n<p>quoted\nmore</p>\n</blockquote>\n'
+        '<pre><code class="language-python">x = <span class="tok-string">&quot;&lt;1&gt;&quot;</span>\n<span class="tok-comment"># not a heading</span></code></pre>\n'
+        '<table>\n<thead>\n<tr>\n<th>a</th>\n<th style="text-align:center">b|c</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>1</td>\n<td style="text-align:center"><del>2</del></td>\n</tr>\n</tbody>\n</table>\n<hr>\n'
         '<h1 id="title-one-2">Title one</h1>\n<p><img src="a.png" alt="pic"> <a href="http://x.y">link</a></p>\n'
     )
     assert [r.data for r in html[1:]] == ["", "<p>a\nb</p>\n"]
 
 
 def test_text(spark):
-    got = markdown.rendered(docs(spark, SOURCE), "text").first().data
-    assert got.startswith("Title one\n=") and "•  item\n\n[x] done\n\n2. two\n\n> quoted\n> more" in got and '    x = "<1>"' in got and got.endswith("[image: pic] link (http://x.y)\n")
+    got = rendering.rendered(docs(spark, SOURCE), "text").first().data
+    assert got.startswith("Title one\n=========\n\nPlain bold and a*b*c \nsecond line\n\n•  item\n\n[x] done\n\n\n2. two\n\n\n> quoted\n> more\n\n    x = \"<1>\"\n")
+    assert got.endswith("a  b|c\n─  ───\n1  2\n\n" + "─" * 40 + "\n\nTitle one\n=========\n\n[image: pic — a.png] link (http://x.y)\n")
     with pytest.raises(ValueError):
-        markdown.rendered(docs(spark, SOURCE), "word")
+        rendering.rendered(docs(spark, SOURCE), "word")
 
 
 def test_offsets_count_utf16_units(spark):
@@ -76,7 +77,7 @@ def test_anchors_take_the_first_free_number(spark):
 def test_tokens(spark):
     text = 'def f(x):  # note "no"\n    return "a\\"b" + Name(0x1F)'
     got = code.code_tokens(spark.createDataFrame([(1, text)], "doc long, text string"), "python").orderBy("ord").collect()
-    assert [(r.token, r.lexeme) for r in got] == [("keyword", "def"), ("comment", '# note "no"'), ("keyword", "return"), ("string", '"a\\"b"'), ("type", "Name"), ("number", "0x1F")]
+    assert [(r.token, r.lexeme) for r in got] == [("keyword", "def"), ("comment", '# note "no"'), ("keyword", "return"), ("string", '"a\\"b"'), ("number", "0x1F")]
     assert all(text[r["loc"] : r["loc"] + r["len"]] == r.lexeme for r in got)
 
 
@@ -117,3 +118,61 @@ def test_word_packages_are_sound_xml(spark):
     assert bold == ["bold", "a", "b\\|c"]
     assert texts[1] == "" and "d" in texts[2] and "\x07" not in texts[2]
     assert len(list(trees[3].iter(f"{w}tc"))) == 4 and "☐ x" in texts[3]
+
+
+def html(spark, source, **options):
+    return rendering.rendered(docs(spark, source), "html", **options).first().data
+
+
+def text(spark, source):
+    return rendering.rendered(docs(spark, source), "text").first().data
+
+
+def test_nested_lists(spark):
+    source = "- a\n  more\n  1. b\n  2. c\n     - d\n- e\n* f\n\nend"
+    assert html(spark, source) == (
+        "<ul>\n<li><p>a\nmore</p>\n<ol>\n<li>b</li>\n<li><p>c</p>\n<ul>\n<li>d</li>\n</ul>\n</li>\n</ol>\n</li>\n<li>e</li>\n</ul>\n<ul>\n<li>f</li>\n</ul>\n<p>end</p>\n"
+    )
+    assert text(spark, source) == "•  a\n   more\n\n   1. b\n\n   2. c\n\n      •  d\n\n•  e\n\n\n•  f\n\n\nend\n"
+
+
+def test_lists_are_well_formed(spark):
+    """Whatever the indents and marks, what is opened is closed."""
+    import random
+    from xml.etree import ElementTree
+
+    rng = random.Random(2)
+    sources = ["\n".join(" " * rng.choice((0, 0, 2, 3, 4, 6, 20)) + rng.choice(("- ", "* ", "1. ", "7) ", "> ", ">> ", "- [x] ", "", "# ")) + rng.choice(("x", "", "y z")) for _ in range(rng.randint(1, 25))) for _ in range(150)]
+    for r in rendering.rendered(docs(spark, *sources), "html").collect():
+        closed = r.data.replace(" disabled checked>", "/>").replace(" disabled>", "/>").replace("<hr>", "")
+        ElementTree.fromstring(f"<a>{closed}</a>")
+
+
+def test_inline_marks(spark):
+    assert html(spark, r"\*a\* _b_ __c__ snake_case_d `e*f* \_` ~~g~~ **h `i` j**  " + "\nk\\\nl") == "<p>*a* <em>b</em> <strong>c</strong> snake_case_d <code>e*f* \\_</code> <del>g</del> <strong>h <code>i</code> j</strong><br>\nk<br>\nl</p>\n"
+    assert html(spark, '[a](b "c") ![d](e "f") <http://g.h> <b class="x">i</b> `<b class="x">` & 1 < 2') == '<p><a href="b" title="c">a</a> <img src="e" alt="d" title="f"> <a href="http://g.h">http://g.h</a> <b class="x">i</b> <code>&lt;b class=&quot;x&quot;&gt;</code> &amp; 1 &lt; 2</p>\n'
+    assert text(spark, "[a](b) [b](b) [c]() ![d](e) ![](f) ![g]() <b>h</b> <http://i.j> `k*l*` _m_\\_n") == "a (b) b c [image: d — e] [image: f] [image: g] h http://i.j k*l* m_n\n"
+
+
+def test_raw_html_can_be_kept_out(spark):
+    source = "<div onclick='x'>\n*a*\n\nb <script>c</script>"
+    assert html(spark, source) == "<div onclick='x'>\n*a*\n<p>b <script>c</script></p>\n"
+    assert html(spark, source, raw_html=False) == "<p>&lt;div onclick='x'&gt;\n*a*\n</p>\n<p>b &lt;script&gt;c&lt;/script&gt;</p>\n"
+
+
+def test_fences_end_with_their_own_mark(spark):
+    found = markdown.blocks(docs(spark, "````x\n```\n~~~\n````\na\n~~~\n```\nb\n~~~~ \n```\nopen")).orderBy("block").collect()
+    assert [(r.kind, r.text) for r in found] == [("code", "```\n~~~"), ("paragraph", "a"), ("code", "```\nb"), ("code", "open")]
+    assert html(spark, "```\n\nx  \n```") == "<pre><code>\nx  </code></pre>\n"
+
+
+def test_underlined_headings_and_titles(spark):
+    assert html(spark, "One\ntwo\n===\nThree\n---\n- a\n---\n") == '<h1 id="one-two">One\ntwo</h1>\n<h2 id="three">Three</h2>\n<ul>\n<li>a</li>\n</ul>\n<hr>\n'
+    got = rendering.titles(docs(spark, "x\n\n## The *one* [a](a)\n# Other", "none", "")).orderBy("doc").collect()
+    assert [r.title for r in got] == ["The one a", "Untitled", "Untitled"]
+
+
+def test_drawn_diagrams(spark):
+    drawn = spark.createDataFrame([("graph A", "<svg/>")], "source string, svg string")
+    source = "```Mermaid\ngraph A\n```\n```mermaid\nother <\n```\n```x\ngraph A\n```"
+    assert html(spark, source, diagrams=drawn) == '<figure class="diagram"><svg/></figure>\n<pre><code class="language-mermaid">other &lt;</code></pre>\n<pre><code class="language-x">graph A</code></pre>\n'
