@@ -17,6 +17,7 @@ EMU_PER_PIXEL = 9525
 EMU_WIDTH = 5943600
 PAGE_TWIPS = 9360
 ASSEMBLY_SHARE = 0.05
+LEAST_GAP = 6.0
 
 
 def heading_points(level: Column) -> Column:
@@ -66,6 +67,22 @@ def grid_scale(natural: Column, available: Column) -> Column:
     return out
 
 
+def stretched(width: Column, natural: Column, stretch: Column) -> Column:
+    """A column's width when its table, natural wide in all, fills a wider text column in proportion."""
+    return F.when((natural > 0) & (stretch > natural), width * stretch / natural).otherwise(width)
+
+
+def delimiter_gap(target: Column, pen: Column) -> Column:
+    """The width of a delimiter that reaches its column's boundary from where the pen stands; none without a boundary."""
+    return F.when(target.isNull(), 0.0).otherwise(F.greatest(target - pen, F.lit(LEAST_GAP)))
+
+
+def fitted(width: Column, height: Column, available: Column) -> tuple[Column, Column]:
+    """A picture scaled down to a width, never up."""
+    wider = (width > available) & (width > 0)
+    return F.when(wider, available).otherwise(width), F.when(wider, height * available / width).otherwise(height)
+
+
 def text_width(frame: Column, measure: Column, widest: Column) -> tuple[Column, Column]:
     """The column for text (between the least measure and the wanted one) and whether tables overflow it."""
     available = F.greatest(F.lit(LEAST_MEASURE), frame - 2 * GUTTER)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Horizontal white space, as trimmed around lines: space separators and the tab.
@@ -150,8 +150,36 @@ def indented(text: Column, by: int) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Whole numbers without a fraction, others in the shortest form."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    """Whole numbers without a fraction; others with six significant digits, none of them trailing zeros, as %g has them; ties go away from zero."""
+    science = F.format_string("%.5e", x)
+    power = F.regexp_extract(science, r"e([+-]\d+)$", 1).cast("int")
+    plain = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        plain = F.when(power == k, F.regexp_replace(F.format_string(f"%.{5 - k}f", x), r"\.0+$|(\.\d*[1-9])0+$", "$1")).otherwise(plain)
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.coalesce(plain, F.regexp_replace(science, r"\.0+e|(\.\d*[1-9])0+e", "$1e")))
+
+
+def size_text(n_bytes: Column) -> Column:
+    """File sizes in decimal units: bytes and kB whole, MB with one digit, larger ones with two; empty for none."""
+    out = F.when(n_bytes == 1, "1 byte").otherwise(F.concat(n_bytes.cast("string"), F.lit(" bytes")))
+    for unit, size, digits in (("kB", 1e3, 0), ("MB", 1e6, 1), ("GB", 1e9, 2), ("TB", 1e12, 2), ("PB", 1e15, 2)):
+        shown = F.regexp_replace(F.format_number(F.floor(n_bytes / F.lit(size / 10**digits) + 0.5) / 10**digits, digits), r"(\.\d*?)0+$", "$1")
+        out = F.when(n_bytes >= F.lit(size), F.concat(F.regexp_replace(shown, r"\.$", ""), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n_bytes > 0, out).otherwise("")
+
+
+def percent_text(fraction: Column) -> Column:
+    return F.concat(F.round(fraction * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def queue_text(index: Column, count: Column) -> Column:
+    """The place in a queue of files; null for a single file."""
+    return F.when(count > 1, F.concat(F.lit("File "), index.cast("string"), F.lit(" of "), count.cast("string")))
+
+
+def title_text(name: Column, n_bytes: Column) -> Column:
+    """A file's name and size, or its name alone."""
+    return F.concat_ws(" · ", name, F.nullif(size_text(n_bytes), F.lit("")))
 
 
 def hex_channel(colour: Column, k: int) -> Column:
@@ -196,3 +224,10 @@ def css_variables(tokens: dict[str, str]) -> str:
 def standalone(title: Column, body: Column, css: str) -> Column:
     """A page around rendered HTML."""
     return F.concat(F.lit('<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>'), html_escape(title), F.lit(f"</title><style>{css}</style></head><body>\n"), body, F.lit("</body></html>\n"))
+
+
+def found(docs: DataFrame, needle: str, text_col: str = "text") -> DataFrame:
+    """docs that hold a text, whatever its case, with the place of the first hit (from 1) and how many there are."""
+    low, wanted = F.lower(text_col), needle.lower()
+    count = (F.length(text_col) - F.length(F.replace(low, F.lit(wanted), F.lit("")))) / len(wanted)
+    return docs.where(low.contains(wanted)).withColumn("first_at", F.instr(low, wanted)).withColumn("hits", F.floor(count).cast("long"))

@@ -41,3 +41,16 @@ def without_running_heads(lines: DataFrame) -> DataFrame:
     )
     kept = edged.join(heads, ["doc", "norm", "edge"], "left_anti").select("doc", "page", "pos", "text")
     return kept.unionByName(pages.select("doc", "page", F.lit(None).cast("int").alias("pos"), F.lit("").alias("text")))
+
+
+def with_recognized(lines: DataFrame, recognized: DataFrame) -> DataFrame:
+    """lines (doc, page, pos, text, ...) with the recognized lines of pages that have no text of their own in their place."""
+    written = lines.groupBy("doc", "page").agg(F.max(F.trim("text") != "").alias("written")).where("written").select("doc", "page")
+    return lines.join(written, ["doc", "page"], "left_semi").unionByName(recognized.join(written, ["doc", "page"], "left_anti"), allowMissingColumns=True)
+
+
+def checked_text(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """docs (doc) with made's markdown, or the error noTextFound where it has none but white space."""
+    found = docs.select("doc").join(made.select("doc", "markdown"), "doc", "left")
+    empty = F.coalesce(F.regexp_replace("markdown", r"\s", ""), F.lit("")) == ""
+    return found.select("doc", F.when(~empty, F.col("markdown")).alias("markdown"), F.when(empty, "noTextFound").alias("error_code"))

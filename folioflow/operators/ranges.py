@@ -56,6 +56,40 @@ def painted_markers(markers: DataFrame, active: DataFrame) -> DataFrame:
     return not_overlapping(markers.where("presentation IN ('bullet', 'checkbox')"), active)
 
 
+def clamped(loc: Column, length: Column, total: Column) -> tuple[Column, Column]:
+    """A range held to a text of total units."""
+    at = F.least(F.greatest(loc, F.lit(0)), total)
+    return at, F.least(length, total - at)
+
+
+def concealed_set(hidden: DataFrame, pipes: DataFrame, separators: DataFrame, artworks: DataFrame) -> DataFrame:
+    """doc, loc, len of what an editor hides: markers but those at pipes, tables' separator lines, and artworks from their second unit on.
+
+    All have doc, loc and len. What two of them hide stands there twice; empty ranges are dropped.
+    """
+    kept = hidden.join(pipes.select("doc", "loc").distinct(), ["doc", "loc"], "left_anti").select("doc", "loc", "len")
+    tails = artworks.where("len > 1").select("doc", (F.col("loc") + 1).alias("loc"), (F.col("len") - 1).alias("len"))
+    return kept.unionByName(separators.select("doc", "loc", "len")).unionByName(tails).where("len > 0")
+
+
+def first_holding(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each point (doc, at) with the first range (range_loc, range_len) that holds it or ends at it."""
+    reached = ranges.select("doc", "loc", (F.col("len") + 1).alias("len"))
+    found = containing(points, reached).groupBy("doc", "at").agg(F.min(F.struct("range_loc", "range_len")).alias("r"))
+    return found.select("doc", "at", "r.range_loc", (F.col("r.range_len") - 1).alias("range_len"))
+
+
+def trait_unions(spans: DataFrame) -> DataFrame:
+    """doc, loc, traits: the bits of all spans (doc, loc, traits) that begin at a place, united."""
+    return spans.groupBy("doc", "loc").agg(F.bit_or("traits").alias("traits"))
+
+
+def in_order(spans: DataFrame) -> DataFrame:
+    """spans (doc, loc, len) without those that begin before the end of an earlier one."""
+    before = Window.partitionBy("doc").orderBy("loc", "len").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("__end", F.coalesce(F.max(_end()).over(before), F.lit(0))).where("loc >= __end").drop("__end")
+
+
 def containing(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each point (doc, at) with the range (range_loc, range_len) that holds it."""
     stretch = lambda x: F.floor(x / STRETCH)

@@ -27,5 +27,10 @@ def opened_label(t: Column, now: Column) -> Column:
     )
 
 
+def known_paths(recents: DataFrame, opened: DataFrame) -> DataFrame:
+    """path: what the system knows and what was just opened, each once."""
+    return recents.select("path").union(opened.select("path")).distinct()
+
+
 def pruned_stamps(stamps: DataFrame, seen: DataFrame) -> DataFrame:
     return stamps.join(seen.select("path").distinct(), "path", "left_semi")

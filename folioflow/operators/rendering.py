@@ -136,6 +136,15 @@ def inline_source() -> Column:
     return F.when(F.col("kind") == "table", F.replace(protected(F.col("text")), F.lit("|"), F.lit(CELL))).when(~F.col("kind").isin("code", "html", "rule"), F.col("text"))
 
 
+def with_grid(df: DataFrame, col: str) -> DataFrame:
+    """df with the cells of tables, each column's alignment (sides) and widest cell."""
+    table = lambda x: F.when(F.col("kind") == "table", x)
+    df = df.withColumn("cells", table(grid(col))).withColumn("sides", table(tables.alignments(F.get(F.split("text", "\n"), F.lit(1)))))
+    sizes = F.transform("cells", lambda r: F.transform(r, grapheme_length))
+    df = df.withColumn("sizes", table(sizes))
+    return df.withColumn("widest", table(F.transform(F.element_at("sizes", 1), lambda n, i: F.array_max(F.transform("sizes", lambda r: F.get(r, i))))))
+
+
 def grid(col: str) -> Column:
     """Rows of cells of a table's text as parted by inline_source, without the separator; rows are cut or filled to the header's width."""
     # cells are parted by one character now; edge pipes part nothing
@@ -202,8 +211,8 @@ def quote_html(inline: Column) -> Column:
 
 
 def table_html() -> Column:
-    """thead and tbody with each column's alignment."""
-    rows, kinds = grid("inline"), tables.alignments(F.get(F.split("text", "\n"), F.lit(1)))
+    """thead and tbody of cells, with each column's alignment in sides."""
+    rows, kinds = F.col("cells"), F.col("sides")
     aligned = lambda i: F.when(F.get(kinds, i).isin("left", "center", "right"), F.concat(F.lit(' style="text-align:'), F.get(kinds, i), F.lit('"'))).otherwise("")
     row = lambda r, tag: F.concat(F.lit("<tr>\n"), F.array_join(F.transform(r, lambda c, i: F.concat(F.lit(f"<{tag}"), aligned(i), F.lit(">"), c, F.lit(f"</{tag}>\n"))), ""), F.lit("</tr>\n"))
     body = F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.lit(0), F.size(rows) - 1)), lambda r: row(r, "td")), "")
@@ -245,9 +254,8 @@ def item_text(inline: Column) -> Column:
 
 
 def table_text() -> Column:
-    """Columns padded to their widest cell, two blanks apart, a rule under the header."""
-    rows = grid("inline")
-    wide = F.transform(F.element_at(rows, 1), lambda c, i: F.array_max(F.transform(rows, lambda r: grapheme_length(F.get(r, i)))))
+    """Columns of cells padded to their widest one, two blanks apart, a rule under the header."""
+    rows, wide = F.col("cells"), F.col("widest")
     line = lambda r: F.regexp_replace(F.array_join(F.transform(r, lambda c, i: F.concat(c, F.repeat(F.lit(" "), (F.get(wide, i) - grapheme_length(c)).cast("int")))), "  "), " +$", "")
     rule = F.array_join(F.transform(wide, lambda n: F.repeat(F.lit("─"), n.cast("int"))), "  ")
     return F.array_join(F.transform(rows, lambda r, i: F.when(i == 0, F.concat(line(r), F.lit("\n"), rule)).otherwise(line(r))), "\n")
@@ -285,9 +293,9 @@ def rendered(docs: DataFrame, to: str, raw_html: bool = True, diagrams: DataFram
         else:
             drawn = diagrams.select(F.col("source").alias("text"), "svg", F.lit("mermaid").alias("language"))
             rows = rows.join(drawn, ["text", "language"], "left")
-        parts = rows.withColumn("out", block_html(raw_html))
+        parts = with_grid(rows, "inline").withColumn("out", block_html(raw_html))
     else:
-        parts = with_inline_text(rows, "inline", "inline").withColumn("out", block_text())
+        parts = with_grid(with_inline_text(rows, "inline", "inline"), "inline").withColumn("out", block_text())
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "out"))), lambda x: x["out"]), "")
     made = parts.groupBy("doc").agg(joined.alias("data"))
     if to == "text":

@@ -48,6 +48,24 @@ def column_boundaries(found: DataFrame, unit: float = 8.0, available: float = 72
     return whole.withColumn("width", width).select("doc", "col", "chars", "width", F.least(F.lit(geometry.GRID_WIDTH), F.sum("width").over(upto)).alias("boundary"), "scale")
 
 
+def delimiter_targets(lines: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """doc, pos, loc, boundary for each pipe of lines (doc, pos, text): where it ends in the grid of column_boundaries.
+
+    loc counts from the start of the line. The first pipe of a row that opens with one stands at 0; pipes beyond the grid have none.
+    """
+    parts = lines.select("doc", "pos", F.col("text"), F.posexplode(F.split("text", PIPE)).alias("k", "part"))
+    row = Window.partitionBy("doc", "pos").orderBy("k")
+    pipes = (
+        parts.withColumn("loc", F.sum(F.length("part") + 1).over(row) - 1)
+        .withColumn("opens", F.trim(F.first("part").over(row)) == "")
+        .withColumn("last", F.lead("k").over(row).isNull())
+        .where("NOT last")
+        .withColumn("at", F.col("k") + F.when(F.col("opens"), 0).otherwise(1))
+    )
+    edges = boundaries.select("doc", (F.col("col") + 1).alias("at"), "boundary").unionByName(boundaries.select("doc", F.lit(0).alias("at"), F.lit(0.0).alias("boundary")).distinct())
+    return pipes.join(edges, ["doc", "at"]).select("doc", "pos", "loc", "boundary")
+
+
 def text_tables(found: DataFrame) -> DataFrame:
     """doc, text of table_cells: columns padded to their widest cell, two blanks apart, a rule under the header."""
     size = grapheme_length(F.col("text"))

@@ -6,7 +6,7 @@ Office package format, which needs no archive. Runs carry bold, emphasis, strike
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.geometry import column_twips
@@ -55,7 +55,7 @@ def block_word() -> Column:
     text = F.col("text")
     level = F.least(F.greatest(F.col("depth") - 1, F.lit(0)), F.lit(8)).cast("string")
     numbered = F.col("marker").rlike("^[0-9]")
-    number = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level, F.lit('"/><w:numId w:val="'), F.when(numbered, "2").otherwise("1"), F.lit('"/></w:numPr>'))
+    number = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level, F.lit('"/><w:numId w:val="'), F.when(numbered, F.col("num").cast("string")).otherwise("1"), F.lit('"/></w:numPr>'))
     box = F.when(F.col("checked").isNull(), "").when(F.col("checked"), "☑ ").otherwise("☐ ")
     code = F.array_join(F.transform(F.split(text, "\n"), lambda x: paragraph("SourceCode", F.concat(F.lit(open_run("plain")), xml_escape(x), F.lit(CLOSE)))), "")
     split = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
@@ -87,28 +87,51 @@ def styles() -> str:
     return f"<w:styles {W}>{one('Normal')}{heads}{one('Quote', '<w:i/>', '<w:ind w:left=\"720\"/>')}{one('SourceCode', mono)}{one('ListParagraph')}{one('InlineCode', mono, kind='character')}</w:styles>"
 
 
-def numbering() -> str:
-    """Bullets (1) and numbers (2), nine levels each; glyphs and numerals change by level."""
-    level = lambda k, kind, shown: f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{shown}"/><w:pPr><w:ind w:left="{360 * (k + 1) + 360}" w:hanging="360"/></w:pPr></w:lvl>'
-    bullets = "".join(level(k, "bullet", "•◦▪"[k % 3]) for k in range(9))
-    numbers = "".join(level(k, ("decimal", "lowerLetter", "lowerRoman")[k % 3], f"%{k + 1}.") for k in range(9))
-    kinds = f'<w:abstractNum w:abstractNumId="0">{bullets}</w:abstractNum><w:abstractNum w:abstractNumId="1">{numbers}</w:abstractNum>'
-    return f'<w:numbering {W}>{kinds}<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num></w:numbering>'
+#: Fixed values of the lists: glyph, numeral and indent of each three levels, in twentieths of a point.
+GLYPHS, NUMERALS, INDENT, LIST_LEVELS = "•◦▪", ("decimal", "lowerLetter", "lowerRoman"), 360, 9
 
 
-def package(body: Column) -> Column:
-    """The flat package around a document's body."""
+def abstract_lists() -> str:
+    """What bullets (0) and numbers (1) look like at each level."""
+    out = []
+    for ident, shown in enumerate((lambda k: ("bullet", GLYPHS[k % 3]), lambda k: (NUMERALS[k % 3], f"%{k + 1}."))):
+        levels = []
+        for k in range(LIST_LEVELS):
+            kind, label = shown(k)
+            place = f'<w:pPr><w:ind w:left="{INDENT * (k + 2)}" w:hanging="{INDENT}"/></w:pPr>'
+            levels.append(f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{kind}"/><w:lvlText w:val="{label}"/>{place}</w:lvl>')
+        out.append(f'<w:abstractNum w:abstractNumId="{ident}">{"".join(levels)}</w:abstractNum>')
+    return "".join(out)
+
+
+def numbering(numbers: Column) -> Column:
+    """The numbering part: bullets share list 1; numbers holds (num, level, start) of each numbered list, which begins anew."""
+    one = lambda x: F.concat(F.lit('<w:num w:numId="'), x["num"].cast("string"), F.lit('"><w:abstractNumId w:val="1"/><w:lvlOverride w:ilvl="'), x["level"].cast("string"), F.lit('"><w:startOverride w:val="'), x["start"].cast("string"), F.lit('"/></w:lvlOverride></w:num>'))
+    head = f'<w:numbering {W}>{abstract_lists()}<w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num>'
+    return F.concat(F.lit(head), F.array_join(F.transform(numbers, one), ""), F.lit("</w:numbering>"))
+
+
+def package(body: Column, numbers: Column) -> Column:
+    """The flat package around a document's body and its lists."""
     part = lambda name, kind, content: f'<pkg:part pkg:name="{name}" pkg:contentType="application/vnd.openxmlformats-{kind}+xml"><pkg:xmlData>{content}</pkg:xmlData></pkg:part>'
     links = lambda *found: '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{OFFICE}/{kind}" Target="{to}"/>' for k, (kind, to) in enumerate(found, 1)) + "</Relationships>"
     word = "officedocument.wordprocessingml"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><?mso-application progid="Word.Document"?><pkg:package xmlns:pkg="http://schemas.microsoft.com/office/2006/xmlPackage">' + part("/_rels/.rels", "package.relationships", links(("officeDocument", "word/document.xml")))
-    rest = part("/word/_rels/document.xml.rels", "package.relationships", links(("styles", "styles.xml"), ("numbering", "numbering.xml"))) + part("/word/styles.xml", f"{word}.styles", styles()) + part("/word/numbering.xml", f"{word}.numbering", numbering()) + "</pkg:package>"
+    rest = part("/word/_rels/document.xml.rels", "package.relationships", links(("styles", "styles.xml"), ("numbering", "numbering.xml"))) + part("/word/styles.xml", f"{word}.styles", styles()) + part("/word/numbering.xml", f"{word}.numbering", "\x00") + "</pkg:package>"
     before, after = part("/word/document.xml", f"{word}.document.main", f"<w:document {W}><w:body>\x00<w:sectPr/></w:body></w:document>").split("\x00")
-    return F.concat(F.lit(head + before), body, F.lit(after + rest))
+    rest, end = (after + rest).split("\x00")
+    return F.concat(F.lit(head + before), body, F.lit(rest), numbering(numbers), F.lit(end))
 
 
 def to_word(docs: DataFrame) -> DataFrame:
     """doc, data: docs (doc, source) as flat Word packages."""
-    parts = with_lists(blocks(docs)).withColumn("out", block_word())
+    numbered = F.col("marker").rlike("^[0-9]")
+    begins = F.coalesce(F.col("new_list") & numbered, F.lit(False))
+    # each numbered list of a document has a number of its own, from 2 on
+    counted = with_lists(blocks(docs)).withColumn("nth_list", 1 + F.sum(begins.cast("int")).over(Window.partitionBy("doc").orderBy("block")))
+    rows = counted.withColumn("num", F.first("nth_list").over(Window.partitionBy("doc", "run", "is_item", "depth", "list_id").orderBy("block")))
+    parts = rows.withColumn("out", block_word())
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "out"))), lambda x: x["out"]), "")
-    return docs.select("doc").join(parts.groupBy("doc").agg(body.alias("body")), "doc", "left").select("doc", package(F.coalesce("body", F.lit(""))).alias("data"))
+    lists = F.array_sort(F.collect_list(F.when(begins, F.struct("num", (F.col("depth") - 1).alias("level"), F.coalesce("start", F.lit(1).cast("long")).alias("start")))))
+    made = docs.select("doc").join(parts.groupBy("doc").agg(body.alias("body"), lists.alias("numbers")), "doc", "left")
+    return made.select("doc", package(F.coalesce("body", F.lit("")), F.coalesce("numbers", F.array().cast("array<struct<num:bigint,level:int,start:bigint>>"))).alias("data"))

@@ -32,12 +32,7 @@ SIZE_CASES = ("11.0", "11.2", "13.9", "18.0", "NULL", "11.0", "24.1")
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
-    """doc, pos, text, size: lines as a PDF's text layer might hold them."""
-    return lines_of(docs).select("doc", "pos", by_turn("pos", *MARKED_CASES).alias("text"), by_turn("pos", *SIZE_CASES).cast("double").alias("size"))
-
-
-def whole_marked_lines(docs: DataFrame) -> DataFrame:
-    """marked_lines with each blank line before its document's line, not in its place."""
+    """doc, pos, text, size: lines as a PDF's text layer might hold them; blank ones stand before a document's lines, not in their place."""
     blank, line = MARKED_CASES.index("''"), F.array(by_turn("pos", *MARKED_CASES))
     texts = F.when(F.col("pos") % len(MARKED_CASES) == blank, F.array(F.lit(""), F.col("line"))).otherwise(line)
     rows = lines_of(docs).select("doc", F.col("pos").alias("at"), by_turn("pos", *SIZE_CASES).cast("double").alias("size"), F.posexplode(texts).alias("k", "text"))
@@ -48,14 +43,9 @@ def turns_sql(column: str, cases: tuple[str, ...]) -> str:
     return f"CASE {column} % {len(cases)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END"
 
 
-MARKED = f"""{LINES}, marked AS (
-  SELECT doc, pos, {turns_sql("pos", MARKED_CASES)} AS text, CAST({turns_sql("pos", SIZE_CASES)} AS DOUBLE) AS size FROM lines)"""
-
-MARKDOWN_CASES = (
-    "concat('# ', line)", "''", "line", "concat('- ', line)", "concat('- [x] ', line)", "concat('2. ', line)", "concat('> ', line)", "'```python'",
-    "concat('x = 1 # ', line)", "'```'", "'| a | b |'", "'|---|:-:|'", "concat('| **', left(line, 9), '** | `c` |')", "''", "concat('### ', left(line, 12), ' #')", "concat('see [', left(line, 5), '](http://x.y/z) *now*')",
-)
-
+MARKED = f"""{LINES}, lists AS (
+  SELECT doc, pos, CAST({turns_sql("pos", SIZE_CASES)} AS DOUBLE) AS size, CASE WHEN pos % {len(MARKED_CASES)} = {MARKED_CASES.index("''")} THEN ['', line] ELSE [{turns_sql("pos", MARKED_CASES)}] END AS l FROM lines),
+marked AS (SELECT doc, pos * 2 + generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS text, size FROM lists)"""
 
 #: Every line in full; blank lines, fences and separators stand between the lines.
 WHOLE_CASES = (
@@ -65,9 +55,9 @@ WHOLE_CASES = (
 )
 
 
-def markdown_documents(docs: DataFrame, cases: tuple[str, ...] = WHOLE_CASES) -> DataFrame:
-    """doc, source: documents with every kind of block; by MARKDOWN_CASES, which SQL follows, some lines are replaced or cut."""
-    rows = lines_of(docs).select("doc", "pos", by_turn("pos", *cases).alias("out"))
+def markdown_documents(docs: DataFrame) -> DataFrame:
+    """doc, source: documents with every kind of block."""
+    rows = lines_of(docs).select("doc", "pos", by_turn("pos", *WHOLE_CASES).alias("out"))
     return rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "\n").alias("source"))
 
 
@@ -98,16 +88,30 @@ PARTS = """tables AS (
 table_lines AS (SELECT doc, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM tables)"""
 
 
-def ranges(docs: DataFrame, width: int, step: int, shift: int, whole: bool = False) -> DataFrame:
-    """doc, loc, len: ranges over a document by arithmetic, touching, overlapping and empty ones among them.
+#: Pieces of code in each language, with a part's name in them.
+SNIPPETS = (
+    ("Swift", "let x: Int = {k} // {n}"), ("ts", "const a = `{n}` /* {n} */ + 0xFx_1"), ("py", "def {b}(self): # {n}"), ("zsh", "if cd {n} # 'x"), ("json", '{{"{n}": true, "n": {k}.5}}'),
+    ("scss", "@media /* {n} */ not '{b}'"), ("klingon", "let {n} = 1"), ("Rust", "return Name{k} 'open"),
+)
+
+
+def code_snippets(parts: DataFrame) -> DataFrame:
+    """doc, language, text: a piece of code for each part."""
+    turn, key = F.col("p_partkey") % len(SNIPPETS), F.col("p_partkey").cast("string")
+    out, language = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (name, code) in enumerate(SNIPPETS):
+        filled = F.replace(F.replace(F.replace(F.lit(code.replace("{{", "{").replace("}}", "}")), F.lit("{n}"), F.col("p_name")), F.lit("{b}"), F.col("p_brand")), F.lit("{k}"), key)
+        out, language = F.when(turn == k, filled).otherwise(out), F.when(turn == k, name).otherwise(language)
+    return parts.select(F.col("p_partkey").alias("doc"), language.alias("language"), out.alias("text"))
+
 
-    Not whole, they are the first 41 of a document, as in ranges_sql; whole, they go to its end.
-    """
+def ranges(docs: DataFrame, width: int, step: int, shift: int) -> DataFrame:
+    """doc, loc, len: ranges over a document by arithmetic, touching, overlapping and empty ones among them."""
     n = F.greatest(F.lit(0), F.floor(F.coalesce("n_chars", F.lit(0)) / step) - 1)
-    return docs.select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0).cast("long"), (n if whole else F.least(n, F.lit(40))).cast("long"))).alias("k")).select("doc", (F.col("k") * step + shift + (F.col("doc") + F.col("k")) % 7).alias("loc"), ((F.col("doc") + F.col("k")) % (width + 1)).alias("len"), "k")
+    return docs.select(F.col("doc_id").alias("doc"), F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))).alias("k")).select("doc", (F.col("k") * step + shift + (F.col("doc") + F.col("k")) % 7).alias("loc"), ((F.col("doc") + F.col("k")) % (width + 1)).alias("len"), "k")
 
 
 def ranges_sql(name: str, width: int, step: int, shift: int) -> str:
     return f"""{name} AS (
   SELECT doc, k * {step} + {shift} + (doc + k) % 7 AS loc, (doc + k) % {width + 1} AS len, k FROM (
-    SELECT doc_id AS doc, unnest(range(0, CAST(least(greatest(0, floor(coalesce(n_chars, 0) / {step}) - 1), 40) AS BIGINT) + 1)) AS k FROM documents))"""
+    SELECT doc_id AS doc, unnest(range(0, CAST(greatest(0, floor(coalesce(n_chars, 0) / {step}) - 1) AS BIGINT) + 1)) AS k FROM documents))"""

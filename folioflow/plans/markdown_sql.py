@@ -197,21 +197,50 @@ def tag(mark: str) -> str:
     return f"CASE WHEN {mark} IN ('.', ')') THEN 'ol' ELSE 'ul' END"
 
 
+def token(lang: code.Language, x: str) -> str:
+    first = f"left({x}, 1)"
+    comment = "false" if lang.comment == "(?!)" else matches(x, f"^(?:{lang.comment})$")
+    return (
+        f"CASE WHEN {comment} THEN 'comment' WHEN {first} IN ({', '.join(map(lit, lang.strings))}) THEN 'string' WHEN {matches(first, r'^\p{N}$')} THEN 'number' "
+        f"WHEN {x} IN ({', '.join(map(lit, lang.keywords.split()))}) THEN 'keyword' " + (f"WHEN {matches(first, r'^\p{Lu}$')} THEN 'type' " if lang.types else "") + "END"
+    )
+
+
+def lexemes(lang: code.Language) -> str:
+    """An engine without lookahead reads a pattern that never matches as an error, so it is left out."""
+    return f"regexp_extract_all(text, {lit(code.lexeme_pattern(lang).replace('(?:(?!))|', ''))})"
+
+
+def names(of: str) -> str:
+    return ", ".join(lit(alias) for alias, name in code.ALIASES.items() if name == of)
+
+
 def highlighted() -> str:
     out = nested("text", ESCAPE)
     for name, lang in code.LANGUAGES.items():
-        first = "left(x, 1)"
-        kind = (
-            f"CASE WHEN {matches('x', f'^(?:{lang.comment})$') if lang.comment != '(?!)' else 'false'} THEN 'comment' WHEN {first} IN ({', '.join(map(lit, lang.strings))}) THEN 'string' WHEN {matches(first, r'^\p{N}$')} THEN 'number' "
-            f"WHEN x IN ({', '.join(map(lit, lang.keywords.split()))}) THEN 'keyword' " + (f"WHEN {matches(first, r'^\p{Lu}$')} THEN 'type' " if lang.types else "") + "END"
-        )
-        names = ", ".join(lit(a) for a, of in code.ALIASES.items() if of == name)
-        lexemes = f"regexp_extract_all(text, {lit(code.lexeme_pattern(lang).replace('(?:(?!))|', ''))})"
-        shown = f"coalesce(array_to_string(list_transform({lexemes}, lambda x: coalesce('<span class=\"tok-' || {kind} || '\">' || {nested('x', ESCAPE)} || '</span>', {nested('x', ESCAPE)})), ''), '')"
-        out = f"CASE WHEN language IN ({names}) THEN {shown} ELSE {out} END"
+        shown = f"coalesce(array_to_string(list_transform({lexemes(lang)}, lambda x: coalesce('<span class=\"tok-' || {token(lang, 'x')} || '\">' || {nested('x', ESCAPE)} || '</span>', {nested('x', ESCAPE)})), ''), '')"
+        out = f"CASE WHEN language IN ({names(name)}) THEN {shown} ELSE {out} END"
     return out
 
 
+def tokens_query(source: str, columns: str, before: str = "WITH") -> str:
+    """Tokens of code: source gives doc (and block), language, start and text."""
+    by = " ".join(f"WHEN lower(language) IN ({names(n)}) THEN {lexemes(lang)}" for n, lang in code.LANGUAGES.items())
+    kinds = " ".join(f"WHEN lower(language) IN ({names(n)}) THEN {token(lang, 'lexeme')}" for n, lang in code.LANGUAGES.items())
+    return f"""{before} snippets AS ({source}),
+cut AS (SELECT *, CASE {by} END AS l, row_number() OVER () AS snippet FROM snippets),
+pieces AS (SELECT * EXCLUDE (l, text), unnest(l) AS lexeme, generate_subscripts(l, 1) - 1 AS ord FROM cut),
+places AS (SELECT *, CAST(start + coalesce(sum({utf16("lexeme")}) OVER (PARTITION BY snippet ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS loc, CAST({utf16("lexeme")} AS BIGINT) AS len, CASE {kinds} END AS token FROM pieces)
+SELECT {columns} FROM places WHERE token IS NOT NULL"""
+
+
+SNIPPETS = "SELECT p_partkey AS doc, CAST(0 AS BIGINT) AS start, CASE p_partkey % {n} {languages} END AS language, CASE p_partkey % {n} {texts} END AS text FROM part".format(
+    n=len(inputs.SNIPPETS),
+    languages=" ".join(f"WHEN {k} THEN {lit(name)}" for k, (name, _) in enumerate(inputs.SNIPPETS)),
+    texts=" ".join(f"WHEN {k} THEN replace(replace(replace({lit(x.replace('{{', '{').replace('}}', '}'))}, '{{n}}', p_name), '{{b}}', p_brand), '{{k}}', CAST(p_partkey AS VARCHAR))" for k, (_, x) in enumerate(inputs.SNIPPETS)).replace("{{", "{").replace("}}", "}"),
+)
+
+
 CSS = "CASE WHEN kinds[i] IN ('left', 'center', 'right') THEN ' style=\"text-align:' || kinds[i] || '\"' ELSE '' END"
 SEP = "list_transform(string_split(regexp_replace(trim(string_split(text, chr(10))[2]), '^\\||\\|$', '', 'g'), '|'), lambda x: CASE WHEN trim(x) LIKE ':%:' THEN 'center' WHEN trim(x) LIKE ':%' THEN 'left' WHEN trim(x) LIKE '%:' THEN 'right' ELSE 'none' END)"
 
@@ -285,3 +314,21 @@ joined AS (SELECT doc, regexp_replace(string_agg(out, '' ORDER BY block), '^\n+|
 SELECT doc, CASE WHEN coalesce(data, '') = '' THEN '' ELSE data || chr(10) END AS data FROM (SELECT doc FROM docs) LEFT JOIN joined USING (doc)"""
 
 BLOCKS_QUERY = f"WITH RECURSIVE {BLOCKS} SELECT * FROM trimmed"
+
+ANCHORS = rf"""WITH RECURSIVE {BLOCKS},
+slugs AS (SELECT doc, loc, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}]+', '-', 'g'), '-') AS slug FROM trimmed WHERE kind = 'heading' AND text <> ''),
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc, slug ORDER BY loc) AS n FROM slugs)
+SELECT doc, loc, CASE WHEN n > 1 THEN slug || '-' || n WHEN slug = '' THEN 'section' ELSE slug END AS anchor FROM counted"""
+
+TITLES = rf"""WITH RECURSIVE {BLOCKS}, heads AS (SELECT doc, arg_min(text, loc) AS s FROM trimmed WHERE kind = 'heading' AND text <> '' GROUP BY doc),
+{chain("titled", "SELECT * FROM heads", text_steps())}
+SELECT doc, coalesce(s, 'Untitled') AS title FROM (SELECT doc FROM docs) LEFT JOIN titled USING (doc)"""
+
+TASK_LISTS = f"WITH RECURSIVE {BLOCKS}, {LISTS} SELECT doc, block, depth, new_list, start AS first_number, nth, any_box AS is_task_list FROM nested WHERE is_item"
+
+#: A line that ended in CRLF keeps a blank in place of CR.
+FENCED_TOKENS = tokens_query(
+    "SELECT doc, CAST(block AS BIGINT) AS block, max(language) AS language, min(loc) FILTER (role IS NULL) AS start, string_agg(text || repeat(' ', CAST(coalesce(gap, 0) AS BIGINT)), chr(10) ORDER BY pos) FILTER (role IS NULL) AS text FROM fenced GROUP BY doc, block",
+    "doc, block, language, CAST(ord AS INTEGER) AS ord, loc, len, token, lexeme",
+    f"WITH RECURSIVE {LINES}, fenced AS (SELECT *, lead(loc) OVER (PARTITION BY doc, block ORDER BY pos) - loc - len - 1 AS gap FROM parts WHERE kind = 'code'),",
+)

@@ -136,23 +136,8 @@ def assembled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assembled(inputs.marked_lines(table(spark, sf_dir, "documents"))).select("doc", F.md5("markdown").alias("markdown"))
 
 
-# The three queries above blank every ninth line, as their SQL does; these keep all lines.
-
-
-@query()
-def heading_ladder_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.heading_ladder(inputs.whole_marked_lines(table(spark, sf_dir, "documents")))
-
-
-@query()
-def line_classes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.classified(inputs.whole_marked_lines(table(spark, sf_dir, "documents"))).select("doc", "pos", "kind", "level", "number", "content")
-
-
-@query()
-def assembled_markdown_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.assembled(inputs.whole_marked_lines(table(spark, sf_dir, "documents"))).select("doc", F.md5("markdown").alias("markdown"))
-
+for _name in ("heading_ladder", "line_classes", "assembled_markdown"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
 FRAGMENTS = """fragments AS (
   SELECT l_orderkey AS doc, l_linenumber AS frag, 'p' || l_partkey AS text, l_quantity AS x, CAST(l_suppkey % 10 * 12 + l_linenumber AS DOUBLE) AS y, l_extendedprice / 1000 AS w, 8.0 + l_linenumber % 4 AS h FROM lineitem),
@@ -216,11 +201,11 @@ active AS (SELECT doc, loc, len FROM blocks b WHERE EXISTS (SELECT 1 FROM select
 OVERLAP = "r.loc < o.loc + o.len AND o.loc < r.loc + r.len"
 
 
-def _marks(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _marks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    active = ranges.active_blocks(inputs.ranges(docs, 30, 40, 0, whole).select("doc", "loc", "len"), inputs.ranges(docs, 12, 170, 20, whole))
+    active = ranges.active_blocks(inputs.ranges(docs, 30, 40, 0).select("doc", "loc", "len"), inputs.ranges(docs, 12, 170, 20))
     shown = inputs.by_turn("k", "'hidden'", "'bullet'", "'hidden'", "'checkbox'")
-    return inputs.ranges(docs, 4, 23, 3, whole).select("doc", "loc", "len", shown.alias("presentation")), active
+    return inputs.ranges(docs, 4, 23, 3).select("doc", "loc", "len", shown.alias("presentation")), active
 
 
 @query(f"WITH {RANGES}, {MARKS} SELECT doc, loc, len FROM active")
@@ -252,34 +237,8 @@ def points_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.containing(inputs.ranges(docs, 4, 23, 3).select("doc", F.col("loc").alias("at")), inputs.ranges(docs, 30, 40, 0))
 
 
-# The five queries above see a document's first 41 ranges of a kind, as their SQL does; these see all of them.
-
-
-@query()
-def active_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _marks(spark, sf_dir, whole=True)[1]
-
-
-@query()
-def concealed_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.concealed_markers(*_marks(spark, sf_dir, whole=True))
-
-
-@query()
-def painted_markers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.painted_markers(*_marks(spark, sf_dir, whole=True))
-
-
-@query()
-def visible_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return ranges.overlapping(inputs.ranges(docs, 30, 40, 0, whole=True), inputs.ranges(docs, 12, 170, 20, whole=True)).select("doc", "loc", "len")
-
-
-@query()
-def points_in_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return ranges.containing(inputs.ranges(docs, 4, 23, 3, whole=True).select("doc", F.col("loc").alias("at")), inputs.ranges(docs, 30, 40, 0, whole=True))
+for _name in ("active_blocks", "concealed_markers", "painted_markers", "visible_blocks", "points_in_blocks"):
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
 
 
 SEEN = f"""last_seen AS (SELECT user_id, max(ts) AS mtime, min(event_id) AS arrival_ord FROM events GROUP BY user_id),
@@ -363,20 +322,29 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents")))
 
 
-HEADINGS = f"""{inputs.LINES}, heads AS (
-  SELECT doc, pos, CASE pos % 16 WHEN 0 THEN trim(regexp_replace(line, '\\s+#*\\s*$', '')) ELSE regexp_replace(left(line, 12), '\\s+$', '') END AS title, CASE pos % 16 WHEN 0 THEN 1 ELSE 3 END AS level FROM lines WHERE pos % 16 IN (0, 14))"""
-
-
-@query(f"WITH {HEADINGS} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS ord, level, title FROM heads WHERE title <> ''")
+@query(f"WITH RECURSIVE {markdown_sql.BLOCKS} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY loc) - 1 AS ord, level, text AS title FROM trimmed WHERE kind = 'heading' AND text <> ''")
 def markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markdown.outline(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents"), inputs.MARKDOWN_CASES)))
+    found = markdown.outline(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents"))))
     return found.select("doc", F.col("ord").cast("long").alias("ord"), "level", "title")
 
 
-@query()
-def markdown_outline_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = markdown.outline(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents"))))
-    return found.select("doc", F.col("ord").cast("long").alias("ord"), "level", "title")
+QUERIES["markdown_outline_whole"], SQL["markdown_outline_whole"] = markdown_outline, SQL["markdown_outline"]
+
+
+@query(markdown_sql.ANCHORS)
+def heading_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown.outline(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents")))).select("doc", "loc", "anchor")
+
+
+@query(markdown_sql.TITLES)
+def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendering.titles(inputs.markdown_documents(table(spark, sf_dir, "documents")))
+
+
+@query(markdown_sql.TASK_LISTS)
+def list_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rendering.with_lists(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents")))).where("is_item")
+    return found.select("doc", "block", "depth", "new_list", F.col("start").alias("first_number"), F.col("nth").cast("long").alias("nth"), F.col("any_box").alias("is_task_list"))
 
 
 @query(markdown_sql.MARKERS)
@@ -394,13 +362,18 @@ def markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendering.rendered(inputs.markdown_documents(table(spark, sf_dir, "documents")), "text")
 
 
-@query()
+@query(markdown_sql.tokens_query("SELECT p_partkey AS doc, 'python' AS language, CAST(0 AS BIGINT) AS start, 'def f_' || p_partkey || '(x):  # ' || p_name || chr(10) || '    return ' || chr(39) || p_brand || chr(39) || ' + Name(0x1F, 12.5)' || chr(10) AS text FROM part", "doc, CAST(ord AS INTEGER) AS ord, loc, len, token, lexeme"))
 def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("def f_"), F.col("p_partkey").cast("string"), F.lit("(x):  # "), "p_name", F.lit("\n    return '"), "p_brand", F.lit("' + Name(0x1F, 12.5)\n"))
     return code.code_tokens(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), source.alias("text")), "python")
 
 
-@query()
+@query(markdown_sql.tokens_query(markdown_sql.SNIPPETS, "doc, language, CAST(ord AS INTEGER) AS ord, loc, len, token, lexeme"))
+def code_tokens_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.tokens_by_language(inputs.code_snippets(table(spark, sf_dir, "part")))
+
+
+@query(markdown_sql.FENCED_TOKENS)
 def fenced_code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.fenced_tokens(inputs.markdown_documents(table(spark, sf_dir, "documents")))
 
@@ -422,3 +395,171 @@ def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markdown_to_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word.to_word(inputs.markdown_documents(table(spark, sf_dir, "documents")))
+
+
+@query("""
+WITH sized AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) * p_partkey * p_partkey * p_size * p_size * (p_size % 3) AS n, p_size / 50.0e0 AS fraction, p_partkey % 9 + 1 AS i, p_size % 5 AS c, p_retailprice / 7.0e0 * pow(10.0e0, p_size % 17 - 9) AS x FROM part),
+shown AS (SELECT *, CASE WHEN n <= 0 THEN '' WHEN n = 1 THEN '1 byte' WHEN n < 1000 THEN n || ' bytes' WHEN n < 1e6 THEN format('{:,}', CAST(floor(n / 1e3 + 0.5e0) AS BIGINT)) || ' kB'
+  WHEN n < 1e9 THEN rtrim(rtrim(format('{:,.1f}', floor(n / 1e5 + 0.5e0) / 10), '0'), '.') || ' MB' WHEN n < 1e12 THEN rtrim(rtrim(format('{:,.2f}', floor(n / 1e7 + 0.5e0) / 100), '0'), '.') || ' GB'
+  WHEN n < 1e15 THEN rtrim(rtrim(format('{:,.2f}', floor(n / 1e10 + 0.5e0) / 100), '0'), '.') || ' TB' ELSE rtrim(rtrim(format('{:,.2f}', floor(n / 1e13 + 0.5e0) / 100), '0'), '.') || ' PB' END AS size_text FROM sized)
+SELECT p_partkey, size_text, 'a.pdf' || CASE WHEN size_text = '' THEN '' ELSE ' · ' || size_text END AS title, CAST(round(fraction * 100) AS BIGINT) || '%' AS percent,
+  CASE WHEN c > 1 THEN 'File ' || i || ' of ' || c END AS queue, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE printf('%g', x) END AS number FROM shown
+""")
+def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey").cast("long"), F.col("p_size")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (key * key * key * size * size * (size % 3)).alias("n"), (size / 50.0).alias("fraction"), (F.col("p_partkey") % 9 + 1).alias("i"), (size % 5).alias("c"), (F.col("p_retailprice") / 7.0 * F.pow(F.lit(10.0), size % 17 - 9)).alias("x"))
+    return rows.select("p_partkey", text.size_text(F.col("n")).alias("size_text"), text.title_text(F.lit("a.pdf"), F.col("n")).alias("title"), text.percent_text(F.col("fraction")).alias("percent"), text.queue_text(F.col("i"), F.col("c")).alias("queue"), text.number_text(F.col("x")).alias("number"))
+
+
+@query(f"""
+WITH {CELLS}, widths AS (SELECT doc, col, max(length_grapheme(text)) AS chars FROM aligned GROUP BY doc, col),
+scaled AS (SELECT *, sum(chars * 8.0e0 + 24) OVER (PARTITION BY doc) AS wanted FROM widths),
+fitted AS (SELECT *, CASE WHEN wanted <= 720 THEN 1.0e0 WHEN wanted * 0.94e0 <= 720 THEN 0.94e0 WHEN wanted * 0.88e0 <= 720 THEN 0.88e0 ELSE 1.0e0 END AS scale FROM scaled),
+wide AS (SELECT doc, col, chars * 8.0e0 * scale + 24 AS width, sum(chars * 8.0e0 * scale + 24) OVER (PARTITION BY doc) AS whole FROM fitted),
+stretched AS (SELECT doc, col, CASE WHEN whole > 0 AND 600 > whole THEN width * 600 / whole ELSE width END AS width FROM wide),
+edges AS (SELECT doc, col + 1 AS k, least(12000.0e0, sum(width) OVER (PARTITION BY doc ORDER BY col)) AS boundary FROM stretched UNION ALL SELECT DISTINCT doc, 0, 0.0e0 FROM stretched),
+piped AS (SELECT doc, pos, string_split(text, '|') AS c FROM table_lines),
+pipes AS (SELECT doc, pos, c, unnest(range(1, len(c))) AS nth FROM piped),
+placed AS (SELECT doc, pos, list_sum(list_transform(c[1:nth], lambda x: length(x) + 1)) - 1 AS loc, nth - 1 + CASE WHEN trim(c[1]) = '' THEN 0 ELSE 1 END AS k FROM pipes)
+SELECT doc, CAST(pos AS INTEGER) AS pos, CAST(loc AS BIGINT) AS loc, round(boundary, 6) AS boundary, round(greatest(boundary - loc * 8.0e0, 6.0e0), 6) AS gap FROM placed JOIN edges USING (doc, k)
+""")
+def table_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = inputs.part_tables(table(spark, sf_dir, "part"))
+    grid = tables.column_boundaries(tables.table_cells(lines))
+    natural = F.sum("width").over(Window.partitionBy("doc"))
+    upto = Window.partitionBy("doc").orderBy("col")
+    edges = grid.withColumn("width", geometry.stretched(F.col("width"), natural, F.lit(600.0))).select("doc", "col", F.least(F.lit(geometry.GRID_WIDTH), F.sum("width").over(upto)).alias("boundary"))
+    found = tables.delimiter_targets(lines, edges)
+    return found.select("doc", "pos", "loc", F.round("boundary", 6).alias("boundary"), F.round(geometry.delimiter_gap(F.col("boundary"), F.col("loc") * 8.0), 6).alias("gap"))
+
+
+@query(f"""
+WITH {CELLS}, widths AS (SELECT doc, col, max(length_grapheme(text)) * 8.0e0 + 24 AS width FROM aligned GROUP BY doc, col), whole AS (SELECT doc, sum(width) AS width FROM widths GROUP BY doc)
+SELECT doc % 10 AS shelf, round(max(width), 6) AS widest, round(CASE WHEN max(width) > 500 THEN 500.0e0 ELSE max(width) END, 6) AS fitted_width, round(CASE WHEN max(width) > 500 THEN 300.0e0 * 500 / max(width) ELSE 300.0e0 END, 6) AS fitted_height FROM whole GROUP BY shelf
+""")
+def widest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = tables.column_boundaries(tables.table_cells(inputs.part_tables(table(spark, sf_dir, "part"))), available=1e9)
+    widest = grid.groupBy("doc").agg(F.sum("width").alias("width")).groupBy((F.col("doc") % 10).alias("shelf")).agg(F.max("width").alias("width"))
+    wide, high = geometry.fitted(F.col("width"), F.lit(300.0), F.lit(500.0))
+    return widest.select("shelf", F.round("width", 6).alias("widest"), F.round(wide, 6).alias("fitted_width"), F.round(high, 6).alias("fitted_height"))
+
+
+@query(f"""
+WITH {RANGES}, {MARKS}, hidden AS (SELECT doc, loc, len FROM marks r WHERE presentation = 'hidden' AND NOT EXISTS (
+  SELECT 1 FROM active o WHERE o.doc = r.doc AND ({OVERLAP} OR r.loc >= o.loc AND r.loc < o.loc + o.len))),
+pipes AS (SELECT DISTINCT doc, loc FROM markers WHERE k % 3 = 0)
+SELECT * FROM (
+  SELECT doc, loc, len FROM hidden WHERE NOT EXISTS (SELECT 1 FROM pipes p WHERE p.doc = hidden.doc AND p.loc = hidden.loc)
+  UNION ALL SELECT doc, loc, len FROM selections WHERE k % 2 = 0
+  UNION ALL SELECT doc, loc + 1, len - 1 FROM blocks WHERE k % 5 = 0 AND len > 1) WHERE len > 0
+""")
+def concealed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hidden = ranges.concealed_markers(*_marks(spark, sf_dir))
+    return ranges.concealed_set(hidden, inputs.ranges(docs, 4, 23, 3).where("k % 3 = 0"), inputs.ranges(docs, 12, 170, 20).where("k % 2 = 0"), inputs.ranges(docs, 30, 40, 0).where("k % 5 = 0"))
+
+
+@query(f"""
+WITH {RANGES}, {MARKS}, boxes AS (SELECT doc, loc, len FROM marks WHERE presentation = 'checkbox'), points AS (SELECT DISTINCT doc, loc AS at FROM selections UNION SELECT doc, loc + len FROM boxes),
+hits AS (SELECT p.doc, p.at, min({{'l': b.loc, 'n': b.len}}) AS r FROM points p JOIN boxes b ON p.doc = b.doc AND p.at >= b.loc AND p.at <= b.loc + b.len GROUP BY p.doc, p.at)
+SELECT doc, hits.at, r.l AS range_loc, r.n AS range_len FROM hits
+""")
+def checkbox_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = _marks(spark, sf_dir)[0].where("presentation = 'checkbox'")
+    points = inputs.ranges(table(spark, sf_dir, "documents"), 12, 170, 20).select("doc", F.col("loc").alias("at")).union(boxes.select("doc", F.col("loc") + F.col("len"))).distinct()
+    return ranges.first_holding(points, boxes)
+
+
+@query(f"""
+WITH {RANGES}, spans AS (SELECT doc, loc, 1 AS traits FROM blocks UNION ALL SELECT doc, loc, CASE k % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 6 END FROM markers UNION ALL SELECT doc, loc, 8 FROM selections)
+SELECT doc, loc, bit_or(CAST(traits AS INTEGER)) AS traits FROM spans GROUP BY doc, loc
+""")
+def trait_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = inputs.ranges(docs, 30, 40, 0).select("doc", "loc", F.lit(1).alias("traits"))
+    spans = spans.union(inputs.ranges(docs, 4, 23, 3).select("doc", "loc", inputs.by_turn("k", "2", "4", "6"))).union(inputs.ranges(docs, 12, 170, 20).select("doc", "loc", F.lit(8)))
+    return ranges.trait_unions(spans)
+
+
+@query(f"""
+WITH {RANGES}, held AS (SELECT doc, least(greatest(loc - 5, 0), 900) AS loc, least(len, 900 - least(greatest(loc - 5, 0), 900)) AS len FROM blocks UNION ALL SELECT doc, least(greatest(loc - 5, 0), 900), least(len, 900 - least(greatest(loc - 5, 0), 900)) FROM markers),
+ends AS (SELECT *, coalesce(max(loc + len) OVER (PARTITION BY doc ORDER BY loc, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM held)
+SELECT doc, loc, len, count(*) AS n FROM ends WHERE loc >= upto GROUP BY doc, loc, len
+""")
+def ranges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    both = inputs.ranges(docs, 30, 40, 0).unionByName(inputs.ranges(docs, 4, 23, 3))
+    loc, length = ranges.clamped(F.col("loc") - 5, F.col("len"), F.lit(900))
+    return ranges.in_order(both.select("doc", loc.alias("loc"), length.alias("len"))).groupBy("doc", "loc", "len").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH paths AS (SELECT page_id, url || '/f.' || CASE page_id % 6 WHEN 0 THEN 'md' WHEN 1 THEN 'PDF' WHEN 2 THEN 'png' WHEN 3 THEN 'Jpeg' WHEN 4 THEN 'zip' ELSE 'txt' END AS path FROM pages),
+kinds AS (SELECT *, CASE page_id % 6 WHEN 0 THEN 'markdown' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' WHEN 3 THEN 'image' WHEN 4 THEN NULL ELSE 'markdown' END AS kind FROM paths)
+SELECT page_id, kind, output, kind <> 'markdown' AS is_converted FROM kinds, (VALUES ('markdown'), ('word'), ('html'), ('text')) o(output) WHERE kind IS NOT NULL AND NOT (kind = 'markdown' AND output = 'markdown')
+""")
+def output_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("url", F.lit("/f."), inputs.by_turn("page_id", "'md'", "'PDF'", "'png'", "'Jpeg'", "'zip'", "'txt'"))
+    return files.output_choices(table(spark, sf_dir, "pages").select("page_id", path.alias("path"))).select("page_id", "kind", "output", "is_converted")
+
+
+MEDIA = """images AS (SELECT p_partkey // 20 AS doc, p_partkey AS pos, CASE p_partkey % 7 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' WHEN 2 THEN 'svg' WHEN 3 THEN 'gif' WHEN 4 THEN 'webp' WHEN 5 THEN 'tif' ELSE 'bmp' END AS ext FROM part),
+held AS (SELECT doc, pos, lower(ext) AS ext, CASE lower(ext) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'gif' THEN 'image/gif' WHEN 'tif' THEN 'image/tiff' WHEN 'bmp' THEN 'image/bmp' END AS mime FROM images WHERE ext NOT IN ('svg', 'webp')),
+media AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS ord FROM held)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = inputs.by_turn("p_partkey", "'png'", "'JPG'", "'svg'", "'gif'", "'webp'", "'tif'", "'bmp'")
+    return table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 20).alias("doc"), F.col("p_partkey").alias("pos"), F.concat(F.lit("a/b."), ext).alias("src"))
+
+
+@query(f"WITH {MEDIA} SELECT doc, CAST(ord AS INTEGER) AS ord, 'image' || ord || '.' || ext AS name, 'rId' || (ord + 2) AS relation, CAST(ord AS INTEGER) AS drawing, mime FROM media")
+def word_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.word_media(_images(spark, sf_dir))
+
+
+@query(f"WITH {MEDIA} SELECT doc, string_agg(DISTINCT ext || '=' || mime, ';' ORDER BY ext || '=' || mime) AS types FROM media GROUP BY doc")
+def word_content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.content_types(files.word_media(_images(spark, sf_dir)))
+
+
+RECOGNIZED = """written AS (SELECT conv_id AS doc, turn AS page, CASE WHEN turn % 3 = 0 OR conv_id % 11 = 0 THEN '  ' ELSE coalesce(text, '') END AS text FROM conversations),
+recognized AS (SELECT conv_id AS doc, turn AS page, 'scan ' || turn AS text FROM conversations WHERE conv_id % 11 <> 0),
+pages_of AS (SELECT doc, page, bool_or(trim(text) <> '') AS own FROM written GROUP BY doc, page),
+shown AS (SELECT w.* FROM written w JOIN pages_of p ON w.doc = p.doc AND w.page = p.page WHERE own UNION ALL SELECT r.* FROM recognized r WHERE NOT EXISTS (SELECT 1 FROM pages_of p WHERE p.doc = r.doc AND p.page = r.page AND own))"""
+
+
+def _recognized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    blank = (F.col("turn") % 3 == 0) | (F.col("conv_id") % 11 == 0)
+    written = turns.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.when(blank, "  ").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    recognized = turns.where("conv_id % 11 <> 0").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.concat(F.lit("scan "), F.col("turn").cast("string")).alias("text"))
+    return pages.with_recognized(written, recognized)
+
+
+@query(f"WITH {RECOGNIZED} SELECT doc, page, text FROM shown")
+def recognized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recognized(spark, sf_dir)
+
+
+@query(f"""WITH {RECOGNIZED}, made AS (SELECT doc, count(*) AS n FROM shown WHERE trim(text) <> '' GROUP BY doc)
+SELECT d.doc, CASE WHEN n IS NOT NULL THEN n || ' pages' END AS markdown, CASE WHEN n IS NULL THEN 'noTextFound' END AS error_code FROM (SELECT DISTINCT conv_id AS doc FROM conversations) d LEFT JOIN made USING (doc)""")
+def imported_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _recognized(spark, sf_dir).where(F.trim("text") != "").groupBy("doc").agg(F.concat(F.count("*").cast("string"), F.lit(" pages")).alias("markdown"))
+    return pages.checked_text(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc")).distinct(), made)
+
+
+@query(f"WITH {SEEN}, known AS (SELECT path FROM seen WHERE user_id % 2 = 0 UNION SELECT path FROM stamps WHERE path LIKE '%5%') SELECT path, EXISTS (SELECT 1 FROM stamps s WHERE s.path = known.path) AS has_stamp FROM known")
+def known_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "events").select("user_id").distinct()
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md"))
+    seen = last.where("user_id % 2 = 0").select(F.concat(F.when(F.col("user_id") % 5 == 0, "/tmp/").otherwise("/home/me/"), name).alias("path"))
+    stamps = last.where("user_id % 3 = 0").select(F.concat(F.lit("/home/me/"), name).alias("path"))
+    known = recents.known_paths(seen, stamps.where(F.col("path").contains("5")))
+    kept = recents.pruned_stamps(stamps, known).withColumn("has_stamp", F.lit(True))
+    return known.join(kept, "path", "left").select("path", F.coalesce("has_stamp", F.lit(False)).alias("has_stamp"))
+
+
+@query("SELECT doc_id, CAST(coalesce(instr(lower(text), 'the'), 0) AS INTEGER) AS first_at, CAST(coalesce((length(text) - length(replace(lower(text), 'the', ''))) // 3, 0) AS BIGINT) AS hits FROM documents WHERE contains(lower(text), 'the')")
+def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.found(table(spark, sf_dir, "documents"), "the").select("doc_id", "first_at", "hits")

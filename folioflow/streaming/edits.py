@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def settled_edits(edits: DataFrame, pause: str = "60 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -23,11 +27,49 @@ def import_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("import_id").agg(F.max(held).alias("fraction")).withColumn("done", F.col("fraction") >= 1.0)
 
 
-def keep_last_opened(opened: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """A table of the last time each path was opened, as a Parquet folder a batch.
+def width_changes(widths: DataFrame, least: float = 0.5) -> DataFrame:
+    """view, width: the last width of each view in a micro-batch, where it moved by more than `least` since the one told before.
+
+    widths has view, seq and width. A view's state is one number.
+    """
+
+    def step(key, frames, state: GroupState):
+        last = None
+        for frame in frames:
+            row = frame.loc[frame["seq"].idxmax()]
+            if last is None or row["seq"] > last["seq"]:
+                last = row
+        before = state.get[0] if state.exists else 0.0
+        if last is not None and abs(last["width"] - before) > least:
+            state.update((float(last["width"]),))
+            yield pd.DataFrame({"view": [key[0]], "width": [float(last["width"])]})
+
+    return widths.groupBy("view").applyInPandasWithState(step, "view string, width double", "width double", "append", GroupStateTimeout.NoTimeout)
+
+
+def import_queue(paths: DataFrame, convert: Callable[[DataFrame], DataFrame], done: str, failed: str, checkpoint: str) -> StreamingQuery:
+    """Imports of files in micro-batches, one after the other; a file that fails goes to the folder `failed` and the rest goes on.
+
+    convert makes path, data, error_code of a batch. Each batch has its own folder, so that one that runs again writes the
+    same. Stopping the query (or interrupting its tag) cancels what has not begun.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        made = convert(batch).persist()
+        try:
+            made.where("error_code IS NULL").write.mode("overwrite").parquet(f"{done}/v{number}")
+            made.where("error_code IS NOT NULL").write.mode("overwrite").parquet(f"{failed}/v{number}")
+        finally:
+            made.unpersist()
+
+    return paths.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_last_opened(opened: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, keep: int = 2) -> StreamingQuery:
+    """A table of the last time each path was opened, as a Parquet folder a batch; with known (path), of those paths only.
 
     Every batch merges into a new folder, path/v<batch>, from the one before, so that a batch that runs again writes the
-    same rows and readers never see half a table.
+    same rows and readers never see half a table. The last `keep` folders stay.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -35,6 +77,12 @@ def keep_last_opened(opened: DataFrame, path: str, checkpoint: str) -> Streaming
         if number:
             before = batch.sparkSession.read.parquet(f"{path}/v{number - 1}")
             rows = rows.unionByName(before).groupBy("path").agg(F.max("opened").alias("opened"))
+        if known is not None:
+            rows = rows.join(known.select("path").distinct(), "path", "left_semi")
         rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number >= keep:
+            context = batch.sparkSession.sparkContext
+            old = context._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - keep}")
+            old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
 
     return opened.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -30,6 +30,6 @@ def test_lines_stand_in_order(spark, sf):
     source = inputs.markdown_documents(docs).first().source
     places = [source.find(x) for x in LINES]
     assert places == sorted(places) and places[0] >= 0
-    rows = inputs.whole_marked_lines(docs).orderBy("pos").collect()
+    rows = inputs.marked_lines(docs).orderBy("pos").collect()
     assert len({r.pos for r in rows}) == len(rows) and [r.text for r in rows if r.text == ""] == [""] * 4
     assert all(any(x in r.text for r in rows) for x in LINES)
