@@ -12,12 +12,14 @@ Every query travels to every block; each block returns k rows a query, and a win
 
 Cases: vectors that are null, or hold null or non-finite components, or whose length differs from the query's, take no
 part; an empty vector has score 0 with every other empty one; ties go to the smaller id; a null id takes no part; rows
-that repeat an id are one candidate each and none of them is a candidate of that id's query; scores beyond 64 bits are
+that repeat an id are one candidate each and none of them is a candidate of that id's query; equal rows of queries are one
+query, and different vectors of one id are asked each and share its k best; scores beyond 64 bits are
 held at the ends of that range; fewer candidates than k give fewer rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,11 @@ from folioflow.llm.common import boundaries
 SCALE = 256
 #: Low bits that slices leave to the exact step.
 SHIFT = 3
-#: Rows of a block of the index, on average.
+#: Rows of a block of the index, on average, while there are few; they grow with the root of the number of rows, so that
+#: fewer blocks meet each query, up to what a task can hold.
 BLOCK_ROWS = 8192
+BLOCK_BY_ROOT = 8
+MAX_BLOCK_VALUES = 8_000_000
 #: Values and queries up to this size are summed in 64 bits; larger ones by Python's integers.
 SAFE = 1 << 24
 LIMITS = (-(1 << 63), (1 << 63) - 1)
@@ -155,14 +160,18 @@ def carry_save(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
+def block_rows(n: int, wide: int) -> int:
+    return max(1, min(max(BLOCK_ROWS, BLOCK_BY_ROOT * math.isqrt(n)), MAX_BLOCK_VALUES // max(1, wide)))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of vectors by integer inner product."""
     usable = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     clean = lambda df: df.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("wide"))
-    rows, asked = clean(vectors), clean(queries)
+    rows, asked = clean(vectors), clean(queries).dropDuplicates(["id", "v"])
     spark = vectors.sparkSession
     sizes = {r["wide"]: r["n"] for r in rows.groupBy("wide").agg(F.count("*").alias("n")).collect()}
-    shape = [(w, max(1, -(-n // BLOCK_ROWS))) for w, n in sizes.items()]
+    shape = [(w, -(-n // block_rows(n, w))) for w, n in sizes.items()]
     shapes = F.broadcast(spark.createDataFrame(shape, "wide int, blocks int"))  # a row for each length of vectors
     # a block's rows come first, then the queries, one by one: a task holds one block and no more queries than a batch
     index = rows.join(shapes, "wide").select("wide", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")

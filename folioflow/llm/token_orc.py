@@ -6,7 +6,7 @@ ORC stores as run-length encoded integers in stripes. Readers split files by str
 minima and maxima of the row index, and look up single documents by the Bloom filter.
 
 Cases: a null or empty text gives only the end id; a null document id sorts first; rows with the same id keep all
-their copies, ordered by text; an empty table gives an empty file set; other columns are not read.
+their copies, ordered by a hash of their texts, and may fill many files; an empty table gives an empty file set; other columns are not read.
 """
 
 from __future__ import annotations
@@ -128,8 +128,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                 seq += n
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "doc_id long, part int, seq long, ids array<int>").write.options(**ORC).orc(path)
+    # a hash of the text parts the rows of an id that many of them have
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, "doc_id long, part int, seq long, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -36,6 +36,20 @@ def test_matches_brute_force_over_many_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_grow_with_the_rows():
+    assert [bt.block_rows(n, 64) for n in (1, 51_282, 10**8, 10**10)] == [8192, 8192, 80_000, 125_000] and bt.block_rows(1, 10**8) == 1
+
+
+def test_queries_that_repeat_an_id(spark):
+    rows = data(60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = spark.createDataFrame([rows[0], rows[0], (50, rows[50][1], 0, "x")], SCHEMA)
+    assert sorted(map(tuple, bt.top_k(df, asked).collect())) == brute(rows)
+    both = spark.createDataFrame([rows[0], (0, rows[1][1], 0, "x")], SCHEMA)
+    found = bt.top_k(df, both).collect()
+    assert sorted(r["rank"] for r in found) == [1, 2, 3, 4, 5] and all(r.vec_id != 0 for r in found)
+
+
 def test_cases(spark):
     rows = data(30) + [(100, None, 0, "x"), (150, [None] + [0.1] * 11, 0, "x"), (200, [float("nan")] * 12, 0, "x"), (201, [float("inf")] * 12, 0, "x"), (250, [], 0, "x"), (300, [], 0, "x"), (350, [1.0, 2.0], 0, "x"), (None, [0.1] * 12, 0, "x"), (400, [1e6] * 12, 0, "x"), (450, [1e30] * 12, 0, "x"), (451, [-1e-9] * 12, 0, "x")]
     assert run(spark, rows) == brute(rows)
