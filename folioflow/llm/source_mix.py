@@ -6,7 +6,7 @@ last. The network holds one node for each pattern and source, whatever the numbe
 documents are taken in a seeded order, whole, until its flow is met.
 
 Cases: a null or empty text has size 0 and nothing is taken of it; null sources form one source, last in order; rows with
-one id share a place in the order and are taken alike, each of them counts; documents without any source are not taken (target null); an empty
+one id and text share a place in the order and are taken alike, each of them counts; documents without any source are not taken (target null); an empty
 table gives an empty one; other columns are not read.
 """
 
@@ -111,7 +111,7 @@ def patterned(docs: DataFrame, members: str, id_col: str, text_col: str, seed: i
         docs.withColumn("__size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn("__members", names)
         .withColumn("__pattern", F.concat_ws("\x01", F.transform("__members", lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("-")))))
-        .withColumn("__place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
+        .withColumn("__place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.md5(text_col))))
         .withColumn("__bucket", F.conv(F.substring("__place", 1, 3), 16, 10).cast("int"))
     )
 
@@ -198,7 +198,7 @@ def mixed_documents(docs: DataFrame, members: str = "array(source)", id_col: str
 #: The mix of `documents` by source. Targets fill like water: sources are capped in the order of twice their size by weight.
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR))) AS place,
+  SELECT doc_id, source, md5(concat_ws(':', '0', CAST(doc_id AS VARCHAR), md5(text))) AS place,
     CAST(coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size FROM documents),
 sources AS (
   SELECT source, size, [5, 2, 1][i % 3 + 1] AS w FROM (

@@ -41,7 +41,7 @@ def brute(data):
     out = []
     for s in names:
         run, (copies, rest) = 0, divmod(round(targets[s]), sizes[s]) if sizes[s] else (0, 0)
-        mine = sorted((hashlib.md5(("0" if d is None else f"0:{d}").encode()).hexdigest(), words(t), d) for d, t, x, *_ in data if x == s)
+        mine = sorted((hashlib.md5(":".join(["0", *([] if d is None else [str(d)]), *([] if t is None else [hashlib.md5(t.encode()).hexdigest()])]).encode()).hexdigest(), words(t), d) for d, t, x, *_ in data if x == s)
         for place in sorted({m for m, *_ in mine}):
             same = [(n, d) for m, n, d in mine if m == place]
             words_ = sum(n for n, _ in same)
