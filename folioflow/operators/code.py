@@ -68,33 +68,27 @@ def highlighted(text: Column, language: Column) -> Column:
 
 
 def code_tokens(code: DataFrame, language: str) -> DataFrame:
-    """doc, ord, loc, len, token, lexeme for code (doc, text) of one language or alias; other columns are kept before them.
+    """tokens_by_language of code (doc, text) in one language or alias; an unknown language gives no rows."""
+    return tokens_by_language(code.withColumn("language", F.lit(language))).drop("language")
 
-    An unknown language gives no rows.
+
+def tokens_by_language(code: DataFrame) -> DataFrame:
+    """doc, ord, loc, len, token, lexeme for code (doc, text, language, ...); other columns are kept before them.
 
     Alternatives in order: comment, string, number, word. A number goes on over hexadecimal digits, x, points and
     underscores. Every character is in one lexeme, so a running sum of lengths gives the places. Blanks and punctuation are
-    left out. doc must tell texts apart.
+    left out, and so are rows of unknown languages. doc must tell texts apart.
     """
-    known = ALIASES.get(language.lower())
-    code, lang = (code, LANGUAGES[known]) if known else (code.limit(0), LANGUAGES["json"])
-    pattern = lexeme_pattern(lang)
+    known = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))[F.lower("language")]
+    lexemes, token = F.array().cast("array<string>"), F.lit(None).cast("string")
+    for name, lang in LANGUAGES.items():
+        lexemes = F.when(F.col("__known") == name, F.regexp_extract_all("text", F.lit(f"({lexeme_pattern(lang)})"), F.lit(1))).otherwise(lexemes)
+        token = F.when(F.col("__known") == name, token_of(F.col("lexeme"), lang)).otherwise(token)
     others = [x for x in code.columns if x not in ("doc", "text")]
-    lexed = code.withColumn("lexemes", F.regexp_extract_all("text", F.lit(f"({pattern})"), 1))
-    rows = lexed.select("doc", *others, F.posexplode("lexemes").alias("ord", "lexeme"))
+    rows = code.withColumn("__known", known).where("__known IS NOT NULL").select("doc", *others, "__known", F.posexplode(lexemes).alias("ord", "lexeme"))
     before = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    token = token_of(F.col("lexeme"), lang)
-    return rows.withColumn("loc", F.coalesce(F.sum(utf16_length(F.col("lexeme"))).over(before), F.lit(0))).withColumn("token", token).where("token IS NOT NULL").select("doc", *others, "ord", "loc", utf16_length(F.col("lexeme")).alias("len"), "token", "lexeme")
-
-
-def tokens_by_language(code: DataFrame) -> DataFrame:
-    """code_tokens of code (doc, text, language, ...), each row by its own language; rows of unknown languages give none."""
-    found = F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))[F.lower("language")]
-    out = None
-    for name in LANGUAGES:
-        some = code_tokens(code.where(found == name), name)
-        out = some if out is None else out.unionByName(some)
-    return out
+    placed = rows.withColumn("loc", F.coalesce(F.sum(utf16_length(F.col("lexeme"))).over(before), F.lit(0))).withColumn("token", token).where("token IS NOT NULL")
+    return placed.select("doc", *others, "ord", "loc", utf16_length(F.col("lexeme")).alias("len"), "token", "lexeme")
 
 
 def fenced_tokens(docs: DataFrame) -> DataFrame:
