@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import stage
+
 #: Sites on which a line is boilerplate.
 MIN_SITES = 10
 #: log2 of a sketch's buckets: the standard error is 1.04 / sqrt(4096), 1.6 %.
@@ -23,6 +25,8 @@ LOG_BUCKETS = 12
 NEAR = 0.08
 #: Copies of the few spread lines, over which a hot line's occurrences are dealt in joins.
 SALTS = 32
+#: Texts copied over several sites whose keys (some 50 bytes each) are sent to every executor at most; more of them are joined by a shuffle.
+BROADCAST_COPIES = 200_000
 
 
 def trimmed(line: Column) -> Column:
@@ -75,10 +79,13 @@ def sites_of_texts(docs: DataFrame, id_col: str, site_col: str, text_col: str) -
     """docs with the least site among a text's copies in place of their own, so that copies of a text add one site to a line."""
     site = F.coalesce(F.col(site_col).cast("string"), F.lit(""))
     rows = docs.select(F.md5(text_col).alias("__text_key"), site.alias("__own"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("__salt"), *docs.columns)
-    copied = rows.groupBy("__text_key").agg(F.min("__own").alias("__first"), F.max("__own").alias("__last")).where("__first < __last").select("__text_key", "__first")
-    dealt = copied.select("__text_key", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
-    found = rows.join(dealt, ["__text_key", "__salt"], "left").withColumn(site_col, F.coalesce("__first", "__own"))
-    return found.select(*docs.columns)
+    copied = stage(rows.groupBy("__text_key").agg(F.min("__own").alias("__first"), F.max("__own").alias("__last")).where("__first < __last").select("__text_key", "__first"), "copied-texts")
+    if copied.count() <= BROADCAST_COPIES:
+        found = rows.join(F.broadcast(copied), "__text_key", "left")
+    else:
+        dealt = copied.select("__text_key", "__first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("__salt"))
+        found = rows.join(dealt, ["__text_key", "__salt"], "left")
+    return found.withColumn(site_col, F.coalesce("__first", "__own")).select(*docs.columns)
 
 
 def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, copies_count: bool = True) -> DataFrame:

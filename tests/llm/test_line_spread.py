@@ -51,10 +51,12 @@ def test_sql_agrees(spark):
     assert sorted(con.execute(line_spread.SQL).fetchall(), key=str) == brute(ROWS, 10)
 
 
-def test_copies_of_a_text_need_not_count(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_copies_of_a_text_need_not_count(spark, monkeypatch, most):
     """In the pipeline a text copied over many sites stays; a line shared by other texts still goes, and so it does from copies."""
     import corpus_pipeline
 
+    monkeypatch.setattr(line_spread, "BROADCAST_COPIES", most)
     copies = [(i, f"copied line\nand another\n{BOILER}", "en", f"s{i}", 50) for i in range(25)]
     others = [(100 + i, f"{BOILER}\nown line {i}", "en", f"s{i}", 30) for i in range(10)] + [(200, None, "en", "s1", 0), (201, "", "en", None, 0)]
     docs = spark.createDataFrame(copies + others, "doc_id long, text string, lang string, source string, n_chars long")
