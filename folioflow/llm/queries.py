@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bitslice_topk, embedding_dedup, language_kernel, line_spread, ngram_join, quality_bayes, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
+from folioflow.llm import bitslice_topk, embedding_dedup, language_kernel, line_spread, merkle_manifest, ngram_join, quality_bayes, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
 from folioflow.llm.common import fresh_path
 
 
@@ -59,6 +59,10 @@ def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_bayes": op2_quality_bayes,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_kernel": op9_language_kernel,
     "op10_bitslice_topk": op10_bitslice_topk,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -79,4 +84,5 @@ SQL: dict[str, str] = {
     "op5_embedding_dedup": embedding_dedup.SQL,
     "op7_line_spread": line_spread.SQL,
     "op10_bitslice_topk": bitslice_topk.SQL,
+    "op12_merkle_manifest": merkle_manifest.SQL,
 }
