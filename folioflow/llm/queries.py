@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import bitslice_topk, embedding_dedup, language_kernel, line_spread, merkle_manifest, ngram_join, quality_bayes, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
+from folioflow.llm import bitslice_topk, chat_tokens, embedding_dedup, embedding_whitening, language_kernel, line_spread, merkle_manifest, ngram_join, quality_bayes, sentencepiece_unigram, source_mix, suffix_dedup, token_orc
 from folioflow.llm.common import fresh_path
 
 
@@ -59,10 +59,21 @@ def op10_bitslice_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_tokens.formatted_digest(turns.union(own), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_bayes": op2_quality_bayes,
@@ -74,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_kernel": op9_language_kernel,
     "op10_bitslice_topk": op10_bitslice_topk,
+    "op11_chat_tokens": op11_chat_tokens,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
@@ -84,5 +97,6 @@ SQL: dict[str, str] = {
     "op5_embedding_dedup": embedding_dedup.SQL,
     "op7_line_spread": line_spread.SQL,
     "op10_bitslice_topk": bitslice_topk.SQL,
+    "op11_chat_tokens": chat_tokens.SQL,
     "op12_merkle_manifest": merkle_manifest.SQL,
 }
