@@ -2,7 +2,7 @@
 
 Blocks are found line by line: fences, headings (also underlined ones), rules, quotes, list items, tables, raw HTML and
 paragraphs. A line of text goes on with the item, quote, table or HTML before it until a blank line. Blocks within items and
-quotes, and reference links, are not followed. `rendering` makes HTML and plain text of blocks.
+quotes are not followed: these are the flat blocks of an editor's lines. `structure` follows them.
 
 A window by document holds one document's lines; no step gathers more than a document's fence lines in a row.
 """
@@ -22,6 +22,8 @@ RULE = r"^ {0,3}(?:-[ \t]*-[ \t]*-[- \t]*|\*[ \t]*\*[ \t]*\*[* \t]*|_[ \t]*_[ \t
 UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*$"
 QUOTE = r"^((?: {0,3}> ?)+)"
 HTML = r"^ {0,3}</?[A-Za-z!]"
+#: How deep items are nested by their indents.
+LEVELS = 8
 
 
 def source_lines(docs: DataFrame) -> DataFrame:
@@ -64,7 +66,9 @@ def line_kinds(lines: DataFrame) -> DataFrame:
     inside = F.sum((F.col("role") == "open").cast("int")).over(order) > F.coalesce(F.sum((F.col("role") == "close").cast("int")).over(before), F.lit(0))
     rows = fence_roles(lines).withColumn("inside", F.coalesce(inside, F.lit(False)))
     following = F.lead("text").over(order)
-    heads_table = text.contains("|") & ~text.rlike(SEPARATOR) & F.coalesce(following.rlike(SEPARATOR) & following.contains("|"), F.lit(False))
+    # a head has as many cells as its separator; pipes at the edges and escaped ones part none
+    cells = lambda x: F.size(F.split(F.regexp_replace(F.trim(F.replace(x, F.lit("\\|"), F.lit(""))), r"^\||\|$", ""), r"\|"))
+    heads_table = text.contains("|") & ~text.rlike(SEPARATOR) & F.coalesce(following.rlike(SEPARATOR) & following.contains("|") & (cells(text) == cells(following)), F.lit(False))
     first = (
         F.when(F.col("inside"), "code")
         .when(text.rlike(r"^[ \t]*$"), "blank")
@@ -175,3 +179,34 @@ def markers(docs: DataFrame) -> DataFrame:
         .otherwise(F.array(part(F.col("loc"), size, "hidden")))
     )
     return rows.select("doc", F.explode(found).alias("m")).select("doc", "m.loc", "m.len", "m.presentation").where("len > 0")
+
+
+def with_lists(found: DataFrame) -> DataFrame:
+    """blocks with the structure of lists: depth, next_depth, run_ends, new_list, lists (mark of the open list at each depth), start, nth, any_box.
+
+    A run is a row of items without another block between them. An item stands one deeper for every two blanks more than the
+    run's first, LEVELS at most. A list goes on while its mark (-, *, +, . or )) stays.
+    """
+    order = Window.partitionBy("doc").orderBy("block")
+    item = F.col("kind") == "item"
+    starts = item & F.coalesce(F.lag("kind").over(order) != "item", F.lit(True))
+    rows = found.withColumn("is_item", item).withColumn("run", F.sum(starts.cast("int")).over(order))
+    run = Window.partitionBy("doc", "run", "is_item").orderBy("block")
+    depth = F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.floor((F.col("indent") - F.first("indent").over(run)) / 2).cast("int") + 1))
+    rows = rows.withColumn("depth", F.when(item, depth)).withColumn("mark", F.substring("marker", -1, 1))
+    upto = [F.last(F.when(F.col("depth") == k, F.col("mark")), ignorenulls=True).over(run) for k in range(1, LEVELS + 1)]
+    rows = rows.withColumn("lists", F.array(*(F.coalesce(x, F.lit("-")) for x in upto)))
+    last_depth, last_lists = F.coalesce(F.lag("depth").over(run), F.lit(0)), F.lag("lists").over(run)
+    rows = rows.withColumn("last_depth", last_depth).withColumn("last_lists", last_lists)
+    new = (F.col("depth") > F.col("last_depth")) | (F.element_at("last_lists", F.col("depth")) != F.col("mark"))
+    rows = rows.withColumn("new_list", F.when(F.col("is_item"), new)).withColumn("next_depth", F.coalesce(F.lead("depth").over(run), F.lit(0)))
+    rows = rows.withColumn("next_new", F.lead("new_list").over(run))
+    level = Window.partitionBy("doc", "run", "is_item", "depth").orderBy("block")
+    rows = rows.withColumn("list_id", F.sum(F.col("new_list").cast("int")).over(level))
+    one = Window.partitionBy("doc", "run", "is_item", "depth", "list_id")
+    number = F.regexp_extract("marker", r"^(\d+)", 1).try_cast("long")
+    return (
+        rows.withColumn("start", F.first(number).over(one.orderBy("block")))
+        .withColumn("nth", F.row_number().over(one.orderBy("block")) - 1)
+        .withColumn("any_box", F.max(F.col("checked").isNotNull()).over(one))
+    )

@@ -84,6 +84,55 @@ def trait_unions(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc", "loc").agg(F.bit_or("traits").alias("traits"))
 
 
+def segments(spans: DataFrame, bits: int = 5) -> DataFrame:
+    """doc, loc, len, traits: spans (doc, loc, len, traits) cut at every place where one begins or ends, with the bits of all that cover a piece.
+
+    A sweep counts each bit's open spans over a document's places, so overlapping spans are never paired. Pieces that no bit
+    covers are left out, and so are empty spans and nulls.
+    """
+    kept = spans.where("len > 0 AND doc IS NOT NULL AND loc IS NOT NULL AND traits IS NOT NULL")
+    edges = kept.select("doc", "traits", F.explode(F.array(F.struct(F.col("loc").alias("at"), F.lit(1).alias("step")), F.struct(_end().alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    steps = [F.sum(F.col("e.step") * F.shiftright("traits", b).bitwiseAND(1)).alias(f"__{b}") for b in range(bits)]
+    places = edges.groupBy("doc", F.col("e.at").alias("loc")).agg(*steps)
+    order = Window.partitionBy("doc").orderBy("loc")
+    open_bits = [F.when(F.sum(f"__{b}").over(order) > 0, F.lit(1 << b)).otherwise(0) for b in range(bits)]
+    traits = open_bits[0]
+    for x in open_bits[1:]:
+        traits = traits + x
+    return places.select("doc", "loc", (F.lead("loc").over(order) - F.col("loc")).alias("len"), traits.alias("traits")).where("traits > 0")
+
+
+def touched(selections: DataFrame, layout: DataFrame) -> DataFrame:
+    """selections (doc, loc, len, ...) with each block (block_loc, block_len) of layout (doc, loc, len) that shares a unit with one or meets it at an end.
+
+    Both are joined by document and the stretches they reach into; a pair is told in the first stretch that holds both.
+    """
+    stretch = lambda x: F.floor(x / STRETCH)
+    spread = lambda df: df.withColumn("__stretch", F.explode(F.sequence(stretch(F.col("loc")), stretch(_end()))))
+    blocks = spread(layout.where("loc IS NOT NULL AND len >= 0").select("doc", "loc", "len").distinct()).select("doc", "__stretch", F.col("loc").alias("block_loc"), F.col("len").alias("block_len"))
+    pairs = spread(selections.where("loc IS NOT NULL AND len >= 0")).join(blocks, ["doc", "__stretch"])
+    met = (F.col("block_loc") <= _end()) & (F.col("block_loc") + F.col("block_len") >= F.col("loc"))
+    first = F.col("__stretch") == F.greatest(stretch(F.col("loc")), stretch(F.col("block_loc")))
+    return pairs.where(met & first).drop("__stretch")
+
+
+def reveal_changes(selections: DataFrame, layout: DataFrame) -> DataFrame:
+    """doc, seq, loc, len, change (1 or -1): the blocks that become active, and those that no longer are, with each selection (doc, seq, loc, len).
+
+    A block enters where the selection before doesn't touch it, and leaves with the first one that doesn't, if there is one.
+    `streaming.reveal` does the same for a stream. Changes up to a selection, added up, are its active blocks.
+    """
+    order = Window.partitionBy("doc").orderBy("seq")
+    ranked = selections.select("doc", "seq", "loc", "len", F.row_number().over(order).alias("nth"))
+    by_block = Window.partitionBy("doc", "block_loc", "block_len").orderBy("nth")
+    near = lambda c, step: F.coalesce(c.over(by_block) == F.col("nth") + step, F.lit(False))
+    active = touched(ranked, layout).withColumns({"goes_on": near(F.lag("nth"), -1), "stays": near(F.lead("nth"), 1)})
+    enters = active.where("NOT goes_on").select("doc", "seq", F.col("block_loc").alias("loc"), F.col("block_len").alias("len"), F.lit(1).alias("change"))
+    nexts = ranked.select("doc", F.col("nth").alias("left_at"), F.col("seq").alias("left_seq"))
+    leaves = active.where("NOT stays").withColumn("left_at", F.col("nth") + 1).join(nexts, ["doc", "left_at"])
+    return enters.unionByName(leaves.select("doc", F.col("left_seq").alias("seq"), F.col("block_loc").alias("loc"), F.col("block_len").alias("len"), F.lit(-1).alias("change")))
+
+
 def in_order(spans: DataFrame) -> DataFrame:
     """spans (doc, loc, len) without those that begin before the end of an earlier one."""
     before = Window.partitionBy("doc").orderBy("loc", "len").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,279 +1,186 @@
-"""HTML and plain text of Markdown blocks.
+"""HTML and plain text of Markdown, from the blocks and inline pieces of `structure`.
 
-Inline marks are replaced step by step in each block's text: escaped marks and the insides of code spans go into a private
-range of characters first and come back at the end, so no step sees them. Lists are nested by windows over a run of items:
-each item opens and closes the lists between its depth and its neighbours'. Joins add anchors and drawn diagrams.
+A block's inline pieces become text by one expression each. A document's blocks then meet in one row, where each opens the
+containers that the block before it does not stand in and closes those that the next one doesn't. A document is thus
+shuffled twice, by lines and by blocks, whatever its marks; its row is as long as what is made of it. A join adds drawn
+diagrams.
+
+Cases: null and empty sources give empty texts; the same doc twice is rendered once for each, of all their lines; without
+raw_html no tag of a source is left one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import attribute_escape, grapheme_length, html_escape
 from folioflow.operators import code, tables
-from folioflow.operators.markdown import blocks, with_anchors
-
-#: Marks that a backslash escapes, and the characters that stand for them meanwhile.
-MARKS = "\\`*_[]()#~|>!<&-.+\""
-HIDDEN = "".join(chr(0xE000 + ord(c)) for c in MARKS)
-#: What parts the cells of a table meanwhile: no inline mark reaches over it.
-CELL = "\n\x1f"
-LEVELS = 8
-CODE = "`([^`\x1f]*)`"
-AUTOLINK = r"(https?://[^\s<>&]+)"
-TARGET = r"\(([^)\s\x1f]*)\)"
-TITLED = r"\(([^)\s\x1f]*)[ ]+{q}([^)\x1f]*?){q}\)"
-WORDS = r"\[([^\]\x1f]*)\]"
-#: Patterns of marks around text, and the tag of each.
-SPANS = (
-    (r"\*\*([^\s*](?:[^\n]*?[^\s*])?)\*\*", "$1", "strong", "$2"),
-    (r"(^|[^\p{L}\p{N}_])__([^\s_](?:[^\n]*?[^\s_])?)__", "$2", "strong", "$1"),
-    (r"~~([^\s~](?:[^\n]*?[^\s~])?)~~", "$1", "del", "$2"),
-    (r"\*([^\s*](?:[^*\n]*[^\s*])?)\*", "$1", "em", "$2"),
-    (r"(^|[^\p{L}\p{N}_])_([^\s_](?:[^_\n]*[^\s_])?)_", "$2", "em", "$1"),
-)
-
-
-def protected(s: Column) -> Column:
-    """Escaped marks as hidden characters."""
-    for mark, hidden in zip(MARKS, HIDDEN, strict=True):
-        s = F.replace(s, F.lit("\\" + mark), F.lit(hidden))
-    return s
-
-
-def each_match(s: Column, pattern: str, to: Callable[[Column], Column], start: Column | None = None) -> Column:
-    """s (or start) with all that pattern matches in s replaced by what to says of it."""
-    return F.aggregate(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), s if start is None else start, lambda acc, m: F.replace(acc, m, to(m)))
-
-
-def escapes_kept(s: Column) -> Column:
-    """Hidden escapes as they were written, their backslashes hidden."""
-    for hidden in HIDDEN:
-        s = F.replace(s, F.lit(hidden), F.lit(HIDDEN[0] + hidden))
-    return s
-
-
-def code_inside(m: Column) -> Column:
-    """What a code span holds, hidden from the steps that follow."""
-    inner = F.replace(F.substring(m, F.lit(2), F.length(m) - 2), F.lit("\n"), F.lit(" "))
-    return F.translate(escapes_kept(inner), MARKS, HIDDEN)
-
-
-def spans(s: Column, tagged: bool) -> Column:
-    for pattern, inner, tag, lead in SPANS:
-        before = lead if lead == "$1" else ""
-        to = f"{before}<{tag}>{inner}</{tag}>" if tagged else f"{before}{inner}"
-        s = F.regexp_replace(s, pattern, to)
-    return s
-
-
-def revealed(s: Column, escape: bool) -> Column:
-    """Hidden characters as themselves; with escape, as HTML has them."""
-    s = F.translate(s, HIDDEN, MARKS) if not escape else s
-    if escape:
-        named = {"<": "&lt;", ">": "&gt;", "&": "&", '"': "&quot;"}
-        for mark, hidden in zip(MARKS, HIDDEN, strict=True):
-            s = F.replace(s, F.lit(hidden), F.lit(named.get(mark, mark)))
-    return s
-
-
-def with_inline_html(df: DataFrame, source: str, out: str, raw_html: bool = True) -> DataFrame:
-    """df with the column source as inline HTML in out; each step is a column of its own, so that none is computed twice."""
-    quoted = TITLED.replace("{q}", "&quot;")
-    steps = [
-        lambda s: html_escape(protected(s)),
-        lambda s: each_match(s, CODE, lambda m: F.concat(F.lit("\ue03ccode\ue03e"), code_inside(m), F.lit("\ue03c/code\ue03e"))),
-        lambda s: F.regexp_replace(s, f"&lt;{AUTOLINK}&gt;", '<a href="$1">$1</a>'),
-    ]
-    if raw_html:
-        tag = "&lt;(?:/?[A-Za-z][^&<>\x1f]*(?:&quot;[^&<>\x1f]*)*|!--[^<>\x1f]*?--)&gt;"
-        steps.append(lambda s: each_match(s, tag, lambda m: F.translate(F.replace(F.replace(F.replace(m, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), '*_[]()~!<>"', "\ue02a\ue05f\ue05b\ue05d\ue028\ue029\ue07e\ue021\ue001\ue002\ue003")))
-    steps += [
-        lambda s: F.regexp_replace(F.regexp_replace(s, "!" + WORDS + quoted, '<img src="$2" alt="$1" title="$3">'), "!" + WORDS + TARGET, '<img src="$2" alt="$1">'),
-        lambda s: F.regexp_replace(F.regexp_replace(s, WORDS + quoted, '<a href="$2" title="$3">$1</a>'), WORDS + TARGET, '<a href="$2">$1</a>'),
-        lambda s: spans(s, True),
-        lambda s: F.regexp_replace(s, r"(?: {2,}|\\)\n", "<br>\n"),
-        lambda s: F.translate(revealed(F.replace(F.replace(s, F.lit("\ue03ccode\ue03e"), F.lit("<code>")), F.lit("\ue03c/code\ue03e"), F.lit("</code>")), True), "\ue001\ue002\ue003", '<>"'),
-    ]
-    return stepwise(df, source, out, steps)
-
-
-def with_inline_text(df: DataFrame, source: str, out: str) -> DataFrame:
-    """df with the column source without its marks in out: links show their target behind the text, images their description and source."""
-    quoted = TITLED.replace("{q}", '"')
-    link = WORDS + TARGET
-
-    def shown_link(m: Column) -> Column:
-        words, target = F.regexp_extract(m, link, 1), F.regexp_extract(m, link, 2)
-        return F.when((target == "") | (words == target), words).otherwise(F.concat(words, F.lit(" \ue028"), target, F.lit("\ue029")))
-
-    steps = [
-        protected,
-        lambda s: each_match(s, CODE, code_inside),
-        lambda s: F.regexp_replace(F.regexp_replace(s, f"<{AUTOLINK}>", "$1"), "</?[A-Za-z][^<>\x1f]*>|<!--[^<>\x1f]*?-->", ""),
-        lambda s: F.regexp_replace(s, "(!?)" + WORDS + quoted, "$1[$2]($3)"),
-        lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"!\[\]\(\)", ""), r"!\[\]" + TARGET, "\ue05bimage: $1\ue05d"), "!" + WORDS + r"\(\)", "\ue05bimage: $1\ue05d"),
-        lambda s: F.regexp_replace(s, "!" + WORDS + TARGET, "\ue05bimage: $1 — $2\ue05d"),
-        lambda s: each_match(s, link, shown_link),
-        lambda s: spans(s, False),
-        lambda s: revealed(F.regexp_replace(s, r"(?: {2,}|\\)\n", "\n"), False),
-    ]
-    return stepwise(df, source, out, steps)
-
-
-def stepwise(df: DataFrame, source: str, out: str, steps: list[Callable[[Column], Column]]) -> DataFrame:
-    df = df.withColumn(out, F.col(source))
-    for step in steps:
-        df = df.withColumn(out, step(F.col(out)))
-    return df
-
-
-def inline_source() -> Column:
-    """What holds inline marks: all blocks but code, rules and HTML; the cells of tables are parted."""
-    return F.when(F.col("kind") == "table", F.replace(protected(F.col("text")), F.lit("|"), F.lit(CELL))).when(~F.col("kind").isin("code", "html", "rule"), F.col("text"))
-
-
-def with_grid(df: DataFrame, col: str) -> DataFrame:
-    """df with the cells of tables, each column's alignment (sides) and widest cell."""
-    table = lambda x: F.when(F.col("kind") == "table", x)
-    df = df.withColumn("cells", table(grid(col))).withColumn("sides", table(tables.alignments(F.get(F.split("text", "\n"), F.lit(1)))))
-    sizes = F.transform("cells", lambda r: F.transform(r, grapheme_length))
-    df = df.withColumn("sizes", table(sizes))
-    return df.withColumn("widest", table(F.transform(F.element_at("sizes", 1), lambda n, i: F.array_max(F.transform("sizes", lambda r: F.get(r, i))))))
-
-
-def grid(col: str) -> Column:
-    """Rows of cells of a table's text as parted by inline_source, without the separator; rows are cut or filled to the header's width."""
-    # cells are parted by one character now; edge pipes part nothing
-    lines = F.split(F.replace(F.col(col), F.lit(CELL), F.lit("\x1f")), "\n")
-    cells = lambda line: F.transform(F.split(F.regexp_replace(line, "^[ \t]*\x1f|\x1f[ \t]*$", ""), "\x1f"), lambda c: F.regexp_replace(c, "^[ \t]+|[ \t]+$", ""))
-    rows = F.transform(F.filter(lines, lambda x, i: i != 1), cells)
-    wide = F.size(F.element_at(rows, 1))
-    return F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), wide - 1), lambda k: F.coalesce(F.get(r, k), F.lit(""))))
-
-
-def with_lists(found: DataFrame) -> DataFrame:
-    """blocks with the structure of lists: depth, next_depth, run_ends, new_list, lists (mark of the open list at each depth), start, nth, any_box.
-
-    A run is a row of items without another block between them. An item stands one deeper for every two blanks more than the
-    run's first, LEVELS at most. A list goes on while its mark (-, *, +, . or )) stays.
-    """
-    order = Window.partitionBy("doc").orderBy("block")
-    item = F.col("kind") == "item"
-    starts = item & F.coalesce(F.lag("kind").over(order) != "item", F.lit(True))
-    rows = found.withColumn("is_item", item).withColumn("run", F.sum(starts.cast("int")).over(order))
-    run = Window.partitionBy("doc", "run", "is_item").orderBy("block")
-    depth = F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.floor((F.col("indent") - F.first("indent").over(run)) / 2).cast("int") + 1))
-    rows = rows.withColumn("depth", F.when(item, depth)).withColumn("mark", F.substring("marker", -1, 1))
-    upto = [F.last(F.when(F.col("depth") == k, F.col("mark")), ignorenulls=True).over(run) for k in range(1, LEVELS + 1)]
-    rows = rows.withColumn("lists", F.array(*(F.coalesce(x, F.lit("-")) for x in upto)))
-    last_depth, last_lists = F.coalesce(F.lag("depth").over(run), F.lit(0)), F.lag("lists").over(run)
-    rows = rows.withColumn("last_depth", last_depth).withColumn("last_lists", last_lists)
-    new = (F.col("depth") > F.col("last_depth")) | (F.element_at("last_lists", F.col("depth")) != F.col("mark"))
-    rows = rows.withColumn("new_list", F.when(F.col("is_item"), new)).withColumn("next_depth", F.coalesce(F.lead("depth").over(run), F.lit(0)))
-    rows = rows.withColumn("next_new", F.lead("new_list").over(run))
-    level = Window.partitionBy("doc", "run", "is_item", "depth").orderBy("block")
-    rows = rows.withColumn("list_id", F.sum(F.col("new_list").cast("int")).over(level))
-    one = Window.partitionBy("doc", "run", "is_item", "depth", "list_id")
-    number = F.regexp_extract("marker", r"^(\d+)", 1).try_cast("long")
-    return (
-        rows.withColumn("start", F.first(number).over(one.orderBy("block")))
-        .withColumn("nth", F.row_number().over(one.orderBy("block")) - 1)
-        .withColumn("any_box", F.max(F.col("checked").isNotNull()).over(one))
-    )
+from folioflow.operators.structure import structure
+
 
+def joined(parts: Column) -> Column:
+    return F.array_join(parts, "")
 
-def tag_of(mark: Column) -> Column:
-    return F.when(mark.isin(".", ")"), "ol").otherwise("ul")
+
+def piece_html(p: Column, raw_html: bool) -> Column:
+    title = F.when(p["title"].isNotNull(), F.concat(F.lit(' title="'), attribute_escape(p["title"]), F.lit('"'))).otherwise("")
+    link = attribute_escape(F.coalesce(p["link"], F.lit("")))
+    return (
+        F.when(p["kind"].isin("text", "code"), html_escape(p["text"]))
+        .when(p["kind"] == "soft", "\n")
+        .when((p["kind"] == "open") & (p["tag"] == "a"), F.concat(F.lit('<a href="'), link, F.lit('"'), title, F.lit(">")))
+        .when(p["kind"] == "open", F.concat(F.lit("<"), p["tag"], F.lit(">")))
+        .when(p["kind"] == "close", F.concat(F.lit("</"), p["tag"], F.lit(">")))
+        .when(p["kind"] == "break", "<br>\n")
+        .when(p["kind"] == "image", F.concat(F.lit('<img src="'), link, F.lit('" alt="'), attribute_escape(p["text"]), F.lit('"'), title, F.lit(">")))
+        .otherwise(p["text"] if raw_html else html_escape(p["text"]))
+    )
 
 
-def item_html(inline: Column) -> Column:
-    depth, after, was = F.col("depth"), F.col("next_depth"), F.col("last_depth")
-    opener = F.when(tag_of(F.col("mark")) == "ol", F.concat(F.lit("<ol"), F.when(F.col("start") != 1, F.concat(F.lit(' start="'), F.col("start").cast("string"), F.lit('"'))).otherwise(""), F.lit(">\n"))).otherwise(F.when(F.col("any_box"), '<ul class="task-list">\n').otherwise("<ul>\n"))
-    between = F.array_join(F.transform(F.slice("lists", was + 1, F.greatest(F.lit(0), depth - was - 1)), lambda m: F.concat(F.lit("<"), tag_of(m), F.lit(">\n<li>"))), "")
-    opens = F.when(depth > was, F.concat(between, opener)).when(F.col("new_list"), F.concat(F.lit("</"), tag_of(F.element_at("last_lists", depth)), F.lit(">\n"), opener)).otherwise("")
-    ended = F.reverse(F.slice("lists", after + 1, F.greatest(F.lit(0), depth - after)))
-    closes = F.when(after > depth, "").otherwise(F.concat(F.lit("</li>\n"), F.array_join(F.transform(ended, lambda m, i: F.concat(F.lit("</"), tag_of(m), F.lit(">\n"), F.when(depth - i > 1, "</li>\n").otherwise(""))), "")))
-    body = F.when(after > depth, F.concat(F.lit("<p>"), inline, F.lit("</p>\n"))).otherwise(inline)
-    box = F.when(F.col("checked").isNull(), "<li>").when(F.col("checked"), '<li class="task-item"><input type="checkbox" disabled checked> ').otherwise('<li class="task-item"><input type="checkbox" disabled> ')
-    return F.concat(opens, box, body, closes)
+def piece_text(p: Column) -> Column:
+    """Links show their target behind the words, unless it is the same; images their description and source; tags nothing."""
+    told = F.array_join(F.filter(F.array(p["text"], p["link"]), lambda x: x != ""), " — ")
+    return (
+        F.when(p["kind"].isin("text", "code"), p["text"])
+        .when(p["kind"].isin("soft", "break"), "\n")
+        .when((p["kind"] == "close") & (p["tag"] == "a") & (p["link"] != "") & (p["link"] != p["text"]), F.concat(F.lit(" ("), p["link"], F.lit(")")))
+        .when((p["kind"] == "image") & (told != ""), F.concat(F.lit("[image: "), told, F.lit("]")))
+        .otherwise("")
+    )
 
 
-def quote_html(inline: Column) -> Column:
-    order = Window.partitionBy("doc").orderBy("block")
-    was = F.when(F.col("quote_goes_on"), F.lag("quote_depth").over(order)).otherwise(0)
-    after = F.when(F.lead("quote_goes_on").over(order), F.lead("quote_depth").over(order)).otherwise(0)
-    times = lambda s, n: F.repeat(F.lit(s), F.greatest(F.lit(0), n).cast("int"))
-    return F.concat(times("<blockquote>\n", F.col("quote_depth") - was), F.when(F.col("text") == "", "").otherwise(F.concat(F.lit("<p>"), inline, F.lit("</p>\n"))), times("</blockquote>\n", F.col("quote_depth") - after))
+def with_inlines(found: DataFrame, shown: Callable[[Column], Column]) -> DataFrame:
+    """Blocks with inline, the text of headings and paragraphs, and cells, the rows of tables, as shown says of each piece."""
+    units = F.transform("pieces", lambda unit: joined(F.transform(unit, shown)))
+    rows = found.withColumn("units", units)
+    wide = (F.size("units") / F.greatest(F.lit(1), F.size("lines") - 1)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.size("lines") - 2), lambda k: F.slice("units", k * wide + 1, wide))
+    return rows.withColumn("inline", F.coalesce(F.get("units", F.lit(0)), F.lit(""))).withColumn("cells", F.when(F.col("kind") == "table", cells)).drop("units", "pieces")
 
 
 def table_html() -> Column:
     """thead and tbody of cells, with each column's alignment in sides."""
-    rows, kinds = F.col("cells"), F.col("sides")
-    aligned = lambda i: F.when(F.get(kinds, i).isin("left", "center", "right"), F.concat(F.lit(' style="text-align:'), F.get(kinds, i), F.lit('"'))).otherwise("")
-    row = lambda r, tag: F.concat(F.lit("<tr>\n"), F.array_join(F.transform(r, lambda c, i: F.concat(F.lit(f"<{tag}"), aligned(i), F.lit(">"), c, F.lit(f"</{tag}>\n"))), ""), F.lit("</tr>\n"))
-    body = F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.lit(0), F.size(rows) - 1)), lambda r: row(r, "td")), "")
+    rows = F.col("cells")
+    aligned = lambda i: F.when(F.get("sides", i).isin("left", "center", "right"), F.concat(F.lit(' style="text-align:'), F.get("sides", i), F.lit('"'))).otherwise("")
+    row = lambda r, tag: F.concat(F.lit("<tr>\n"), joined(F.transform(r, lambda c, i: F.concat(F.lit(f"<{tag}"), aligned(i), F.lit(">"), c, F.lit(f"</{tag}>\n")))), F.lit("</tr>\n"))
+    body = joined(F.transform(F.slice(rows, 2, F.greatest(F.lit(0), F.size(rows) - 1)), lambda r: row(r, "td")))
     return F.concat(F.lit("<table>\n<thead>\n"), row(F.element_at(rows, 1), "th"), F.lit("</thead>\n"), F.when(F.size(rows) > 1, F.concat(F.lit("<tbody>\n"), body, F.lit("</tbody>\n"))).otherwise(""), F.lit("</table>\n"))
 
 
 def block_html(raw_html: bool) -> Column:
-    """HTML of blocks with lists, inline, anchor and svg."""
-    text, inline = F.col("text"), F.col("inline")
-    level = F.col("level").cast("string")
+    """HTML of a block by itself; svg is a drawn diagram."""
+    level, inline = F.col("level").cast("string"), F.col("inline")
     language = F.when(F.coalesce("language", F.lit("")) == "", "").otherwise(F.concat(F.lit(' class="language-'), attribute_escape(F.col("language")), F.lit('"')))
+    html = F.concat(F.col("text"), F.lit("\n")) if raw_html else F.concat(F.lit("<p>"), html_escape(F.col("text")), F.lit("\n</p>\n"))
     return (
-        F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(' id="'), attribute_escape(F.coalesce("anchor", F.lit(""))), F.lit('">'), inline, F.lit("</h"), level, F.lit(">\n")))
+        F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, F.lit(' id="'), attribute_escape(F.col("anchor")), F.lit('">'), inline, F.lit("</h"), level, F.lit(">\n")))
         .when((F.col("kind") == "code") & F.col("svg").isNotNull(), F.concat(F.lit('<figure class="diagram">'), F.col("svg"), F.lit("</figure>\n")))
-        .when(F.col("kind") == "code", F.concat(F.lit("<pre><code"), language, F.lit(">"), F.col("highlighted"), F.lit("</code></pre>\n")))
+        .when(F.col("kind") == "code", F.concat(F.lit("<pre><code"), language, F.lit(">"), code.highlighted(F.col("text"), F.col("language")), F.lit("</code></pre>\n")))
         .when(F.col("kind") == "rule", "<hr>\n")
-        .when(F.col("kind") == "quote", quote_html(inline))
-        .when(F.col("kind") == "item", item_html(inline))
         .when(F.col("kind") == "table", table_html())
-        .when(F.col("kind") == "html", F.concat(text, F.lit("\n")) if raw_html else F.concat(F.lit("<p>"), html_escape(text), F.lit("\n</p>\n")))
-        .otherwise(F.concat(F.lit("<p>"), inline, F.lit("</p>\n")))
+        .when(F.col("kind") == "html", html)
+        .when(F.col("kind") == "empty", "")
+        .otherwise(inline)
     )
 
 
-def prefixed(text: Column, first: Column | str, rest: Column | str) -> Column:
-    """Prefixes before the first and all other lines; empty lines stay empty."""
-    first, rest = (x if isinstance(x, Column) else F.lit(x) for x in (first, rest))
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.when(x == "", "").when(i == 0, F.concat(first, x)).otherwise(F.concat(rest, x))), "\n")
-
-
-def item_text(inline: Column) -> Column:
-    mark = F.when(F.col("checked"), "[x] ").when(F.col("checked").isNotNull(), "[ ] ").when(tag_of(F.col("mark")) == "ol", F.concat((F.col("start") + F.col("nth")).cast("string"), F.lit(". "))).otherwise("•  ")
-    steps = lambda n: F.repeat(F.lit("   "), n)
-    outer = steps(F.col("depth") - 1)
-    body = F.when(inline == "", F.concat(outer, F.rtrim(mark))).otherwise(prefixed(inline, F.concat(outer, mark), steps(F.col("depth"))))
-    # a list's end leaves one more blank line
-    ends = (F.col("next_depth") == 0) | F.coalesce(F.col("next_new") & (F.col("next_depth") <= F.col("depth")), F.lit(False))
-    return F.concat(body, F.when(ends, "\n\n\n").otherwise("\n\n"))
+def widest() -> Column:
+    """The length of each column's widest cell."""
+    return F.transform(F.element_at("cells", 1), lambda _, i: F.array_max(F.transform("cells", lambda r: grapheme_length(F.get(r, i)))))
 
 
-def table_text() -> Column:
-    """Columns of cells padded to their widest one, two blanks apart, a rule under the header."""
-    rows, wide = F.col("cells"), F.col("widest")
-    line = lambda r: F.regexp_replace(F.array_join(F.transform(r, lambda c, i: F.concat(c, F.repeat(F.lit(" "), (F.get(wide, i) - grapheme_length(c)).cast("int")))), "  "), " +$", "")
-    rule = F.array_join(F.transform(wide, lambda n: F.repeat(F.lit("─"), n.cast("int"))), "  ")
+def text_table() -> Column:
+    """Columns of cells padded to their widest one (wide), two blanks apart, a rule under the header."""
+    rows = F.col("cells")
+    line = lambda r: F.regexp_replace(F.array_join(F.transform(r, lambda c, i: F.concat(c, F.repeat(F.lit(" "), (F.get("wide", i) - grapheme_length(c)).cast("int")))), "  "), " +$", "")
+    rule = F.array_join(F.transform("wide", lambda n: F.repeat(F.lit("─"), n.cast("int"))), "  ")
     return F.array_join(F.transform(rows, lambda r, i: F.when(i == 0, F.concat(line(r), F.lit("\n"), rule)).otherwise(line(r))), "\n")
 
 
 def block_text() -> Column:
-    text, inline = F.col("text"), F.col("inline")
+    """Plain text of a block by itself, without blank lines around it."""
+    inline = F.col("inline")
     rule = lambda c: F.concat(inline, F.lit("\n"), F.repeat(F.lit(c), F.greatest(F.lit(3), grapheme_length(inline)).cast("int")))
-    out = (
+    return (
         F.when((F.col("kind") == "heading") & (F.col("level") == 1), rule("="))
         .when((F.col("kind") == "heading") & (F.col("level") == 2), rule("-"))
-        .when(F.col("kind") == "code", prefixed(text, "    ", "    "))
+        .when(F.col("kind") == "code", prefixed(F.col("text"), F.lit("    "), F.lit("    ")))
         .when(F.col("kind") == "rule", F.repeat(F.lit("─"), F.lit(40)))
-        .when(F.col("kind") == "quote", prefixed(inline, *[F.repeat(F.lit("> "), F.col("quote_depth"))] * 2))
-        .when(F.col("kind") == "table", table_text())
+        .when(F.col("kind") == "table", text_table())
         .otherwise(inline)
     )
-    return F.when(F.col("kind") == "item", item_text(inline)).when((F.col("kind") == "html") | (F.col("kind") == "quote") & (text == ""), "").otherwise(F.concat(out, F.lit("\n\n")))
+
+
+def prefixed(text: Column, first: Column, rest: Column) -> Column:
+    """Prefixes before the first and all other lines; empty lines stay empty."""
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.when(x == "", "").when(i == 0, F.concat(first, x)).otherwise(F.concat(rest, x))), "\n")
+
+
+def with_neighbours(blocks: Column) -> Column:
+    """Each of a document's blocks as b, with the containers it opens and those it closes, innermost first, and whether it is all its item holds."""
+    ids = lambda b: F.transform(F.coalesce(b["path"], F.array().cast("array<struct<id:int,kind:string,start:bigint,nth:int,checked:boolean>>")), lambda n: n["id"])
+
+    def one(b: Column, i: Column) -> Column:
+        before, after = ids(F.get(blocks, i - 1)), ids(F.get(blocks, i + 1))
+        shared = lambda others: F.size(F.array_intersect(ids(b), others))
+        deep = F.size(b["path"])
+        opens, closes = F.slice(b["path"], shared(before) + 1, deep), F.reverse(F.slice(b["path"], shared(after) + 1, deep))
+        own = F.element_at(b["path"], -1)
+        alone = F.when(deep > 0, (own["kind"] == "item") & ~F.array_contains(before, own["id"]) & ~F.array_contains(after, own["id"])).otherwise(False)
+        return F.struct(b.alias("b"), opens.alias("opens"), closes.alias("closes"), alone.alias("alone"))
+
+    return F.transform(blocks, one)
+
+
+def task_lists(blocks: Column) -> Column:
+    """Ids of the lists that have a box at one of their items."""
+    boxed = lambda path: F.filter(F.transform(path, lambda n, i: F.when(n["checked"].isNotNull(), F.get(path, i - 1)["id"])), lambda x: x.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(blocks, lambda b: boxed(b["path"]))))
+
+
+def container_html(n: Column) -> Column:
+    box = F.when(n["checked"], '<li class="task-item"><input type="checkbox" disabled checked> ').otherwise('<li class="task-item"><input type="checkbox" disabled> ')
+    return (
+        F.when(n["kind"] == "quote", "<blockquote>\n")
+        .when(n["kind"] == "item", F.when(n["checked"].isNull(), "<li>").otherwise(box))
+        .when(n["kind"] == "ul", F.when(F.array_contains("boxed", n["id"]), '<ul class="task-list">\n').otherwise("<ul>\n"))
+        .otherwise(F.when(n["start"] == 1, "<ol>\n").otherwise(F.concat(F.lit('<ol start="'), n["start"].cast("string"), F.lit('">\n'))))
+    )
+
+
+def ended_html(n: Column) -> Column:
+    return F.when(n["kind"] == "quote", "</blockquote>\n").when(n["kind"] == "item", "</li>\n").when(n["kind"] == "ul", "</ul>\n").otherwise("</ol>\n")
+
+
+def document_html(x: Column) -> Column:
+    """A block among its neighbours: the only paragraph of an item stands there without a tag of its own."""
+    b = x["b"]
+    out = F.when(b["kind"] != "paragraph", b["out"]).when(x["alone"], b["out"]).otherwise(F.concat(F.lit("<p>"), b["out"], F.lit("</p>\n")))
+    return F.concat(joined(F.transform(x["opens"], container_html)), out, joined(F.transform(x["closes"], ended_html)))
+
+
+def document_text(x: Column) -> Column:
+    """A block with the marks of its quotes and items before its lines, and the blank lines behind it.
+
+    The first text of an item follows the item's mark. A block that ends its list is followed by one more blank line.
+    """
+    b = x["b"]
+    count = lambda kind: F.size(F.filter(b["path"], lambda n: n["kind"] == kind))
+    quote, deep = F.repeat(F.lit("> "), count("quote")), count("item")
+    steps = lambda n: F.repeat(F.lit("   "), F.greatest(F.lit(0), n))
+    held = F.filter(b["path"], lambda n: n["kind"].isin("item", "ul", "ol"))
+    item, of = F.element_at(held, -1), F.get(held, F.size(held) - 2)
+    mark = F.when(deep == 0, "").when(item["checked"], "[x] ").when(item["checked"].isNotNull(), "[ ] ").when(of["kind"] == "ol", F.concat((of["start"] + item["nth"]).cast("string"), F.lit(". "))).otherwise("•  ")
+    bare = (b["kind"].isin("html", "empty")) | (b["out"] == "")
+    lone = F.concat(quote, steps(deep - 1), F.rtrim(mark))
+    first = F.when(b["leads"], F.concat(quote, steps(deep - 1), mark)).otherwise(F.concat(quote, steps(deep)))
+    body = F.when(~bare, prefixed(b["out"], first, F.concat(quote, steps(deep)))).when(x["alone"] & (deep > 0), lone)
+    last = F.element_at(F.filter(x["closes"], lambda n: n["kind"] != "quote"), -1)["kind"]
+    ends = F.when(F.size(F.filter(x["closes"], lambda n: n["kind"] != "quote")) > 0, last.isin("ul", "ol")).otherwise(False)
+    return F.when(body.isNull(), F.when(ends, "\n").otherwise("")).otherwise(F.concat(body, F.when(ends, "\n\n\n").otherwise("\n\n")))
 
 
 def rendered(docs: DataFrame, to: str, raw_html: bool = True, diagrams: DataFrame | None = None) -> DataFrame:
@@ -282,22 +189,23 @@ def rendered(docs: DataFrame, to: str, raw_html: bool = True, diagrams: DataFram
         return docs.select("doc", F.col("source").alias("data"))
     if to not in ("html", "text"):
         raise ValueError(f"unknown format {to!r}")
-    found = blocks(docs)
-    rows = with_lists(found).withColumn("inline", inline_source())
+    found = structure(docs)
     if to == "html":
-        heads = with_inline_text(found.where("kind = 'heading'").select("doc", "loc", "text"), "text", "title")
-        rows = with_inline_html(rows, "inline", "inline", raw_html).join(with_anchors(heads.drop("text")).select("doc", "loc", "anchor"), ["doc", "loc"], "left")
-        rows = rows.withColumn("highlighted", code.highlighted(F.col("text"), F.col("language")))
+        rows = with_inlines(found, lambda p: piece_html(p, raw_html)).withColumn("sides", F.when(F.col("kind") == "table", tables.alignments(F.col("lines")[1]["text"])))
         if diagrams is None:
             rows = rows.withColumn("svg", F.lit(None).cast("string"))
         else:
             drawn = diagrams.select(F.col("source").alias("text"), "svg", F.lit("mermaid").alias("language"))
             rows = rows.join(drawn, ["text", "language"], "left")
-        parts = with_grid(rows, "inline").withColumn("out", block_html(raw_html))
+        parts = rows.withColumn("out", block_html(raw_html))
     else:
-        parts = with_grid(with_inline_text(rows, "inline", "inline"), "inline").withColumn("out", block_text())
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "out"))), lambda x: x["out"]), "")
-    made = parts.groupBy("doc").agg(joined.alias("data"))
+        rows = with_inlines(found, piece_text)
+        parts = rows.withColumn("wide", F.when(F.col("kind") == "table", widest())).withColumn("out", block_text())
+    made = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("block", "kind", "out", "path", "leads"))).alias("blocks"))
+    if to == "html":
+        made = made.withColumn("boxed", task_lists(F.col("blocks")))
+    shown = joined(F.transform(with_neighbours(F.col("blocks")), document_html if to == "html" else document_text))
+    made = made.select("doc", shown.alias("data"))
     if to == "text":
         # blank lines at the edges go, the indent of a first code block stays
         made = made.withColumn("data", F.regexp_replace("data", r"^\n+|[\n \t]+\z", "")).withColumn("data", F.when(F.col("data") == "", "").otherwise(F.concat("data", F.lit("\n"))))
@@ -306,6 +214,6 @@ def rendered(docs: DataFrame, to: str, raw_html: bool = True, diagrams: DataFram
 
 def titles(docs: DataFrame) -> DataFrame:
     """doc, title: the first heading of docs (doc, source), else Untitled."""
-    heads = blocks(docs).where("kind = 'heading' AND text <> ''").groupBy("doc").agg(F.min_by("text", "loc").alias("text"))
-    named = with_inline_text(docs.select("doc").join(heads, "doc", "left"), "text", "title")
-    return named.select("doc", F.coalesce("title", F.lit("Untitled")).alias("title"))
+    named = with_inlines(structure(docs).where("kind = 'heading'"), piece_text).where("inline <> ''")
+    firsts = named.groupBy("doc").agg(F.min_by("inline", "block").alias("title"))
+    return docs.select("doc").join(firsts, "doc", "left").select("doc", F.coalesce("title", F.lit("Untitled")).alias("title"))

@@ -5,9 +5,28 @@ Patterns are shared with the operators; both engines read them alike.
 
 from __future__ import annotations
 
-from folioflow.operators import code, markdown, rendering
+from folioflow.operators import code, markdown
 from folioflow.plans import inputs
 
+#: Marks that a backslash escapes, and the characters that stand for them meanwhile.
+MARKS = "\\`*_[]()#~|>!<&-.+\""
+HIDDEN = "".join(chr(0xE000 + ord(c)) for c in MARKS)
+#: What parts the cells of a table meanwhile: no inline mark reaches over it.
+CELL = "\n\x1f"
+CODE = "`([^`\x1f]*)`"
+AUTOLINK = r"(https?://[^\s<>&]+)"
+TARGET = r"\(([^)\s\x1f]*)\)"
+TITLED = r"\(([^)\s\x1f]*)[ ]+{q}([^)\x1f]*?){q}\)"
+WORDS = r"\[([^\]\x1f]*)\]"
+#: Patterns of marks around text, and the tag of each.
+SPANS = (
+    (r"\*\*([^\s*](?:[^\n]*?[^\s*])?)\*\*", "$1", "strong", "$2"),
+    (r"(^|[^\p{L}\p{N}_])__([^\s_](?:[^\n]*?[^\s_])?)__", "$2", "strong", "$1"),
+    (r"~~([^\s~](?:[^\n]*?[^\s~])?)~~", "$1", "del", "$2"),
+    (r"\*([^\s*](?:[^*\n]*[^\s*])?)\*", "$1", "em", "$2"),
+    (r"(^|[^\p{L}\p{N}_])_([^\s_](?:[^_\n]*[^\s_])?)_", "$2", "em", "$1"),
+)
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -32,6 +51,10 @@ def utf16(x: str) -> str:
     return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 
 
+def n_cells(x: str) -> str:
+    return f"len(string_split(regexp_replace(trim(replace({x}, '\\|', '')), '^\\||\\|$', '', 'g'), '|'))"
+
+
 def whole_cases() -> str:
     return inputs.turns_sql("pos", tuple(c.replace("\\n", "' || chr(10) || '") for c in inputs.WHOLE_CASES))
 
@@ -59,7 +82,7 @@ insides AS (
 firsts AS (
   SELECT *, CASE WHEN inside THEN 'code' WHEN {matches("text", r"^[ \t]*$")} THEN 'blank' WHEN {matches("text", markdown.HEADING)} THEN 'heading' WHEN {matches("text", markdown.RULE)} THEN 'rule'
     WHEN {matches("text", markdown.QUOTE)} THEN 'quote' WHEN {matches("text", markdown.ITEM)} THEN 'item'
-    WHEN contains(text, '|') AND NOT {matches("text", markdown.SEPARATOR)} AND coalesce({matches("following", markdown.SEPARATOR)} AND contains(following, '|'), false) THEN 'table'
+    WHEN contains(text, '|') AND NOT {matches("text", markdown.SEPARATOR)} AND coalesce({matches("following", markdown.SEPARATOR)} AND contains(following, '|') AND {n_cells("text")} = {n_cells("following")}, false) THEN 'table'
     WHEN {matches("text", markdown.HTML)} THEN 'html' ELSE 'paragraph' END AS first_kind FROM insides),
 lazies AS (
   SELECT *, last_value(CASE WHEN first_kind <> 'paragraph' THEN first_kind END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_kind FROM firsts),
@@ -115,27 +138,26 @@ def nested(x: str, pairs: list[tuple[str, str]]) -> str:
     return x
 
 
-MARKS, HIDDEN = rendering.MARKS, rendering.HIDDEN
 PROTECT = [("\\" + m, h) for m, h in zip(MARKS, HIDDEN, strict=True)]
 INSIDE = f"translate({nested('replace(substring(m, 2, length(m) - 2), chr(10), chr(32))', [(h, HIDDEN[0] + h) for h in HIDDEN])}, {lit(MARKS)}, {lit(HIDDEN)})"
 ESCAPE = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
 TAG = "&lt;(?:/?[A-Za-z][^&<>\x1f]*(?:&quot;[^&<>\x1f]*)*|!--[^<>\x1f]*?--)&gt;"
-LINK = rendering.WORDS + rendering.TARGET
+LINK = WORDS + TARGET
 
 
 def spans(x: str, tagged: bool) -> str:
-    for pattern, inner, tag, lead in rendering.SPANS:
+    for pattern, inner, tag, lead in SPANS:
         before = lead if lead == "$1" else ""
         x = replaced(x, pattern, f"{before}<{tag}>{inner}</{tag}>" if tagged else f"{before}{inner}")
     return x
 
 
 def html_steps() -> list[str]:
-    quoted, words, target = rendering.TITLED.replace("{q}", "&quot;"), rendering.WORDS, rendering.TARGET
+    quoted, words, target = TITLED.replace("{q}", "&quot;"), WORDS, TARGET
     return [
         nested("s", PROTECT + ESCAPE),
-        each_match("s", rendering.CODE, f"'\ue03ccode\ue03e' || {INSIDE} || '\ue03c/code\ue03e'"),
-        replaced("s", f"&lt;{rendering.AUTOLINK}&gt;", '<a href="$1">$1</a>'),
+        each_match("s", CODE, f"'\ue03ccode\ue03e' || {INSIDE} || '\ue03c/code\ue03e'"),
+        replaced("s", f"&lt;{AUTOLINK}&gt;", '<a href="$1">$1</a>'),
         each_match("s", TAG, f"translate({nested('m', [('&lt;', '<'), ('&gt;', '>'), ('&quot;', chr(34))])}, '*_[]()~!<>\"', '\ue02a\ue05f\ue05b\ue05d\ue028\ue029\ue07e\ue021\ue001\ue002\ue003')"),
         replaced(replaced("s", "!" + words + quoted, '<img src="$2" alt="$1" title="$3">'), "!" + words + target, '<img src="$2" alt="$1">'),
         replaced(replaced("s", words + quoted, '<a href="$2" title="$3">$1</a>'), words + target, '<a href="$2">$1</a>'),
@@ -146,12 +168,12 @@ def html_steps() -> list[str]:
 
 
 def text_steps() -> list[str]:
-    quoted, words, target = rendering.TITLED.replace("{q}", '"'), rendering.WORDS, rendering.TARGET
+    quoted, words, target = TITLED.replace("{q}", '"'), WORDS, TARGET
     shown = f"CASE WHEN {extract('m', LINK, 2)} = '' OR {extract('m', LINK, 1)} = {extract('m', LINK, 2)} THEN {extract('m', LINK, 1)} ELSE {extract('m', LINK, 1)} || ' \ue028' || {extract('m', LINK, 2)} || '\ue029' END"
     return [
         nested("s", PROTECT),
-        each_match("s", rendering.CODE, INSIDE),
-        replaced(replaced("s", f"<{rendering.AUTOLINK}>", "$1"), "</?[A-Za-z][^<>\x1f]*>|<!--[^<>\x1f]*?-->", ""),
+        each_match("s", CODE, INSIDE),
+        replaced(replaced("s", f"<{AUTOLINK}>", "$1"), "</?[A-Za-z][^<>\x1f]*>|<!--[^<>\x1f]*?-->", ""),
         replaced("s", "(!?)" + words + quoted, "$1[$2]($3)"),
         replaced(replaced(replaced("s", r"!\[\]\(\)", ""), r"!\[\]" + target, "\ue05bimage: $1\ue05d"), "!" + words + r"\(\)", "\ue05bimage: $1\ue05d"),
         replaced("s", "!" + words + target, "\ue05bimage: $1 — $2\ue05d"),
@@ -169,14 +191,14 @@ def chain(name: str, source: str, steps: list[str]) -> str:
     return ",\n".join(out)
 
 
-SOURCE = f"SELECT *, CASE WHEN kind = 'table' THEN replace({nested('text', PROTECT)}, '|', {lit(rendering.CELL)}) WHEN kind NOT IN ('code', 'html', 'rule') THEN text END AS s FROM"
-LEVELS = range(1, rendering.LEVELS + 1)
+SOURCE = f"SELECT *, CASE WHEN kind = 'table' THEN replace({nested('text', PROTECT)}, '|', {lit(CELL)}) WHEN kind NOT IN ('code', 'html', 'rule') THEN text END AS s FROM"
+LEVELS = range(1, markdown.LEVELS + 1)
 CLOSED = "string_split(regexp_replace(line, '^[ \t]*\x1f|\x1f[ \t]*$', '', 'g'), chr(31))"
 
 LISTS = f"""runs AS (
   SELECT *, sum(CAST(is_item AND coalesce(was <> 'item', true) AS INT)) OVER (PARTITION BY doc ORDER BY block) AS run FROM (SELECT *, kind = 'item' AS is_item, lag(kind) OVER (PARTITION BY doc ORDER BY block) AS was FROM trimmed)),
 deep AS (
-  SELECT *, CASE WHEN is_item THEN least({rendering.LEVELS}, greatest(1, CAST(floor((indent - first(indent) OVER (PARTITION BY doc, run, is_item ORDER BY block)) / 2) AS INT) + 1)) END AS depth, right(marker, 1) AS mark FROM runs),
+  SELECT *, CASE WHEN is_item THEN least({markdown.LEVELS}, greatest(1, CAST(floor((indent - first(indent) OVER (PARTITION BY doc, run, is_item ORDER BY block)) / 2) AS INT) + 1)) END AS depth, right(marker, 1) AS mark FROM runs),
 listed AS (
   SELECT *, [{", ".join(f"coalesce(last_value(CASE WHEN depth = {k} THEN mark END IGNORE NULLS) OVER w, '-')" for k in LEVELS)}] AS lists FROM deep WINDOW w AS (PARTITION BY doc, run, is_item ORDER BY block)),
 lasts AS (
@@ -189,7 +211,7 @@ nested AS (
   FROM leads WINDOW w AS (PARTITION BY doc, run, is_item, depth, list_id ORDER BY block))"""
 
 GRID = f"""gridded AS (
-  SELECT *, list_transform(list_filter(string_split(replace(s, {lit(rendering.CELL)}, chr(31)), chr(10)), lambda x, i: i <> 2), lambda line: list_transform({CLOSED}, lambda c: regexp_replace(c, '^[ \t]+|[ \t]+$', '', 'g'))) AS g FROM inlined WHERE kind = 'table'),
+  SELECT *, list_transform(list_filter(string_split(replace(s, {lit(CELL)}, chr(31)), chr(10)), lambda x, i: i <> 2), lambda line: list_transform({CLOSED}, lambda c: regexp_replace(c, '^[ \t]+|[ \t]+$', '', 'g'))) AS g FROM inlined WHERE kind = 'table'),
 filled AS (SELECT *, list_transform(g, lambda r: list_transform(range(1, len(g[1]) + 1), lambda k: coalesce(r[k], ''))) AS rows FROM gridded)"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
 from folioflow.operators import assemble, code, fragments, markdown, pages, ranges, recents, rendering, tables, word
-from folioflow.plans import inputs, markdown_sql
+from folioflow.plans import inputs, markdown_sql, structure_queries
 from folioflow.plans.inputs import table
 from folioflow.sources import files
 
@@ -136,9 +136,6 @@ def assembled_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.assembled(inputs.marked_lines(table(spark, sf_dir, "documents"))).select("doc", F.md5("markdown").alias("markdown"))
 
 
-for _name in ("heading_ladder", "line_classes", "assembled_markdown"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
-
 FRAGMENTS = """fragments AS (
   SELECT l_orderkey AS doc, l_linenumber AS frag, 'p' || l_partkey AS text, l_quantity AS x, CAST(l_suppkey % 10 * 12 + l_linenumber AS DOUBLE) AS y, l_extendedprice / 1000 AS w, 8.0 + l_linenumber % 4 AS h FROM lineitem),
 ordered AS (SELECT *, y + h / 2 AS middle FROM fragments),
@@ -237,10 +234,6 @@ def points_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.containing(inputs.ranges(docs, 4, 23, 3).select("doc", F.col("loc").alias("at")), inputs.ranges(docs, 30, 40, 0))
 
 
-for _name in ("active_blocks", "concealed_markers", "painted_markers", "visible_blocks", "points_in_blocks"):
-    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]
-
-
 SEEN = f"""last_seen AS (SELECT user_id, max(ts) AS mtime, min(event_id) AS arrival_ord FROM events GROUP BY user_id),
 newest AS (SELECT max(ts) AS now FROM events),
 seen AS (SELECT CASE user_id % 5 WHEN 0 THEN '/tmp/' ELSE '/home/me/' END || 'u' || user_id || '.md' AS path, user_id, mtime, arrival_ord, user_id % 7 <> 0 AS file_exists FROM last_seen),
@@ -328,7 +321,6 @@ def markdown_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc", F.col("ord").cast("long").alias("ord"), "level", "title")
 
 
-QUERIES["markdown_outline_whole"], SQL["markdown_outline_whole"] = markdown_outline, SQL["markdown_outline"]
 
 
 @query(markdown_sql.ANCHORS)
@@ -343,7 +335,7 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(markdown_sql.TASK_LISTS)
 def list_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rendering.with_lists(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents")))).where("is_item")
+    found = markdown.with_lists(markdown.blocks(inputs.markdown_documents(table(spark, sf_dir, "documents")))).where("is_item")
     return found.select("doc", "block", "depth", "new_list", F.col("start").alias("first_number"), F.col("nth").cast("long").alias("nth"), F.col("any_box").alias("is_task_list"))
 
 
@@ -482,15 +474,17 @@ def trait_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {RANGES}, held AS (SELECT doc, least(greatest(loc - 5, 0), 900) AS loc, least(len, 900 - least(greatest(loc - 5, 0), 900)) AS len FROM blocks UNION ALL SELECT doc, least(greatest(loc - 5, 0), 900), least(len, 900 - least(greatest(loc - 5, 0), 900)) FROM markers),
+WITH {RANGES}, sized AS (SELECT doc, loc, len, coalesce(n_chars, 0) AS n FROM (SELECT doc, loc, len FROM blocks UNION ALL SELECT doc, loc, len FROM markers) JOIN documents ON doc = doc_id),
+held AS (SELECT doc, least(greatest(loc - 5, 0), n) AS loc, least(len, n - least(greatest(loc - 5, 0), n)) AS len FROM sized),
 ends AS (SELECT *, coalesce(max(loc + len) OVER (PARTITION BY doc ORDER BY loc, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM held)
 SELECT doc, loc, len, count(*) AS n FROM ends WHERE loc >= upto GROUP BY doc, loc, len
 """)
 def ranges_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     both = inputs.ranges(docs, 30, 40, 0).unionByName(inputs.ranges(docs, 4, 23, 3))
-    loc, length = ranges.clamped(F.col("loc") - 5, F.col("len"), F.lit(900))
-    return ranges.in_order(both.select("doc", loc.alias("loc"), length.alias("len"))).groupBy("doc", "loc", "len").agg(F.count("*").alias("n"))
+    sized = both.join(docs.select(F.col("doc_id").alias("doc"), F.coalesce("n_chars", F.lit(0)).alias("n")), "doc")
+    loc, length = ranges.clamped(F.col("loc") - 5, F.col("len"), F.col("n"))
+    return ranges.in_order(sized.select("doc", loc.alias("loc"), length.alias("len"))).groupBy("doc", "loc", "len").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -563,3 +557,7 @@ def known_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, CAST(coalesce(instr(lower(text), 'the'), 0) AS INTEGER) AS first_at, CAST(coalesce((length(text) - length(replace(lower(text), 'the', ''))) // 3, 0) AS BIGINT) AS hits FROM documents WHERE contains(lower(text), 'the')")
 def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.found(table(spark, sf_dir, "documents"), "the").select("doc_id", "first_at", "hits")
+
+
+QUERIES |= structure_queries.QUERIES
+SQL |= structure_queries.SQL

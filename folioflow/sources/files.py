@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from folioflow.functions.geometry import emu_size
 from folioflow.functions.text import css_variables, extension, has_scheme, percent_decoded, standalone, suggested_name
+from folioflow.operators.inlines import images
 from folioflow.operators.rendering import rendered, titles
+from folioflow.operators.structure import structure
 from folioflow.operators.word import to_word
 
 #: Extensions by kind of input, MIME types by extension, extensions of the outputs.
@@ -61,6 +64,31 @@ def word_media(images: DataFrame) -> DataFrame:
     return held.withColumn("ord", n).select("doc", "ord", F.concat(F.lit("image"), F.col("ord").cast("string"), F.lit("."), F.col("ext")).alias("name"), F.concat(F.lit("rId"), (F.col("ord") + 2).cast("string")).alias("relation"), F.col("ord").alias("drawing"), "mime")
 
 
+def placed_pictures(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """doc, source, name, relation, mime, cx, cy, content: the files of stored (path, content) that images of docs (doc, source) show, each once a document.
+
+    doc is a document's path; sources are looked up from its folder, without . and .. steps. Files of kinds that Word documents
+    don't hold, and without a size in their header, are left out. Sizes are in EMU, at most a page wide.
+    """
+    found = images(structure(docs)).select("doc", "src").distinct()
+    ext = F.lower(extension(F.col("src")))
+    wanted = found.withColumn("ext", ext).withColumn("mime", word_mime_type(ext)).where("mime IS NOT NULL AND src <> ''")
+    wanted = wanted.withColumn("path", resolved_path(F.regexp_replace("doc", "/?[^/]*$", ""), F.col("src")))
+    needed = stored.join(wanted.select("path").distinct(), "path", "left_semi")
+    sized = image_sizes(needed).where("width > 0 AND height > 0")
+    cx, cy = emu_size(F.col("width"), F.col("height"))
+    rows = wanted.join(sized.select("path", "content", cx.alias("cx"), cy.alias("cy")), "path")
+    # one file may be shown by several sources; it is one part of the document
+    nth = F.dense_rank().over(Window.partitionBy("doc").orderBy("path")).cast("string")
+    named = rows.withColumn("name", F.concat(F.lit("image"), nth, F.lit("."), "ext")).withColumn("relation", F.concat(F.lit("picture"), nth))
+    return named.select("doc", F.col("src").alias("source"), "name", "relation", "mime", "cx", "cy", "content")
+
+
+def word_documents(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """doc, data: docs (doc, source) as Word packages that hold the pictures their images show; see placed_pictures."""
+    return to_word(docs, placed_pictures(docs, stored))
+
+
 def content_types(media: DataFrame) -> DataFrame:
     """doc, types: the extensions of a document's media, each once and in order, with their MIME types."""
     pair = F.concat(extension(F.col("name")), F.lit("="), F.col("mime"))
@@ -185,6 +213,8 @@ def image_size(content: Column) -> Column:
     """Width and height from a PNG, GIF or BMP header, as a struct; nulls for other bytes."""
     number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
     little = lambda at: number(at, 1) + 256 * number(at + 1, 1)
+    # four bytes with a sign: pictures from the top down have a negative height
+    signed = lambda at: F.abs(little(at) + F.shiftleft(number(at + 2, 1), 16) + F.shiftleft(number(at + 3, 1), 24)).cast("int")
     png, gif = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.hex(F.substring(content, 1, 4)) == "47494638"
     bmp = F.hex(F.substring(content, 1, 2)) == "424D"
-    return F.struct(F.when(png, number(17, 4)).when(gif, little(7)).when(bmp, little(19)).alias("width"), F.when(png, number(21, 4)).when(gif, little(9)).when(bmp, little(23)).alias("height"))
+    return F.struct(F.when(png, number(17, 4)).when(gif, little(7)).when(bmp, signed(19)).alias("width"), F.when(png, number(21, 4)).when(gif, little(9)).when(bmp, signed(23)).alias("height"))

@@ -14,14 +14,14 @@ def sf(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name, column", [("markdown_blocks", "text"), ("markdown_to_html", "data"), ("markdown_to_text", "data"), ("markdown_to_word", "data"), ("line_classes_whole", "content")])
+@pytest.mark.parametrize("name, column", [("markdown_blocks", "text"), ("markdown_to_html", "data"), ("markdown_to_text", "data"), ("markdown_to_word", "data"), ("line_classes", "content")])
 def test_queries_see_whole_lines(spark, sf, name, column):
     got = "\n".join(r[column] or "" for r in QUERIES[name](spark, sf).collect())
     assert [i for i in range(len(LINES)) if f"start{i}x" not in got or f"end{i}x" not in got] == []
 
 
 def test_outline_has_whole_titles(spark, sf):
-    got = [r.title for r in QUERIES["markdown_outline_whole"](spark, sf).orderBy("ord").collect()]
+    got = [r.title for r in QUERIES["markdown_outline"](spark, sf).orderBy("ord").collect()]
     assert got == [x for i, x in enumerate(LINES) if i % 16 in (0, 14)]
 
 

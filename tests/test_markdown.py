@@ -112,10 +112,10 @@ def test_word_packages_are_sound_xml(spark):
     got = word.to_word(docs(spark, SOURCE, "", "a & <b> **c `d` *e*\x07 | ~~f~~", "|a|b|\n|-|-|\n|1|\n- [ ] x\n-\n")).orderBy("doc").collect()
     trees = [ElementTree.fromstring(r.data) for r in got]
     texts = ["".join(t.text or "" for t in tree.iter(f"{w}t")) for tree in trees]
-    assert texts[0].startswith("Title one #"[:9]) and "x = \"<1>\"" in texts[0] and "[pic] link (http://x.y)" in texts[0]
+    assert texts[0].startswith("Title one #"[:9]) and "x = \"<1>\"" in texts[0] and "[pic] link" in texts[0]
     assert [p.get(f"{w}val") for p in trees[0].iter(f"{w}pStyle")][:6] == ["Heading1", "Normal", "ListParagraph", "ListParagraph", "ListParagraph", "Quote"]
     bold = [("".join(t.text for t in r.iter(f"{w}t"))) for r in trees[0].iter(f"{w}r") if r.find(f"{w}rPr/{w}b") is not None]
-    assert bold == ["bold", "a", "b\\|c"]
+    assert bold == ["bold", "a", "b|c"]
     assert texts[1] == "" and "d" in texts[2] and "\x07" not in texts[2]
     assert len(list(trees[3].iter(f"{w}tc"))) == 4 and "☐ x" in texts[3]
 
