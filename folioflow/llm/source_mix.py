@@ -2,8 +2,13 @@
 
 Documents are aggregated by the pattern of sources they belong to. Words flow from patterns to the sources' quotas: a
 pattern's first pass over its documents costs nothing, each further pass one more, so costs are convex and repeats come
-last. The network holds one node for each pattern and source, whatever the number of documents. Then each pattern's
-documents are taken in a seeded order, whole, until its flow is met.
+last. The network holds one node for each pattern and source, whatever the number of documents. Patterns that share no source,
+not even by way of others, don't touch each other's flows: the network falls into its connected parts, and each is solved by
+itself, in a task. A part of one source has a closed form and needs none, so any number of sources that no document
+shares is a grouped sum. Then each pattern's documents are taken in a seeded order, whole, until its flow is met.
+
+Targets fill like water: the level at which sources take their weight's share, those that reach their most are set aside and the
+level rises, until none does. Each round is a grouped sum over the sources.
 
 Cases: a null or empty text has size 0 and nothing is taken of it; null sources form one source, last in order; rows with
 one id and text share a place in the order and are taken alike, each of them counts; documents without any source are not taken (target null); an empty
@@ -16,42 +21,53 @@ from collections import deque
 from collections.abc import Sequence
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from folioflow.llm.common import stage
+from folioflow.llm.components import connected_components
+from folioflow.llm.merkle_manifest import ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fineness of the seeded order's histogram; only the one bucket where a pattern's flow ends is ordered row by row.
 BUCKETS = 4096
-#: The network is solved on the driver; patterns beyond this bound raise an error.
-MAX_PATTERNS = 100_000
-
-
-def weighted_targets(sizes: Sequence[int], weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2) -> list[Fraction]:
-    """Targets by repeating weights that share a multiple of all sizes; none over most times its size, the excess reshared."""
-    out: list[Fraction] = [Fraction(0)] * len(sizes)
-    left, open_ = share * sum(sizes), {i: weights[i % len(weights)] for i in range(len(sizes))}
-    while open_:
-        total = sum(open_.values())
-        over = [i for i, w in open_.items() if left * w / total > most * sizes[i]]
-        if not over:
-            for i, w in open_.items():
-                out[i] = left * w / total
+
+
+def source_targets(sources: DataFrame, weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2) -> DataFrame:
+    """sources (nth, size) with target and quota: weights repeat by nth and share a multiple of all sizes; no target is over most times its size, the excess is reshared.
+
+    Sums by weight come to the driver, never a source; levels are exact fractions.
+    """
+    turn = (F.col("nth") % len(weights)).cast("int")
+    total = int(sources.agg(F.coalesce(F.sum(F.col("size").cast("decimal(38,0)")), F.lit(0))).first()[0])
+    limits, targets = [0] * len(weights), [Fraction(0)] * len(weights)
+    limit_of = lambda: F.element_at(F.array(*map(F.lit, limits)), turn + 1)
+    while True:
+        # sources below their limit are set aside with all they may have
+        aside = F.col("size") < limit_of()
+        sums = sources.groupBy(turn.alias("turn")).agg(F.sum(F.when(aside, F.col("size").cast("decimal(38,0)")).otherwise(0)).alias("held"), F.count_if(~aside).alias("open")).collect()
+        weight = sum(weights[r.turn] * r.open for r in sums)
+        if not weight:
+            break
+        level = (share * total - sum(most * int(r.held) for r in sums)) / weight
+        targets = [level * w for w in weights]
+        after = [max(old, -(-t.numerator // (t.denominator * most))) for t, old in zip(targets, limits, strict=True)]
+        if after == limits:
             break
-        for i in over:
-            out[i] = Fraction(most * sizes[i])
-            del open_[i]
-        left -= sum(out[i] for i in over)
-    return out
+        limits = after
+    shares = F.element_at(F.array(*(F.lit(float(t)) for t in targets)), turn + 1)
+    rounded = F.element_at(F.array(*(F.lit(round(t)).cast("long") for t in targets)), turn + 1)
+    aside = F.col("size") < limit_of()
+    return sources.withColumn("target", F.when(aside, (most * F.col("size")).cast("double")).otherwise(shares)).withColumn("quota", F.when(aside, most * F.col("size")).otherwise(rounded))
 
 
 def route(patterns: Sequence[tuple[int, Sequence[int]]], quotas: Sequence[int], passes: int) -> list[dict[int, int]]:
     """Words that each pattern (size, sources) gives each source: a flow that fills the quotas as far as possible at least cost.
 
     Costs lie on the arcs into the patterns only, so a path costs what its first arc costs: passes are opened in turn, and
-    within a pass any maximum flow is cheapest. Each is found by blocking flows along shortest paths.
+    within a pass any maximum flow is cheapest. Each is found by shortest augmenting paths.
     """
     flow: list[dict[int, int]] = [dict.fromkeys(s, 0) for _, s in patterns]
     into: list[list[int]] = [[] for _ in quotas]
@@ -116,63 +132,81 @@ def patterned(docs: DataFrame, members: str, id_col: str, text_col: str, seed: i
     )
 
 
-def cuts(sized: DataFrame, wanted: dict[str, tuple[int, int]]) -> list[tuple[str, int, str]]:
-    """For each pattern the passes that all its documents make, and the last place in the order that makes one more.
+def numbered_sources(patterns: DataFrame) -> DataFrame:
+    """source and its number in the order of code points, null last (nth), with its size; from patterns (members, size)."""
+    told = patterns.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    # null sorts last
+    keyed = told.select(F.lit("").alias("tree"), F.col("source").isNull().alias("none"), "source", "size")
+    return ranked(keyed, ["none", "source"], "mix-sources").select("source", F.col("pos").alias("nth"), "size")
 
-    wanted gives each pattern's size and flow. Documents make flow // size passes, and one more as long as the running total
-    stays nearest the rest. A histogram of the order finds the bucket where the rest ends; only its rows are summed one by
-    one. A row a pattern comes to the driver.
+
+def pattern_flows(patterns: DataFrame, sources: DataFrame, passes: int) -> DataFrame:
+    """__pattern, size, flow, source_size and target (of its first source) for patterns (__pattern, members, size).
+
+    Connected parts of several sources are solved in a task each: a row a pattern, and the quotas of its sources.
+    """
+    arcs = patterns.select("__pattern", "size", F.size("members").alias("several"), F.posexplode("members").alias("at", "source"))
+    named = sources.select(F.col("source").alias("name"), "nth", F.col("size").alias("source_size"), "target", "quota")
+    held = stage(arcs.join(named, F.col("source").eqNullSafe(F.col("name"))).select("__pattern", "size", "several", "at", "nth", "quota", "source_size", "target"), "mix-arcs")
+    firsts = held.where("at = 0").select("__pattern", "size", "source_size", "target", "several", "nth", "quota")
+    joint = held.where("several > 1")
+    if joint.isEmpty():
+        return firsts.select("__pattern", "size", F.least("quota", passes * F.col("size")).alias("flow"), "source_size", "target")
+    first = joint.where("at = 0").select("__pattern", F.col("nth").alias("a"))
+    parts = stage(connected_components(joint.where("at > 0").select("__pattern", F.col("nth").alias("b")).join(first, "__pattern").select("a", "b").distinct()), "mix-parts")
+    linked = held.join(parts, F.col("nth") == F.col("node")).select("component", "__pattern", "size", "at", "nth", "quota")
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(rows["nth"].unique().tolist())
+        place, quotas = {s: i for i, s in enumerate(names)}, [0] * len(names)
+        for s, q in zip(rows["nth"], rows["quota"], strict=True):
+            quotas[place[s]] = int(q)
+        found = [(p, int(g["size"].iloc[0]), [place[s] for s in g.sort_values("at")["nth"]]) for p, g in rows.sort_values("__pattern").groupby("__pattern", sort=True)]
+        flows = route([(n, members) for _, n, members in found], quotas, passes)
+        return pd.DataFrame({"__pattern": [p for p, *_ in found], "__flow": [sum(f.values()) for f in flows]})
+
+    joined = linked.groupBy("component").applyInPandas(solve, "__pattern string, __flow long")
+    alone = F.least("quota", passes * F.col("size"))
+    return firsts.join(joined, "__pattern", "left").select("__pattern", "size", F.coalesce("__flow", alone).alias("flow"), "source_size", "target")
+
+
+def with_cuts(sized: DataFrame, flows: DataFrame) -> DataFrame:
+    """flows with the passes that all documents of a pattern make (__passes), and the last place in the order that makes one more (__last).
+
+    Documents make flow // size passes, and one more as long as the running total stays nearest the rest. A histogram of
+    the order finds the bucket where the rest ends; only its rows are summed one by one.
     """
-    spark = sized.sparkSession
-    rows = [(p, f // n, f % n) for p, (n, f) in wanted.items() if n]
-    plan = spark.createDataFrame(rows, "__pattern string, __passes long, __rest long")
+    plan = flows.where("size > 0").select("__pattern", "source_size", "target", F.expr("flow div size").alias("__passes"), F.expr("flow % size").alias("__rest"))
     upto = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = (
-        sized.groupBy("__pattern", "__bucket")
-        .agg(F.sum("__size").alias("__words"))
-        .withColumn("__before", F.coalesce(F.sum("__words").over(upto), F.lit(0)))
-        .join(F.broadcast(plan), "__pattern")
-        .where("__before <= __rest AND __rest < __before + __words")
-        .select("__pattern", F.col("__bucket").alias("__end"), "__before", "__rest")
-        .collect()
-    )
-    edge = spark.createDataFrame([tuple(r) for r in ends], "__pattern string, __end int, __before long, __rest long")
+    words = sized.groupBy("__pattern", "__bucket").agg(F.sum("__size").alias("__words")).withColumn("__before", F.coalesce(F.sum("__words").over(upto), F.lit(0)))
+    rests = plan.select("__pattern", "__rest")
+    edge = words.join(rests, "__pattern").where("__before <= __rest AND __rest < __before + __words").select("__pattern", F.col("__bucket").alias("__end"), "__before", "__rest")
+    edge = stage(edge, "mix-edges")
     inside = Window.partitionBy("__pattern").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
     last = (
-        sized.join(F.broadcast(edge), "__pattern")
-        .where("__bucket = __end")
-        .groupBy("__pattern", "__place", "__before", "__rest")
+        sized.join(edge, (sized["__pattern"] == edge["__pattern"]) & (F.col("__bucket") == F.col("__end")))
+        .groupBy(edge["__pattern"], "__place", "__before", "__rest")
         .agg(F.sum("__size").alias("__words"))
         .withColumn("__run", F.col("__before") + F.coalesce(F.sum("__words").over(inside), F.lit(0)))
         .where("2 * __run + __words <= 2 * __rest")
         .groupBy("__pattern")
-        .agg(F.max("__place"))
-        .collect()
+        .agg(F.max("__place").alias("__found"))
     )
-    found = {r[0]: r[1] for r in last}
     # where no row of the last bucket fits, the order's last place is the end of the bucket before
-    before = {r["__pattern"]: f"{r['__end']:03x}" for r in ends}
-    return [(p, passes, found.get(p, before[p])) for p, passes, _ in rows]
+    ends = edge.select("__pattern", "__end").join(last, "__pattern", "left").select("__pattern", F.coalesce("__found", F.lower(F.lpad(F.hex("__end"), 3, "0"))).alias("__last"))
+    rest = flows.where("size = 0").select("__pattern", "source_size", "target", F.lit(0).cast("long").alias("__passes"), F.lit("").alias("__last"))
+    return plan.join(ends, "__pattern", "left").select("__pattern", "source_size", "target", "__passes", F.coalesce("__last", F.lit("")).alias("__last")).unionByName(rest)
 
 
 def plan_mix(docs: DataFrame, members: str, id_col: str, text_col: str, weights: Sequence[int], share: Fraction, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """The patterns' plan (a row a pattern), and the documents' sizes as staged."""
-    sized = stage(patterned(docs.select(F.col(id_col), F.col(text_col), F.expr(members).alias("__given")), "__given", id_col, text_col, seed).select(F.col(id_col).alias("doc_id"), "__size", "__members", "__pattern", "__place", "__bucket"), "mix-sizes")
-    found = sized.groupBy("__pattern").agg(F.first("__members").alias("members"), F.sum("__size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    found.sort(key=lambda r: r["__pattern"])
-    names = sorted({s for r in found for s in r.members}, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in found:
-        for s in r.members:
-            sizes[at[s]] += r["size"]
-    targets = weighted_targets(sizes, weights, share, most)
-    flows = route([(r["size"], [at[s] for s in r.members]) for r in found], [round(t) for t in targets], most)
-    cut = {p: (passes, last) for p, passes, last in cuts(sized, {r["__pattern"]: (r["size"], sum(f.values())) for r, f in zip(found, flows, strict=True)})}
-    rows = [(r["__pattern"], *cut.get(r["__pattern"], (0, "")), sizes[at[r.members[0]]] if r.members else None, float(targets[at[r.members[0]]]) if r.members else None) for r in found]
-    return docs.sparkSession.createDataFrame(rows, "__pattern string, __passes long, __last string, source_size long, target double"), sized
+    given = docs.select(F.col(id_col), F.col(text_col), F.expr(members).alias("__given"))
+    sized = stage(patterned(given, "__given", id_col, text_col, seed).select(F.col(id_col).alias("doc_id"), "__size", "__members", "__pattern", "__place", "__bucket"), "mix-sizes")
+    patterns = stage(sized.groupBy("__pattern").agg(F.first("__members").alias("members"), F.sum("__size").alias("size")), "mix-patterns")
+    sources = stage(source_targets(numbered_sources(patterns), weights, share, most), "mix-targets")
+    flows = stage(pattern_flows(patterns.where(F.size("members") > 0), sources, most), "mix-flows")
+    none = patterns.where(F.size("members") == 0).select("__pattern", F.lit(None).cast("long").alias("source_size"), F.lit(None).cast("double").alias("target"), F.lit(0).cast("long").alias("__passes"), F.lit("").alias("__last"))
+    return stage(with_cuts(sized, flows).unionByName(none), "mix-plan"), sized
 
 
 #: How often a document is taken, from its pattern's plan.
@@ -185,13 +219,13 @@ def mix(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id",
     Returns doc_id, size, source_size and target (of its first source), taken.
     """
     plan, sized = plan_mix(docs, members, id_col, text_col, weights, share, most, seed)
-    return sized.join(F.broadcast(plan), "__pattern").select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.expr(COPIES)).alias("taken"))
+    return sized.join(plan, "__pattern").select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * F.expr(COPIES)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0) -> DataFrame:
     """The mix itself: docs with each document as often as it is taken."""
     plan, _ = plan_mix(docs, members, id_col, text_col, weights, share, most, seed)
-    told = patterned(docs, members, id_col, text_col, seed).join(F.broadcast(plan.drop("source_size", "target")), "__pattern")
+    told = patterned(docs, members, id_col, text_col, seed).join(plan.drop("source_size", "target"), "__pattern")
     return told.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.expr(COPIES).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -97,3 +97,60 @@ def test_route_is_a_cheapest_maximum_flow(seed):
         return min(sum(q for i, q in enumerate(quotas) if not m >> i & 1) + sum(passes * size for size, ss in patterns if any(m >> i & 1 for i in ss)) for m in range(1 << n))
 
     assert sum(used) == most(2) and sum(min(u, size) for u, (size, _) in zip(used, patterns, strict=True)) == most(1)
+
+
+def test_any_number_of_sources_that_no_document_shares(spark, tmp_path):
+    """200,000 sources, one of them with a third of all rows, against the SQL of the mix."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    ids = spark.range(300_000, numPartitions=4)
+    source = F.when(F.col("id") < 100_000, "hot").when(F.col("id") % 50_021 == 0, None).otherwise(F.concat(F.lit("h"), F.col("id").cast("string")))
+    docs = ids.select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), source.alias("source"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    got = source_mix.mix(spark.read.parquet(f"{tmp_path}/documents")).withColumn("target", F.round("target", 6))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    want = con.execute(source_mix.SQL).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 300_000
+
+
+def test_connected_parts_are_solved_by_themselves(spark):
+    """Sources that documents share in chains, hot ones and single ones: all flows are those of one network of everything."""
+    rng = random.Random(9)
+    data = []
+    for i in range(900):
+        part = rng.randrange(12)
+        members = rng.sample([f"s{part}-{k}" for k in range(4)], rng.randint(1, 3)) if part else ["hot"]
+        data.append((i, "w " * rng.randint(0, 9), [*members, None] if part == 5 and rng.random() < 0.2 else members))
+    got = source_mix.mix(spark.createDataFrame(data, "doc_id long, text string, s array<string>"), "s").collect()
+    order = lambda s: (s is None, s or "")
+    patterns, sizes = {}, {}
+    for _, text, members in data:
+        key = tuple(sorted(members, key=order))
+        patterns[key] = patterns.get(key, 0) + words(text)
+        for m in key:
+            sizes[m] = sizes.get(m, 0) + words(text)
+    names = sorted(sizes, key=order)
+    targets = {s: t for s, t in zip(names, plain_targets([sizes[s] for s in names]), strict=True)}
+    assert {r.doc_id: (r.source_size, r.target) for r in got} == {i: (sizes[min(m, key=order)], pytest.approx(float(targets[min(m, key=order)]))) for i, _, m in data}
+    listed = sorted(patterns, key=lambda p: "\x01".join("-" if m is None else f"={m}" for m in p))
+    flows = source_mix.route([(patterns[p], [names.index(m) for m in p]) for p in listed], [round(targets[s]) for s in names], 2)
+    taken = {}
+    for r, (_, _, members) in zip(sorted(got, key=lambda r: r.doc_id), data, strict=True):
+        key = tuple(sorted(members, key=order))
+        taken[key] = taken.get(key, 0) + r.taken
+    assert all(abs(taken[p] - sum(f.values())) <= 9 for p, f in zip(listed, flows, strict=True))
+
+
+def plain_targets(sizes):
+    """Weighted targets of listed sizes: those over twice their size are set aside, and the rest is shared anew."""
+    out, left, live = [None] * len(sizes), Fraction(3, 2) * sum(sizes), {i: (5, 2, 1)[i % 3] for i in range(len(sizes))}
+    while over := [i for i, w in live.items() if left * w / sum(live.values()) > 2 * sizes[i]]:
+        for i in over:
+            out[i] = Fraction(2 * sizes[i])
+            del live[i]
+        left -= sum(out[i] for i in over)
+    for i, w in live.items():
+        out[i] = left * w / sum(live.values())
+    return out
