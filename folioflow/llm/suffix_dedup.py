@@ -16,7 +16,7 @@ Windows of other lengths can be looked for on the way: they share units, hashes
 
 Cases: null and empty texts have no bytes; documents of fewer than LENGTH bytes lose nothing; matches never cross
 documents; repeated rows are copies of each other; a null id stays null; an empty table gives an empty one; other columns
-are not read.
+are not read. A text longer than a unit is one by itself, and its task holds some 50 bytes of arrays for each of its bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import lists, map_groups, slices, stage
+from folioflow.llm.common import fresh_path, lists, map_groups, remove, slices, stage
 from folioflow.llm.shingles import mixed
 from folioflow.llm.suffix_order import PrefixHash, equal_groups
 
@@ -292,23 +292,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, others: tuple[int, ...
     """
     spark, lengths = docs.sparkSession, (length, *others)
     name, n = f"folioflow_units_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told_at: list[str] = []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = rows.mapInArrow(pack(lengths), "unit long, doc_ids array<long>, ends array<long>, data binary, items array<binary>")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(f"n_in_{k}" for k in others)]
+    path = fresh_path(spark, "suffix-units")
     try:
-        packed.repartition(n, "unit").write.option("compression", "zstd").bucketBy(n, "unit").format("parquet").saveAsTable(name)
+        packed.repartition(n, "unit").write.option("compression", "zstd").option("path", path).bucketBy(n, "unit").format("parquet").saveAsTable(name)
         size = spark.table(name).agg(F.coalesce(F.sum(F.octet_length(F.col("items")[0])), F.lit(0))).first()[0]
         units = spark.table(name).withColumn("buckets", F.lit(max(8, 9 * size // (4 * BUCKET_BYTES))))
         answers = None
         for level in range(3):
             asked = with_answers(units, answers).mapInArrow(asking(level, lengths), "unit long, kind int, bucket long, data binary")
             told = map_groups(asked, ["kind", "bucket"], resolve, "unit long, kind int, bucket long, codes binary", order=["unit"]).withColumn("level", F.lit(level))
-            told = stage(told, "suffix-answers")
+            told_at.append(fresh_path(spark, "suffix-answers"))
+            told = stage(told, "suffix-answers", told_at[-1])
             answers = told if answers is None else answers.unionByName(told)
         schema = ", ".join(f"{x} {'string' if x == 'kept_sha256' else 'long'}" for x in names)
         return stage(with_answers(units, answers).mapInArrow(answering(lengths, names), schema), "suffix-dedup")
     finally:
+        # the table's files are its own, in the shared folder, and stay when it is dropped
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for done in (path, *told_at):
+            remove(spark, done)
 
 
 def with_answers(units: DataFrame, answers: DataFrame | None) -> DataFrame:
