@@ -115,19 +115,19 @@ def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)[:, : BANDS * ROWS]
         keys = (sig.reshape(-1, BANDS, ROWS).astype(np.uint64) * factors).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(pa.array(np.repeat(batch.column(c).to_numpy(), BANDS)) for c in ("h1", "h2"))], names=["bucket", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
 
 
 def bucket_links(group: pa.Table, least: dict[int, int]) -> pa.Table | None:
     """A spanning forest of a bucket's surviving pairs: each class reached is compared with those not reached yet."""
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(group), -1)
-    h1, links, rest = group.column("h1").to_numpy(), [], np.arange(len(group))
+    node, links, rest = group.column("node").to_numpy(), [], np.arange(len(group))
     while len(rest) > 1:
         todo, rest = [rest[0]], rest[1:]
         while todo and len(rest):
             i = todo.pop()
             near = likely(np.broadcast_to(sig[i], (len(rest), sig.shape[1])), sig[rest], least)
-            links += [(h1[i], h1[j]) for j in rest[near].tolist()]
+            links += [(node[i], node[j]) for j in rest[near].tolist()]
             todo += rest[near].tolist()
             rest = np.delete(rest, near)
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())}) if links else None
@@ -156,7 +156,7 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 
 def cluster_links(group: pa.Table, threshold: Fraction, least: dict[int, int]) -> pa.Table | None:
     """Link counts of the classes in a pair of a cluster's blocks, and a spanning forest of their verified links."""
-    h = list(zip(group.column("h1").to_pylist(), group.column("h2").to_pylist(), strict=True))
+    h = group.column("node").to_pylist()
     a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
     first = {k: at for at, k in reversed(list(enumerate(h)))}  # a document that stands there twice counts once
     rows = np.array(sorted(first.values()))
@@ -185,11 +185,11 @@ def cluster_links(group: pa.Table, threshold: Fraction, least: dict[int, int]) -
     np.add.at(links, j, copies[i])
     root = forest(i, j, len(rows))
     hit, tree = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(rows)))
-    h1, h2 = (np.array([h[r][k] for r in rows.tolist()], np.int64) for k in (0, 1))
+    node = np.array([h[r] for r in rows.tolist()], np.int64)
     none = lambda n: pa.nulls(n, pa.int64())
     return pa.concat_tables([
-        pa.table({"h1": h1[hit], "h2": h2[hit], "links": links[hit], "p": none(len(hit)), "q": none(len(hit))}),
-        pa.table({"h1": none(len(tree)), "h2": none(len(tree)), "links": none(len(tree)), "p": h1[tree], "q": h1[root[tree]]}),
+        pa.table({"node": node[hit], "links": links[hit], "p": none(len(hit)), "q": none(len(hit))}),
+        pa.table({"node": none(len(tree)), "links": none(len(tree)), "p": node[tree], "q": node[root[tree]]}),
     ])
 
 
@@ -202,24 +202,25 @@ def paired(df: DataFrame, blocks: str, block: Column) -> DataFrame:
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: Fraction = THRESHOLD) -> DataFrame:
     """For every row: doc_id, n_links, class_id (the least id of its component), kept, and row (a hash of id and text)."""
     signed = stage(sign(docs, id_col, text_col, width), "signatures")
+    # a class is a set of shingles, told by two hashes; its number, written with it, stands for it from here on
     classes = stage(
-        signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).select("h1", "h2", "least_id", "best.row", "copies", "n", "sig"),
+        signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least_id", "best.row", "copies", "n", "sig"),
         "shingle-classes",
     )
     least = least_matches(threshold)
-    buckets = classes.select("h1", "h2", "sig").mapInArrow(band_keys, "bucket long, h1 long, h2 long")
+    buckets = classes.select("node", "sig").mapInArrow(band_keys, "bucket long, node long")
     # what many rows share a key with is staged first: a join of two plain shuffles is one that Spark can split where it is skewed
     shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("blocks")), "shared-buckets")
-    meeting = buckets.join(shared, "bucket").groupBy("h1", "h2").agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
+    meeting = buckets.join(shared, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "blocks")).alias("buckets"))
     candidates = (
-        meeting.join(classes.select("h1", "h2", F.substring("sig", 1, 2 * BUCKET_HASHES).alias("sig")), ["h1", "h2"])
-        .select("h1", "sig", F.explode("buckets").alias("in"))
-        .select("h1", "sig", "in.bucket", "in.blocks")
+        meeting.join(classes.select("node", F.substring("sig", 1, 2 * BUCKET_HASHES).alias("sig")), "node")
+        .select("node", "sig", F.explode("buckets").alias("in"))
+        .select("node", "sig", "in.bucket", "in.blocks")
     )
-    dealt = paired(candidates, "blocks", F.pmod(F.xxhash64("h1"), F.col("blocks")))
-    survivors = map_groups(dealt.select("bucket", "a", "b", "h1", "sig"), ["bucket", "a", "b"], lambda g: bucket_links(g, least), "a long, b long")
-    clusters = stage(connected_components(survivors).withColumnRenamed("node", "h1"), "clusters")
-    inside = stage(classes.join(clusters, "h1"), "clustered")
+    dealt = paired(candidates, "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    survivors = map_groups(dealt.select("bucket", "a", "b", "node", "sig"), ["bucket", "a", "b"], lambda g: bucket_links(g, least), "a long, b long")
+    clusters = stage(connected_components(survivors), "clusters")
+    inside = stage(classes.join(clusters, "node"), "clustered")
     sizes = inside.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,21 +232,21 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 flat = [s.view(np.int64) for s, m in zip(sets, mine.tolist(), strict=True) if m]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in flat])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(mine)) for c in ("component", "h1", "h2", "copies", "sig", "blocks")), lists], names=["component", "h1", "h2", "copies", "sig", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(mine)) for c in ("component", "node", "copies", "sig", "blocks")), lists], names=["component", "node", "copies", "sig", "blocks", "shingles"])
 
     texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    members = inside.join(sizes, "component").select("component", "h1", "h2", "copies", "sig", "blocks", "row").join(texts, "row")
-    sets = members.mapInArrow(spread, "component long, h1 long, h2 long, copies long, sig binary, blocks int, shingles array<long>")
-    grouped = paired(sets, "blocks", F.pmod(F.xxhash64("h1", F.lit(1)), F.col("blocks"))).drop("blocks")
-    found = stage(map_groups(grouped, ["component", "a", "b"], lambda g: cluster_links(g, threshold, least), "h1 long, h2 long, links long, p long, q long"), "jaccard-links")
-    links = found.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.sum("links").alias("outer_links"))
-    groups = connected_components(found.where("p IS NOT NULL").select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("h1"), "component")
-    placed = inside.select("h1", "h2", "least_id", "row", "copies").join(groups, "h1").join(links, ["h1", "h2"], "left")
+    members = inside.join(sizes, "component").select("component", "node", "h1", "h2", "copies", "sig", "blocks", "row").join(texts, "row")
+    sets = members.mapInArrow(spread, "component long, node long, copies long, sig binary, blocks int, shingles array<long>")
+    grouped = paired(sets, "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).drop("blocks")
+    found = stage(map_groups(grouped, ["component", "a", "b"], lambda g: cluster_links(g, threshold, least), "node long, links long, p long, q long"), "jaccard-links")
+    links = found.where("node IS NOT NULL").groupBy("node").agg(F.sum("links").alias("outer_links"))
+    groups = connected_components(found.where("p IS NOT NULL").select(F.col("p").alias("a"), F.col("q").alias("b")))
+    placed = inside.select("node", "least_id", "row", "copies").join(groups, "node").join(links, "node", "left")
     heads = placed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "row")).alias("best"))
-    linked = placed.join(heads, "component").select("h1", "h2", "outer_links", "class_id", F.col("best.row").alias("head"))
+    linked = placed.join(heads, "component").select("node", "outer_links", "class_id", F.col("best.row").alias("head"))
     told = stage(
-        classes.select("h1", "h2", "least_id", "row", "copies")
-        .join(linked, ["h1", "h2"], "left")
+        classes.select("node", "h1", "h2", "least_id", "row", "copies")
+        .join(linked, "node", "left")
         .select("h1", "h2", (F.col("copies") - 1 + F.coalesce("outer_links", F.lit(0))).alias("links"), F.when(F.col("head").isNull(), F.col("least_id")).otherwise(F.col("class_id")).alias("of"), F.coalesce("head", "row").alias("head")),
         "told-classes",
     )
