@@ -24,15 +24,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import slices
+from folioflow.llm.common import slices, stage
 
 UNDETERMINED = "und"
 CELLS = 1 << 14
 PER_LANGUAGE = 400
 LANDMARKS = 96
+#: Parts in which the normal equations are summed up.
+SUMS = 8
 RIDGE = 1e-2
 #: Below this score, where no language fits better than chance, a document counts as unidentified.
 LEAST_SCORE = 0.3
@@ -94,24 +97,46 @@ def unit(flags: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
+def unpacked(flags: Sequence[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(flags), np.uint8).reshape(len(flags), -1), axis=1) if len(flags) else np.zeros((0, CELLS), np.uint8)
+
+
+def nystroem(marks: np.ndarray) -> np.ndarray:
+    """What turns the kernels with the landmarks into coordinates."""
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    keep = values > 1e-6 * values.max()
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def equations(marks: np.ndarray, root: np.ndarray, flags: np.ndarray, of: np.ndarray, names: list[str], share: dict[str, float]) -> np.ndarray:
+    """Both sides of the regression's normal equations, over some texts: coordinates by coordinates, then by languages."""
+    places = (unit(flags) @ marks.T).astype(np.float64) @ root
+    wanted = np.where(of[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    weighted = places * np.array([share[name] for name in of.tolist()])[:, None]
+    return np.hstack([weighted.T @ places, weighted.T @ wanted])
+
+
+def solved(names: list[str], marks: np.ndarray, root: np.ndarray, sums: np.ndarray, n: int) -> Model:
+    wide = root.shape[1]
+    gram = sums[:, :wide] + RIDGE * n / 100 * np.eye(wide)
+    return Model(names, np.ascontiguousarray(marks.T), (root @ np.linalg.solve(gram, sums[:, wide:])).astype(np.float32))
+
+
+def shares(counts: dict[str, int]) -> dict[str, float]:
+    """The weight of a language's texts: all languages weigh the same."""
+    return {name: sum(counts.values()) / (len(counts) * n) for name, n in counts.items()}
+
+
 def fit(flags: np.ndarray, languages: list[str], landmarks: int = LANDMARKS) -> Model:
-    """Landmarks spread evenly over the languages; rows come in a fixed order."""
-    names = sorted(set(languages))
+    """The model of some texts at hand; landmarks are spread evenly over the languages, rows come in a fixed order."""
+    names, of = sorted(set(languages)), np.array(languages)
     if not names:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros((0, 0), np.float32))
-    x, of = unit(flags), np.array(languages)
-    each = max(1, landmarks // len(names))
-    chosen = np.concatenate([np.flatnonzero(of == name)[:each] for name in names])
-    marks = x[chosen]
-    inside, across = (marks @ marks.T).astype(np.float64), (x @ marks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(inside)
-    keep = values > 1e-6 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    places = across @ root
-    wanted = np.where(of[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    share = np.array([len(of) / (len(names) * max(1, (of == name).sum())) for name in of.tolist()])
-    gram = places.T @ (places * share[:, None]) + RIDGE * len(of) / 100 * np.eye(places.shape[1])
-    return Model(names, np.ascontiguousarray(marks.T), (root @ np.linalg.solve(gram, places.T @ (wanted * share[:, None]))).astype(np.float32))
+    each, share = max(1, landmarks // len(names)), shares({name: languages.count(name) for name in names})
+    marks = unit(flags[np.concatenate([np.flatnonzero(of == name)[:each] for name in names])])
+    root = nystroem(marks)
+    sums = sum(equations(marks, root, flags[at : at + 512], of[at : at + 512], names, share) for at in range(0, len(of), 512))
+    return solved(names, marks, root, sums, len(of))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -133,8 +158,12 @@ def in_thirds(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from rows with a language whose crc32(doc_id as text) mod 3 is not 1; spectra come packed, 2 KB a row."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
+    """Learn from rows with a language whose crc32(doc_id as text) mod 3 is not 1.
+
+    Spectra are packed, 2 KB a row. The landmarks come to the driver, one a language at least; the normal equations are summed
+    up by tasks, a block of landmarks by landmarks and languages each, so no row of the rest does.
+    """
     rows = docs.select(F.col("doc_id"), F.col("text"), F.col("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (in_thirds() != 1))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -150,11 +179,30 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 packed = pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), batch.column("lang"), pa.array([x.tobytes() for x in flags])], names=["place", "doc_id", "lang", "flags"])
                 yield packed.filter(pa.array(known))
 
-    taught = rows.withColumn("place", place).where(F.col("place") < rate).select("place", "doc_id", "lang", "text")
-    found = sorted(map(tuple, taught.mapInArrow(pack, "place long, doc_id long, lang string, flags binary").collect()))
-    seen: dict[str, int] = {}
-    kept = [x for x in found if seen.setdefault(x[2], 0) < per_language and not seen.update({x[2]: seen[x[2]] + 1})]
-    return fit(np.unpackbits(np.frombuffer(b"".join(x[3] for x in kept), np.uint8).reshape(len(kept), -1), axis=1), [x[2] for x in kept])
+    taught = rows.withColumn("place", place).where(F.col("place") < rate).select("place", "doc_id", "lang", "text").mapInArrow(pack, "place long, doc_id long, lang string, flags binary")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "flags"))
+    kept = stage(taught.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "flags"), "language-spectra")
+    held = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not held:
+        return fit(np.zeros((0, CELLS), np.uint8), [])
+    names, share = sorted(held), shares(held)
+    chosen = sorted(map(tuple, kept.where(F.col("nth") <= max(1, landmarks // len(names))).collect()))
+    marks = unit(unpacked([x[2] for x in chosen]))
+    root = nystroem(marks)
+    shared = docs.sparkSession.sparkContext.broadcast((marks, root))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((root.shape[1], root.shape[1] + len(names)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                total += equations(*shared.value, unpacked(some.column("flags").to_pylist()), np.array(some.column("lang").to_pylist()), names, share)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()])], names=["part", "sums"])
+
+    # a fixed number of parts, added up in order, so that a rerun gives the same model
+    parts = sorted(map(tuple, kept.repartition(SUMS, "lang", "nth").sortWithinPartitions("lang", "nth").mapInArrow(summed, "part int, sums binary").collect()))
+    sums = sum(np.frombuffer(x, np.float64).reshape(root.shape[1], -1) for _, x in parts)
+    return solved(names, marks, root, sums, sum(held.values()))
 
 
 def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:

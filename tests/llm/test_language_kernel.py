@@ -100,3 +100,20 @@ def test_scores_against_plain_kernel_ridge():
 def test_spark_and_python_agree_on_thirds(spark):
     ids = spark.range(200).withColumnRenamed("id", "doc_id")
     assert all(r[1] == zlib.crc32(str(r[0]).encode()) % 3 for r in ids.select("doc_id", lk.in_thirds()).collect())
+
+
+def test_many_languages_are_summed_up_by_tasks(spark):
+    """Training over the table gives the model of all its rows at hand, and only landmarks come to the driver."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        own = "".join(rng.permutation(list(alphabet))[:6])
+        rows += [(100 * k + i, " ".join("".join(rng.choice(list(own), 5)) for _ in range(30)), f"l{k:03d}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lk.train(docs, per_language=4, landmarks=240)
+    assert len(model.languages) == 120 and model.landmarks.shape[1] <= 240
+    told, scores = lk.predict(model, [t for _, t, _ in rows])
+    assert sum(a == b for a, (_, _, b) in zip(told, rows, strict=True)) > 0.95 * len(rows)
+    again = lk.train(docs.repartition(7), per_language=4, landmarks=240)
+    assert (again.weights == model.weights).all() and (again.landmarks == model.landmarks).all()
