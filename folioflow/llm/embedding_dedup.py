@@ -1,8 +1,9 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative a group.
 
-Equal vectors are first folded into one with a count. Centroids are fitted on a sample of at most SAMPLE vectors; their
-number follows the square root of the number of vectors at every size, and every vector is at home in the cell of its nearest
-centroid. So that no link between two cells is lost, a vector is also a guest of each cell of lower number that could hold a
+Equal vectors are first folded into one with a count. Centroids are fitted on a sample of at most SAMPLE vectors. Their
+number is the one, of several that follow the square root of the number of vectors, that asks for the least work by what half of
+the sample says of the other half: vectors in clusters are parted into many small cells that hardly meet, vectors that
+lie evenly into few. Every vector is at home in the cell of its nearest centroid. So that no link between two cells is lost, a vector is also a guest of each cell of lower number that could hold a
 partner. Two bounds say which: a vector x of cell A with centroid A is no nearer to another centroid B, so a partner y at home
 in B has y.(B - A) / |B - A| <= sqrt(1 - t^2) at the threshold t; and x is within the cell's radius of A, so the angle of y
 and A is at most that radius and acos(t). Results are thus exact whatever the centroids; good ones only mean fewer guests.
@@ -28,12 +29,16 @@ from folioflow.llm.common import map_groups, stage
 from folioflow.llm.components import connected_components
 
 THRESHOLD = 0.9
-#: Vectors that the centroids are fitted on, at most about.
-SAMPLE = 8192
-#: Cells by the square root of the number of vectors; bounded, so that centroids stay small.
+#: Vectors that the centroids are fitted on, and their values, at most about; and the least number of them a centroid.
+SAMPLE, SAMPLE_VALUES, SAMPLED_BY_CELL = 16_384, 1_000_000, 8
+#: Cells by the square root of the number of vectors at least, and the multiples of it that are weighed up; bounded, so that
+#: centroids stay small.
 CELLS_BY_ROOT = 1 / 8
+MULTIPLES = (1, 2, 4, 8, 16)
 MAX_CELLS = 4096
 MAX_CENTROID_VALUES = 4_000_000
+#: Nanoseconds that a vector's value takes to be shuffled, and to be multiplied, about: only their ratio counts.
+SHUFFLED, MULTIPLIED = 8.0, 0.15
 #: Rows of a block at home at most about, while cells are small; they grow with the square root of the number of vectors too.
 #: Blocks of guests have twice as many.
 BLOCK_ROWS = 4096
@@ -66,27 +71,47 @@ def sizes_by_length(classes: DataFrame) -> dict[int, int]:
     return {r["wide"]: r["n"] for r in classes.groupBy("wide").agg(F.count("*").alias("n")).collect()}
 
 
-def cell_number(n: int, wide: int, sampled: int) -> int:
-    return max(1, min(MAX_CELLS, MAX_CENTROID_VALUES // wide, math.ceil(CELLS_BY_ROOT * math.sqrt(n)), sampled // 2))
+def cell_number(n: int, wide: int, sampled: int, multiple: int = 1) -> int:
+    return max(1, min(MAX_CELLS, MAX_CENTROID_VALUES // wide, multiple * math.ceil(CELLS_BY_ROOT * math.sqrt(n)), sampled // SAMPLED_BY_CELL))
 
 
 def block_rows(n: int, wide: int) -> int:
     return max(1, min(max(BLOCK_ROWS, 2 * math.isqrt(n)), MAX_BLOCK_VALUES // wide))
 
 
-def fit_cells(classes: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+def work(centres: np.ndarray, x: np.ndarray, n: int, threshold: float) -> tuple[float, float]:
+    """Rows that n vectors would be shuffled as, and pairs compared, if cells held what they hold of x: each row goes to the blocks it meets."""
+    fit = x @ centres.T
+    home = fit.argmax(axis=1)
+    reach = np.full(len(centres), 2.0)
+    np.minimum.at(reach, home, fit[np.arange(len(x)), home])
+    goes = could_link(centres, reach, fit, home, threshold)
+    homes = np.bincount(home, minlength=len(centres)) * (n / len(x))
+    guests = goes.sum(axis=0) * (n / len(x)) - homes
+    rows = block_rows(n, x.shape[1])
+    home_blocks, guest_blocks = np.ceil(homes / rows), np.ceil(guests / (2 * rows))
+    return float((homes * (home_blocks + guest_blocks) + guests * home_blocks).sum()), float((homes * (homes / 2 + guests)).sum())
+
+
+def choose_cells(x: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Centroids for n vectors from a sample x of them, in the number that asks for the least work."""
+    half, best = len(x) // 2, (math.inf, 1)
+    for k in sorted({cell_number(n, x.shape[1], len(x), m) for m in MULTIPLES}):
+        if half >= k:
+            rows, pairs = work(spherical_kmeans(x[:half], k), x[half:], n, threshold)
+            best = min(best, (x.shape[1] * (rows * SHUFFLED + pairs * MULTIPLIED), k))
+    return spherical_kmeans(x, best[1])
+
+
+def fit_cells(classes: DataFrame, sizes: dict[int, int], threshold: float) -> dict[int, np.ndarray]:
     """Centroids by length of vectors."""
-    total = sum(sizes.values())
-    cut = min(1 << 30, int((1 << 30) * SAMPLE / max(1, total)))
+    rate = min(SAMPLE / max(1, sum(sizes.values())), SAMPLE_VALUES / max(1, sum(w * n for w, n in sizes.items())))
+    cut = min(1 << 30, int((1 << 30) * rate))
     sample: dict[int, list[tuple[int, list[float]]]] = {w: [] for w in sizes}
     for r in classes.where(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1 << 30)) <= cut).select("wide", "h1", "v").collect():
         sample[r["wide"]].append((r["h1"], r["v"]))
-    out = {}
-    for wide, rows in sample.items():
-        # too few sampled vectors for any cell happen where lengths are rare
-        k = cell_number(sizes[wide], wide, len(rows))
-        out[wide] = spherical_kmeans(units(np.array([v for _, v in sorted(rows)], float)), k) if rows else np.eye(1, wide)
-    return out
+    # the order of a hash is none of the vectors' own; too few sampled vectors for any cell happen where lengths are rare
+    return {wide: choose_cells(units(np.array([v for _, v in sorted(rows)], float)), sizes[wide], threshold) if rows else np.eye(1, wide) for wide, rows in sample.items()}
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -137,7 +162,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         "vector-classes",
     )
     sizes = sizes_by_length(classes)
-    cells = spark.sparkContext.broadcast(fit_cells(classes, sizes))
+    cells = spark.sparkContext.broadcast(fit_cells(classes, sizes, threshold))
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

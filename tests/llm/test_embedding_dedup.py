@@ -55,11 +55,52 @@ def test_matches_brute_force(spark, monkeypatch, small):
 
 
 def test_cells_follow_the_size():
-    assert [ed.cell_number(n, 64, ed.SAMPLE) for n in (0, 1, 200, 500, 2000, 10_256, 51_282, 10**6, 10**9)] == [1, 1, 2, 3, 6, 13, 29, 125, 3953]
+    assert [ed.cell_number(n, 64, ed.SAMPLE) for n in (0, 1, 200, 500, 2000, 10_256, 51_282, 10**6, 10**9)] == [1, 1, 2, 3, 6, 13, 29, 125, 2048]
+    assert [ed.cell_number(10_256, 64, ed.SAMPLE, m) for m in ed.MULTIPLES] == [13, 26, 52, 104, 208]
     assert ed.cell_number(10**9, 10_000, ed.SAMPLE) == 400 and ed.cell_number(500, 64, 2) == 1
     assert [ed.block_rows(n, 64) for n in (1, 10**6, 10**9)] == [4096, 4096, 62_500] and ed.block_rows(5, 10**7) == 1
 
 
+def clustered(n, wide, clusters, spread, seed=2):
+    rng = np.random.default_rng(seed)
+    return ed.units(rng.normal(size=(clusters, wide))[rng.integers(clusters, size=n)] + spread * rng.normal(size=(n, wide)))
+
+
+def shares(centres, x):
+    """Copies of the vectors by all there could be, and pairs that meet by all pairs."""
+    fit = x @ centres.T
+    home = fit.argmax(axis=1)
+    reach = np.full(len(centres), 2.0)
+    np.minimum.at(reach, home, fit[np.arange(len(x)), home])
+    goes = ed.could_link(centres, reach, fit, home, 0.9)
+    homes = np.bincount(home, minlength=len(centres))
+    return goes.sum() / (home + 1).sum(), (homes * (homes / 2 + goes.sum(axis=0) - homes)).sum() / (len(x) ** 2 / 2)
+
+
+@pytest.mark.parametrize(("n", "clusters", "spread"), [(2000, 40, 0.3), (8000, 150, 0.4), (8000, 20, 0.2)])
+def test_cells_of_clustered_vectors_exclude_most_work(n, clusters, spread):
+    x = clustered(n, 64, clusters, spread)
+    centres = ed.choose_cells(x, n, 0.9)
+    copies, pairs = shares(centres, x)
+    assert len(centres) > ed.cell_number(n, 64, n) or clusters < 30
+    assert copies < 0.5 and pairs < 0.2
+    # without centroids all vectors are in one cell and meet
+    assert shares(np.zeros_like(centres), x)[1] > 0.9
+
+
+def test_cells_of_scattered_vectors_stay_few():
+    x = ed.units(np.random.default_rng(1).normal(size=(4000, 64)))
+    assert len(ed.choose_cells(x, 4000, 0.9)) == ed.cell_number(4000, 64, 4000)
+
+
+def test_clustered_vectors_match_brute_force(spark):
+    x = clustered(1500, 16, 30, 0.25)
+    got = ed.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0, "x", 1) for i, v in enumerate(x)], SCHEMA))
+    near = np.array(x, np.float32).astype(float)
+    near = ed.units(near) @ ed.units(near).T >= 0.9
+    assert {r.vec_id: r.n_links for r in got.collect()} == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1))}
+
+
 @pytest.mark.parametrize(("wide", "spread", "threshold"), [(2, 1.0, 0.9), (3, 0.3, 0.9), (8, 0.2, 0.9), (8, 1.0, 0.5)])
 def test_bounds_lose_no_link(wide, spread, threshold):
     """Partners meet in the lower of their cells; vectors around few centres are guests of few cells."""
