@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
 from folioflow.operators import assemble, code, fragments, markdown, pages, ranges, recents, rendering, tables, word
-from folioflow.plans import inputs, markdown_sql, structure_queries
+from folioflow.plans import file_queries, inputs, markdown_sql, structure_queries
 from folioflow.plans.inputs import table
 from folioflow.sources import files
 
@@ -559,5 +559,5 @@ def text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.found(table(spark, sf_dir, "documents"), "the").select("doc_id", "first_at", "hits")
 
 
-QUERIES |= structure_queries.QUERIES
-SQL |= structure_queries.SQL
+QUERIES |= structure_queries.QUERIES | file_queries.QUERIES
+SQL |= structure_queries.SQL | file_queries.SQL
