@@ -20,12 +20,12 @@ class Language:
 
 
 LINE, BLOCK = r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)"
-#: Words and marks of the languages, those of the reference and the words that were here before.
+#: The marked words of each language, as they are given, and its comments and quotes.
 LANGUAGES = {
     "swift": Language("associatedtype actor async await break case catch class continue default defer deinit do else enum extension fallthrough false final for func guard if import in init inout internal is let lazy mutating nil open operator private protocol public repeat return self some static struct subscript super switch throw throws true try typealias var where while nonisolated any", f"{LINE}|{BLOCK}", '"'),
-    "python": Language("and as assert async await break case class continue def del elif else except False finally for from global if import in is lambda match None nonlocal not or pass raise return self True try while with yield", "#[^\n]*", "\"'", False),
-    "javascript": Language("as async await break case catch class const continue debugger declare default delete do else enum export extends false finally for from function if implements import in instanceof interface let new null of readonly return static super switch this throw true try type typeof undefined var void while yield", f"{LINE}|{BLOCK}", "\"'`"),
-    "bash": Language("case cd do done echo elif else esac export fi for function if in local return set source then until while", "#[^\n]*", "\"'", False),
+    "python": Language("and as assert async await break class continue def del elif else except False finally for from global if import in is lambda None nonlocal not or pass raise return True try while with yield self match case", "#[^\n]*", "\"'", False),
+    "javascript": Language("async await break case catch class const continue debugger default delete do else export extends false finally for from function if import in instanceof let new null of return static super switch this throw true try typeof undefined var void while yield interface type enum implements readonly as declare", f"{LINE}|{BLOCK}", "\"'`"),
+    "bash": Language("if then else elif fi for while do done case esac function return export local set echo cd source in", "#[^\n]*", "\"'", False),
     "json": Language("true false null", r"(?!)", '"', False),
     "css": Language("important media import supports keyframes from to and not", BLOCK, "\"'", False),
 }

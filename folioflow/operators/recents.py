@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def recents_sections(seen: DataFrame, stamps: DataFrame, now: str, temp: str = "/tmp/") -> DataFrame:
+def recents_sections(seen: DataFrame, stamps: DataFrame, now: Column, temp: str = "/tmp/") -> DataFrame:
     """path, section, label, arrival_ord of seen (path, mtime, arrival_ord, file_exists), with the stamps' times first.
 
-    The order of arrival is kept; files that are gone or temporary are left out.
+    now may be a scalar subquery. The order of arrival is kept; files that are gone or temporary are left out.
     """
-    at = F.to_timestamp(F.lit(now))
+    at = now
     shown = seen.where(F.col("file_exists") & ~F.startswith("path", F.lit(temp))).join(stamps, "path", "left").withColumn("at", F.coalesce("opened", "mtime"))
     today = F.coalesce(F.to_date("at") == F.to_date(at), F.lit(False))
     return shown.select("path", F.when(today, "Today").otherwise("Earlier").alias("section"), opened_label(F.col("at"), at).alias("label"), "arrival_ord")

@@ -248,7 +248,7 @@ SELECT path, CASE WHEN CAST(t AS DATE) = CAST(now AS DATE) THEN 'Today' ELSE 'Ea
 def recents_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     last = events.groupBy("user_id").agg(F.max("ts").alias("mtime"), F.min("event_id").alias("arrival_ord"))
-    now = events.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+    now = events.agg(F.max("ts")).scalar()
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md"))
     seen = last.select(F.concat(F.when(F.col("user_id") % 5 == 0, "/tmp/").otherwise("/home/me/"), name).alias("path"), "mtime", "arrival_ord", (F.col("user_id") % 7 != 0).alias("file_exists"))
     stamps = last.where("user_id % 3 = 0").select(F.concat(F.lit("/home/me/"), name).alias("path"), F.expr("mtime - INTERVAL 30 HOURS").alias("opened"))
