@@ -1,6 +1,6 @@
 """Removal of bytes covered by a string of LENGTH bytes that also starts anywhere else.
 
-Documents are packed into units of about a megabyte. Every window of LENGTH bytes has an anchor: the place of its least
+Documents are packed into units of about a megabyte, those that share a long line mostly together. Every window of LENGTH bytes has an anchor: the place of its least
 k-gram hash, which depends on the window's bytes only. Neighbouring windows with one anchor form a run. Equal windows have
 equal anchors at the same offset, so only runs whose anchor k-gram stands elsewhere need a closer look.
 
@@ -41,6 +41,8 @@ PASSAGE = 280
 KGRAM = 32
 PIECE = 24
 UNIT_BYTES = 1_000_000
+#: Characters of a line that documents are brought together by, at least.
+NEAR_LINE = 40
 #: Bytes of the exchange that meet in one group, about.
 BUCKET_BYTES = 4_000_000
 KEY = np.dtype([("key", "<u8"), ("least", "<u8"), ("most", "<u8")])
@@ -285,6 +287,18 @@ def answering(lengths: tuple[int, ...], names: list[str]):
     return run
 
 
+def brought_together(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (doc_id, text) in an order in which documents that share a long line mostly follow each other, dealt by ranges.
+
+    Units then hold what the suffix order can find. Which documents share a unit is no matter of results, and rows of a hot
+    line are parted by their texts, and copies of one text by chance.
+    """
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= NEAR_LINE)
+    keyed = rows.withColumns({"near": F.array_min(F.transform(lines, lambda x: F.xxhash64(x))), "whole": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    keys = ["near", "whole", "salt"]
+    return keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, others: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256; n_in_<k> bytes in repeated strings of k bytes for each other length k.
 
@@ -294,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, others: tuple[int, ...
     name, n = f"folioflow_units_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     told_at: list[str] = []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(pack(lengths), "unit long, doc_ids array<long>, ends array<long>, data binary, items array<binary>")
+    packed = brought_together(rows, n).mapInArrow(pack(lengths), "unit long, doc_ids array<long>, ends array<long>, data binary, items array<binary>")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(f"n_in_{k}" for k in others)]
     path = fresh_path(spark, "suffix-units")
     try:

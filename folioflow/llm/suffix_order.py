@@ -2,8 +2,9 @@
 
 Two suffixes are compared by the length of their common extension, which a binary search over prefix polynomial hashes
 finds in a number of steps that is logarithmic in the limit; the next byte decides. Positions are sorted by a bottom-up
-mergesort whose merges place all elements of all runs at once. Strings that stand together and have equal hashes are
-verified byte by byte.
+mergesort whose merges place all elements of all runs at once; runs that follow each other already are left as they are,
+and the sort begins with positions in the order of their first eight bytes. Strings that stand together and have equal
+hashes are verified byte by byte.
 """
 
 from __future__ import annotations
@@ -25,6 +26,15 @@ class PrefixHash:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTES[data] * powers(size, False)[: len(data)], out=self.sums[1:])
         self.down = powers(size, True)
+        self.first: np.ndarray | None = None
+
+    def words(self) -> np.ndarray:
+        """The eight bytes from each position on as a number, zeros beyond the end."""
+        if self.first is None:
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[: len(self.data)] = self.data
+            self.first = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(self.data) + 1].copy().view(">u8").reshape(-1).astype(np.uint64)
+        return self.first
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end], the same wherever the string stands."""
@@ -43,8 +53,20 @@ class PrefixHash:
 
 def before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Whether the suffix at a, cut at limit bytes, sorts before that at b; ties go to the smaller position."""
+    words = hashes.words()
+    out = words[a] < words[b]
+    close = np.flatnonzero(words[a] == words[b]) if limit >= 8 else np.arange(len(a))
+    if len(close):
+        out[close] = later_before(hashes, a[close], b[close], limit)
+    return out
+
+
+def later_before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """What before says, from the byte behind the common extension."""
     n, data = len(hashes.data), hashes.data
-    length = hashes.common(a, b, limit)
+    length = np.minimum(limit, n - np.maximum(a, b))
+    part = np.flatnonzero(hashes.of(a, a + length) != hashes.of(b, b + length))
+    length[part] = hashes.common(a[part], b[part], limit)
     end_a, end_b = a + length, b + length
     left = np.where(end_a < n, data[np.minimum(end_a, n - 1)].astype(np.int16), -1)
     right = np.where(end_b < n, data[np.minimum(end_b, n - 1)].astype(np.int16), -1)
@@ -56,20 +78,27 @@ def before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.n
 def suffix_order(hashes: PrefixHash, starts: np.ndarray, limit: int) -> np.ndarray:
     """starts in the order of their suffixes cut at limit bytes."""
     order = np.sort(starts)
+    if limit >= 8:
+        order = order[np.argsort(hashes.words()[order], kind="stable")]
     n, size = len(order), 1
     while size < n:
-        at = np.arange(n)
-        run = at // size
-        partner = run ^ 1
-        low, high = np.minimum(partner * size, n), np.minimum((partner + 1) * size, n)
-        first = low.copy()
-        # the place of each element among its partner run, by a binary search of all at once
-        while (open_ := np.flatnonzero(low < high)).size:
-            middle = (low[open_] + high[open_]) >> 1
-            less = before(hashes, order[middle], order[open_], limit)
-            low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
-        place = (run & ~1) * size + (at - run * size) + (low - first)
-        order, size = order[np.argsort(place, kind="stable")], 2 * size
+        seams = np.arange(size, n, 2 * size)
+        loose = np.zeros(-(-n // (2 * size)), bool)
+        loose[: len(seams)] = ~before(hashes, order[seams - 1], order[seams], limit)
+        at = np.flatnonzero(loose[np.arange(n) // (2 * size)])
+        if len(at):
+            run = at // size
+            partner = run ^ 1
+            low, high = np.minimum(partner * size, n), np.minimum((partner + 1) * size, n)
+            first, mine = low.copy(), order[at]
+            # the place of each element among its partner run, by a binary search of all at once
+            while (open_ := np.flatnonzero(low < high)).size:
+                middle = (low[open_] + high[open_]) >> 1
+                less = before(hashes, order[middle], mine[open_], limit)
+                low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
+            place = (run & ~1) * size + (at - run * size) + (low - first)
+            order[place] = mine
+        size *= 2
     return order
 
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import suffix_dedup as sd
 from folioflow.llm.suffix_order import PrefixHash, equal_groups, suffix_order
@@ -116,3 +117,36 @@ def test_suffix_order_and_groups(seed):
     groups = equal_groups(hashes, starts, lengths)
     strings = [raw[s : s + n] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
     assert all(strings[i] == strings[g] for i, g in enumerate(groups.tolist())) and len(set(groups.tolist())) == len(set(strings))
+
+
+def test_documents_that_share_a_line_stand_together(spark):
+    """Copies and passages dealt over many partitions meet in units, where the suffix order finds most of what is removed."""
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choice("abcdefghij klm") for _ in range(120))
+    shared = ["\n".join(line() for _ in range(6)) for _ in range(8)]
+    rows = [(i, shared[i % 8] + "\n" + line() if i % 3 else line()) for i in range(240)] + [(i, None) for i in range(240, 250)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed = sd.brought_together(docs, 3).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(250)) and len({r.part for r in placed}) == 3
+    found, all_ = 0, sum(r.n_removed for r in sd.remove_repeats(docs).collect())
+    for part in range(3):
+        raw = [(r.text or "").encode() for r in placed if r.part == part]
+        windows = sd.Unit(b"".join(raw), np.cumsum([len(x) for x in raw]).tolist(), (400,)).windows[0]
+        heads, of_value, n, *_ = windows.places(0)
+        twice = n[of_value] > 1
+        np.add.at(windows.removed, windows.items[1][twice], 1)
+        np.add.at(windows.removed, windows.items[2][twice] + 400, -1)
+        found += int(windows.gone.sum())
+    assert found > 0.5 * all_ > 0
+
+
+def test_suffix_order_is_that_of_the_suffixes():
+    rng = np.random.default_rng(5)
+    for alphabet, n, limit in ((2, 600, 50), (2, 600, 5), (1, 300, 40), (200, 900, 400), (3, 700, 8)):
+        data = rng.integers(0, alphabet, n).astype(np.uint8)
+        data[10:70] = data[200:260]
+        starts = rng.permutation(n)[: n // 2]
+        raw = data.tobytes()
+        got = suffix_order(PrefixHash(data), starts, limit).tolist()
+        assert got == sorted(starts.tolist(), key=lambda s: (raw[s : s + limit], s))
