@@ -44,6 +44,9 @@ RAW_ENDS = {"<!--": "-->", "<?": "?>", "<![CDATA[": "]]>"}
 PARENTHESES = 32
 PIPE = re.compile(r"(?<!\\)\|")
 TITLE = re.compile(r"""[ \t\n]+(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|\(((?:[^()\\]|\\.)*)\))""", re.S)
+#: A reference's label behind a link's words, and a line that defines what a label links to.
+LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,999})\]", re.S)
+DEFINITION = re.compile(r"\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*(\S.*)$")
 REFERENCE = re.compile(r"\\([!-/:-@\[-`{-~])|&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 
@@ -96,6 +99,32 @@ def target(text: str, at: int) -> tuple[str, str | None, int] | None:
     return (unescaped(link), title, i + 1) if text[i : i + 1] == ")" else None
 
 
+def label_of(text: str) -> str:
+    return " ".join(text.split()).casefold()
+
+
+def definition(line: str) -> tuple[str, tuple[str, str | None]] | None:
+    """The label that a line defines, with its link and title."""
+    m = DEFINITION.match(line)
+    if not m or not m[1].strip():
+        return None
+    inner = f"({m[2].rstrip()})"
+    found = target(inner, 0)
+    return (label_of(m[1]), found[:2]) if found and found[2] == len(inner) else None
+
+
+def linked(text: str, at: int, words: tuple[int, int], refs: dict[str, tuple[str, str | None]]) -> tuple[str, str | None, int] | None:
+    """Link, title and end of what follows a link's words: a target in parentheses, a label, or nothing where the words are one."""
+    if text[at : at + 1] == "(" and (found := target(text, at)):
+        return found
+    if not refs:
+        return None
+    m = LABEL.match(text, at)
+    label = m[1] if m and m[1].strip() else text[words[0] : min(words[1], words[0] + 999)]
+    to = refs.get(label_of(label))
+    return (*to, m.end() if m else at) if to else None
+
+
 def punctuation(c: str) -> bool:
     return bool(c) and unicodedata.category(c)[0] in "PS"
 
@@ -151,8 +180,8 @@ def matched(runs: list[Run]) -> None:
             stack.append(run)
 
 
-def pieces(text: str, places: list[int] | None = None) -> list[dict]:
-    """The pieces of a text, in order; places are those of its characters, the text's own if none are given."""
+def pieces(text: str, places: list[int] | None = None, refs: dict[str, tuple[str, str | None]] | None = None) -> list[dict]:
+    """The pieces of a text, in order; places are those of its characters, the text's own if none are given; refs are the labels' links and titles."""
     out: list = []
     brackets: list[tuple[int, int, bool]] = []  # slot in out, place behind, whether an image's
     dead = -1  # brackets below this one can't be links
@@ -211,7 +240,7 @@ def pieces(text: str, places: list[int] | None = None) -> list[dict]:
         elif kind == "open":
             brackets.append((len(out), at, m[0] == "!["))
             say("text", m[0], start, at)
-        elif brackets and (found := target(text, at) if text[at : at + 1] == "(" else None) and (brackets[-1][2] or len(brackets) - 1 > dead):
+        elif brackets and (found := linked(text, at, (brackets[-1][1], start), refs or {})) and (brackets[-1][2] or len(brackets) - 1 > dead):
             slot, behind, image = brackets.pop()
             inner = out[slot + 1 :]
             matched([x for x in inner if isinstance(x, Run)])
@@ -308,14 +337,14 @@ def row_cells(line: str) -> list[tuple[int, str]]:
     return [(at + len(x) - len(x.lstrip(" \t")), x.strip(" \t")) for at, x in cells]
 
 
-def units_of(kind: str, text: str, lines: list[dict]) -> list[list[dict]]:
+def units_of(kind: str, text: str, lines: list[dict], refs: dict[str, tuple[str, str | None]]) -> list[list[dict]]:
     """The pieces of a block, as one list, or one for each cell of a table, row by row, as many a row as its head has."""
     if kind in ("heading", "paragraph"):
         starts, at = [], 0
         for x in lines:
             starts.append((at, x["at"]))
             at += len(x["text"]) + 1
-        return [pieces(text, unit_places(text, starts))]
+        return [pieces(text, unit_places(text, starts), refs)]
     if kind != "table":
         return []
     rows = [(x["at"], row_cells(x["text"])) for k, x in enumerate(lines) if k != 1]
@@ -326,7 +355,7 @@ def units_of(kind: str, text: str, lines: list[dict]) -> list[list[dict]]:
             # an escaped pipe is a pipe even in code
             bars = [m.start() for m in re.finditer(r"\\\|", cell)]
             places = [p for i, p in enumerate(unit_places(cell, [(0, base + at)])) if i not in set(bars)]
-            out.append(pieces(cell.replace("\\|", "|"), places))
+            out.append(pieces(cell.replace("\\|", "|"), places, refs))
     return out
 
 

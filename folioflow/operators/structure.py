@@ -6,7 +6,9 @@ length takes little memory, and documents are dealt out freely. What a line says
 later ones, but for a table's head, which its separator tells: one line is held back for that.
 
 Paragraphs go on lazily within quotes and items; fences end with their container or with their own mark; text four columns
-in is code. Reference definitions are left as text.
+in is code. Lines that could define a reference are sorted before a document's others, so that references are known wherever
+they are defined; such lines at a paragraph's start are none of its text. A definition is one line, and one that stands in
+code counts too.
 
 Cases: a null source has no lines; empty documents have no blocks; containers that hold nothing have a block of kind
 `empty`; the same doc twice is one document of all their lines; other columns are not read.
@@ -19,9 +21,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from folioflow.operators.inlines import PIECE, PIECE_TYPE, row_cells, said, units_of
+from folioflow.operators.inlines import PIECE, PIECE_TYPE, definition, row_cells, said, units_of
 from folioflow.operators.markdown import source_lines
 
 NODE = "struct<id:int,kind:string,start:bigint,nth:int,checked:boolean>"
@@ -33,6 +36,10 @@ BLOCK = (
 BATCH = 2_000_000
 
 TAB = 4
+#: What is taken off the place of a line that could be a definition, so that it comes first.
+EARLIER = 1 << 30
+DEFINING = r"^[ \t>]*(?:(?:[-*+]|\d{1,9}[.)])[ \t>]+)*\[.+\]:[ \t]*\S"
+CONTAINED = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d{1,9}[.)])[ \t>]+)*")
 HEADING = re.compile(r"(#{1,6})(?:[ \t]+|$)")
 HEADING_END = re.compile(r"(?:^|[ \t]+)#+[ \t]*$|[ \t]+$")
 FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
@@ -333,10 +340,16 @@ BLOCK_TYPES = {
 }
 
 
-def block_of(rows: list[dict]) -> dict:
-    """One block of its lines' rows; blank lines at the end of indented code are none of it."""
+def block_of(rows: list[dict]) -> dict | None:
+    """One block of its lines' rows; blank lines at the end of indented code are none of it, nor definitions at a paragraph's start; None if nothing is left."""
     while rows[-1].get("role") == "blank":
         rows.pop()
+    whole = rows[:]
+    while rows and rows[0]["kind"] == "paragraph" and definition(rows[0]["text"]):
+        rows.pop(0)
+    if not rows or rows[0].get("role") == "underline":
+        # a container that holds nothing else is one still
+        return {**whole[0], "kind": "empty", "level": None, "len": 0, "n_lines": len(whole), "text": "", "lines": []} if whole[0]["path"] else None
     first, kind = rows[0], "heading" if rows[-1].get("role") == "underline" else rows[0]["kind"]
     lines = [{"at": r["at"], "text": r["text"]} for r in rows if r.get("role") in (None, "blank", "separator")]
     text = "\n".join(x["text"] for x in lines)
@@ -376,15 +389,23 @@ def structure(docs: DataFrame) -> DataFrame:
     and text of each line of it. path holds the containers from the outermost one; leads says that the block is the first
     text of its innermost item. pieces are its inline marks, see inlines.
     """
-    lines = source_lines(docs.where("source IS NOT NULL")).select("doc", "pos", "loc", "text")
+    # a definition follows no line of text; where one does by its container's rules, the automaton still tells
+    before = F.lag("text").over(Window.partitionBy("doc").orderBy("pos"))
+    free = before.isNull() | before.rlike(r"^[ \t>]*$|^[ \t>]*(?:#|`{3}|~{3}|-{3}|={3}|\*{3})") | before.rlike(DEFINING)
+    rows = source_lines(docs.where("source IS NOT NULL")).withColumn("defines", F.col("text").rlike(DEFINING) & free)
+    twice = F.when(F.col("defines"), F.array(F.col("pos") - EARLIER, "pos")).otherwise(F.array("pos"))
+    lines = rows.select("doc", F.explode(twice).alias("pos"), "loc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, anchors, doc, kind, held, out, size = None, None, None, None, [], [], 0
+        state, anchors, doc, kind, held, out, size, refs = None, None, None, None, [], [], 0, {}
 
         def closed() -> None:
             nonlocal size
             found = block_of(held)
-            found["pieces"] = units_of(found["kind"], found["text"], found["lines"])
+            if found is None:
+                held.clear()
+                return
+            found["pieces"] = units_of(found["kind"], found["text"], found["lines"], refs)
             if found["kind"] == "heading":
                 found["anchor"] = anchors.of(said(found["pieces"][0]))
             size += len(found["text"]) + 50
@@ -414,7 +435,11 @@ def structure(docs: DataFrame) -> DataFrame:
                 if state is None or d != doc:
                     if state is not None:
                         ended()
-                    state, anchors, doc = Containers(), Anchors(), d
+                    state, anchors, doc, refs = Containers(), Anchors(), d, {}
+                if pos < 0:
+                    if told := definition(CONTAINED.sub("", text)):
+                        refs.setdefault(*told)
+                    continue
                 state.line(pos, base, text)
                 # the last row may still become a table's head
                 taken(state.rows[:-1])

@@ -39,6 +39,8 @@ HTML = [
     ("1) a\n2. b\n\n3. c\n- d\n+ e", '<ol>\n<li>a</li>\n</ol>\n<ol start="2">\n<li>b</li>\n<li>c</li>\n</ol>\n<ul>\n<li>d</li>\n</ul>\n<ul>\n<li>e</li>\n</ul>\n'),
     ("a\n2. b\n1. c", "<p>a\n2. b</p>\n<ol>\n<li>c</li>\n</ol>\n"),
     ("- a\n ***\n- - -", "<ul>\n<li>a</li>\n</ul>\n<hr>\n<hr>\n"),
+    ("[a][B c] [b  C] [b c][] ![x][b c] [d][e] [f]\n\n> [b C]: <u v> \"t\"\n\n[f]: /w\n[b c]: later\n[g]: h i", '<p><a href="u v" title="t">a</a> <a href="u v" title="t">b  C</a> <a href="u v" title="t">b c</a> <img src="u v" alt="x" title="t"> [d][e] <a href="/w">f</a></p>\n<blockquote>\n</blockquote>\n<p>[g]: h i</p>\n'),
+    ("[*a*][x]\ntext\n[x]: y\n\n[x]: /z 'q'\nrest", '<p><a href="/z" title="q"><em>a</em></a>\ntext\n<a href="/z" title="q">x</a>: y</p>\n<p>rest</p>\n'),
     ("", ""), ("\n \n\t\n", ""), (">", "<blockquote>\n</blockquote>\n"),
 ]
 
