@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import fresh_path, lists, map_groups, remove, slices, stage
+from folioflow.llm.common import batch_bytes, fresh_path, lists, map_groups, remove, slices, stage
 from folioflow.llm.shingles import mixed
 from folioflow.llm.suffix_order import PrefixHash, equal_groups
 
@@ -312,18 +312,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, others: tuple[int, ...
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(f"n_in_{k}" for k in others)]
     path = fresh_path(spark, "suffix-units")
     try:
-        packed.repartition(n, "unit").write.option("compression", "zstd").option("path", path).bucketBy(n, "unit").format("parquet").saveAsTable(name)
-        size = spark.table(name).agg(F.coalesce(F.sum(F.octet_length(F.col("items")[0])), F.lit(0))).first()[0]
-        units = spark.table(name).withColumn("buckets", F.lit(max(8, 9 * size // (4 * BUCKET_BYTES))))
-        answers = None
-        for level in range(3):
-            asked = with_answers(units, answers).mapInArrow(asking(level, lengths), "unit long, kind int, bucket long, data binary")
-            told = map_groups(asked, ["kind", "bucket"], resolve, "unit long, kind int, bucket long, codes binary", order=["unit"]).withColumn("level", F.lit(level))
-            told_at.append(fresh_path(spark, "suffix-answers"))
-            told = stage(told, "suffix-answers", told_at[-1])
-            answers = told if answers is None else answers.unionByName(told)
-        schema = ", ".join(f"{x} {'string' if x == 'kept_sha256' else 'long'}" for x in names)
-        return stage(with_answers(units, answers).mapInArrow(answering(lengths, names), schema), "suffix-dedup")
+        with batch_bytes(spark, 4 * UNIT_BYTES):
+            packed.repartition(n, "unit").write.option("compression", "zstd").option("path", path).bucketBy(n, "unit").format("parquet").saveAsTable(name)
+            size = spark.table(name).agg(F.coalesce(F.sum(F.octet_length(F.col("items")[0])), F.lit(0))).first()[0]
+            units = spark.table(name).withColumn("buckets", F.lit(max(8, 9 * size // (4 * BUCKET_BYTES))))
+            answers = None
+            for level in range(3):
+                asked = with_answers(units, answers).mapInArrow(asking(level, lengths), "unit long, kind int, bucket long, data binary")
+                told = map_groups(asked, ["kind", "bucket"], resolve, "unit long, kind int, bucket long, codes binary", order=["unit"]).withColumn("level", F.lit(level))
+                told_at.append(fresh_path(spark, "suffix-answers"))
+                told = stage(told, "suffix-answers", told_at[-1])
+                answers = told if answers is None else answers.unionByName(told)
+            schema = ", ".join(f"{x} {'string' if x == 'kept_sha256' else 'long'}" for x in names)
+            return stage(with_answers(units, answers).mapInArrow(answering(lengths, names), schema), "suffix-dedup")
     finally:
         # the table's files are its own, in the shared folder, and stay when it is dropped
         spark.sql(f"DROP TABLE IF EXISTS {name}")
