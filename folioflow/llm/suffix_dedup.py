@@ -1,6 +1,6 @@
 """Removal of bytes covered by a string of LENGTH bytes that also starts anywhere else.
 
-Documents are packed into units of about a megabyte, those that share a long line mostly together. Every window of LENGTH bytes has an anchor: the place of its least
+Documents are packed into units of about half a megabyte, those that share a long line mostly together. Every window of LENGTH bytes has an anchor: the place of its least
 k-gram hash, which depends on the window's bytes only. Neighbouring windows with one anchor form a run. Equal windows have
 equal anchors at the same offset, so only runs whose anchor k-gram stands elsewhere need a closer look.
 
@@ -40,7 +40,7 @@ LENGTH = 400
 PASSAGE = 280
 KGRAM = 32
 PIECE = 24
-UNIT_BYTES = 1_000_000
+UNIT_BYTES = 500_000
 #: Characters of a line that documents are brought together by, at least.
 NEAR_LINE = 40
 #: Bytes of the exchange that meet in one group, about.
@@ -49,11 +49,15 @@ KEY = np.dtype([("key", "<u8"), ("least", "<u8"), ("most", "<u8")])
 VALUE = np.dtype([("value", "<u8"), ("check", "<u4"), ("local", "u1")])
 
 
-def window_anchors(hashes: PrefixHash, length: int) -> np.ndarray:
-    """For each window of length bytes the place of its least k-gram; the leftmost of equal ones."""
-    n, wide = len(hashes.data), length - KGRAM + 1
-    at = np.arange(n - KGRAM + 1)
-    keys = (mixed(hashes.of(at, at + KGRAM)) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+def gram_keys(hashes: PrefixHash) -> np.ndarray:
+    """For each k-gram half of its hash, and its place behind it."""
+    at = np.arange(len(hashes.data) - KGRAM + 1)
+    return (mixed(hashes.of(at, at + KGRAM)) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+
+
+def window_anchors(keys: np.ndarray, n: int, length: int) -> np.ndarray:
+    """For each window of length bytes of n the place of its least k-gram; the leftmost of equal ones."""
+    wide = length - KGRAM + 1
     padded = np.full(-(-len(keys) // wide) * wide, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(keys)] = keys
     blocks = padded.reshape(-1, wide)
@@ -77,7 +81,7 @@ class Windows:
         none = np.zeros(0, np.int64)
         self.items = [none, none, none]
         if len(unit.raw) >= length:
-            anchors = window_anchors(self.hashes, length)
+            anchors = window_anchors(unit.keys(), len(unit.raw), length)
             start = np.arange(len(anchors))
             doc = np.searchsorted(unit.ends, start, side="right")
             valid = start + length <= unit.ends[np.minimum(doc, len(unit.ends) - 1)]
@@ -175,8 +179,17 @@ class Unit:
         self.raw, self.data = data, np.frombuffer(data, np.uint8)
         self.hashes = PrefixHash(self.data)
         self.ends = np.array(ends, np.int64)
+        self.grams: np.ndarray | None = None
         self.windows = [Windows(self, n, x) for n, x in zip(lengths, items or [None] * len(lengths), strict=True)]
 
+        self.grams = None
+
+    def keys(self) -> np.ndarray:
+        """gram_keys of all bytes, once for all lengths."""
+        if self.grams is None:
+            self.grams = gram_keys(self.hashes)
+        return self.grams
+
     def results(self) -> list[tuple]:
         """n_bytes, n_removed, n_spans, kept_sha256 of each document by the first length, and the bytes covered by the others."""
         gone, *others = [x.gone for x in self.windows]

@@ -26,15 +26,12 @@ class PrefixHash:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTES[data] * powers(size, False)[: len(data)], out=self.sums[1:])
         self.down = powers(size, True)
-        self.first: np.ndarray | None = None
 
-    def words(self) -> np.ndarray:
+    def words(self, at: np.ndarray) -> np.ndarray:
         """The eight bytes from each position on as a number, zeros beyond the end."""
-        if self.first is None:
-            padded = np.zeros(len(self.data) + 8, np.uint8)
-            padded[: len(self.data)] = self.data
-            self.first = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(self.data) + 1].copy().view(">u8").reshape(-1).astype(np.uint64)
-        return self.first
+        places = at[:, None] + np.arange(8)
+        found = np.where(places < len(self.data), self.data[np.minimum(places, len(self.data) - 1)], 0).astype(np.uint8)
+        return np.ascontiguousarray(found).view(">u8").reshape(-1).astype(np.uint64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end], the same wherever the string stands."""
@@ -53,16 +50,6 @@ class PrefixHash:
 
 def before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Whether the suffix at a, cut at limit bytes, sorts before that at b; ties go to the smaller position."""
-    words = hashes.words()
-    out = words[a] < words[b]
-    close = np.flatnonzero(words[a] == words[b]) if limit >= 8 else np.arange(len(a))
-    if len(close):
-        out[close] = later_before(hashes, a[close], b[close], limit)
-    return out
-
-
-def later_before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """What before says, from the byte behind the common extension."""
     n, data = len(hashes.data), hashes.data
     length = np.minimum(limit, n - np.maximum(a, b))
     part = np.flatnonzero(hashes.of(a, a + length) != hashes.of(b, b + length))
@@ -77,16 +64,24 @@ def later_before(hashes: PrefixHash, a: np.ndarray, b: np.ndarray, limit: int) -
 
 def suffix_order(hashes: PrefixHash, starts: np.ndarray, limit: int) -> np.ndarray:
     """starts in the order of their suffixes cut at limit bytes."""
-    order = np.sort(starts)
-    if limit >= 8:
-        order = order[np.argsort(hashes.words()[order], kind="stable")]
+    places = np.sort(starts)
+    words = hashes.words(places) if limit >= 8 and len(places) else np.zeros(len(places), np.uint64)
+
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """before, of the a-th and b-th place: most differ in their first bytes."""
+        out, close = words[a] < words[b], np.flatnonzero(words[a] == words[b])
+        if len(close):
+            out[close] = before(hashes, places[a[close]], places[b[close]], limit)
+        return out
+
+    order = np.argsort(words, kind="stable")
     n, size = len(order), 1
     while size < n:
         seams = np.arange(size, n, 2 * size)
         loose = np.zeros(-(-n // (2 * size)), bool)
-        loose[: len(seams)] = ~before(hashes, order[seams - 1], order[seams], limit)
-        at = np.flatnonzero(loose[np.arange(n) // (2 * size)])
-        if len(at):
+        loose[: len(seams)] = ~less(order[seams - 1], order[seams])
+        if loose.any():
+            at = np.flatnonzero(loose[np.arange(n) // (2 * size)])
             run = at // size
             partner = run ^ 1
             low, high = np.minimum(partner * size, n), np.minimum((partner + 1) * size, n)
@@ -94,12 +89,11 @@ def suffix_order(hashes: PrefixHash, starts: np.ndarray, limit: int) -> np.ndarr
             # the place of each element among its partner run, by a binary search of all at once
             while (open_ := np.flatnonzero(low < high)).size:
                 middle = (low[open_] + high[open_]) >> 1
-                less = before(hashes, order[middle], mine[open_], limit)
-                low[open_], high[open_] = np.where(less, middle + 1, low[open_]), np.where(less, high[open_], middle)
-            place = (run & ~1) * size + (at - run * size) + (low - first)
-            order[place] = mine
+                below = less(order[middle], mine[open_])
+                low[open_], high[open_] = np.where(below, middle + 1, low[open_]), np.where(below, high[open_], middle)
+            order[(run & ~1) * size + (at - run * size) + (low - first)] = mine
         size *= 2
-    return order
+    return places[order]
 
 
 def equal_groups(hashes: PrefixHash, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
