@@ -304,10 +304,11 @@ def brought_together(rows: DataFrame, parts: int) -> DataFrame:
     """rows (doc_id, text) in an order in which documents that share a long line mostly follow each other, dealt by ranges.
 
     Units then hold what the suffix order can find. Which documents share a unit is no matter of results, and rows of a hot
-    line are parted by their texts, and copies of one text by chance.
+    line are parted by their texts, and copies of one text by chance. The least hash of a text's lines is hashed again: it is
+    the smaller the more lines there are, and long texts would stand together.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= NEAR_LINE)
-    keyed = rows.withColumns({"near": F.array_min(F.transform(lines, lambda x: F.xxhash64(x))), "whole": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
+    keyed = rows.withColumns({"near": F.xxhash64(F.array_min(F.transform(lines, lambda x: F.xxhash64(x)))), "whole": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
     keys = ["near", "whole", "salt"]
     return keyed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
