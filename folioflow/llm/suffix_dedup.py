@@ -44,7 +44,7 @@ UNIT_BYTES = 500_000
 #: Characters of a line that documents are brought together by, at least.
 NEAR_LINE = 40
 #: Bytes of the exchange that meet in one group, about.
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 16_000_000
 KEY = np.dtype([("key", "<u8"), ("least", "<u8"), ("most", "<u8")])
 VALUE = np.dtype([("value", "<u8"), ("check", "<u4"), ("local", "u1")])
 
