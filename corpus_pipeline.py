@@ -1,7 +1,11 @@
 """A corpus pipeline: documents to training rows, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, those that a table has besides among them.
+
+Cases, of every stage: an empty table gives an empty one of the same columns; null ids, languages, sources and counts are
+kept as they are; repeated rows are rows of their own until near duplicates go; other columns pass whatever their names.
+What a stage does with null, empty and very long texts, and with ties, stands with it.
 """
 
 from __future__ import annotations
@@ -17,29 +21,41 @@ from folioflow.llm.common import remove, scratch, shared_folder, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: no letters, or a score no better than chance."""
+    """Documents whose language can't be told go: no letters, so null and empty texts, or a score no better than chance.
+
+    Texts are scored whole. Where no row has a language to learn from, none can be told, and all go.
+    """
     return language_kernel.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found on many sites are cut from the texts; n_chars follows. Copies of a text are left to the next stage."""
+    """Lines found on many sites are cut from the texts; n_chars follows where a line went. Copies of a text are left to the next stage.
+
+    Null texts stay null, empty lines stay, and a text may become empty; texts of any length are read whole.
+    """
     cut = line_spread.remove_spread_lines(docs, copies_count=False)
     changed = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the one of the least id, nulls last, and of rows of one id that of the least hash.
+
+    Null texts and those without words are like nothing and stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of a seeded hash; rows of one id and text are taken alike.
+
+    Null and empty texts have no words and are not taken; null sources are one source.
+    """
     return source_mix.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to it."""
+    """Ids of every text, and whether they decode to it; null and empty texts have none. Other columns than the id and the text are not read."""
     return sentencepiece_unigram.encode_digest(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import geometry, text
-from folioflow.operators import offsets, ranges, rendering
+from folioflow.operators import find, offsets, ranges, rendering
 from folioflow.operators.inlines import images
 from folioflow.operators.structure import structure
 from folioflow.plans import inputs
 from folioflow.plans import structure_queries as nested
 from folioflow.plans.inputs import table
 from folioflow.sources import files
+from folioflow.sources.shared import fresh_folder
 from folioflow.streaming import edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,16 @@ def artworks_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{nested.PLACES} SELECT doc, string_agg(txt, '' ORDER BY k) AS data FROM pieces GROUP BY doc")
 def passed_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.convert_text(nested.part_documents(spark, sf_dir), "markdown")
+
+
+NEEDLES = ("the", "tion", "Une ", "zu ver")
+
+
+@query(f"""WITH needles AS (SELECT unnest({list(NEEDLES)}) AS needle)
+SELECT doc_id, needle, CAST(instr(lower(text), lower(needle)) AS INTEGER) AS first_at, CAST((length(lower(text)) - length(replace(lower(text), lower(needle), ''))) // length(needle) AS BIGINT) AS hits
+FROM documents, needles WHERE contains(lower(text), lower(needle))""")
+def indexed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts found by way of an index of trigrams."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_folder(spark, "trigrams")
+    find.build_index(docs, path)
+    return find.find_any(docs, path, list(NEEDLES)).select("doc_id", "needle", "first_at", "hits")
