@@ -115,7 +115,7 @@ class Containers:
     def __init__(self) -> None:
         self.stack: list[dict] = []
         self.leaf: dict | None = None
-        self.ids = self.blocks = 0
+        self.ids = self.blocks = self.numbered = 0
         #: The list that the last item at each level belongs to; other blocks end it.
         self.lists: list[list | None] = [None]
         self.rows: list[dict] = []
@@ -132,8 +132,8 @@ class Containers:
         out = []
         for c in self.stack:
             if c["kind"] == "item":
-                ident, ordered, _, start, _ = c["list"]
-                out.append((ident, "ol" if ordered else "ul", start, None, None))
+                ident, ordered, _, start, _, nth = c["list"]
+                out.append((ident, "ol" if ordered else "ul", start, nth, None))
             out.append((c["id"], c["kind"], None, c.get("nth"), c.get("checked")))
         return out
 
@@ -286,7 +286,8 @@ class Containers:
         kind, going = [m[2] is not None, m[1] or m[3]], self.lists[depth]
         self.close(depth)
         if going is None or going[1:3] != kind:
-            going = [self.fresh(), *kind, int(m[2]) if m[2] else None, 0]
+            going = [self.fresh(), *kind, int(m[2]) if m[2] else None, 0, self.numbered if m[2] else None]
+            self.numbered += m[2] is not None
         self.lists[depth] = going
         cur.take(inset)
         cur.skip(m.end())
@@ -386,7 +387,8 @@ def structure(docs: DataFrame) -> DataFrame:
 
     kind is heading, paragraph, code, table, rule, html or empty. loc and len are a block's range from its first line's start
     behind its containers, in UTF-16 units of the document; text is its text behind containers and marks, lines the place
-    and text of each line of it. path holds the containers from the outermost one; leads says that the block is the first
+    and text of each line of it. path holds the containers from the outermost one, with the number that a numbered list begins with,
+    which one of the document's numbered lists it is, and which one of its list an item (nth, from 0); leads says that the block is the first
     text of its innermost item. pieces are its inline marks, see inlines.
     """
     # a definition follows no line of text; where one does by its container's rules, the automaton still tells

@@ -86,7 +86,7 @@ def block_word() -> Column:
     held = F.filter(path, lambda n: n["kind"].isin("item", "ul", "ol"))
     item, of = F.element_at(held, -1), F.get(held, F.size(held) - 2)
     level = F.least(F.size(held) / 2 - 1, F.lit(LIST_LEVELS - 1)).cast("int").cast("string")
-    number = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level, F.lit('"/><w:numId w:val="'), F.when(of["kind"] == "ol", (of["id"] + 1).cast("string")).otherwise("1"), F.lit('"/></w:numPr>'))
+    number = F.concat(F.lit('<w:numPr><w:ilvl w:val="'), level, F.lit('"/><w:numId w:val="'), F.when(of["kind"] == "ol", (of["nth"] + 2).cast("string")).otherwise("1"), F.lit('"/></w:numPr>'))
     inset = F.concat(F.lit('<w:ind w:left="'), (INDENT * (F.size(held) / 2 + 1)).cast("int").cast("string"), F.lit('"/>'))
     placed = F.when(F.size(held) == 0, "").when(F.col("leads") & item["checked"].isNull(), number).otherwise(inset)
     box = F.when((F.size(held) > 0) & F.col("leads") & item["checked"].isNotNull(), run(F.lit(""), F.when(item["checked"], "☑ ").otherwise("☐ "))).otherwise("")
@@ -178,8 +178,8 @@ def to_word(docs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
         sizes = pictures.groupBy("doc").agg(F.collect_list(F.struct(*fields[:6], F.lit(None).cast("binary").alias("content"))).alias("pictures"))
         rows = found.join(sizes, "doc", "left").withColumn("pictures", F.coalesce("pictures", F.array().cast(PICTURES)))
     wide = F.when(F.col("kind") == "table", F.size("pieces") / F.greatest(F.lit(1), F.size("lines") - 1)).otherwise(0)
-    # one list for each numbered list of a document, by its container's number
-    begun = F.transform("path", lambda n, i: F.when(n["kind"] == "ol", F.struct((n["id"] + 1).alias("num"), F.least(F.size(F.filter(F.slice("path", 1, i), lambda m: m["kind"] == "item")), F.lit(LIST_LEVELS - 1)).alias("level"), n["start"].alias("start"))))
+    # one list for each numbered list of a document; bullets share the first
+    begun = F.transform("path", lambda n, i: F.when(n["kind"] == "ol", F.struct((n["nth"] + 2).alias("num"), F.least(F.size(F.filter(F.slice("path", 1, i), lambda m: m["kind"] == "item")), F.lit(LIST_LEVELS - 1)).alias("level"), n["start"].alias("start"))))
     targets = F.filter(F.transform(F.flatten("pieces"), lambda p: F.when((p["kind"] == "open") & (p["link"] != ""), p["link"])), lambda x: x.isNotNull())
     rows = rows.withColumn("lists", F.filter(begun, lambda x: x.isNotNull())).withColumn("links", F.array_distinct(targets))
     shown = rows.withColumn("units", F.transform("pieces", lambda unit, i: unit_runs(unit, i < wide))).withColumn("out", block_word())
