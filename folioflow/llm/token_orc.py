@@ -72,12 +72,15 @@ class WordEncoder:
             some = words[at : at + 400]
             ids = self.ids(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            found = np.split(ids, cuts[:-1]) if len(cuts) == len(some) and cuts[-1] == len(ids) else map(self.ids, some)
-            out.update(zip(some, (x.tobytes() for x in found), strict=True))
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                out.update(zip(some, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            else:
+                out.update((x, self.ids(x).tobytes()) for x in some)
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of new words; they are remembered while there is room."""
+        """The ids of new words; what they are made of is remembered while there is room."""
         out, split, letters, known = {}, [], set(), self.parts
         for word in words:
             core = word.rstrip(AFTER_LETTERS)
@@ -94,16 +97,30 @@ class WordEncoder:
             out[word] = (known[core] if head is None else head) + (known[tail] if rest is None else rest)
         if len(known) < MEMO_WORDS:
             known.update(fresh)
-        if len(self.memo) < MEMO_WORDS:
-            self.memo.update(out)
         return out
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        of, end = self.memo.get, np.array([end_id], dtype="<i4").tobytes()
-        found = [list(map(of, words)) for words in split]
-        new = self.learn({w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None})
-        return [np.frombuffer(b"".join([new[w] if x is None else x for w, x in zip(words, ids, strict=True)]) + end, dtype="<i4") for words, ids in zip(split, found, strict=True)]
+        memo, end = self.memo, np.array([end_id], dtype="<i4").tobytes()
+        out: list[bytes] = []
+        lacking = []
+        for at, text in enumerate(texts):
+            words = (text or "").replace("\n", " ").split(" ")
+            ids = list(map(memo.get, words))
+            if None in ids:
+                lacking.append((at, words))
+                out.append(b"")
+            else:
+                ids.append(end)
+                out.append(b"".join(ids))
+        new = self.learn(set().union(*(words for _, words in lacking)).difference(memo))
+        full = len(memo) >= MEMO_WORDS
+        memo.update(new)
+        for at, words in lacking:
+            out[at] = b"".join(map(memo.__getitem__, words)) + end
+        if full:
+            for word in new:
+                del memo[word]
+        return [np.frombuffer(x, dtype="<i4") for x in out]
 
 
 @cache
