@@ -205,8 +205,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     return solved(names, marks, root, sums, sum(held.values()))
 
 
-def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of keep, and __lang and __score of every whole text."""
+def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """The columns of keep, and the language and score of every whole text, under two names that keep doesn't hold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
     at, n = rows.columns.index(text_col), len(keep)
@@ -214,11 +214,11 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
-                names, scores = predict(shared.value, batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "__lang", "__score"])
+                told, scores = predict(shared.value, batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(told, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
-    return rows.mapInArrow(run, f"{kinds}, __lang string, __score double")
+    return rows.mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
@@ -229,5 +229,8 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """docs without those whose language can't be told: no letters, or no language's score reaches least_score."""
-    found = identify(docs, train(docs), docs.columns)
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least_score)).drop("__lang", "__score")
+    name = "__lang"
+    while any(c.lower() in (name, f"{name}_score") for c in docs.columns):
+        name += "_"
+    found = identify(docs, train(docs), docs.columns, names=(name, f"{name}_score"))
+    return found.where((F.col(name) != UNDETERMINED) & (F.col(f"{name}_score") >= least_score)).drop(name, f"{name}_score")

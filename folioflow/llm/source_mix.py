@@ -225,8 +225,10 @@ def mix(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id",
 def mixed_documents(docs: DataFrame, members: str = "array(source)", id_col: str = "doc_id", text_col: str = "text", weights: Sequence[int] = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 0) -> DataFrame:
     """The mix itself: docs with each document as often as it is taken."""
     plan, _ = plan_mix(docs, members, id_col, text_col, weights, share, most, seed)
-    told = patterned(docs, members, id_col, text_col, seed).join(plan.drop("source_size", "target"), "__pattern")
-    return told.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.expr(COPIES).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the rows travel as one column, so that none of theirs is taken for one of ours
+    rows = docs.select(F.struct("*").alias("__all"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.expr(members).alias("__given"))
+    told = patterned(rows, "__given", "__id", "__text", seed).join(plan.drop("source_size", "target"), "__pattern")
+    return told.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.expr(COPIES).cast("int")))).select("__all.*")
 
 
 #: The mix of `documents` by source. Targets fill like water: sources are capped in the order of twice their size by weight.

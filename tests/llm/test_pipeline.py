@@ -79,7 +79,7 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted((r.doc_id, r.ids_crc32) for r in got.collect()) == sorted((r.doc_id, r.ids_crc32) for r in stages[5].collect())
 
 
-EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, h1 string, __size int, pos string, __lang double"
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, h1 string, __size int, pos string, __lang double, __row int, __n_removed int"
 
 
 def through(spark, data, tmp_path):
@@ -101,12 +101,12 @@ def test_stages_take_odd_rows(spark, tmp_path):
     rows = [(i, f"{said[i % 2]} {' '.join(chr(97 + i * k % 26) * 4 for k in range(1, 9))}", ["en", "de"][i % 2], f"s{i % 3}", 60) for i in range(60)]
     rows += [(100, None, "en", "s0", None), (101, "", "en", "s0", 0), (None, rows[0][1] + " null id", None, None, None), (102, "1234 5678", "en", "s1", 9), (103, " ".join(f"word{i % 4000} and {said[0]}" for i in range(20_000)), "en", "s1", 1)]
     rows += [rows[5]] * 4
-    data = [(*r, "x", 1, "y", 2, "z", 0.5) for r in rows]
+    data = [(*r, "x", 1, "y", 2, "z", 0.5, 7, 8) for r in rows]
     found = dict(through(spark, data, tmp_path))
     columns = [c.split()[0] for c in EXTRA.split(", ")]
     assert all(found[name].columns == columns for name in ("language_id", "line_dedup", "near_duplicates", "source_mixing"))
     ids = {name: [r.doc_id for r in df.collect()] for name, df in found.items()}
     assert {100, 101, 102}.isdisjoint(ids["language_id"]) and 103 in ids["language_id"] and ids["language_id"].count(5) == 5
     assert ids["near_duplicates"].count(5) == 1 and 103 in ids["near_duplicates"]
-    assert all(r.row == "x" and r.node == 1 and r.h1 == "y" and r.pos == "z" for r in found["source_mixing"].collect())
+    assert all((r.row, r.node, r.h1, r["__size"], r.pos, r["__lang"], r["__row"], r["__n_removed"]) == ("x", 1, "y", 2, "z", 0.5, 7, 8) for r in found["source_mixing"].collect())
     assert all(r.round_trip for r in found["sentencepiece"].collect()) and set(ids["sentencepiece"]) <= set(ids["near_duplicates"])
