@@ -33,9 +33,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null, empty lines stay, and a text may become empty; texts of any length are read whole.
     """
-    cut = line_spread.remove_spread_lines(docs, copies_count=False)
+    own = ["doc_id", "text", "source", "n_chars"]
+    others = [c for c in docs.columns if c not in own]
+    # other columns travel as one, so that none is taken for one of the operator's
+    packed = docs.select(*own, F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in others)).alias("__others"))
+    cut = line_spread.remove_spread_lines(packed, copies_count=False)
     changed = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", changed).select(*docs.columns)
+    return cut.withColumn("n_chars", changed).select(*(F.col(c) if c in own else F.col("__others").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
