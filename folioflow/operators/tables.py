@@ -32,7 +32,8 @@ def table_cells(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("pos")
     found = lines.withColumn("row", F.row_number().over(order) - 1)
     heads = found.where("row = 1").select("doc", alignments(F.col("text")).alias("kinds")).where("kinds IS NOT NULL")
-    rows = found.where("row <> 1").join(heads, "doc").select("doc", F.when(F.col("row") > 1, F.col("row") - 1).otherwise(0).alias("row"), "kinds", F.posexplode(cells(F.col("text"))).alias("col", "text"))
+    # Spark takes exploded rows for as few as those they come from, and would send them to the driver
+    rows = found.where("row <> 1").join(heads.hint("merge"), "doc").select("doc", F.when(F.col("row") > 1, F.col("row") - 1).otherwise(0).alias("row"), "kinds", F.posexplode(cells(F.col("text"))).alias("col", "text"))
     return rows.select("doc", "row", "col", "text", F.coalesce(F.get("kinds", "col"), F.lit("none")).alias("alignment"), (F.col("row") == 0).alias("is_header"))
 
 
@@ -63,7 +64,7 @@ def delimiter_targets(lines: DataFrame, boundaries: DataFrame) -> DataFrame:
         .withColumn("at", F.col("k") + F.when(F.col("opens"), 0).otherwise(1))
     )
     edges = boundaries.select("doc", (F.col("col") + 1).alias("at"), "boundary").unionByName(boundaries.select("doc", F.lit(0).alias("at"), F.lit(0.0).alias("boundary")).distinct())
-    return pipes.join(edges, ["doc", "at"]).select("doc", "pos", "loc", "boundary")
+    return pipes.join(edges.hint("merge"), ["doc", "at"]).select("doc", "pos", "loc", "boundary")
 
 
 def text_tables(found: DataFrame) -> DataFrame:
