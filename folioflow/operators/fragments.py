@@ -31,7 +31,7 @@ def fragment_lines(fragments: DataFrame) -> DataFrame:
     height = F.element_at(F.array_sort(F.collect_list(F.col("top") - F.col("bottom"))), (F.floor(F.count("*") / 2) + 1).cast("int"))
     medians = rows.groupBy("doc").agg(height.alias("median"))
     gap = F.lag("bottom").over(Window.partitionBy("doc").orderBy("row")) - F.col("top")
-    return rows.join(medians, "doc").select("doc", "row", F.coalesce((F.col("median") > 0) & (gap > F.col("median") * BLANK_GAP), F.lit(False)).alias("blank_before"), "text")
+    return rows.join(medians.hint("merge"), "doc").select("doc", "row", F.coalesce((F.col("median") > 0) & (gap > F.col("median") * BLANK_GAP), F.lit(False)).alias("blank_before"), "text")
 
 
 def dominant_runs(runs: DataFrame) -> DataFrame:

@@ -43,13 +43,13 @@ def units_before(text: Column, n_bytes: Column) -> Column:
 def to_units(positions: DataFrame, index: DataFrame) -> DataFrame:
     """positions (doc, line, column, ...), both from 1 and columns in UTF-8 bytes, with unit, the place in UTF-16 units."""
     ends = index.where("line = n_lines").select("doc", F.col("n_lines").alias("__n"))
-    held = positions.join(ends, "doc").withColumn("__line", F.greatest(F.lit(1), F.least("line", "__n")))
+    held = positions.join(ends.hint("merge"), "doc").withColumn("__line", F.greatest(F.lit(1), F.least("line", "__n")))
     lines = index.select("doc", F.col("line").alias("__line"), "loc", "length", "text")
     n_bytes = F.greatest(F.lit(0), F.col("column") - 1)
     wide = F.octet_length("text") != utf16_length(F.col("text"))
     within = F.when(wide, units_before(F.col("text"), F.least(n_bytes, F.octet_length("text")))).otherwise(n_bytes)
     unit = F.when(F.col("column").isNotNull() & F.col("line").isNotNull(), F.least(F.col("loc") + within, F.col("length")))
-    return held.join(lines, ["doc", "__line"]).withColumn("unit", unit).select(*positions.columns, "unit")
+    return held.join(lines.hint("merge"), ["doc", "__line"]).withColumn("unit", unit).select(*positions.columns, "unit")
 
 
 def to_positions(points: DataFrame, index: DataFrame) -> DataFrame:
@@ -66,6 +66,6 @@ def to_positions(points: DataFrame, index: DataFrame) -> DataFrame:
     column = F.octet_length(F.decode(whole, "UTF-16BE")) + 1
     rows = found.where("line IS NOT NULL OR at IS NULL").withColumn("column", column)
     nexts = index.select("doc", (F.col("line") - 1).alias("line"), F.col("loc").alias("next_loc"))
-    ended = rows.join(nexts, ["doc", "line"], "left")
+    ended = rows.join(nexts.hint("merge"), ["doc", "line"], "left")
     size = F.greatest(F.lit(0), F.coalesce(F.col("next_loc") - 1, F.col("length")) - F.col("loc"))
     return ended.select(*points.columns, "line", "column", F.col("loc").alias("line_loc"), size.alias("line_len"))

@@ -176,7 +176,7 @@ def to_word(docs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
         files = once.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("files"))
         # blocks need only the pictures' sizes and names
         sizes = pictures.groupBy("doc").agg(F.collect_list(F.struct(*fields[:6], F.lit(None).cast("binary").alias("content"))).alias("pictures"))
-        rows = found.join(sizes, "doc", "left").withColumn("pictures", F.coalesce("pictures", F.array().cast(PICTURES)))
+        rows = found.join(sizes.hint("merge"), "doc", "left").withColumn("pictures", F.coalesce("pictures", F.array().cast(PICTURES)))
     wide = F.when(F.col("kind") == "table", F.size("pieces") / F.greatest(F.lit(1), F.size("lines") - 1)).otherwise(0)
     # one list for each numbered list of a document; bullets share the first
     begun = F.transform("path", lambda n, i: F.when(n["kind"] == "ol", F.struct((n["nth"] + 2).alias("num"), F.least(F.size(F.filter(F.slice("path", 1, i), lambda m: m["kind"] == "item")), F.lit(LIST_LEVELS - 1)).alias("level"), n["start"].alias("start"))))
@@ -188,7 +188,8 @@ def to_word(docs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("lists")))).alias("numbers"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("links")))).alias("targets"),
     )
-    made = docs.select("doc").join(parts, "doc", "left")
-    made = made.withColumn("files", F.array().cast(PICTURES)) if files is None else made.join(files, "doc", "left")
+    # Spark takes parts and files for smaller than they are, and would send them to the driver
+    made = docs.select("doc").join(parts.hint("merge"), "doc", "left")
+    made = made.withColumn("files", F.array().cast(PICTURES)) if files is None else made.join(files.hint("merge"), "doc", "left")
     empty = lambda name, kind: F.coalesce(name, F.array().cast(kind))
     return made.select("doc", package(F.coalesce("body", F.lit("")), empty("numbers", NUMBERS), empty("targets", "array<string>"), empty("files", PICTURES)).alias("data"))

@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioflow.functions.geometry import emu_size
 from folioflow.functions.text import css_variables, extension, has_scheme, percent_decoded, standalone, suggested_name
-from folioflow.operators.inlines import images
+from folioflow.operators.inlines import MARKED, images
 from folioflow.operators.rendering import rendered, titles
 from folioflow.operators.structure import structure
 from folioflow.operators.word import to_word
@@ -70,14 +70,14 @@ def placed_pictures(docs: DataFrame, stored: DataFrame) -> DataFrame:
     doc is a document's path; sources are looked up from its folder, without . and .. steps. Files of kinds that Word documents
     don't hold, and without a size in their header, are left out. Sizes are in EMU, at most a page wide.
     """
-    found = images(structure(docs)).select("doc", "src").distinct()
+    found = images(structure(docs, MARKED)).select("doc", "src").distinct()
     ext = F.lower(extension(F.col("src")))
     wanted = found.withColumn("ext", ext).withColumn("mime", word_mime_type(ext)).where("mime IS NOT NULL AND src <> ''")
     wanted = wanted.withColumn("path", resolved_path(F.regexp_replace("doc", "/?[^/]*$", ""), F.col("src")))
-    needed = stored.join(wanted.select("path").distinct(), "path", "left_semi")
+    needed = stored.join(wanted.select("path").distinct().hint("merge"), "path", "left_semi")
     sized = image_sizes(needed).where("width > 0 AND height > 0")
     cx, cy = emu_size(F.col("width"), F.col("height"))
-    rows = wanted.join(sized.select("path", "content", cx.alias("cx"), cy.alias("cy")), "path")
+    rows = wanted.join(sized.select("path", "content", cx.alias("cx"), cy.alias("cy")).hint("merge"), "path")
     # one file may be shown by several sources; it is one part of the document
     nth = F.dense_rank().over(Window.partitionBy("doc").orderBy("path")).cast("string")
     named = rows.withColumn("name", F.concat(F.lit("image"), nth, F.lit("."), "ext")).withColumn("relation", F.concat(F.lit("picture"), nth))
@@ -122,7 +122,7 @@ def read_documents(spark: SparkSession, path: str, policy: str = "strict") -> Da
 def convert_files(files: DataFrame, to: str) -> DataFrame:
     """path, suggested_name, data, error_code: files (path, source, error_code) in another format; errors pass through."""
     made = convert_text(files.where("error_code IS NULL").select(F.col("path").alias("doc"), "source"), to).withColumnRenamed("doc", "path")
-    return files.select("path", "error_code").join(made, "path", "left").select("path", suggested_name(F.col("path"), OUTPUTS[to]).alias("suggested_name"), "data", "error_code")
+    return files.select("path", "error_code").join(made.hint("merge"), "path", "left").select("path", suggested_name(F.col("path"), OUTPUTS[to]).alias("suggested_name"), "data", "error_code")
 
 
 def convert_text(docs: DataFrame, to: str) -> DataFrame:
@@ -148,7 +148,7 @@ class Converter:
     def pages(self, docs: DataFrame) -> DataFrame:
         """doc, data: standalone pages of docs (doc, source), named by their first heading."""
         body = rendered(docs, "html", self.raw_html, self.diagrams)
-        return body.join(titles(docs), "doc").select("doc", standalone(F.col("title"), F.col("data"), css_variables(self.theme)).alias("data"))
+        return body.join(titles(docs).hint("merge"), "doc").select("doc", standalone(F.col("title"), F.col("data"), css_variables(self.theme)).alias("data"))
 
     def previews(self, docs: DataFrame) -> DataFrame:
         """Pages of docs (doc, source) named by their file, doc, without raw HTML."""
@@ -168,7 +168,7 @@ def inlined_images(images: DataFrame, files: DataFrame) -> DataFrame:
     wanted = images.withColumn("path", F.when(local, F.concat(F.regexp_replace("doc", "[^/]*$", ""), below)))
     small = files.where(F.octet_length("content") <= INLINE_BYTES)
     uri = F.concat(F.lit("data:"), mime_type(extension(F.col("path"))), F.lit(";base64,"), F.base64("content"))
-    return wanted.join(small, "path", "left").select("doc", "src", F.coalesce(uri, F.col("src")).alias("href"))
+    return wanted.join(small.hint("merge"), "path", "left").select("doc", "src", F.coalesce(uri, F.col("src")).alias("href"))
 
 
 def _frame_size(raw: bytes | None) -> tuple[int | None, int | None]:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from folioflow.operators.structure import structure
 from folioflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -11,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["table_delimiters"])
+@pytest.mark.parametrize("name", ["table_delimiters", "standalone_pages", "nested_html", "nested_text", "placed_pictures", "document_titles"])
 def test_no_table_that_grows_is_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SF))
 
@@ -22,3 +23,13 @@ def test_sizes_of_large_keys(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: r.size_text for r in QUERIES["size_texts"](spark, str(tmp_path)).collect()}
     assert got == {1: "1 byte", 1_200_000: "8,640,000 PB"}
+
+
+def test_blocks_take_one_shuffle_of_whole_documents(spark):
+    """Lines are neither exploded nor sorted by Spark; only what is asked for leaves a task."""
+    docs = spark.createDataFrame([(1, "# *a*\n\nb [c]\n\n[c]: /d"), (2, None), (3, "e\r\n😀 *f*"), (3, "g")], "doc long, source string")
+    found = structure(docs, ("block", "kind", "loc", "text"), inline=False)
+    assert "Window" not in plan(found) and plan(found).count("Exchange") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "heading", 0, "*a*"), (1, 2, "paragraph", 7, "b [c]"), (3, 1, "paragraph", 0, "e\ng\n😀 *f*")]
+    heads = structure(docs, ("kind", "anchor", "pieces"), kinds=("heading",)).collect()
+    assert [(r.doc, r.kind, r.anchor, r.pieces[0][1].text) for r in heads] == [(1, "heading", "a", "a")]
