@@ -1,6 +1,7 @@
 """Finding texts by an index of their trigrams.
 
-The index holds a row for each document and each run of three characters that it has, in lower case, once. Rows are dealt
+The index holds a row for each document and each run of three characters that it has, in lower case, once (documents of one
+id may share runs; a search counts each once). Rows are dealt
 into folders by a hash of the trigram and sorted within, so that a search reads the folders of its own trigrams only, and
 of these the row groups that can hold them. Documents that have all trigrams of what is sought are candidates; their texts
 are then searched, so the answer is that of a search of all texts.
@@ -30,7 +31,7 @@ def build_index(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     low = F.lower(text_col)
     # each place looks ahead, so runs overlap, and a text is read once
     grams = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-    rows = docs.where(F.length(low) >= GRAM).select(F.col(id_col).alias("id"), F.explode(grams).alias("gram")).distinct()
+    rows = docs.where(F.length(low) >= GRAM).select(F.col(id_col).alias("id"), F.explode(grams).alias("gram"))
     # a gram that all documents have is dealt to many tasks by document
     dealt = rows.withColumn("folder", folder_of(F.col("gram"), folders)).repartition("folder", F.pmod(F.xxhash64("id"), F.lit(16)))
     dealt.sortWithinPartitions("folder", "gram", "id").write.partitionBy("folder").option("compression", "zstd").parquet(path)
@@ -46,7 +47,7 @@ def candidates(spark: SparkSession, path: str, needle: str, folders: int = FOLDE
     grams = grams_of(needle)
     numbers = [r.n for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(folder_of(F.col("gram"), folders).alias("n")).distinct().collect()]
     rows = spark.read.schema("id long, gram string, folder int").parquet(path).where(F.col("folder").isin(numbers) & F.col("gram").isin(grams))
-    return rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("id")
+    return rows.groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("id")
 
 
 def find(docs: DataFrame, path: str, needle: str, text_col: str = "text", id_col: str = "doc_id", folders: int = FOLDERS) -> DataFrame:

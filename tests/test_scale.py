@@ -2,6 +2,7 @@
 
 import pytest
 
+from folioflow.operators import find
 from folioflow.operators.structure import structure
 from folioflow.plans.queries import QUERIES
 
@@ -33,3 +34,15 @@ def test_blocks_take_one_shuffle_of_whole_documents(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, "heading", 0, "*a*"), (1, 2, "paragraph", 7, "b [c]"), (3, 1, "paragraph", 0, "e\ng\n😀 *f*")]
     heads = structure(docs, ("kind", "anchor", "pieces"), kinds=("heading",)).collect()
     assert [(r.doc, r.kind, r.anchor, r.pieces[0][1].text) for r in heads] == [(1, "heading", "a", "a")]
+
+
+def test_an_index_is_shuffled_once(spark, tmp_path, monkeypatch):
+    """Runs of a document are distinct before they are shuffled; documents of one id that share runs are found by all of them only."""
+    plans = []
+    sort = type(spark.range(0)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(0)), "sortWithinPartitions", lambda df, *c: plans.append(plan(df)) or sort(df, *c))
+    docs = spark.createDataFrame([(1, "abcab"), (1, "abc"), (2, "abcd"), (3, None)], "doc_id long, text string")
+    find.build_index(docs, f"{tmp_path}/index")
+    assert plans[0].count("Exchange") == 1
+    assert sorted(r.text for r in find.find(docs, f"{tmp_path}/index", "ABCD").collect()) == ["abcd"]
+    assert sorted(r.text for r in find.find(docs, f"{tmp_path}/index", "bca").collect()) == ["abcab"]
