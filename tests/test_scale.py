@@ -46,3 +46,9 @@ def test_an_index_is_shuffled_once(spark, tmp_path, monkeypatch):
     assert plans[0].count("Exchange") == 1
     assert sorted(r.text for r in find.find(docs, f"{tmp_path}/index", "ABCD").collect()) == ["abcd"]
     assert sorted(r.text for r in find.find(docs, f"{tmp_path}/index", "bca").collect()) == ["abcab"]
+
+
+def test_ranges_are_dealt_by_document_once(spark):
+    """Both sides of the join are dealt by number, not by bytes; the sweep and the counts take the same partitions."""
+    found = plan(QUERIES["ranges_in_order"](spark, SF))
+    assert found.count("Exchange") == found.count("REPARTITION_BY_NUM") == 2
