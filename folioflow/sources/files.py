@@ -74,8 +74,8 @@ def placed_pictures(docs: DataFrame, stored: DataFrame) -> DataFrame:
     ext = F.lower(extension(F.col("src")))
     wanted = found.withColumn("ext", ext).withColumn("mime", word_mime_type(ext)).where("mime IS NOT NULL AND src <> ''")
     wanted = wanted.withColumn("path", resolved_path(F.regexp_replace("doc", "/?[^/]*$", ""), F.col("src")))
-    needed = stored.join(wanted.select("path").distinct().hint("merge"), "path", "left_semi")
-    sized = image_sizes(needed).where("width > 0 AND height > 0")
+    # sizes come before the join, so that documents are read once and a file's header is read once, however many show it
+    sized = image_sizes(stored).where("width > 0 AND height > 0")
     cx, cy = emu_size(F.col("width"), F.col("height"))
     rows = wanted.join(sized.select("path", "content", cx.alias("cx"), cy.alias("cy")).hint("merge"), "path")
     # one file may be shown by several sources; it is one part of the document
@@ -201,12 +201,17 @@ def frame_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(map(_frame_size, content), columns=["width", "height"], dtype="Int32")
 
 
+# else Spark takes the walk over to the other side of a join by path, into the tasks that read documents, where each has a second worker for it
+frame_size = frame_size.asNondeterministic()
+
+
 def image_sizes(images: DataFrame, content_col: str = "content") -> DataFrame:
     """images with width and height from the header: PNG, GIF and BMP by expressions, JPEG and TIFF by a walk over their segments."""
     head = F.hex(F.substring(content_col, 1, 4))
-    walked = images.where(head.startswith("FFD8") | head.isin("49492A00", "4D4D002A")).withColumn("size", frame_size(content_col))
-    plain = images.where(~F.coalesce(head.startswith("FFD8") | head.isin("49492A00", "4D4D002A"), F.lit(False))).withColumn("size", image_size(F.col(content_col)))
-    return plain.unionByName(walked).withColumn("width", F.col("size.width")).withColumn("height", F.col("size.height")).drop("size")
+    walked = F.coalesce(head.startswith("FFD8") | head.isin("49492A00", "4D4D002A"), F.lit(False))
+    # images are read once: the walk gets nulls for all others
+    size = F.when(walked, F.col("walked")).otherwise(image_size(F.col(content_col)))
+    return images.withColumn("walked", frame_size(F.when(walked, F.col(content_col)))).withColumn("size", size).withColumn("width", F.col("size.width")).withColumn("height", F.col("size.height")).drop("size", "walked")
 
 
 def image_size(content: Column) -> Column:

@@ -52,3 +52,16 @@ def test_ranges_are_dealt_by_document_once(spark):
     """Both sides of the join are dealt by number, not by bytes; the sweep and the counts take the same partitions."""
     found = plan(QUERIES["ranges_in_order"](spark, SF))
     assert found.count("Exchange") == found.count("REPARTITION_BY_NUM") == 2
+
+
+def test_documents_are_read_once_for_their_pictures(spark):
+    """Headers are walked on the side of the files; the tasks that read documents have one Python worker each."""
+    found = QUERIES["placed_pictures"](spark, SF)
+    assert plan(found).count("MapInArrow") == plan(found).count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["nested_html", "markdown_to_word", "document_titles", "placed_pictures"])
+def test_documents_made_by_their_key_are_dealt_by_number(spark, name):
+    """Else they stay in the partitions that they were made in, which Spark puts together by bytes."""
+    found = QUERIES[name](spark, SF)
+    assert plan(found).count("REPARTITION_BY_NUM") == plan(found).count("MapInArrow") == 1
