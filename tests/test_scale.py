@@ -1,9 +1,14 @@
 """Steps whose memory or rows must not depend on how small Spark takes a table to be."""
 
+import time
+
+import pyarrow as pa
 import pytest
 
 from folioflow.operators import find
-from folioflow.operators.structure import structure
+from folioflow.operators.inlines import pieces
+from folioflow.operators.rendering import titles
+from folioflow.operators.structure import Containers, streamed, structure
 from folioflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +70,24 @@ def test_documents_made_by_their_key_are_dealt_by_number(spark, name):
     """Else they stay in the partitions that they were made in, which Spark puts together by bytes."""
     found = QUERIES[name](spark, SF)
     assert plan(found).count("REPARTITION_BY_NUM") == plan(found).count("MapInArrow") == 1
+
+
+def test_titles_stop_at_the_first_heading_with_words(spark, monkeypatch):
+    """Lines behind a title go through no automaton; headings without words, and references defined later, count as before."""
+    read = []
+    line = Containers.line
+    monkeypatch.setattr(Containers, "line", lambda self, pos, base, text: read.append(pos) or line(self, pos, base, text))
+    source = "# ![](p.png)\n\n## [a]\n\n" + "word\n\n" * 500 + "# later\n\n[a]: /u\n"
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([source])], names=["doc", "source"])
+    made = pa.Table.from_batches(list(streamed(iter([batch]), ("block", "kind", "lines", "pieces"), kinds=("heading",), to_title=True))).to_pylist()
+    assert [x["block"] for x in made] == [1, 2] and made[1]["pieces"][0][0]["link"] == "/u" and len(read) < 10
+    docs = spark.createDataFrame([(1, "# \n\n# *b*\n# c"), (2, "a\n"), (3, "#\n\n# ![](p.png)\n\n# d"), (4, None)], "doc long, source string")
+    assert sorted(map(tuple, titles(docs).collect())) == [(1, "b"), (2, "Untitled"), (3, "[image: p.png]"), (4, "Untitled")]
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 40_000 + "b", "a" + "! " * 40_000 + "\n b"])
+def test_blanks_take_time_by_their_length(text):
+    """Each blank of a run was tried as the begin of a line's end, which took seconds."""
+    began = time.process_time()
+    assert "".join(p["text"] for p in pieces(text)).replace(" ", "") == text.replace(" ", "")
+    assert time.process_time() - began < 0.5
