@@ -50,6 +50,9 @@ def replace_all(s: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
 HTML = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
 
+CONTROLS = r"[\x00-\x08\x0B-\x1F]"
+
+
 def html_escape(s: Column) -> Column:
     return replace_all(s, HTML)
 
@@ -60,7 +63,7 @@ def attribute_escape(s: Column) -> Column:
 
 def xml_escape(s: Column) -> Column:
     """Escapes for OOXML parts; control characters other than tab and line feed are not allowed there and go."""
-    return F.regexp_replace(replace_all(s, (*HTML, ("'", "&apos;"))), r"[\x00-\x08\x0B-\x1F]", "")
+    return replace_all(F.when(s.rlike(CONTROLS), F.regexp_replace(s, CONTROLS, "")).otherwise(s), (*HTML, ("'", "&apos;")))
 
 
 def slug(s: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.geometry import column_twips
 from folioflow.functions.text import xml_escape
 from folioflow.operators.inlines import TRAITS
+from folioflow.operators.rendering import copies, each_copy
 from folioflow.operators.structure import structure
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -82,7 +83,7 @@ def paragraph(style: Column | str, content: Column, numbering: Column | None = N
 
 def block_word() -> Column:
     """A block's paragraphs. The first text of an item has its list's number or glyph, later ones only its indent."""
-    text, runs, path = F.col("text"), F.get("units", F.lit(0)), F.col("path")
+    text, runs, path = F.col("verbatim"), F.get("units", F.lit(0)), F.col("path")
     held = F.filter(path, lambda n: n["kind"].isin("item", "ul", "ol"))
     item, of = F.element_at(held, -1), F.get(held, F.size(held) - 2)
     level = F.least(F.size(held) / 2 - 1, F.lit(LIST_LEVELS - 1)).cast("int").cast("string")
@@ -93,7 +94,7 @@ def block_word() -> Column:
     quoted = F.exists(path, lambda n: n["kind"] == "quote")
     style = F.when(F.size(held) > 0, "ListParagraph").when(quoted, "Quote").otherwise("Normal")
     code = F.array_join(F.transform(F.split(text, "\n"), lambda x: paragraph("SourceCode", run(F.lit(""), x))), "")
-    rows = F.size("lines") - 1
+    rows = F.col("n_lines") - 1
     columns = (F.size("units") / F.greatest(F.lit(1), rows)).cast("int")
     width = column_twips(columns).cast("string")
     cell = lambda x: F.concat(F.lit('<w:tc><w:tcPr><w:tcW w:w="'), width, F.lit('" w:type="dxa"/></w:tcPr>'), paragraph("Normal", x), F.lit("</w:tc>"))
@@ -157,6 +158,8 @@ def package(body: Column, numbers: Column, links: Column, pictures: Column) -> C
 
 
 PICTURES = "array<struct<source:string,name:string,relation:string,mime:string,cx:bigint,cy:bigint,content:binary>>"
+#: Columns of blocks that packages are made from.
+SHOWN = ("block", "kind", "level", "n_lines", "path", "leads", "pieces", "verbatim")
 NUMBERS = "array<struct<num:int,level:int,start:bigint>>"
 
 
@@ -166,7 +169,7 @@ def to_word(docs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
     pictures (doc, source, name, relation, mime, cx, cy, content) are the files that a document's images show, each once;
     images without one are named in brackets.
     """
-    found = structure(docs)
+    found = structure(docs, SHOWN, ends=True)
     if pictures is None:
         files, rows = None, found.withColumn("pictures", F.array().cast(PICTURES))
     else:
@@ -177,19 +180,20 @@ def to_word(docs: DataFrame, pictures: DataFrame | None = None) -> DataFrame:
         # blocks need only the pictures' sizes and names
         sizes = pictures.groupBy("doc").agg(F.collect_list(F.struct(*fields[:6], F.lit(None).cast("binary").alias("content"))).alias("pictures"))
         rows = found.join(sizes.hint("merge"), "doc", "left").withColumn("pictures", F.coalesce("pictures", F.array().cast(PICTURES)))
-    wide = F.when(F.col("kind") == "table", F.size("pieces") / F.greatest(F.lit(1), F.size("lines") - 1)).otherwise(0)
+    wide = F.when(F.col("kind") == "table", F.size("pieces") / F.greatest(F.lit(1), F.col("n_lines") - 1)).otherwise(0)
     # one list for each numbered list of a document; bullets share the first
     begun = F.transform("path", lambda n, i: F.when(n["kind"] == "ol", F.struct((n["nth"] + 2).alias("num"), F.least(F.size(F.filter(F.slice("path", 1, i), lambda m: m["kind"] == "item")), F.lit(LIST_LEVELS - 1)).alias("level"), n["start"].alias("start"))))
     targets = F.filter(F.transform(F.flatten("pieces"), lambda p: F.when((p["kind"] == "open") & (p["link"] != ""), p["link"])), lambda x: x.isNotNull())
     rows = rows.withColumn("lists", F.filter(begun, lambda x: x.isNotNull())).withColumn("links", F.array_distinct(targets))
     shown = rows.withColumn("units", F.transform("pieces", lambda unit, i: unit_runs(unit, i < wide))).withColumn("out", block_word())
     parts = shown.groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "out"))), lambda x: x["out"]), "").alias("body"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("block", "out")))), lambda x: x["out"]), "").alias("body"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("lists")))).alias("numbers"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("links")))).alias("targets"),
+        copies(),
     )
-    # Spark takes parts and files for smaller than they are, and would send them to the driver
-    made = docs.select("doc").join(parts.hint("merge"), "doc", "left")
+    made = each_copy(parts, "body", "numbers", "targets")
+    # Spark takes files for smaller than they are, and would send them to the driver
     made = made.withColumn("files", F.array().cast(PICTURES)) if files is None else made.join(files.hint("merge"), "doc", "left")
     empty = lambda name, kind: F.coalesce(name, F.array().cast(kind))
     return made.select("doc", package(F.coalesce("body", F.lit("")), empty("numbers", NUMBERS), empty("targets", "array<string>"), empty("files", PICTURES)).alias("data"))

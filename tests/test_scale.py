@@ -7,8 +7,9 @@ import pytest
 
 from folioflow.operators import find
 from folioflow.operators.inlines import pieces
-from folioflow.operators.rendering import titles
-from folioflow.operators.structure import Containers, streamed, structure
+from folioflow.operators.rendering import rendered, titles
+from folioflow.operators.structure import Containers, document_blocks, streamed, structure
+from folioflow.operators.word import to_word
 from folioflow.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +92,29 @@ def test_blanks_take_time_by_their_length(text):
     began = time.process_time()
     assert "".join(p["text"] for p in pieces(text)).replace(" ", "") == text.replace(" ", "")
     assert time.process_time() - began < 0.5
+
+
+@pytest.mark.parametrize("name, tables", [("markdown_to_word", 1), ("document_titles", 1), ("nested_html", 2), ("nested_text", 2)])
+def test_documents_are_made_once(spark, name, tables):
+    """What is made of documents needs no second reading of their tables to be joined to."""
+    assert plan(QUERIES[name](spark, SF)).count("FileScan") == tables
+
+
+def test_each_row_of_documents_has_one_of_the_result(spark):
+    """Copies are rendered for each row, of all their lines; null, empty and unnamed documents keep their rows."""
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (3, ""), (4, None), (4, "c"), (None, "d"), (None, "e")], "doc long, source string")
+    got = lambda df: sorted(((r[0] or 0, r[1]) for r in df.collect()))
+    assert got(rendered(docs, "text")) == [(0, ""), (0, ""), (1, "a\nb\n"), (1, "a\nb\n"), (2, ""), (3, ""), (4, "c\n"), (4, "c\n")]
+    assert got(titles(docs)) == [(k, "Untitled") for k in (0, 0, 1, 1, 2, 3, 4, 4)]
+    words = [(k, x.count("<w:p>"), x.count("<w:t ")) for k, x in got(to_word(docs))]
+    assert words == [(0, 0, 0), (0, 0, 0), (1, 1, 3), (1, 1, 3), (2, 0, 0), (3, 0, 0), (4, 1, 1), (4, 1, 1)]
+
+
+@pytest.mark.parametrize("text", ["# a" + " " * 40_000 + "b", "# a" + " #" * 20_000 + " b"])
+def test_headings_take_time_by_their_length(text):
+    """Each blank of a run was tried as the begin of a heading's end, which took seconds."""
+    began = time.process_time()
+    assert [b["text"] for b in document_blocks([text], True, None)] == [text[2:]]
+    assert time.process_time() - began < 0.5
+    ends = {"# a # ": "a", "# a#": "a#", "# #": "", "## # #": "#", "#": "", "# a  ": "a", "# a ## b #": "a ## b"}
+    assert {x: next(document_blocks([x], True, None))["text"] for x in ends} == ends
