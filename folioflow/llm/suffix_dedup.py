@@ -69,10 +69,13 @@ def window_anchors(keys: np.ndarray, n: int, length: int) -> np.ndarray:
 
 
 class Windows:
-    """The items of one window length in a unit, exchange by exchange: anchor, first and last window, and class of each run."""
+    """The items of one window length in a unit, exchange by exchange: anchor, first and last window, and class of each run.
+
+    It keeps the unit's bytes and hashes but not the unit, which has it: a unit is freed as soon as the next one comes.
+    """
 
     def __init__(self, unit: Unit, length: int, items: np.ndarray | None = None):
-        self.unit, self.hashes, self.length = unit, unit.hashes, length
+        self.raw, self.hashes, self.length = unit.raw, unit.hashes, length
         self.removed = np.zeros(len(unit.raw) + 1, np.int32)
         self.classes: np.ndarray | None = None
         if items is not None:
@@ -130,7 +133,7 @@ class Windows:
         spans = zip(low[heads].tolist(), (high[heads] + self.length).tolist(), strict=True)
         values = np.zeros(len(heads), VALUE)
         values["value"] = mixed(self.hashes.of(low[heads], high[heads] + self.length) + mixed(((anchor - low) << 20 | (high - low))[heads].astype(np.uint64)))
-        values["check"] = np.frombuffer(b"".join(hashlib.blake2b(self.unit.raw[a:b], digest_size=4).digest() for a, b in spans), "<u4")
+        values["check"] = np.frombuffer(b"".join(hashlib.blake2b(self.raw[a:b], digest_size=4).digest() for a, b in spans), "<u4")
         values["local"] = n > 1
         told = mixed(values["value"] + values["check"].astype(np.uint64))[of_value]
         keys = np.zeros(len(first_key), KEY)

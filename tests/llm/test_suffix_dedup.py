@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import pytest
@@ -92,6 +94,24 @@ def unit_results(rows):
     return [x[:4] for x in unit.results()]
 
 
+def test_units_are_freed_without_the_garbage_collector():
+    """A unit that its windows point back to stays until a full collection, which a task of large arrays hardly ever has."""
+    raw = [(t or "").encode() for _, t, *_ in data()]
+    gc.disable()
+    try:
+        unit = sd.Unit(b"".join(raw), np.cumsum([len(x) for x in raw]).tolist(), (400, 280))
+        for level in range(3):
+            for windows in unit.windows:
+                keys, values = windows.records(level)
+                windows.answer(level, ((keys["least"] != keys["most"]).astype(np.uint8), values["local"] + np.uint8(2)))
+        unit.results()
+        gone = [weakref.ref(unit), *(weakref.ref(x) for x in (*unit.windows, unit.hashes))]
+        del unit, windows
+        assert [x() for x in gone] == [None] * 4
+    finally:
+        gc.enable()
+
+
 def test_colliding_hashes_are_settled_by_bytes(monkeypatch):
     hashes = PrefixHash(np.frombuffer(b"abcdabcxabcdabcy" * 4, np.uint8))
     monkeypatch.setattr(PrefixHash, "of", lambda self, start, end: np.zeros(np.broadcast(start, end).shape, np.uint64))
